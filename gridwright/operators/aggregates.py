@@ -16,6 +16,25 @@ from ..functions._util import quote
 from ..functions.text import py_strip
 
 
+def batch_summary_exprs(seq: str = "seq", errors: str = "errors") -> dict[str, Column]:
+    """AGG-2..AGG-6 + AGG-12 as aggregate expressions over a runs table, so a
+    whole batch summary is one aggregate (one pass, map-side combine)."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    return {
+        "n_runs": F.count(F.lit(1)).cast("bigint"),
+        "total_records": F.sum("extracted_count").cast("bigint"),
+        "total_time": F.sum("extraction_time"),
+        "all_success": F.bool_and(ok),
+        "n_success": F.count_if(ok).cast("bigint"),
+        "n_failed": F.count_if(~ok).cast("bigint"),
+        "errors": F.flatten(F.transform(F.array_sort(F.collect_list(
+            F.struct(F.col(seq).alias("s"), F.col(errors).alias("v")))), lambda x: x["v"])),
+        "total_available": F.nullif(F.sum(F.coalesce("total_available", F.lit(0))), F.lit(0)).cast("bigint"),
+        "data_types": F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("data_type")))),
+                                  lambda x: x["data_type"]),
+    }
+
+
 def count_rows(df: DataFrame, out: str = "extracted_count") -> DataFrame:
     """AGG-1."""
     return df.agg(F.count(F.lit(1)).cast("bigint").alias(out))

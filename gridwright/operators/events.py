@@ -42,10 +42,10 @@ def event_statistics(events: DataFrame, seq: str = "event_id", ts_col: str = "ti
     by_type = (events.groupBy(*g, type_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
                .groupBy(*g).agg(F.map_from_entries(F.array_sort(F.collect_list(
                    F.struct(F.col(type_col), F.col("n"))))).alias("event_type_counts")))
-    out = total.join(by_type, g, "inner") if g else total.crossJoin(by_type)
+    out = total.join(by_type, g, "inner") if g else total.select("*", by_type.scalar().alias("event_type_counts"))
     if severity_col and severity_col in events.columns:
         by_sev = (events.groupBy(*g, severity_col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
                   .groupBy(*g).agg(F.map_from_entries(F.array_sort(F.collect_list(
                       F.struct(F.col(severity_col), F.col("n"))))).alias("severity_counts")))
-        out = out.join(by_sev, g, "inner") if g else out.crossJoin(by_sev)
+        out = out.join(by_sev, g, "inner") if g else out.select("*", by_sev.scalar().alias("severity_counts"))
     return out

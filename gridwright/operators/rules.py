@@ -54,8 +54,11 @@ def validate(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> DataFr
     key = list(key)
     if not rules:
         return empty_issues(df.sparkSession, df.select(*[quote(k) for k in key]).schema)
+    # Rows without any issue are dropped by a code-generated filter first, so
+    # only rows with issues reach the (non-codegen) explode of issue structs.
+    any_issue = reduce(lambda a, b: a | b, [F.coalesce(r.predicate, F.lit(False)) for r in rules])
     arr = F.array_compact(F.array(*[r.issue() for r in rules]))
-    return (df.select(*[F.col(quote(k)) for k in key], F.explode(arr).alias("_issue"))
+    return (df.filter(any_issue).select(*[F.col(quote(k)) for k in key], F.explode(arr).alias("_issue"))
             .select(*[F.col(quote(k)) for k in key], *[F.col(f"_issue.{f}").alias(f) for f in ISSUE_FIELDS]))
 
 
@@ -113,17 +116,23 @@ def allowed(field: str, values: Sequence, code: str = "UNSUPPORTED_VALUE",
 
 
 def int_tiers(field: str, low: int | None = 1, warn_above: Sequence[tuple[int, str]] = (),
-              code_prefix: str = "INVALID", warn_below: Sequence[tuple[int, str]] = ()) -> list[Rule]:
+              code_prefix: str = "INVALID", warn_below: Sequence[tuple[int, str]] = (),
+              integral: bool = False) -> list[Rule]:
     """VAL-5 / VAL-7: the value must parse as an integer (error), be at least
     ``low`` (error); then the first matching warning tier applies
     (``warn_above`` checked from the largest threshold down, ``warn_below``
-    from the smallest up). A NULL value is not checked."""
+    from the smallest up). A NULL value is not checked. ``integral=True``
+    declares the column already holds integers (no text parse, no format
+    rule)."""
     c = _c(field)
-    txt = c.cast("string")
-    n = F.trim(txt).try_cast("bigint")
     present = c.isNotNull()
-    out = [Rule(f"int:{field}", field, present & n.isNull(), "error", f"{code_prefix}_{field.upper()}_FORMAT",
-                "must be a number")]
+    if integral:
+        n = c.cast("bigint")
+        out = []
+    else:
+        n = F.trim(c.cast("string")).try_cast("bigint")
+        out = [Rule(f"int:{field}", field, present & n.isNull(), "error",
+                    f"{code_prefix}_{field.upper()}_FORMAT", "must be a number")]
     ok = present & n.isNotNull()
     if low is not None:
         out.append(Rule(f"min:{field}", field, ok & (n < low), "error", f"{code_prefix}_{field.upper()}",

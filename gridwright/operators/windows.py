@@ -141,13 +141,20 @@ def stop_page(page_stats: DataFrame, page_size: int = 1000, partition: Sequence[
         F.min(F.when(ends_before, p - 1).when(ends_after, p)).alias("stop_page"))
 
 
+def _stop_filter(rows: DataFrame, stop, page: str) -> DataFrame:
+    return rows.filter(stop.isNull() | (F.col(page) <= stop))
+
+
 def honor_stop_rules(rows: DataFrame, page_stats: DataFrame, page_size: int = 1000,
                      partition: Sequence[str] = ("capture_id",), page: str = "page_no") -> DataFrame:
     """WIN-5 (opt-in): keep only rows of pages read before the stop. The
     per-capture stop table has one row per capture."""
     stops = stop_page(page_stats, page_size, partition, page)
+    if not partition:
+        # one read: the stop page is a scalar subquery, no join
+        return _stop_filter(rows, stops.select("stop_page").scalar(), page)
     j = rows.join(stops, list(partition), "left")
-    return j.filter(F.col("stop_page").isNull() | (F.col(page) <= F.col("stop_page"))).drop("stop_page")
+    return _stop_filter(j, F.col("stop_page"), page).drop("stop_page")
 
 
 def continuation_key(rows: DataFrame, key: str, partition: Sequence[str] = ("capture_id", "page_no"),

@@ -435,19 +435,10 @@ SELECT CAST(count(*) AS BIGINT) AS n_runs, CAST(sum(extracted_count) AS BIGINT)
        string_agg(data_type, ',' ORDER BY seq) AS data_types
 FROM r""")
 def q_batch_summary(spark, sf):
-    runs = event_runs(spark, sf)
-    tot = agg.batch_totals(runs.withColumn("extraction_time", F.col("extraction_time").cast("decimal(18,2)")))
-    oc = agg.outcome_counts(runs)
-    ok = agg.all_success(runs)
-    errs = agg.concat_in_order(runs, "errors", "seq")
-    comb = agg.combined_summary(runs)
-    one = F.lit(1)
-    parts = [runs.agg(F.count(one).cast("bigint").alias("n_runs")), tot, oc, ok, errs, comb]
-    out = None
-    for p in parts:  # each part is one row: join on a constant key (1 x 1)
-        p = p.withColumn("_one", one)
-        out = p if out is None else out.join(p, "_one")
-    return out.select("n_runs", "total_records", F.col("total_time").cast("double").alias("total_time"),
+    runs = event_runs(spark, sf).withColumn("extraction_time", F.col("extraction_time").cast("decimal(18,2)"))
+    exprs = agg.batch_summary_exprs()
+    one = runs.agg(*[c.alias(k) for k, c in exprs.items()])
+    return one.select("n_runs", "total_records", F.col("total_time").cast("double").alias("total_time"),
                       "all_success", "n_success", "n_failed",
                       F.array_join("errors", "; ").alias("errors_text"), "total_available",
                       F.array_join("data_types", ",").alias("data_types"))
@@ -496,9 +487,8 @@ SELECT day, n, rows_before,
 FROM c""")
 def q_running_progress(spark, sf):
     d = event_days(spark, sf)
-    total = d.agg(F.sum("n").alias("total")).withColumn("_one", F.lit(1))
-    d = d.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # 1-row side
-    out = windows.progress(d, "n", "day_no", "total")
+    total = d.agg(F.sum("n")).scalar()  # scalar subquery: no join
+    out = windows.progress(d, "n", "day_no", total)
     return out.select("day", "n", F.col("rows_before").cast("bigint").alias("rows_before"), "progress_pct")
 
 
@@ -524,13 +514,13 @@ stop AS (SELECT min(CASE WHEN n_valid = 0 OR n_new = 0 THEN page_no - 1 WHEN n_v
 SELECT o_orderkey, page_no FROM o, stop WHERE stop.sp IS NULL OR page_no <= stop.sp""")
 def q_stop_rules(spark, sf):
     o = table(spark, sf, "orders").select(
-        F.lit("orders").alias("capture_id"), "o_orderkey", "o_custkey",
+        "o_orderkey", "o_custkey",
         F.floor(F.col("o_orderkey") / 100).cast("bigint").alias("page_no"))
-    first = dedup.keep_first(o.select("o_custkey", "page_no", "capture_id"), ["o_custkey"], order=["page_no"])
-    n_new = first.groupBy("capture_id", "page_no").agg(F.count(F.lit(1)).alias("n_new"))
-    stats = o.groupBy("capture_id", "page_no").agg(F.count(F.lit(1)).alias("n_valid")) \
-        .join(n_new, ["capture_id", "page_no"], "left").fillna(0, ["n_new"])
-    return windows.honor_stop_rules(o, stats, page_size=100).select("o_orderkey", "page_no")
+    first = dedup.keep_first(o.select("o_custkey", "page_no"), ["o_custkey"], order=["page_no"])
+    n_new = first.groupBy("page_no").agg(F.count(F.lit(1)).alias("n_new"))
+    stats = o.groupBy("page_no").agg(F.count(F.lit(1)).alias("n_valid")) \
+        .join(n_new, ["page_no"], "left").fillna(0, ["n_new"])
+    return windows.honor_stop_rules(o, stats, page_size=100, partition=()).select("o_orderkey", "page_no")
 
 
 @query("keyset_scan", """
@@ -692,8 +682,8 @@ def _range_issues(spark, sf, with_broken_rule=False):
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_quantity") * 200).cast("bigint").alias("batch_size"),
         F.floor("l_extendedprice").cast("bigint").alias("timeout_ms"))
-    rs = rules.int_tiers("batch_size", 1, BATCH_WARN) + rules.int_tiers(
-        "timeout_ms", None, TIMEOUT_ABOVE, warn_below=TIMEOUT_BELOW)
+    rs = rules.int_tiers("batch_size", 1, BATCH_WARN, integral=True) + rules.int_tiers(
+        "timeout_ms", None, TIMEOUT_ABOVE, warn_below=TIMEOUT_BELOW, integral=True)
     custom = {"broken_rule": lambda d: d.select("no_such_column")} if with_broken_rule else None
     return rules.run_rules(li, rs, ["l_orderkey", "l_linenumber"], custom)
 
@@ -837,14 +827,13 @@ def q_inspection_document(spark, sf):
 def q_json_envelope(spark, sf):
     r = table(spark, sf, "region")
     o = table(spark, sf, "orders")
-    stamp = o.agg(F.max("o_orderdate").alias("ts"))
+    stamp = o.agg(F.max("o_orderdate")).scalar()
     summary = F.struct(F.count(F.lit(1)).alias("total_records"),
                        duration_text(F.lit(1.5)).alias("extraction_time"),
                        F.lit("water_systems").alias("data_type"))
     doc = json_document(r, "all_water_systems", summary, order=["r_regionkey"],
                         extra={"export_mode": F.lit("general")})
-    return doc.withColumn("_one", F.lit(1)).join(stamp.withColumn("_one", F.lit(1)), "_one").select(
-        "document", iso_timestamp("ts").alias("timestamp"))
+    return doc.select("document", iso_timestamp(stamp).alias("timestamp"))
 
 
 DOC_SQL = "SELECT doc_id, text, lang, source, n_chars FROM documents"

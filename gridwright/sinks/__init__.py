@@ -167,19 +167,18 @@ def run_summary(run: DataFrame) -> Column:
 def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None,
                         max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
     """SNK-11 / PRJ-10: one document with one key per dataset present, in the
-    inspection key order; each dataset is one aggregate row, the rows are
-    combined by an equi-join on a constant (each side has exactly one row)."""
+    inspection key order. Each dataset's row list is one aggregate, used as a
+    scalar subquery of a one-row frame (no join between the datasets)."""
     from ..operators.project import INSPECTION_ORDER
     names = [n for n in INSPECTION_ORDER if n in frames]
-    docs = None
+    if not names:
+        raise ValueError("no dataset with rows to put in the document")
+    spark = frames[names[0]].sparkSession
+    cols = []
     for n in names:
         _guard(frames[n], max_rows)
-        one = frames[n].agg(records_array(frames[n], (order or {}).get(n)).alias(n)).withColumn("_one", F.lit(1))
-        docs = one if docs is None else docs.join(one, "_one")
-    if docs is None:
-        raise ValueError("no dataset with rows to put in the document")
-    return docs.select(F.to_json(F.struct(*[F.col(n) for n in names]),
-                                 {"ignoreNullFields": "false"}).alias("document"))
+        cols.append(frames[n].agg(records_array(frames[n], (order or {}).get(n))).scalar().alias(n))
+    return spark.range(1).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_document(doc: DataFrame, path: str) -> None:
