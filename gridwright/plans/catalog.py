@@ -887,3 +887,246 @@ def q_stream_event_counts(spark, sf):
     counts = streaming.event_counts(spark, sf, run + "/sink", run + "/checkpoint", glob="events.parquet")
     return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                          "event_type", "n")
+
+
+# --------------------------------------------------------------------------
+# Landed captures as JSON lines (SRC-1/2, SRC-8): pages written as the grid
+# script holds them, read back, exploded, bound.
+
+WS_DENSE_SQL = f"""
+WITH g AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_no ORDER BY row_no) - 1 AS BIGINT) AS pos
+           FROM {WS_GRID_SQL} x)
+SELECT dataset, capture_id, page_no, pos AS row_no,
+       {_clean_a('r0')} AS "Activity Status", {_clean_a('r1')} AS "Water System No.",
+       {_clean_a('r2')} AS "Name", {_clean_a('r3')} AS "Federal Primary Source",
+       {_clean_a('r4')} AS "Federal Type", {_clean_a('r5')} AS "State Type",
+       {_clean_a('r6')} AS "Population", {_clean_a('r7')} AS "Principal County Served"
+FROM g WHERE r6 IS NOT NULL AND {_clean_a('r1')} <> ''"""
+
+
+def _landed_captures(spark, sf):
+    """Write the water-system grid as captured pages (one JSON line per page,
+    rows in page order; a page holds at most the page size plus its overlap),
+    return the folder."""
+    g = standins.water_system_grid(spark, sf)
+    pages = g.groupBy("dataset", "capture_id", "page_no").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("values"),
+        F.count(F.lit(1)).cast("string").alias("total"))
+    path = scratch_path(spark, f"captures-{uuid.uuid4().hex}")
+    pages.select(F.to_json(F.struct("dataset", "capture_id", "page_no", "total", "values"))).write.text(path)
+    return path
+
+
+@query("capture_scan", WS_DENSE_SQL)
+def q_capture_scan(spark, sf):
+    from ..sources import grid
+    raw = grid.read_captures(spark, _landed_captures(spark, sf))
+    return bind.bind_water_systems(grid.to_strict(grid.explode_rows(raw)))
+
+
+@query("reported_totals", f"""
+SELECT 'water_systems' AS dataset, 'c0' AS capture_id, CAST(count(*) AS BIGINT) AS total_available
+FROM {WS_GRID_SQL} g WHERE page_no = (SELECT min(page_no) FROM {WS_GRID_SQL} h)""")
+def q_reported_totals(spark, sf):
+    from ..sources import grid
+    return grid.reported_totals(grid.read_captures(spark, _landed_captures(spark, sf)))
+
+
+# Schedules (PRJ-5b, FLT-4, FLT-7): ragged rows whose item 1 is the field list.
+
+def _schedule_rows(spark, sf):
+    o = table(spark, sf, "orders")
+    pri = F.substring("o_orderpriority", 1, 1)
+    fields = [
+        F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.concat(F.lit("S"), F.col("o_orderkey").cast("string"))),
+        F.when(F.col("o_totalprice") < 50000, F.lit("")).otherwise(
+            F.concat(F.lit("&nbsp;"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"))),
+        F.concat(F.lit("F"), pri),
+        F.when(pri == "1", F.lit("OT")).when(pri == "2", F.lit("TC")).otherwise(F.lit("NT")),
+        F.col("o_orderstatus"), F.concat(F.col("o_custkey").cast("string"), F.lit("&nbsp;")),
+        F.lit("MONTHLY"), F.concat(F.lit("G"), pri),
+    ]
+    full = F.to_json(F.array(*fields))
+    short = F.to_json(F.array(*fields[:4]))
+    inner = F.when(F.col("o_orderpriority") == "5-LOW", short).otherwise(full)
+    text = F.concat(F.lit('["x",'), inner, F.lit("]"))
+    k = F.col("o_orderkey")
+    return o.select(F.lit("sample_schedules").alias("dataset"), F.lit("c0").alias("capture_id"),
+                    F.floor(k / 1000).cast("bigint").alias("page_no"), F.pmod(k, F.lit(1000)).cast("bigint").alias("row_no"),
+                    F.parse_json(text).alias("row"))
+
+
+def _clean_c(x):
+    return f"trim(replace({x}, '&nbsp;', ' '))"
+
+
+SCHEDULE_SQL = f"""
+WITH o AS (SELECT o_orderkey, o_orderpriority, substr(o_orderpriority, 1, 1) AS pri,
+                  CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'S' || CAST(o_orderkey AS VARCHAR) END AS f0,
+                  CASE WHEN o_totalprice < 50000 THEN '' ELSE '&nbsp;' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') END AS f1,
+                  o_orderstatus, o_custkey FROM orders),
+s AS (SELECT CAST(o_orderkey // 1000 AS BIGINT) AS page_no, CAST(o_orderkey % 1000 AS BIGINT) AS row_no,
+             {_clean_c('f0')} AS "Schedule ID", {_clean_c('f1')} AS "PWS ID", {_clean_c("'F' || pri")} AS "Facility ID",
+             CASE pri WHEN '1' THEN 'OT' WHEN '2' THEN 'TC' ELSE 'NT' END AS "Schedule Type",
+             CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS "Status",
+             CASE WHEN o_orderpriority <> '5-LOW' THEN {_clean_c("CAST(o_custkey AS VARCHAR) || '&nbsp;'")} END
+               AS "Sample Count",
+             CASE WHEN o_orderpriority <> '5-LOW' THEN 'MONTHLY' END AS "Frequency",
+             CASE WHEN o_orderpriority <> '5-LOW' THEN 'G' || pri END AS "Analyte Group"
+      FROM o)
+SELECT 'sample_schedules' AS dataset, 'c0' AS capture_id, * FROM s
+WHERE ("Schedule ID" <> '' OR "PWS ID" <> '')"""
+
+
+@query("schedule_rows", SCHEDULE_SQL)
+def q_schedule_rows(spark, sf):
+    return bind.bind_schedules(_schedule_rows(spark, sf))
+
+
+@query("schedule_search", f"""SELECT * FROM ({SCHEDULE_SQL}) s WHERE "Schedule Type" = 'TC'""")
+def q_schedule_search(spark, sf):
+    from .export import SCHEDULE_FIELDS
+    rows = bind.bind_schedules(_schedule_rows(spark, sf))
+    return filters.search(rows, {"schedule_type": "TC", "unknown_param": "1"}, SCHEDULE_FIELDS)
+
+
+# Source fallback (SRC-4) and largest-array choice (SRC-5), one capture per
+# customer: its orders split by status stand for the candidate arrays.
+
+def _source_candidates(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("capture_id")).agg(
+        *[F.count_if(F.col("o_orderstatus") == s).alias(s) for s in ("F", "O", "P")])
+    arr = F.array(*[F.struct(F.lit(n).alias("source"), F.lit(i).alias("priority"), F.col(s).alias("n_rows"))
+                    for i, (n, s) in enumerate([("main", "O"), ("other", "P"), ("table", "F")])])
+    return o.select("capture_id", F.explode(arr).alias("c")).select("capture_id", "c.*")
+
+
+SOURCE_SQL = """
+WITH c AS (SELECT o_custkey AS capture_id, count(*) FILTER (WHERE o_orderstatus = 'O') AS n0,
+                  count(*) FILTER (WHERE o_orderstatus = 'P') AS n1, count(*) FILTER (WHERE o_orderstatus = 'F') AS n2
+           FROM orders GROUP BY o_custkey),
+u AS (SELECT capture_id, 'main' AS source, 0 AS priority, n0 AS n_rows FROM c
+      UNION ALL SELECT capture_id, 'other', 1, n1 FROM c UNION ALL SELECT capture_id, 'table', 2, n2 FROM c)"""
+
+
+@query("choose_source", SOURCE_SQL + """
+SELECT capture_id, source, priority FROM u WHERE n_rows > 0
+QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY priority, source) = 1""")
+def q_choose_source(spark, sf):
+    from ..sources import grid
+    return grid.choose_source(_source_candidates(spark, sf))
+
+
+@query("largest_array", SOURCE_SQL + """
+SELECT capture_id, source AS name, n_rows AS size FROM u WHERE n_rows > 0
+QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY n_rows DESC, priority) = 1""")
+def q_largest_array(spark, sf):
+    from ..sources import grid
+    c = _source_candidates(spark, sf).select("capture_id", F.col("source").alias("name"),
+                                             F.col("priority").alias("ord"), F.col("n_rows").alias("size"))
+    return grid.largest_array(c)
+
+
+# Configuration records (VAL-2).
+
+@query("config_rules", """
+WITH c AS (SELECT event_id, CASE WHEN event_type = 'error'
+                                 THEN regexp_replace(props, '}$', ', "validation_level": "strict"}')
+                                 ELSE props END AS config FROM events)
+SELECT event_id, 'config_required:mode' AS rule, 'error' AS severity, 'MISSING_FIELD' AS code FROM c
+  WHERE json_extract(config, '$.mode') IS NULL
+UNION ALL SELECT event_id, 'config_deprecated:validation_level', 'warning', 'DEPRECATED_FIELD' FROM c
+  WHERE json_extract(config, '$.validation_level') IS NOT NULL
+UNION ALL SELECT event_id, 'config_type:validation_level', 'error', 'INVALID_TYPE' FROM c
+  WHERE json_extract(config, '$.validation_level') IS NOT NULL
+    AND json_type(json_extract(config, '$.validation_level')) <> 'BOOLEAN'""")
+def q_config_rules(spark, sf):
+    rs = rules.config_rules("config", required_keys=["k", "mode"], deprecated=["validation_level"],
+                            properties={"k": {"type": "integer"}, "validation_level": {"type": "boolean"},
+                                        "other": {"type": "custom"}}, version="1.1.0")
+    return rules.validate(_event_configs(spark, sf), rs, ["event_id"]).select("event_id", "rule", "severity", "code")
+
+
+# Multi-dataset CSV (SNK-5, SET-3, PRJ-12) written and read back.
+
+@query("multi_csv_roundtrip", """
+SELECT 'customer' AS data_type, c_custkey AS key, c_name AS name, c_nationkey AS nationkey FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier""")
+def q_multi_csv_roundtrip(spark, sf):
+    from ..sinks import multi_dataset_csv
+    frames = {"customer": table(spark, sf, "customer").select(F.col("c_custkey").alias("key"),
+                                                              F.col("c_name").alias("name"),
+                                                              F.col("c_nationkey").alias("nationkey")),
+              "supplier": table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"),
+                                                              F.col("s_name").alias("name"))}
+    path = scratch_path(spark, f"multi-{uuid.uuid4().hex}")
+    multi_dataset_csv(frames, path)
+    return read_csv(spark, path, "data_type string, key bigint, name string, nationkey int")
+
+
+# Validation report text (AGG-15) per customer record.
+
+@query("validation_report", f"""
+WITH p AS ({PATTERN_SQL}),
+i AS (SELECT key, rule, severity,
+             CASE WHEN severity = 'error' THEN 'Invalid ' || split_part(rule, ':', 2) || ': ' ||
+                  CASE rule WHEN 'min_length:c_name' THEN 'must be at least 2 characters long'
+                            ELSE 'contains invalid characters' END
+                  ELSE 'appears to be a common default' END AS txt
+      FROM p WHERE source = 'customer'),
+n AS (SELECT *, row_number() OVER (PARTITION BY key, severity ORDER BY rule) AS rn FROM i),
+g AS (SELECT key, count(*) FILTER (WHERE severity = 'error') AS ne, count(*) FILTER (WHERE severity = 'warning') AS nw,
+             string_agg(printf('  %d. %s', rn, txt), chr(10) ORDER BY rn) FILTER (WHERE severity = 'error') AS el,
+             string_agg(printf('  %d. %s', rn, txt), chr(10) ORDER BY rn) FILTER (WHERE severity = 'warning') AS wl
+      FROM n GROUP BY key)
+SELECT key, CASE WHEN ne = 0 THEN 'No validation errors'
+                 ELSE printf('Found %d validation error(s):', ne) || chr(10) || el ||
+                      CASE WHEN nw > 0 THEN chr(10) || chr(10) || printf('Warnings (%d):', nw) || chr(10) || wl
+                           ELSE '' END END AS summary
+FROM g""")
+def q_validation_report(spark, sf):
+    i = _pattern_issues(spark, sf).filter(F.col("source") == "customer")
+    text = F.when(F.col("severity") == "error", agg.error_text(F.col("field"), F.col("message"), F.lit(None)))\
+        .otherwise(F.col("message"))
+    # issues per record are bounded by the number of rules
+    g = i.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("severity", "rule", text.alias("t")))).alias("l"))
+    errs = F.transform(F.filter("l", lambda x: x["severity"] == "error"), lambda x: x["t"])
+    warns = F.transform(F.filter("l", lambda x: x["severity"] == "warning"), lambda x: x["t"])
+    return g.select("key", agg.numbered_summary(errs, warns).alias("summary"))
+
+
+# JSON lines sink read back (FN-22 row serialization).
+
+LE_DEDUP_SQL = f"""SELECT * FROM ({LE_SQL}) e
+QUALIFY row_number() OVER (PARTITION BY "Individual Name" ORDER BY page_no, row_no) = 1"""
+
+
+@query("json_lines_roundtrip", LE_DEDUP_SQL)
+def q_json_lines_roundtrip(spark, sf):
+    from ..sinks import write_json_lines
+    le = dedup.keep_first(legal_entities(spark, sf), ["Individual Name"])
+    path = scratch_path(spark, f"jsonl-{uuid.uuid4().hex}")
+    write_json_lines(le, path)
+    return spark.read.schema(le.schema).json(path)
+
+
+# End-to-end configured export (PIP-1..3, PIP-6, PRJ-19, SNK-13, SNK-15).
+
+@query("export_run", f"""
+SELECT 'water_systems' AS data_type, 0 AS batch_index, true AS success, CAST(count(*) AS BIGINT) AS extracted_count
+  FROM ({WS_DEDUP_SQL}) a
+UNION ALL SELECT 'legal_entities', 1, true, CAST(count(*) AS BIGINT) FROM ({LE_DEDUP_SQL}) b
+UNION ALL SELECT 'deficiency_types', 2, true, CAST(count(*) AS BIGINT) FROM ({DEF_SQL}) c""")
+def q_export_run(spark, sf):
+    from . import export as ex
+    run = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    landings = {"water_systems": standins.water_system_grid(spark, sf),
+                "legal_entities": standins.legal_entity_grid(spark, sf),
+                "deficiency_types": standins.deficiency_rows(spark, sf)}
+    cfg = ex.ExportConfiguration(("water_systems", "legal_entities", "deficiency_types"), "general", "csv",
+                                 output_path=run + "/out/export.csv")
+    res = ex.export(spark, cfg, landings, events_path=run + "/events")
+    ex.append_runs(res["runs"], run + "/runs")
+    runs = spark.read.parquet(run + "/runs")
+    return runs.select("data_type", F.col("source_info")["batch_index"].cast("int").alias("batch_index"),
+                       "success", "extracted_count")
