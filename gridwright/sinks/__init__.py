@@ -122,12 +122,21 @@ def multi_dataset_csv(frames: Mapping[str, DataFrame], path: str, selected: Sequ
 
 
 def _guard(df: DataFrame, max_rows: int) -> None:
-    n = df.count()
+    n = df.limit(max_rows + 1).count()  # stops counting past the limit
     if n > max_rows:
-        raise ValueError(f"a single JSON document holds at most {max_rows} rows, got {n}; "
+        raise ValueError(f"a single JSON document holds at most {max_rows} rows, got more than {n - 1}; "
                          "write JSON lines instead")
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Compute a frame once into the shared checkpoint folder (cuts lineage,
+    survives lost executors), so the size guard and the document both read
+    the stored rows instead of recomputing the plan."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def records_array(df: DataFrame, order: Sequence[str] | None = None) -> Column:
     """Aggregate expression: all rows as an ordered array of structs (the
     order is made explicit, since ``collect_list`` order is not defined).
@@ -144,6 +153,7 @@ def json_document(df: DataFrame, key: str, summary: Column | None = None, order:
                   max_rows: int = DOCUMENT_MAX_ROWS, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """SNK-6/7/9/10: one-row DataFrame ``(document STRING)`` =
     ``{key: [rows], extraction_summary: {...}, ...}`` with NULL fields kept."""
+    df = _materialize(df)
     _guard(df, max_rows)
     parts = [records_array(df, order).alias(key)]
     if summary is not None:
@@ -176,8 +186,9 @@ def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Seq
     spark = frames[names[0]].sparkSession
     cols = []
     for n in names:
-        _guard(frames[n], max_rows)
-        cols.append(frames[n].agg(records_array(frames[n], (order or {}).get(n))).scalar().alias(n))
+        f = _materialize(frames[n])
+        _guard(f, max_rows)
+        cols.append(f.agg(records_array(f, (order or {}).get(n))).scalar().alias(n))
     return spark.range(1).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
 
 
