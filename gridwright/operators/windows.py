@@ -59,7 +59,9 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
     rest = [c for c in df.columns if c not in order]
     keys = [F.col(quote(c)) for c in order + rest]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *[F.col(quote(c)) for c in order])
+    # Range bounds over the full total order: a hot value of the order key
+    # is split across partitions by the tie-breaking columns.
+    ranged = (df.repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
               .withColumn("_gi_pid", F.spark_partition_id())
               .withColumn("_gi_mid", F.monotonically_increasing_id()))

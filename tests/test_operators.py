@@ -48,6 +48,20 @@ def test_global_index_equals_row_number(spark):
     assert got == want
 
 
+def test_global_index_hot_order_value(spark):
+    # a third of the rows share one order value: positions stay exact and the
+    # hot value is spread over several range partitions
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
+                                     F.col("id").alias("v"))
+    out = windows.global_index(df, ["k"], num_partitions=6)
+    got = {r["v"]: r["idx"] for r in out.collect()}
+    want = {r["v"]: r["rn"] - 1 for r in df.select("v", F.row_number().over(W.orderBy("k", "v")).alias("rn")).collect()}
+    assert got == want
+    parts = df.repartitionByRange(6, "k", "v").where(F.col("k") == 7) \
+        .select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+
+
 def test_running_sum_equals_window(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("o"), (F.col("id") % 13).alias("n"),
                                      (F.col("id") % 2).alias("g"))
