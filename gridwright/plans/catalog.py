@@ -825,15 +825,19 @@ def q_inspection_document(spark, sf):
 
 @query("json_envelope")
 def q_json_envelope(spark, sf):
-    r = table(spark, sf, "region")
-    o = table(spark, sf, "orders")
-    stamp = o.agg(F.max("o_orderdate")).scalar()
-    summary = F.struct(F.count(F.lit(1)).alias("total_records"),
-                       duration_text(F.lit(1.5)).alias("extraction_time"),
-                       F.lit("water_systems").alias("data_type"))
-    doc = json_document(r, "all_water_systems", summary, order=["r_regionkey"],
-                        extra={"export_mode": F.lit("general")})
-    return doc.select("document", iso_timestamp(stamp).alias("timestamp"))
+    """SNK-6..9 and SNK-12 over projected water systems: one document per
+    style. Rows-only check (a document is one string)."""
+    from ..sinks import RUNS_SCHEMA, general_document, materialize, run_document
+    recs = materialize(ws_dedup(spark, sf))
+    stamp = table(spark, sf, "orders").agg(F.max("o_orderdate")).first()[0]  # one value
+    n = recs.count()
+    run = spark.createDataFrame([("r", 0, "water_systems", True, n, 1.5, None, stamp, {"extractor": "landed_pages"},
+                                  {}, [], ["sample warning"])], RUNS_SCHEMA)
+    docs = [run_document(recs, run, s, export_mode="general" if s == "standard" else None,
+                         order=["page_no", "row_no"]).select(F.lit(s).alias("style"), "document")
+            for s in ("standard", "detailed", "compact")]
+    docs.append(general_document({"water_systems": recs}, run).select(F.lit("general").alias("style"), "document"))
+    return dedup.union_by_name(docs)
 
 
 DOC_SQL = "SELECT doc_id, text, lang, source, n_chars FROM documents"

@@ -128,13 +128,20 @@ def _guard(df: DataFrame, max_rows: int) -> None:
                          "write JSON lines instead")
 
 
-def _materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Compute a frame once into the shared checkpoint folder (cuts lineage,
     survives lost executors), so the size guard and the document both read
-    the stored rows instead of recomputing the plan."""
+    the stored rows instead of recomputing the plan. Idempotent."""
+    if getattr(df, "_gw_materialized", False):
+        return df
     from ..session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._gw_materialized = True
+    return out
+
+
+_materialize = materialize
 
 
 def records_array(df: DataFrame, order: Sequence[str] | None = None) -> Column:
@@ -192,6 +199,102 @@ def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Seq
     return spark.range(1).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def _iso(ts) -> str | None:
+    return None if ts is None else ts.isoformat()
+
+
+def _map_lit(d: Mapping[str, str] | None) -> Column:
+    d = dict(d or {})
+    if not d:
+        return F.create_map().cast("map<string,string>")
+    return F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in (kv[0], str(kv[1]))])
+
+
+def _legacy_key(data_type: str) -> str:
+    """PRJ-16, older list used by the plain JSON writers."""
+    return data_type if data_type in ("legal_entities", "sample_schedules") else (
+        "all_water_systems" if data_type == "water_systems" else f"all_{data_type}")
+
+
+def run_document(records: DataFrame, run: DataFrame, style: str = "standard", export_mode: str | None = None,
+                 order: Sequence[str] | None = None, max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
+    """SNK-6 (standard), SNK-7 (detailed), SNK-8 (compact), SNK-9 (general
+    mode: standard + ``export_mode``) as a one-row ``document`` frame.
+
+    ``run`` is the one-row run log entry of the records (``RUNS_SCHEMA``);
+    being metadata, it is read on the driver. Optional summary parts
+    (source/pagination info, errors, warnings) appear only when non-empty.
+    """
+    spark = records.sparkSession
+    r = run.first().asDict()
+    records = _materialize(records)
+    _guard(records, max_rows)
+    rows = records.agg(records_array(records, order)).scalar()
+    key = _legacy_key(r["data_type"])
+    if style == "compact":
+        doc = F.struct(rows.alias(key), F.lit(r["extracted_count"]).alias("count"),
+                       F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"))
+        return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+    summ = [F.lit(r["extracted_count"]).alias("total_extracted"),
+            F.lit(r["total_available"]).cast("bigint").alias("expected_total"),
+            F.lit(f"{r['extraction_time']:.2f}s").alias("extraction_time"),
+            F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"),
+            F.lit(bool(r["success"])).alias("success")]
+    for k in ("source_info", "pagination_info"):
+        if r.get(k):
+            summ.append(_map_lit(r[k]).alias(k))
+    for k in ("errors", "warnings"):
+        if r.get(k):
+            summ.append(F.array(*[F.lit(x) for x in r[k]]).alias(k))
+    parts = [rows.alias(key), F.struct(*summ).alias("extraction_summary")]
+    if style == "detailed":
+        em = F.struct(F.lit(r["extracted_count"]).alias("extracted_count"),
+                      F.lit(r["extraction_time"]).alias("extraction_time"),
+                      F.lit(r["data_type"]).alias("data_type"),
+                      F.lit(_iso(r["extraction_timestamp"])).alias("extraction_timestamp"),
+                      F.lit(r["total_available"]).cast("bigint").alias("total_available"),
+                      _map_lit(r.get("source_info")).alias("source_info"),
+                      _map_lit(r.get("pagination_info")).alias("pagination_info"))
+        errs, warns = list(r.get("errors") or []), list(r.get("warnings") or [])
+        rm = F.struct(F.lit(bool(r["success"])).alias("success"),
+                      F.lit(r["extracted_count"]).alias("record_count"),
+                      F.lit(bool(errs)).alias("has_errors"), F.lit(bool(warns)).alias("has_warnings"),
+                      F.array(*[F.lit(x) for x in errs]).cast("array<string>").alias("errors"),
+                      F.array(*[F.lit(x) for x in warns]).cast("array<string>").alias("warnings"))
+        parts.append(F.struct(em.alias("extraction_metadata"), rm.alias("result_metadata")).alias("metadata"))
+    if export_mode:
+        parts.append(F.lit(export_mode).alias("export_mode"))
+    return spark.range(1).select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def general_document(frames: Mapping[str, DataFrame], runs: DataFrame, export_mode: str = "general",
+                     selected: Sequence[str] | None = None, max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
+    """SNK-12: every selected dataset's rows under its own key, a combined
+    ``extraction_summary`` (AGG-3, summed over *all* runs as the source does)
+    and ``data_type_summaries`` (AGG-4). Runs are metadata (one row per
+    dataset) and are read on the driver."""
+    from ..operators.aggregates import combined_summary
+    spark = runs.sparkSession
+    names = [n for n in (selected or list(frames)) if n in frames]
+    cols = []
+    for n in names:
+        f = _materialize(frames[n])
+        _guard(f, max_rows)
+        cols.append(f.agg(records_array(f)).scalar().alias(n))
+    c = combined_summary(runs).first()
+    summ = F.struct(F.lit(c["total_extracted"]).alias("total_extracted"),
+                    F.lit(c["total_available"]).cast("bigint").alias("total_available"),
+                    F.array(*[F.lit(x) for x in c["data_types"]]).alias("data_types"),
+                    iso_timestamp(F.current_timestamp().cast("timestamp_ntz")).alias("timestamp"),
+                    F.lit(export_mode).alias("export_mode"))
+    per = [F.struct(F.lit(r["extracted_count"]).alias("extracted_count"),
+                    F.lit(r["extraction_time"]).alias("extraction_time"),
+                    F.lit(bool(r["success"])).alias("success")).alias(r["data_type"])
+           for r in runs.orderBy("seq").collect()]
+    doc = F.struct(*cols, summ.alias("extraction_summary"), F.struct(*per).alias("data_type_summaries"))
+    return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def write_document(doc: DataFrame, path: str) -> None:
     """Write a one-row document as a single text file."""
     doc.coalesce(1).write.mode("overwrite").text(path)

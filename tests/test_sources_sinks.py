@@ -179,3 +179,25 @@ def test_stream_dedup(spark, tmp_path):
                                  str(tmp_path / "ckpt"), max_files_per_trigger=1)
     rows = {r["name"]: r["page_no"] for r in out.collect()}
     assert rows == {"a": 0, "b": 0, "c": 1, "d": 2}  # first to arrive wins across micro-batches
+
+
+def test_run_document_styles(spark):
+    from datetime import datetime
+    recs = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
+    run = spark.createDataFrame([("r", 0, "deficiency_types", True, 2, 1.005, None, datetime(2024, 1, 2, 3, 4, 5),
+                                  {"extractor": "x"}, {}, [], ["w1"])], sinks.RUNS_SCHEMA)
+    std = json.loads(sinks.run_document(recs, run, "standard", export_mode="general", order=["k"]).first()[0])
+    assert list(std) == ["all_deficiency_types", "extraction_summary", "export_mode"]
+    assert [r["v"] for r in std["all_deficiency_types"]] == ["a", "b"]
+    es = std["extraction_summary"]
+    assert es["expected_total"] is None and es["timestamp"] == "2024-01-02T03:04:05"
+    assert es["source_info"] == {"extractor": "x"} and es["warnings"] == ["w1"] and "errors" not in es
+    assert "pagination_info" not in es
+    det = json.loads(sinks.run_document(recs, run, "detailed").first()[0])
+    assert det["metadata"]["result_metadata"]["has_warnings"] is True
+    assert det["metadata"]["extraction_metadata"]["source_info"] == {"extractor": "x"}
+    cmp_ = json.loads(sinks.run_document(recs, run, "compact").first()[0])
+    assert set(cmp_) == {"all_deficiency_types", "count", "timestamp"} and cmp_["count"] == 2
+    gen = json.loads(sinks.general_document({"deficiency_types": recs}, run).first()[0])
+    assert gen["extraction_summary"]["total_available"] is None
+    assert gen["data_type_summaries"]["deficiency_types"]["success"] is True
