@@ -256,8 +256,8 @@ IssueSource = Callable[[DataFrame], DataFrame]
 
 def run_rules(df: DataFrame, rules: Sequence[Rule], key: Sequence[str],
               custom: dict[str, IssueSource] | None = None) -> DataFrame:
-    """VAL-14: built-in rules (fused) then custom rule functions, unioned
-    (VAL-6). A custom rule that fails while building its plan becomes one
+    """VAL-14: built-in rules (fused) then custom rule functions (UDF-2:
+    ``DataFrame -> issues DataFrame``), unioned (VAL-6). A custom rule that fails while building its plan becomes one
     RULE_EXECUTION_ERROR issue instead of failing the run."""
     spark = df.sparkSession
     parts = [validate(df, rules, key)]

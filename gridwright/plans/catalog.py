@@ -833,10 +833,9 @@ def q_json_envelope(spark, sf):
     n = recs.count()
     run = spark.createDataFrame([("r", 0, "water_systems", True, n, 1.5, None, stamp, {"extractor": "landed_pages"},
                                   {}, [], ["sample warning"])], RUNS_SCHEMA)
-    docs = [run_document(recs, run, s, export_mode="general" if s == "standard" else None,
-                         order=["page_no", "row_no"]).select(F.lit(s).alias("style"), "document")
-            for s in ("standard", "detailed", "compact")]
-    docs.append(general_document({"water_systems": recs}, run).select(F.lit("general").alias("style"), "document"))
+    docs = [run_document(recs, run, s, order=["page_no", "row_no"]).select(F.lit(s).alias("style"), "document")
+            for s in ("standard", "detailed", "compact", "general")]
+    docs.append(general_document({"water_systems": recs}, run).select(F.lit("multi").alias("style"), "document"))
     return dedup.union_by_name(docs)
 
 

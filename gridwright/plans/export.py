@@ -123,6 +123,15 @@ SCHEDULE_FIELDS = {"pws_id": "PWS ID", "facility_id": "Facility ID", "schedule_t
                    "active_only": "Status", "sample_count_unit": "Sample Count"}
 
 
+def prepare_export(frames: Mapping[str, DataFrame], schema: ExportSchema, mode: str,
+                   selected: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """PIP-5: single or multi dataset preparation for export: selection and
+    order (PRJ-8), projection (PRJ-6/7), inspection skip and key order
+    (PRJ-9/10); landing columns are dropped."""
+    clean = {k: v.drop(*[c for c in ("dataset", "capture_id") if c in v.columns]) for k, v in frames.items()}
+    return project.transform_datasets(clean, schema, mode, selected)
+
+
 def page_new_counts(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Per page: valid rows and rows that were new (kept by keep-first)."""
     k = ["capture_id", "page_no"]
@@ -226,8 +235,8 @@ def export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str,
     ext = {"csv": ".csv", "tsv": ".tsv", "json": ".json"}[cfg.output_format]
     paths = output_paths(list(cfg.data_types), cfg.output_path, ts, ext, cfg.export_mode, cfg.output_dir)
     if cfg.export_mode == "inspection":
-        frames = {e.query.data_type: e.records.drop("dataset", "capture_id") for e in exts if e.success}
-        projected = project.transform_datasets(frames, schema, "inspection")
+        frames = {e.query.data_type: e.records for e in exts if e.success}
+        projected = prepare_export(frames, schema, "inspection")
         runs = run_batch(spark, exts, None)
         if projected:
             write_document(inspection_document(projected), paths["inspection"])

@@ -183,8 +183,9 @@ def run_summary(run: DataFrame) -> Column:
 
 def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None,
                         max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
-    """SNK-11 / PRJ-10: one document with one key per dataset present, in the
-    inspection key order. Each dataset's row list is one aggregate, used as a
+    """SNK-10 / SNK-11 / PRJ-10: one document with one key per dataset
+    present (one dataset: SNK-10, several: SNK-11), in the inspection key
+    order; projected rows only, no envelope. Each dataset's row list is one aggregate, used as a
     scalar subquery of a one-row frame (no join between the datasets)."""
     from ..operators.project import INSPECTION_ORDER
     names = [n for n in INSPECTION_ORDER if n in frames]
@@ -216,10 +217,12 @@ def _legacy_key(data_type: str) -> str:
         "all_water_systems" if data_type == "water_systems" else f"all_{data_type}")
 
 
-def run_document(records: DataFrame, run: DataFrame, style: str = "standard", export_mode: str | None = None,
+def run_document(records: DataFrame, run: DataFrame, style: str = "standard",
                  order: Sequence[str] | None = None, max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
-    """SNK-6 (standard), SNK-7 (detailed), SNK-8 (compact), SNK-9 (general
-    mode: standard + ``export_mode``) as a one-row ``document`` frame.
+    """SNK-6 (``standard``: older output keys), SNK-7 (``detailed``: plus a
+    ``metadata`` object), SNK-8 (``compact``: rows, count, timestamp) and
+    SNK-9 (``general``: current output keys, ``export_mode`` inside the
+    summary) as a one-row ``document`` frame.
 
     ``run`` is the one-row run log entry of the records (``RUNS_SCHEMA``);
     being metadata, it is read on the driver. Optional summary parts
@@ -230,7 +233,11 @@ def run_document(records: DataFrame, run: DataFrame, style: str = "standard", ex
     records = _materialize(records)
     _guard(records, max_rows)
     rows = records.agg(records_array(records, order)).scalar()
-    key = _legacy_key(r["data_type"])
+    if style == "general":
+        key = r["data_type"] if r["data_type"] in ("legal_entities", "sample_schedules", "deficiency_types") \
+            else _legacy_key(r["data_type"])
+    else:
+        key = _legacy_key(r["data_type"])
     if style == "compact":
         doc = F.struct(rows.alias(key), F.lit(r["extracted_count"]).alias("count"),
                        F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"))
@@ -240,6 +247,8 @@ def run_document(records: DataFrame, run: DataFrame, style: str = "standard", ex
             F.lit(f"{r['extraction_time']:.2f}s").alias("extraction_time"),
             F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"),
             F.lit(bool(r["success"])).alias("success")]
+    if style == "general":
+        summ.append(F.lit("general").alias("export_mode"))
     for k in ("source_info", "pagination_info"):
         if r.get(k):
             summ.append(_map_lit(r[k]).alias(k))
@@ -262,8 +271,6 @@ def run_document(records: DataFrame, run: DataFrame, style: str = "standard", ex
                       F.array(*[F.lit(x) for x in errs]).cast("array<string>").alias("errors"),
                       F.array(*[F.lit(x) for x in warns]).cast("array<string>").alias("warnings"))
         parts.append(F.struct(em.alias("extraction_metadata"), rm.alias("result_metadata")).alias("metadata"))
-    if export_mode:
-        parts.append(F.lit(export_mode).alias("export_mode"))
     return spark.range(1).select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("document"))
 
 

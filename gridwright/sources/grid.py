@@ -31,7 +31,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_rows(pages: DataFrame, page_col: str = "page") -> DataFrame:
-    """SRC-1/2: one landing row per grid row, ragged form.
+    """SRC-1 / SRC-2 (/ SRC-3 rows): one landing row per grid row, ragged
+    form; the same scan serves every dataset.
 
     A page whose ``values`` is missing or not an array gives no rows.
     """

@@ -173,8 +173,12 @@ def test_runs_metadata_and_paths(spark, tmp_path):
 def test_stream_dedup(spark, tmp_path):
     land = tmp_path / "land"
     land.mkdir()
+    import time
+    t0 = time.time() - 100
     for i, names in enumerate([["a", "b"], ["b", "c"], ["a", "d"]]):
-        (land / f"p{i}.json").write_text("\n".join(json.dumps({"page_no": i, "name": n}) for n in names))
+        f = land / f"p{i}.json"
+        f.write_text("\n".join(json.dumps({"page_no": i, "name": n}) for n in names))
+        os.utime(f, (t0 + 10 * i, t0 + 10 * i))  # arrival order = file age
     out = streaming.ingest_pages(spark, str(land), "page_no long, name string", ["name"], str(tmp_path / "sink"),
                                  str(tmp_path / "ckpt"), max_files_per_trigger=1)
     rows = {r["name"]: r["page_no"] for r in out.collect()}
@@ -186,8 +190,11 @@ def test_run_document_styles(spark):
     recs = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
     run = spark.createDataFrame([("r", 0, "deficiency_types", True, 2, 1.005, None, datetime(2024, 1, 2, 3, 4, 5),
                                   {"extractor": "x"}, {}, [], ["w1"])], sinks.RUNS_SCHEMA)
-    std = json.loads(sinks.run_document(recs, run, "standard", export_mode="general", order=["k"]).first()[0])
-    assert list(std) == ["all_deficiency_types", "extraction_summary", "export_mode"]
+    std = json.loads(sinks.run_document(recs, run, "standard", order=["k"]).first()[0])
+    assert list(std) == ["all_deficiency_types", "extraction_summary"]
+    gen_one = json.loads(sinks.run_document(recs, run, "general").first()[0])
+    assert list(gen_one) == ["deficiency_types", "extraction_summary"]
+    assert gen_one["extraction_summary"]["export_mode"] == "general"
     assert [r["v"] for r in std["all_deficiency_types"]] == ["a", "b"]
     es = std["extraction_summary"]
     assert es["expected_total"] is None and es["timestamp"] == "2024-01-02T03:04:05"
