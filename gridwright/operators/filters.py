@@ -132,13 +132,21 @@ def lookup_join(df: DataFrame, column: str, table: DataFrame, key: str, value: s
                     F.coalesce(F.col("_lk_value"), c).alias(out or column))
 
 
-def semi(df: DataFrame, allowed: DataFrame, on: Sequence[str]) -> DataFrame:
-    """JON-2: rows whose key is in the allowed set."""
+def semi(df: DataFrame, allowed, on: Sequence[str]) -> DataFrame:
+    """JON-2: rows whose key is in the allowed set. A configuration list is
+    an ``isin`` filter (no join); a table is a left-semi join."""
+    if isinstance(allowed, (list, tuple, set, frozenset)):
+        (c,) = on
+        return df.filter(F.col(quote(c)).isin(*sorted(allowed)))
     return df.join(allowed.select(*on).distinct(), list(on), "left_semi")
 
 
-def anti(df: DataFrame, allowed: DataFrame, on: Sequence[str]) -> DataFrame:
-    """JON-3: rows whose key is not in the allowed set (offending values)."""
+def anti(df: DataFrame, allowed, on: Sequence[str]) -> DataFrame:
+    """JON-3: rows whose key is not in the allowed set (offending values).
+    With a list, NULL keys are kept, as a left-anti join keeps them."""
+    if isinstance(allowed, (list, tuple, set, frozenset)):
+        (c,) = on
+        return df.filter(F.coalesce(~F.col(quote(c)).isin(*sorted(allowed)), F.lit(True)))
     return df.join(allowed.select(*on).distinct(), list(on), "left_anti")
 
 

@@ -86,10 +86,12 @@ def progress(df: DataFrame, n: str, order: str, total: Column | str,
     with ``cum`` = rows before the batch; dividing first, in double, as the
     source does. NULL when the total is 0 or NULL."""
     d = running_sum(df, n, order, out="rows_before", exclusive=True, partition=partition)
-    t = F.col(total) if isinstance(total, str) else total
+    # bind the total once (it may be a scalar subquery), then refer to the column
+    d = d.withColumn("_pg_total", F.col(total) if isinstance(total, str) else total)
+    t = F.col("_pg_total")
     pct = F.floor((F.col("rows_before").cast("double") / t.cast("double")) * F.lit(100.0))
     return d.withColumn(out, F.when(t.isNull() | (t == 0), F.lit(None))
-                        .otherwise(F.least(pct.cast("bigint"), F.lit(99).cast("bigint"))))
+                        .otherwise(F.least(pct.cast("bigint"), F.lit(99).cast("bigint")))).drop("_pg_total")
 
 
 def previous_page(pages: DataFrame, cols: Sequence[str], partition: Sequence[str] = ("capture_id",),
@@ -144,7 +146,8 @@ def stop_page(page_stats: DataFrame, page_size: int = 1000, partition: Sequence[
 
 
 def _stop_filter(rows: DataFrame, stop, page: str) -> DataFrame:
-    return rows.filter(stop.isNull() | (F.col(page) <= stop))
+    # one reference to the stop value (it may be a scalar subquery)
+    return rows.filter(F.coalesce(F.col(page) <= stop, F.lit(True)))
 
 
 def honor_stop_rules(rows: DataFrame, page_stats: DataFrame, page_size: int = 1000,

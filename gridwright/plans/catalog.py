@@ -345,20 +345,16 @@ def q_output_keys(spark, sf):
 ALLOWED_TYPES = ["view", "click", "purchase"]
 
 
-def _allowed(spark):
-    return spark.createDataFrame([(t,) for t in ALLOWED_TYPES], "event_type string")
-
-
 @query("semi_allowed", "SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click', 'purchase')")
 def q_semi_allowed(spark, sf):
-    return filters.semi(table(spark, sf, "events").select("event_id", "event_type"), _allowed(spark), ["event_type"])
+    return filters.semi(table(spark, sf, "events").select("event_id", "event_type"), ALLOWED_TYPES, ["event_type"])
 
 
 @query("anti_offending",
        "SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
 def q_anti_offending(spark, sf):
     req = table(spark, sf, "events").select("event_type").distinct()
-    return dedup.difference(req, _allowed(spark)).orderBy("event_type")
+    return filters.anti(req, ALLOWED_TYPES, ["event_type"]).orderBy("event_type")
 
 
 @query("intersect_sorted", """

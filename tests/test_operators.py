@@ -124,6 +124,10 @@ def test_lookup_and_membership(spark):
     table = spark.createDataFrame([("b", "B")], "key string, value string")
     got = sorted((r[0] or "") for r in filters.lookup_join(df, "k", table, "key", "value").collect())
     assert got == ["", "B", "a"]
+    allowed = spark.createDataFrame([("a",)], "k string")
+    for a in (allowed, ["a"]):
+        assert [r[0] for r in filters.semi(df, a, ["k"]).collect()] == ["a"]
+        assert sorted((r[0] or "") for r in filters.anti(df, a, ["k"]).collect()) == ["", "b"]
 
 
 def test_paging(spark):
