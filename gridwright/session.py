@@ -43,11 +43,14 @@ def configure(spark: SparkSession) -> SparkSession:
     * AQE re-plans joins, coalesces small partitions and splits skewed ones.
     * Duplicate map keys keep the last value (header binding, map merge),
       matching Python ``dict`` assignment.
+    * Arrow batches of at most 1000 rows (the HTML scan's pages can be large).
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    # Arrow batches for the HTML scan: pages can be large, keep a batch small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
