@@ -17,27 +17,20 @@ NBSP_BARE = "&nbsp"
 SPACE_SEMICOLON = " ;"
 
 
-def _python_whitespace_class() -> str:
-    """Java regex character class equal to Python's ``str.isspace`` set.
+def _python_whitespace() -> str:
+    """Every code point whose ``str.isspace()`` is true, built from the rule,
+    so the strip below removes exactly what ``str.strip()`` removes (Spark's
+    one-argument ``trim`` removes only the ASCII space)."""
+    return "".join(chr(cp) for cp in range(sys.maxunicode + 1) if chr(cp).isspace())
 
-    Built from the rule (every code point whose ``isspace()`` is true), so the
-    strip below removes exactly what ``str.strip()`` removes; Spark's ``trim``
-    removes only the ASCII space.
-    """
-    parts = []
-    for cp in range(sys.maxunicode + 1):
-        if chr(cp).isspace():
-            parts.append(f"\\x{{{cp:x}}}")
-    return "[" + "".join(parts) + "]"
 
-
-_WS = _python_whitespace_class()
-_STRIP_RE = f"^{_WS}+|{_WS}+$"
+_WS_CHARS = _python_whitespace()
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()`` with no argument: leading/trailing Unicode space."""
-    return F.regexp_replace(as_col(c), _STRIP_RE, "")
+    """Python ``str.strip()`` with no argument: ``btrim`` with the full
+    Unicode white-space set (a character-set trim, no regex)."""
+    return F.btrim(as_col(c), F.lit(_WS_CHARS))
 
 
 def clean_cell(c) -> Column:

@@ -44,7 +44,7 @@ def test_text_functions_match_model(spark, values):
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from(["k1", "k2", "k3", "", "hot"]), st.integers(0, 5), st.integers(0, 50),
-                          st.integers()), min_size=1, max_size=120))
+                          st.integers(-2**63, 2**63 - 1)), min_size=1, max_size=120))
 def test_keep_first_matches_model(spark, rows):
     df = spark.createDataFrame(rows, "key string, page_no long, row_no long, val long").repartition(3)
     got = {r["key"]: (r["page_no"], r["row_no"], r["val"]) for r in dedup.keep_first(df, ["key"]).collect()}
