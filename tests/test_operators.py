@@ -214,3 +214,35 @@ def test_aggregates(spark):
                    (33.3, "missing 2")]
     s = spark.range(1).select(agg.numbered_summary(F.array(F.lit("Invalid a: x")), F.array(F.lit("w")))).first()[0]
     assert s == "Found 1 validation error(s):\n  1. Invalid a: x\n\nWarnings (1):\n  1. w"
+
+
+def test_small_helpers(spark):
+    from gridwright import functions as G
+    from gridwright.operators import project
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    r = spark.sql("select map('a', '1', 'b', '2') m1, map('b', '9') m2, 150 p, -3 q, "
+                  "timestamp_ntz'2024-05-06 07:08:09' t").select(
+        G.merge_maps("m1", "m2").alias("m"), G.clamp_percent("p").alias("p"), G.clamp_percent("q").alias("q"),
+        G.stamp("t").alias("s"), G.row_json(F.lit(None).cast("string").alias("x")).alias("j")).first()
+    assert r["m"] == {"a": "1", "b": "9"} and (r["p"], r["q"]) == (100, 0)
+    assert r["s"] == "20240506_070809" and r["j"] == '{"x":null}'
+    df = spark.createDataFrame([("1", "n", "x")], "system_number string, name string, other string")
+    assert project.subset_for_mode(df, "water_systems").columns == ["system_number", "name"]
+    runs = spark.createDataFrame([(0, True), (1, False), (2, None)], "batch_index int, success boolean")
+    ok, bad = filters.split_outcomes(runs)
+    assert ok.count() == 1 and bad.count() == 2
+    paths = spark.createDataFrame([(0, "a.csv"), (1, "b.csv")], "batch_index int, path string")
+    assert filters.zip_by_position(runs, paths).count() == 2
+    prov = project.enrich_provenance(spark.range(1), {"batch_index": F.lit(3), "extractor": "landed"})
+    assert prov.first()["source_info"] == {"batch_index": "3", "extractor": "landed"}
+
+
+def test_extract_with_stop_rules(spark, sf_small):
+    from gridwright.plans import export as ex
+    from gridwright.plans import standins
+    landing = standins.water_system_grid(spark, sf_small)
+    all_rows = ex.extract(spark, ex.ExtractionQuery("water_systems"), landing).records
+    stopped = ex.extract(spark, ex.ExtractionQuery("water_systems"), landing, honor_stop=True).records
+    # sf0.001 has one short first page: the read stops after it, so the
+    # re-served copies on page 1 (all duplicates) cannot add rows
+    assert stopped.count() == all_rows.filter(F.col("page_no") == 0).count()
