@@ -150,38 +150,58 @@ def _run_row(spark: SparkSession, ex: Extraction, seq: int, count: int | None, s
 
 
 def run_batch(spark: SparkSession, extractions: Sequence[Extraction], destinations: Sequence[str] | None = None,
-              fmt: str = "csv", schema: ExportSchema | None = None, mode: str = "general") -> DataFrame:
+              fmt: str = "csv", schema: ExportSchema | None = None, mode: str = "general",
+              max_parallel: int = 1) -> DataFrame:
     """PIP-2: run extractions in order; each is written when a destination is
     given; one failure does not stop the rest. Returns the run rows with batch
-    provenance (batch index, total, id) in ``source_info`` (PRJ-19)."""
+    provenance (batch index, total, id) in ``source_info`` (PRJ-19).
+
+    ``max_parallel > 1`` submits the dataset writes as concurrent Spark jobs
+    from driver threads (each in its own scheduler pool), which helps when
+    datasets are small next to the cluster; run rows keep batch order."""
     if destinations is not None and len(destinations) != len(extractions):
         raise ValueError("output_destinations must be same length as queries")
     run_id = uuid.uuid4().hex
     batch_id = f"batch_{int(time.time())}"
-    runs = []
-    for i, ex in enumerate(extractions):
-        t0 = time.time()
-        count = None
-        if ex.success:
-            try:
-                df = ex.records
-                if schema is not None:
-                    df = project.transform_datasets({ex.query.data_type: df}, schema, mode).get(ex.query.data_type, df)
-                df = df.drop(*[c for c in ("dataset", "capture_id") if c in df.columns])
-                if destinations is not None:
-                    # the row count is observed during the write: one pass
-                    obs = Observation(f"run_{i}")
-                    save(df.observe(obs, F.count(F.lit(1)).alias("n")), destinations[i], fmt)
-                    count = obs.get["n"]
-                else:
-                    count = df.count()
-            except Exception as e:  # noqa: BLE001
-                ex.errors.append(f"Failed to save {ex.query.data_type}: {str(e).splitlines()[0][:300]}")
-        runs.append(_run_row(spark, ex, i, count, time.time() - t0, run_id,
-                             {"batch_index": str(i), "batch_total": str(len(extractions)), "batch_id": batch_id}))
+
+    def one(i: int) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"batch_{i % max(1, max_parallel)}")
+        return _run_one(spark, extractions, destinations, fmt, schema, mode, i, run_id, batch_id)
+
+    if max_parallel > 1 and len(extractions) > 1:
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+            runs = list(pool.map(one, range(len(extractions))))
+    else:
+        runs = [one(i) for i in range(len(extractions))]
     return dedup.union_by_name(runs) if runs else spark.createDataFrame([], RUNS_SCHEMA)
 
 
+def _run_one(spark: SparkSession, extractions: Sequence[Extraction], destinations: Sequence[str] | None,
+             fmt: str, schema: ExportSchema | None, mode: str, i: int, run_id: str, batch_id: str) -> DataFrame:
+    """Write (or count) one extraction and return its run row."""
+    ex = extractions[i]
+    t0 = time.time()
+    count = None
+    if ex.success:
+        try:
+            df = ex.records
+            if schema is not None:
+                df = project.transform_datasets({ex.query.data_type: df}, schema, mode).get(ex.query.data_type, df)
+            df = df.drop(*[c for c in ("dataset", "capture_id") if c in df.columns])
+            if destinations is not None:
+                # the row count is observed during the write: one pass
+                obs = Observation(f"run_{i}")
+                save(df.observe(obs, F.count(F.lit(1)).alias("n")), destinations[i], fmt)
+                count = obs.get["n"]
+            else:
+                count = df.count()
+        except Exception as e:  # noqa: BLE001 — a failed write is a failed run
+            ex.errors.append(f"Failed to save {ex.query.data_type}: {str(e).splitlines()[0][:300]}")
+    return _run_row(spark, ex, i, count, time.time() - t0, run_id,
+                    {"batch_index": str(i), "batch_total": str(len(extractions)), "batch_id": batch_id})
+
+
 def save(df: DataFrame, path: str, fmt: str) -> None:
     """Write one dataset: CSV / TSV (flattened) or JSON lines."""
     if fmt == "csv":

@@ -45,14 +45,14 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet
 
 def ingest_pages(spark: SparkSession, landing_dir: str, schema: T.StructType | str, keys: Sequence[str],
                  sink: str, checkpoint: str, fmt: str = "json", event_time: str | None = None,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = None, delay: str = "1 day") -> DataFrame:
     """STR-1 end to end: stream the landing folder, dedup by key, append new
     rows to ``sink``; returns the sink as a batch DataFrame."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = r.load(landing_dir)
-    run_available(dedup_stream(stream, keys, event_time), sink, checkpoint)
+    run_available(dedup_stream(stream, keys, event_time, delay), sink, checkpoint)
     return spark.read.parquet(sink)
 
 
