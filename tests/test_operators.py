@@ -145,7 +145,7 @@ def test_paging(spark):
 
 def test_rules_engine(spark):
     cfg = spark.createDataFrame([
-        (1, "testuser", "testpass123", "http://sdwis:8080/SDWIS/", "1000"),
+        (1, "testuser", "testpass123", "http://records:8080/APP/", "1000"),
         (2, "", "", "invalid-url", "not-a-number"),
         (3, "test@user", "123", "http://localhost/x", "20000"),
     ], "id int, username string, password string, base_url string, batch_size string")
@@ -154,7 +154,7 @@ def test_rules_engine(spark):
           rules.min_length("username", 2, "INVALID_USERNAME_LENGTH"),
           rules.matches("username", "^[a-zA-Z0-9_.-]+$", "INVALID_USERNAME_FORMAT"),
           rules.not_in("password", ["password", "123456", "admin"]),
-          *rules.url_rules("base_url", path_suffix="/SDWIS"),
+          *rules.url_rules("base_url", path_suffix="/APP"),
           *rules.int_tiers("batch_size", 1, [(10000, "Batch size %d is very large"), (5000, "Batch size %d is large")])]
     issues = rules.validate(cfg, rs, ["id"])
     got = {(r["id"], r["code"] or r["rule"]) for r in issues.collect()}
