@@ -297,8 +297,9 @@ SELECT o_orderkey, o_orderstatus AS info_status, o_orderpriority AS info_priorit
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_orderkey, o_orderstatus, o_orderpriority""")
 def q_flatten_record(spark, sf):
-    # lines per order are bounded (at most 7 in this schema), so the list
-    # per key is small; the join is a shuffle join on the order key.
+    # the nested list is the record's own value (a handful of lines per
+    # order here); collect_list runs partial (per map task) then final, and
+    # the join is a shuffle join on the order key.
     li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
     o = table(spark, sf, "orders")
@@ -668,6 +669,8 @@ def q_url_rules(spark, sf):
     return _url_issues(spark, sf).select("page_id", "rule", "severity", "code")
 
 
+# Warning texts of the source's range checks (batch size and
+# timeout tiers).
 BATCH_WARN = [(10000, "Batch size %d is very large - this may cause memory issues"),
               (5000, "Batch size %d is large - consider smaller batches if you experience timeouts")]
 TIMEOUT_ABOVE = [(300000, "Timeout %dms is very long - consider shorter timeouts for better error detection")]
@@ -1129,3 +1132,50 @@ def q_export_run(spark, sf):
     runs = spark.read.parquet(run + "/runs")
     return runs.select("data_type", F.col("source_info")["batch_index"].cast("int").alias("batch_index"),
                        "success", "extracted_count")
+
+
+# HTML tables rendered from lineitem, one page per order, parsed back by the
+# table scans (SRC-6, SRC-7, PRJ-5c, WIN-1). A page holds its order's lines
+# (a handful here: 4 on average); the per-order list is a partial + final
+# aggregate, and a page is by definition one value.
+
+def _order_pages(spark, sf, table_class: str, short_flag: str | None = None):
+    li = table(spark, sf, "lineitem")
+    td = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    cells = F.concat(td(F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.lit(" "))),
+                     td(F.col("l_returnflag")),
+                     td(F.concat(F.lit("<b>"), F.col("l_linestatus"), F.lit("</b>&amp;x"))))
+    if short_flag:
+        cells = F.when(F.col("l_returnflag") == short_flag, td(F.col("l_linenumber").cast("string"))).otherwise(cells)
+    row = F.concat(F.lit("<tr>"), cells, F.lit("</tr>"))
+    pages = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(
+        F.struct("l_linenumber", "l_returnflag", "l_linestatus", row.alias("r")))).alias("rs"))
+    html = F.concat(F.lit('<html><body><table class="nav"><tr><td>menu</td></tr></table>'),
+                    F.lit(f'<table class="{table_class}"><tr><th>Line</th><th>Flag</th><th>Status</th></tr>'),
+                    F.array_join(F.transform("rs", lambda x: x["r"]), ""), F.lit("</table></body></html>"))
+    return pages.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+
+
+@query("html_tables", """
+SELECT l_orderkey AS page_id,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS INTEGER)
+         AS row_index,
+       CAST(l_linenumber AS VARCHAR) AS line, l_returnflag AS flag, l_linestatus || '&x' AS status
+FROM lineitem""")
+def q_html_tables(spark, sf):
+    from ..sources.html import bind_header
+    rows = html_rows(_order_pages(spark, sf, "grid"), "html", ["page_id"], min_data_rows=2)
+    b = bind_header(rows)
+    return b.select("page_id", "row_index", b["record"]["Line"].alias("line"), b["record"]["Flag"].alias("flag"),
+                    b["record"]["Status"].alias("status"))
+
+
+@query("schedule_tables", """
+SELECT l_orderkey AS page_id, CAST(l_linenumber AS VARCHAR) AS line, l_returnflag AS flag,
+       l_linestatus || '&x' AS status
+FROM lineitem WHERE l_returnflag <> 'R'""")
+def q_schedule_tables(spark, sf):
+    from ..sources.html import SCHEDULE_TABLE_CLASS, schedule_tables
+    b = schedule_tables(_order_pages(spark, sf, SCHEDULE_TABLE_CLASS, short_flag="R"))
+    return b.select("page_id", b["record"]["Line"].alias("line"), b["record"]["Flag"].alias("flag"),
+                    b["record"]["Status"].alias("status"))

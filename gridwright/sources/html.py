@@ -199,6 +199,28 @@ def html_rows(df: DataFrame, html_col: str = "html", id_cols: Sequence[str] = ("
     return df.select(*id_cols, html_col).mapInPandas(scan, out_schema)
 
 
+# Fixed value: CSS class of the schedules result table (SRC-7).
+SCHEDULE_TABLE_CLASS = "DFGUILBX"
+
+
+def bind_to_header_length(rows: DataFrame, id_cols: Sequence[str] = ("page_id", "table_no")) -> DataFrame:
+    """SRC-7 binding: body rows with fewer cells than the header are dropped;
+    each header text (blank ones included) takes the cell at its position,
+    extra cells are ignored; duplicate header texts keep the last value."""
+    id_cols = list(id_cols)
+    body = rows.filter((F.col("row_no") > 0) & (F.size("cells") >= F.size("header")))
+    vals = F.slice(F.col("cells"), 1, F.size("header"))
+    return body.select(*id_cols, F.col("row_no").alias("row_index"),
+                       F.map_from_arrays(F.col("header"), vals).alias("record"))
+
+
+def schedule_tables(df: DataFrame, html_col: str = "html", id_cols: Sequence[str] = ("page_id",)) -> DataFrame:
+    """SRC-7 end to end: the first table of the schedules class, bound to
+    its header row (the source's intent; its own code never returns rows)."""
+    rows = html_rows(df, html_col, id_cols, css_class=SCHEDULE_TABLE_CLASS, min_data_rows=1)
+    return bind_to_header_length(rows, list(id_cols) + ["table_no"])
+
+
 def bind_header(rows: DataFrame, id_cols: Sequence[str] = ("page_id", "table_no"),
                 drop_blank_rows: bool = False) -> DataFrame:
     """PRJ-5c: bind body rows (row_no > 0) to their table's header: the key

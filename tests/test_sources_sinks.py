@@ -63,6 +63,16 @@ def test_html_tables(spark):
     assert [r["cells"] for r in lists.orderBy("row_no").collect()] == [["a"], ["b"]]
 
 
+def test_schedule_table(spark):
+    page = ('<table class="other"><tr><td>x</td></tr><tr><td>y</td></tr></table>'
+            '<table class="DFGUILBX grid"><tr><th>PWS ID</th><th>Status</th></tr>'
+            '<tr><td>0100001</td><td>A</td><td>extra</td></tr><tr><td>short</td></tr>'
+            '<tr><td>0100002</td><td>I</td></tr></table>')
+    df = spark.createDataFrame([(7, page)], "page_id long, html string")
+    got = [r["record"] for r in html.schedule_tables(df).orderBy("row_index").collect()]
+    assert got == [{"PWS ID": "0100001", "Status": "A"}, {"PWS ID": "0100002", "Status": "I"}]
+
+
 def test_schema_files(spark, tmp_path):
     s = schema_files.load_schema(spark, "inspection_report")
     ws = s.rules("water_systems")
