@@ -196,7 +196,10 @@ def html_rows(df: DataFrame, html_col: str = "html", id_cols: Sequence[str] = ("
             yield pd.DataFrame.from_records(
                 recs, columns=id_cols + ["table_no", "row_no", "cells", "header"])
 
-    return df.select(*id_cols, html_col).mapInPandas(scan, out_schema)
+    # Pages without the container tag cannot yield rows: drop them JVM-side
+    # (a case-insensitive regex find) before anything crosses into Python.
+    has_tag = F.col(html_col).rlike(f"(?i)<{container}[\\s>/]")
+    return df.select(*id_cols, html_col).filter(has_tag).mapInPandas(scan, out_schema)
 
 
 # Fixed value: CSS class of the schedules result table (SRC-7).
