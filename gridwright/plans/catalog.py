@@ -14,12 +14,11 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import (classify_extraction_error, digits_or_null, duration_text, iso_timestamp,
-                         version_compatible)
+from ..functions import classify_extraction_error, digits_or_null, version_compatible
 from ..operators import aggregates as agg
 from ..operators import bind, dedup, events, filters, migrate, paging, project, rules, windows
 from ..session import scratch_path, table
-from ..sinks import inspection_document, json_document, read_csv, write_csv
+from ..sinks import append_runs, inspection_document, read_csv, write_csv
 from ..sources.schema_files import DatasetRules, FieldRule, load_schema
 from ..sources.html import html_rows
 from .. import streaming
@@ -1128,7 +1127,7 @@ def q_export_run(spark, sf):
     cfg = ex.ExportConfiguration(("water_systems", "legal_entities", "deficiency_types"), "general", "csv",
                                  output_path=run + "/out/export.csv")
     res = ex.export(spark, cfg, landings, events_path=run + "/events")
-    ex.append_runs(res["runs"], run + "/runs")
+    append_runs(res["runs"], run + "/runs")
     runs = spark.read.parquet(run + "/runs")
     return runs.select("data_type", F.col("source_info")["batch_index"].cast("int").alias("batch_index"),
                        "success", "extracted_count")

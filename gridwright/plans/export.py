@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from ..operators import bind, dedup, filters, paging, project
 from ..operators.windows import honor_stop_rules
-from ..sinks import (RUNS_SCHEMA, append_runs, inspection_document, output_paths, write_csv,
-                     write_document, write_json_lines)
+from ..sinks import (RUNS_SCHEMA, inspection_document, output_paths, write_csv, write_document,
+                     write_json_lines)
 from ..sources.grid import to_strict
 from ..sources.schema_files import DATASETS, ExportSchema, load_schema
 

@@ -2,7 +2,6 @@
 
 import json
 import uuid
-import os
 
 from pyspark.sql import functions as F
 

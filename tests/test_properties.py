@@ -6,7 +6,6 @@ import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from gridwright import functions as G
 from gridwright.operators import dedup
