@@ -247,3 +247,17 @@ def bind_header(rows: DataFrame, id_cols: Sequence[str] = ("page_id", "table_no"
     return body.select(*id_cols, F.col("row_no").alias("row_index"),
                        F.map_from_arrays(keys, F.col("cells")).alias("record"),
                        "cells")
+
+
+def _ship_by_value() -> None:
+    # The scan runs in Python workers, which may not have this package on
+    # their path (a driver-only install, a notebook, a submitted script):
+    # serialize this module's code with the task instead of by reference.
+    # The module depends only on the standard library, pandas and pyspark.
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+
+
+_ship_by_value()
