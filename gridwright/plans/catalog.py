@@ -1178,3 +1178,38 @@ def q_schedule_tables(spark, sf):
     b = schedule_tables(_order_pages(spark, sf, SCHEDULE_TABLE_CLASS, short_flag="R"))
     return b.select("page_id", b["record"]["Line"].alias("line"), b["record"]["Flag"].alias("flag"),
                     b["record"]["Status"].alias("status"))
+
+
+# Request checks (VAL-7): one extraction request per event: its dataset name,
+# page limit and page size derived from the event's values.
+
+# Warning texts of the request checks.
+MAX_PAGES_WARN = [(100, "max_pages=%d is very large - consider smaller batches for testing")]
+PAGE_SIZE_WARN = [(5000, "page_size=%d is very large - may cause timeouts")]
+
+
+@query("request_rules", """
+WITH r AS (SELECT event_id,
+                  CASE event_type WHEN 'view' THEN 'water_systems' WHEN 'click' THEN 'legal_entities'
+                                  WHEN 'signup' THEN 'deficiency_types' ELSE event_type END AS data_type,
+                  CAST(json_extract(props, '$.k') AS BIGINT) * 2 - 10 AS max_pages,
+                  CAST(floor(value * 40) AS BIGINT) AS page_size FROM events)
+SELECT event_id, 'allowed:data_type' AS rule, 'error' AS severity, 'unsupported value' AS message FROM r
+  WHERE data_type NOT IN ('water_systems', 'legal_entities', 'sample_schedules', 'deficiency_types')
+UNION ALL SELECT event_id, 'min:max_pages', 'error', 'must be at least 1' FROM r WHERE max_pages < 1
+UNION ALL SELECT event_id, 'above:max_pages:100', 'warning',
+  printf('max_pages=%d is very large - consider smaller batches for testing', max_pages) FROM r WHERE max_pages > 100
+UNION ALL SELECT event_id, 'min:page_size', 'error', 'must be at least 1' FROM r WHERE page_size < 1
+UNION ALL SELECT event_id, 'above:page_size:5000', 'warning',
+  printf('page_size=%d is very large - may cause timeouts', page_size) FROM r WHERE page_size > 5000""")
+def q_request_rules(spark, sf):
+    from ..sources.schema_files import DATASETS
+    e = table(spark, sf, "events")
+    req = filters.lookup_or_self(e.withColumn("data_type", F.col("event_type")), "data_type", TYPE_TO_DATASET).select(
+        "event_id", "data_type",
+        (F.get_json_object("props", "$.k").cast("bigint") * 2 - 10).alias("max_pages"),
+        F.floor(F.col("value") * 40).cast("bigint").alias("page_size"))
+    rs = [rules.allowed("data_type", list(DATASETS))] + \
+        rules.int_tiers("max_pages", 1, MAX_PAGES_WARN, integral=True) + \
+        rules.int_tiers("page_size", 1, PAGE_SIZE_WARN, integral=True)
+    return rules.validate(req, rs, ["event_id"]).select("event_id", "rule", "severity", "message")
