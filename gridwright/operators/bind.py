@@ -98,6 +98,26 @@ def type_filter(df: DataFrame, column: str = "Status", value: str = "IN") -> Dat
     return df.filter(F.col(f"`{column}`") == value)
 
 
+def py_str(v: Column) -> Column:
+    """Python ``str()`` of a VARIANT value as text: booleans ``True`` /
+    ``False``, numbers and strings as they are, arrays and objects as JSON
+    (an empty array gives ``[]`` as in Python); JSON null gives NULL (D-1)."""
+    kind = F.schema_of_variant(v)
+    as_bool = F.try_variant_get(v, "$", "boolean")
+    return (F.when(F.is_variant_null(v), F.lit(None).cast("string"))
+            .when(kind == "BOOLEAN", F.when(as_bool, F.lit("True")).otherwise(F.lit("False")))
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v))
+            .otherwise(F.try_variant_get(v, "$", "string")))
+
+
+def _cell_value(r: Column, j: int) -> Column:
+    """Cell ``j`` of a ragged row: item 0 of a non-empty array cell, else the
+    cell itself, each through Python ``str()`` rules."""
+    cell = F.try_variant_get(r, f"$[{j}]", "variant")
+    n = F.size(F.try_variant_get(cell, "$", "array<variant>"))
+    return F.when(n >= 1, py_str(F.try_variant_get(cell, "$[0]", "variant"))).otherwise(py_str(cell))
+
+
 def bind_deficiency_types(landing: DataFrame, row_col: str = "row") -> DataFrame:
     """PRJ-4 + FLT-1 + FLT-2 + WIN-1 over ragged (VARIANT) rows.
 
@@ -107,11 +127,8 @@ def bind_deficiency_types(landing: DataFrame, row_col: str = "row") -> DataFrame
     """
     r = F.col(row_col)
     n = F.size(F.try_variant_get(r, "$", "array<variant>"))
-    cols = []
-    for j, h in enumerate(DEFICIENCY_TYPE_HEADERS):
-        v = F.coalesce(F.try_variant_get(r, f"$[{j}][0]", "string"),
-                       F.try_variant_get(r, f"$[{j}]", "string"))
-        cols.append(F.coalesce(clean_cell(v), F.lit("")).alias(h))
+    cols = [F.coalesce(clean_cell(_cell_value(r, j)), F.lit("")).alias(h)
+            for j, h in enumerate(DEFICIENCY_TYPE_HEADERS)]
     out = (landing.filter(n >= MIN_CELLS["deficiency_types"])
            .select(*_keys(landing), *cols, (F.col("row_no") + 1).cast("bigint").alias("row_index")))
     return required_nonempty(out, "Type Code")
@@ -127,9 +144,8 @@ def bind_generic(landing: DataFrame, row_col: str = "row",
     as_arr = F.try_variant_get(r, "$", "array<variant>")
     arr_map = F.map_from_arrays(
         F.array(*[F.lit(h) for h in headers]),
-        F.array(*[F.coalesce(clean_entity_only(F.coalesce(
-            F.try_variant_get(r, f"$[{j}]", "string"), F.to_json(F.get(as_arr, j)))), F.lit(""))
-            for j in range(len(headers))]),
+        F.array(*[F.coalesce(clean_entity_only(py_str(F.try_variant_get(r, f"$[{j}]", "variant"))), F.lit(""))
+                  for j in range(len(headers))]),
     )
     rec = F.when(as_obj.isNotNull(), as_obj).when(as_arr.isNotNull(), arr_map)
     return (landing.select(*_keys(landing), rec.alias("record"),

@@ -66,13 +66,15 @@ def test_water_system_binding(spark):
 
 def test_deficiency_variant_binding(spark):
     texts = ['[["CG000"], "SIG", [""], ["A&nbsp;desc"]]', '["X1", "S", "C", "plain"]', '[["", 1], "S", "C", "d"]',
-             '["only", "three", "cells"]', '{"Type Code": "obj"}']
+             '["only", "three", "cells"]', '{"Type Code": "obj"}', '[["T9"], true, [], [15000]]']
     df = spark.createDataFrame([("deficiency_types", "c0", 0, i, t) for i, t in enumerate(texts)],
                                "dataset string, capture_id string, page_no bigint, row_no bigint, t string")
     df = df.select(*LANDING_KEYS, F.parse_json("t").alias("row"))
     out = bind.bind_deficiency_types(df).orderBy("row_no").collect()
     assert [(r["Type Code"], r["Default Severity Code"], r["Description"], r["row_index"]) for r in out] == [
-        ("CG000", "SIG", "A desc", 1), ("X1", "S", "plain", 2)]
+        ("CG000", "SIG", "A desc", 1), ("X1", "S", "plain", 2), ("T9", "True", "15000", 6)]
+    assert out[-1]["Default Category Code"] == "[]"  # str([]) of an empty array cell
     gen = bind.bind_generic(df).orderBy("row_index").collect()
-    assert gen[-1]["record"] == {"Type Code": "obj"}
-    assert len(gen) == 5
+    assert gen[4]["record"] == {"Type Code": "obj"}
+    assert gen[5]["record"]["Default Severity Code"] == "True"
+    assert len(gen) == 6
