@@ -99,23 +99,21 @@ def type_filter(df: DataFrame, column: str = "Status", value: str = "IN") -> Dat
 
 
 def py_str(v: Column) -> Column:
-    """Python ``str()`` of a VARIANT value as text: booleans ``True`` /
-    ``False``, numbers and strings as they are, arrays and objects as JSON
-    (an empty array gives ``[]`` as in Python); JSON null gives NULL (D-1)."""
-    kind = F.schema_of_variant(v)
-    as_bool = F.try_variant_get(v, "$", "boolean")
-    return (F.when(F.is_variant_null(v), F.lit(None).cast("string"))
-            .when(kind == "BOOLEAN", F.when(as_bool, F.lit("True")).otherwise(F.lit("False")))
-            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(v))
-            .otherwise(F.try_variant_get(v, "$", "string")))
+    """Python ``str()`` of a VARIANT value as text: strings and numbers as
+    they are, booleans ``True`` / ``False``, arrays and objects as JSON text
+    (an empty array gives ``[]`` as in Python); JSON null gives NULL (D-1).
+    The variant's type is looked up only for the texts ``true``/``false``."""
+    s = F.try_variant_get(v, "$", "string")
+    is_bool = s.isin("true", "false") & (F.schema_of_variant(v) == "BOOLEAN")
+    return F.when(is_bool, F.initcap(s)).otherwise(s)
 
 
 def _cell_value(r: Column, j: int) -> Column:
     """Cell ``j`` of a ragged row: item 0 of a non-empty array cell, else the
     cell itself, each through Python ``str()`` rules."""
+    item0 = F.try_variant_get(r, f"$[{j}][0]", "variant")
     cell = F.try_variant_get(r, f"$[{j}]", "variant")
-    n = F.size(F.try_variant_get(cell, "$", "array<variant>"))
-    return F.when(n >= 1, py_str(F.try_variant_get(cell, "$[0]", "variant"))).otherwise(py_str(cell))
+    return F.when(item0.isNotNull(), py_str(item0)).otherwise(py_str(cell))
 
 
 def bind_deficiency_types(landing: DataFrame, row_col: str = "row") -> DataFrame:
