@@ -4,8 +4,8 @@ Spark runs a window without ``partitionBy`` in a single task. The global
 running sum and the global row number here are therefore built in two
 levels: rows are cut into buckets of the order key, a window runs per bucket,
 and a prefix over the (few) bucket totals is joined back. The bucket-totals
-table has ``#rows / bucket_size`` rows, which is the bound that makes its
-broadcast safe.
+table has at most ``MAX_BUCKETS`` rows per group (the bucket width grows with
+the key range), which is the bound that makes its broadcast safe.
 """
 
 from __future__ import annotations
@@ -19,30 +19,38 @@ from pyspark.sql import functions as F
 from ..functions._util import quote
 
 DEFAULT_BUCKET = 1 << 16
-
-
-def _bucket(order_col: str, bucket_size: int) -> Column:
-    return F.floor(F.col(quote(order_col)) / F.lit(bucket_size)).cast("bigint")
+MAX_BUCKETS = 100_000
 
 
 def running_sum(df: DataFrame, value: str, order: str, out: str = "cum",
                 exclusive: bool = True, partition: Sequence[str] = (),
-                bucket_size: int = DEFAULT_BUCKET) -> DataFrame:
+                bucket_size: int = DEFAULT_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Running sum of ``value`` in ``order`` (a unique, integral key within
     ``partition``). ``exclusive`` sums strictly earlier rows (0 for the first).
 
     Two levels: a window per ``(partition, bucket)`` and a prefix over the
-    bucket totals; no task ever holds more than one bucket.
+    bucket totals, so no task holds more than one bucket. The bucket width is
+    ``max(bucket_size, key range / max_buckets)`` (a lazy scalar subquery), so
+    sparse keys cannot produce more than ``max_buckets`` buckets per group and
+    the offsets table stays bounded; it is broadcast only when there is no
+    partition column (then its size is that bound), otherwise AQE decides.
     """
     part = list(partition)
     b = "_rs_bucket"
-    d = df.withColumn(b, _bucket(order, bucket_size))
+    o = F.col(quote(order))
+    stats = df.agg(F.min(o).alias("mn"), F.max(o).alias("mx")).select(F.struct(
+        F.col("mn").alias("mn"),
+        F.greatest(F.lit(bucket_size).cast("bigint"),
+                   F.ceil((F.col("mx") - F.col("mn") + 1) / F.lit(max_buckets)).cast("bigint")).alias("w"),
+    ).alias("s")).scalar()
+    d = df.withColumn("_rs_s", stats)
+    d = d.withColumn(b, F.floor((o - F.col("_rs_s.mn")) / F.col("_rs_s.w")).cast("bigint")).drop("_rs_s")
     w_in = W.partitionBy(*part, b).orderBy(quote(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("_rs_in", F.sum(quote(value)).over(w_in))
     totals = d.groupBy(*part, b).agg(F.sum(quote(value)).alias("_rs_tot"))
     w_tot = W.partitionBy(*part).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*part, b, F.coalesce(F.sum("_rs_tot").over(w_tot), F.lit(0)).alias("_rs_off"))
-    d = d.join(F.broadcast(offsets), part + [b], "inner")
+    d = d.join(offsets if part else F.broadcast(offsets), part + [b], "inner")
     incl = F.col("_rs_off") + F.col("_rs_in")
     res = incl - F.col(quote(value)) if exclusive else incl
     return d.withColumn(out, res).drop(b, "_rs_in", "_rs_off")

@@ -71,6 +71,16 @@ def test_running_sum_equals_window(spark):
     assert got == want
 
 
+def test_running_sum_sparse_keys(spark):
+    # sparse order keys (gaps of 10^9): buckets stay few, sums stay exact
+    df = spark.range(0, 2000).select((F.col("id") * 1_000_000_007).alias("o"), (F.col("id") % 7).alias("n"))
+    out = windows.running_sum(df, "n", "o", bucket_size=16, max_buckets=50)
+    got = {r["o"]: r["cum"] for r in out.collect()}
+    w = W.orderBy("o").rowsBetween(W.unboundedPreceding, -1)
+    want = {r["o"]: r["c"] or 0 for r in df.select("o", F.sum("n").over(w).alias("c")).collect()}
+    assert got == want
+
+
 def test_progress_divides_first(spark):
     df = spark.createDataFrame([(0, 29), (1, 71)], "b bigint, n bigint")
     out = {r["b"]: r["progress_pct"] for r in windows.progress(df, "n", "b", F.lit(100)).collect()}
