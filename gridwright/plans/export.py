@@ -157,8 +157,10 @@ def run_batch(spark: SparkSession, extractions: Sequence[Extraction], destinatio
     provenance (batch index, total, id) in ``source_info`` (PRJ-19).
 
     ``max_parallel > 1`` submits the dataset writes as concurrent Spark jobs
-    from driver threads (each in its own scheduler pool), which helps when
-    datasets are small next to the cluster; run rows keep batch order."""
+    from driver threads, which helps when datasets are small next to the
+    cluster; each thread names its own scheduler pool, which shares the
+    cluster fairly when the session runs ``spark.scheduler.mode=FAIR``. Run
+    rows keep batch order."""
     if destinations is not None and len(destinations) != len(extractions):
         raise ValueError("output_destinations must be same length as queries")
     run_id = uuid.uuid4().hex
