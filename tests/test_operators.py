@@ -256,3 +256,28 @@ def test_extract_with_stop_rules(spark, sf_small):
     # sf0.001 has one short first page: the read stops after it, so the
     # re-served copies on page 1 (all duplicates) cannot add rows
     assert stopped.count() == all_rows.filter(F.col("page_no") == 0).count()
+
+
+def test_custom_transform_and_events(spark):
+    from gridwright import functions as G
+    from gridwright.operators import events, project
+    from gridwright.sources.schema_files import FieldRule
+    G.register_transform("title", G.title_label)
+    assert "title" in G.known_transforms()
+    df = spark.createDataFrame([("water_systems",), (None,)], "t string")
+    got = [r[0] for r in project.project(df, [FieldRule("t", "label", transform="title")]).collect()]
+    assert got == ["Water Systems", None]
+    ev = spark.createDataFrame([
+        (3, "2024-01-01 00:00:03", "export_completed", "x1", "info"),
+        (1, "2024-01-01 00:00:05", "export_started", "x1", "info"),
+        (2, "2024-01-01 00:00:01", "export_failed", "x2", "error")],
+        "event_id long, timestamp string, event_type string, aggregate_id string, severity string") \
+        .withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    f = events.filter_events(ev, aggregate_id="x1", after="2024-01-01 00:00:03")
+    assert [r["event_id"] for r in f.collect()] == [1]
+    st = events.event_statistics(ev).first()
+    assert st["total_events"] == 3
+    assert str(st["first_event_timestamp"]) == "2024-01-01 00:00:05"  # insertion order, not min
+    assert str(st["last_event_timestamp"]) == "2024-01-01 00:00:03"
+    assert st["event_type_counts"] == {"export_completed": 1, "export_failed": 1, "export_started": 1}
+    assert st["severity_counts"] == {"error": 1, "info": 2}
