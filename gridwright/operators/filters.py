@@ -26,11 +26,24 @@ class PatternCheck:
     error: str | None
 
 
+_JAVA_CHECKS: dict[str, str | None] = {}
+
+
+def _java_error(spark: SparkSession, p: str) -> str | None:
+    if p not in _JAVA_CHECKS:
+        try:
+            spark.range(1).select(F.lit("").rlike(p)).collect()
+            _JAVA_CHECKS[p] = None
+        except Exception as e:  # Java rejects the pattern
+            _JAVA_CHECKS[p] = f"invalid regex pattern: {str(e).splitlines()[0][:200]}"
+    return _JAVA_CHECKS[p]
+
+
 def check_patterns(spark: SparkSession, patterns: Sequence[str]) -> list[PatternCheck]:
     """FLT-6: a pattern is usable when both Python ``re`` (the source's
     dialect) and Java regex (the engine's) accept it; Python-only syntax such
-    as ``(?P<n>...)`` is rejected. The Java check is constant-folded by the
-    optimizer on the driver: no task runs."""
+    as ``(?P<n>...)`` is rejected. The Java check runs once per pattern text
+    (cached) on a one-row frame."""
     out = []
     for i, p in enumerate(patterns):
         err = None
@@ -42,10 +55,7 @@ def check_patterns(spark: SparkSession, patterns: Sequence[str]) -> list[Pattern
             except re.error as e:
                 err = f"invalid regex pattern: {e}"
             if err is None:
-                try:
-                    spark.range(1).select(F.lit("").rlike(p)).collect()
-                except Exception as e:  # Java rejects the pattern
-                    err = f"invalid regex pattern: {str(e).splitlines()[0][:200]}"
+                err = _java_error(spark, p)
         out.append(PatternCheck(i, p, err is None, err))
     return out
 

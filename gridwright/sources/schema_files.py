@@ -100,13 +100,27 @@ def parse_schema(doc: dict, name: str | None = None) -> ExportSchema:
                         info["description"], datasets)
 
 
+_CACHE: dict[tuple[str, float], ExportSchema] = {}
+
+
 def load_schema(spark: SparkSession, name_or_path: str, schema_dir: str | None = None) -> ExportSchema:
-    """SRC-10: read ``{schema_dir}/{name}.json`` (or a path) through Spark."""
+    """SRC-10: read ``{schema_dir}/{name}.json`` (or a path) through Spark.
+    Parsed schemas are cached per path and modification time (local files)."""
     path = name_or_path
     if not path.endswith(".json"):
         path = os.path.join(schema_dir or CONFIG_DIR, f"{name_or_path}.json")
     if "://" not in path and not os.path.exists(path):
         raise SchemaFileError(f"Schema file not found: {path}")
+    key = (path, os.path.getmtime(path)) if "://" not in path else None
+    if key is not None and key in _CACHE:
+        return _CACHE[key]
+    schema = _load_uncached(spark, path)
+    if key is not None:
+        _CACHE[key] = schema
+    return schema
+
+
+def _load_uncached(spark: SparkSession, path: str) -> ExportSchema:
     try:
         rows = spark.read.text(path, wholetext=True).take(2)
     except Exception as e:  # missing on a remote file system
