@@ -4,7 +4,8 @@
 Each query is forced with a ``noop`` write (full computation, nothing pulled
 to the driver). A warm-up pass runs every headline query once on the
 smallest data set first, so JVM start-up, JIT and code generation are not
-charged to whichever query happens to run first.
+charged to whichever query happens to run first. ``BENCH_EVENT_LOG=<dir>``
+writes Spark's event log there (stage and task times).
 """
 
 from __future__ import annotations
@@ -49,7 +50,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2) if cpus.isdigit() else 16)
+    spark = build_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2) if cpus.isdigit() else 16,
+                          event_log_dir=os.environ.get("BENCH_EVENT_LOG"))
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir

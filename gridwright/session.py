@@ -15,7 +15,7 @@ TABLES = (
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "gridwright") -> SparkSession:
+                  app: str = "gridwright", event_log_dir: str | None = None) -> SparkSession:
     """Local session with the settings the library is tested under.
 
     On a cluster the session is created by the platform; only
@@ -31,6 +31,8 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
     )
+    if event_log_dir:  # stage and task times without the web UI
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
