@@ -6,349 +6,13 @@ Row data is always written by the executors (``df.write``). A single JSON
 is only allowed under a checked row limit (H-6); above it, write JSON lines.
 """
 
-from __future__ import annotations
-
-import os
-from typing import Mapping, Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions._util import quote
-from ..functions.fmt import duration_text, iso_timestamp
-from ..operators.dedup import combine_datasets
-from ..operators.project import flatten, output_key
-
-# CSV options that give the source's text layout: empty for NULL and '', a
-# doubled quote inside quoted fields, and no trimming of spaces.
-CSV_OPTIONS = {
-    "header": "true",
-    "escape": '"',
-    "quote": '"',
-    "emptyValue": "",
-    "nullValue": "",
-    "ignoreLeadingWhiteSpace": "false",
-    "ignoreTrailingWhiteSpace": "false",
-    "lineSep": "\n",
-}
-CSV_READ_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true",
-                    "emptyValue": "", "ignoreLeadingWhiteSpace": "false",
-                    "ignoreTrailingWhiteSpace": "false"}
-
-DOCUMENT_MAX_ROWS = 1_000_000
-
-
-def _prepare(df: DataFrame, sort_columns: bool, flatten_nested: bool) -> DataFrame:
-    if flatten_nested:
-        df = flatten(df)
-    if sort_columns:
-        df = df.select(*[quote(c) for c in sorted(df.columns)])
-    return df
-
-
-def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite",
-              sort_columns: bool = False, flatten_nested: bool = True,
-              single_file: bool = False) -> None:
-    """SNK-1 (``sep=','``) / SNK-2 (``sep='\\t'``): header, NULL → empty,
-    nested fields flattened (PRJ-11). ``single_file`` coalesces to one part
-    file (for small exports only)."""
-    out = _prepare(df, sort_columns, flatten_nested)
-    if single_file:
-        out = out.coalesce(1)
-    out.write.mode(mode).options(**CSV_OPTIONS).option("sep", sep).csv(path)
-
-
-def write_tsv(df: DataFrame, path: str, **kw) -> None:
-    """SNK-2."""
-    write_csv(df, path, sep="\t", **kw)
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             sep: str = ",") -> DataFrame:
-    r = spark.read.options(**CSV_READ_OPTIONS).option("sep", sep)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
-
-
-def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows as JSON lines; NULL fields kept (FN-22) — the scale path."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
-
-
-def metadata_rows(spark: SparkSession, runs: DataFrame, export_mode: str | None = None) -> DataFrame:
-    """SNK-3: the metadata preamble as its own small table ``(seq, key,
-    value)`` (a sidecar, never mixed into data rows): data type, extracted
-    count, extraction time, timestamp, total available, and export mode."""
-    r = runs.select(
-        F.posexplode(F.array(
-            F.struct(F.lit("Data Type").alias("k"), F.col("data_type").cast("string").alias("v")),
-            F.struct(F.lit("Extracted Count").alias("k"), F.col("extracted_count").cast("string").alias("v")),
-            F.struct(F.lit("Extraction Time").alias("k"), duration_text("extraction_time", "long").alias("v")),
-            F.struct(F.lit("Timestamp").alias("k"), iso_timestamp("extraction_timestamp").alias("v")),
-            F.struct(F.lit("Total Available").alias("k"), F.col("total_available").cast("string").alias("v")),
-            F.struct(F.lit("Export Mode").alias("k"), F.lit(export_mode).cast("string").alias("v")),
-        )).alias("seq", "kv"))
-    return r.select("seq", F.col("kv.k").alias("key"), F.col("kv.v").alias("value")).filter(F.col("value").isNotNull())
-
-
-def write_csv_with_preamble(df: DataFrame, runs: DataFrame, path: str, export_mode: str | None = None) -> None:
-    """SNK-3 text form: preamble lines, a blank line, then the CSV header and
-    rows, in one file. Only for small exports (one file is one task)."""
-    spark = df.sparkSession
-    meta = metadata_rows(spark, runs, export_mode)
-    pre = meta.select(F.col("seq").cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                      F.format_string("%s,%s", "key", "value").alias("line"))
-    blank = spark.range(1).select(F.lit(100).cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                                  F.lit("").alias("line"))
-    flat = flatten(df)
-    cols = flat.columns
-    header = spark.range(1).select(F.lit(101).cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                                   F.lit(",".join(cols)).alias("line"))
-    body = flat.select(F.lit(102).cast("bigint").alias("o1"), F.monotonically_increasing_id().alias("o2"),
-                       F.to_csv(F.struct(*[quote(c) for c in cols]), {"escape": '"', "nullValue": "",
-                                                                     "emptyValue": ""}).alias("line"))
-    pre.unionByName(blank).unionByName(header).unionByName(body).coalesce(1) \
-        .sortWithinPartitions("o1", "o2").select("line").write.mode("overwrite").text(path)
-
-
-def multi_dataset_csv(frames: Mapping[str, DataFrame], path: str, selected: Sequence[str] | None = None,
-                      **kw) -> None:
-    """SNK-5: one CSV, ``data_type`` first, union of all columns, missing
-    values empty; nested values are always flattened (D-11)."""
-    combined = combine_datasets({k: flatten(v) for k, v in frames.items()}, "data_type", selected)
-    write_csv(combined, path, flatten_nested=False, **kw)
-
-
-def _guard(df: DataFrame, max_rows: int) -> None:
-    n = df.limit(max_rows + 1).count()  # stops counting past the limit
-    if n > max_rows:
-        raise ValueError(f"a single JSON document holds at most {max_rows} rows, got more than {n - 1}; "
-                         "write JSON lines instead")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a frame once into the shared checkpoint folder (cuts lineage,
-    survives lost executors), so the size guard and the document both read
-    the stored rows instead of recomputing the plan. Idempotent."""
-    if getattr(df, "_gw_materialized", False):
-        return df
-    from ..session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    out._gw_materialized = True
-    return out
-
-
-_materialize = materialize
-
-
-def records_array(df: DataFrame, order: Sequence[str] | None = None) -> Column:
-    """Aggregate expression: all rows as an ordered array of structs (the
-    order is made explicit, since ``collect_list`` order is not defined).
-    The order columns themselves are not part of the records."""
-    cols = [quote(c) for c in df.columns if not order or c not in order]
-    if order:
-        key = F.struct(*[F.col(quote(c)) for c in order])
-        return F.transform(F.array_sort(F.collect_list(F.struct(key.alias("_k"), F.struct(*cols).alias("_r")))),
-                           lambda x: x["_r"])
-    return F.collect_list(F.struct(*cols))
-
-
-def json_document(df: DataFrame, key: str, summary: Column | None = None, order: Sequence[str] | None = None,
-                  max_rows: int = DOCUMENT_MAX_ROWS, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """SNK-6/7/9/10: one-row DataFrame ``(document STRING)`` =
-    ``{key: [rows], extraction_summary: {...}, ...}`` with NULL fields kept."""
-    df = _materialize(df)
-    _guard(df, max_rows)
-    parts = [records_array(df, order).alias(key)]
-    if summary is not None:
-        parts.append(summary.alias("extraction_summary"))
-    for k, v in (extra or {}).items():
-        parts.append(v.alias(k))
-    agg = df.agg(*parts)
-    return agg.select(F.to_json(F.struct(*agg.columns), {"ignoreNullFields": "false"}).alias("document"))
-
-
-def run_summary(run: DataFrame) -> Column:
-    """The ``extraction_summary`` object of a run row: count, time text,
-    timestamp, data type, plus optional parts only when non-empty."""
-    base = [F.col("extracted_count").alias("total_records"),
-            duration_text("extraction_time").alias("extraction_time"),
-            iso_timestamp("extraction_timestamp").alias("timestamp"),
-            F.col("data_type").alias("data_type")]
-    return F.struct(*base)
-
-
-def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None,
-                        max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
-    """SNK-10 / SNK-11 / PRJ-10: one document with one key per dataset
-    present (one dataset: SNK-10, several: SNK-11), in the inspection key
-    order; projected rows only, no envelope. Each dataset's row list is one aggregate, used as a
-    scalar subquery of a one-row frame (no join between the datasets)."""
-    from ..operators.project import INSPECTION_ORDER
-    names = [n for n in INSPECTION_ORDER if n in frames]
-    if not names:
-        raise ValueError("no dataset with rows to put in the document")
-    spark = frames[names[0]].sparkSession
-    cols = []
-    for n in names:
-        f = _materialize(frames[n])
-        _guard(f, max_rows)
-        cols.append(f.agg(records_array(f, (order or {}).get(n))).scalar().alias(n))
-    return spark.range(1).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
-
-
-def _iso(ts) -> str | None:
-    return None if ts is None else ts.isoformat()
-
-
-def _map_lit(d: Mapping[str, str] | None) -> Column:
-    d = dict(d or {})
-    if not d:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in (kv[0], str(kv[1]))])
-
-
-def _legacy_key(data_type: str) -> str:
-    """PRJ-16, older list used by the plain JSON writers."""
-    return data_type if data_type in ("legal_entities", "sample_schedules") else (
-        "all_water_systems" if data_type == "water_systems" else f"all_{data_type}")
-
-
-def run_document(records: DataFrame, run: DataFrame, style: str = "standard",
-                 order: Sequence[str] | None = None, max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
-    """SNK-6 (``standard``: older output keys), SNK-7 (``detailed``: plus a
-    ``metadata`` object), SNK-8 (``compact``: rows, count, timestamp) and
-    SNK-9 (``general``: current output keys, ``export_mode`` inside the
-    summary) as a one-row ``document`` frame.
-
-    ``run`` is the one-row run log entry of the records (``RUNS_SCHEMA``);
-    being metadata, it is read on the driver. Optional summary parts
-    (source/pagination info, errors, warnings) appear only when non-empty.
-    """
-    spark = records.sparkSession
-    r = run.first().asDict()
-    records = _materialize(records)
-    _guard(records, max_rows)
-    rows = records.agg(records_array(records, order)).scalar()
-    if style == "general":
-        key = r["data_type"] if r["data_type"] in ("legal_entities", "sample_schedules", "deficiency_types") \
-            else _legacy_key(r["data_type"])
-    else:
-        key = _legacy_key(r["data_type"])
-    if style == "compact":
-        doc = F.struct(rows.alias(key), F.lit(r["extracted_count"]).alias("count"),
-                       F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"))
-        return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
-    summ = [F.lit(r["extracted_count"]).alias("total_extracted"),
-            F.lit(r["total_available"]).cast("bigint").alias("expected_total"),
-            F.lit(f"{r['extraction_time']:.2f}s").alias("extraction_time"),
-            F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"),
-            F.lit(bool(r["success"])).alias("success")]
-    if style == "general":
-        summ.append(F.lit("general").alias("export_mode"))
-    for k in ("source_info", "pagination_info"):
-        if r.get(k):
-            summ.append(_map_lit(r[k]).alias(k))
-    for k in ("errors", "warnings"):
-        if r.get(k):
-            summ.append(F.array(*[F.lit(x) for x in r[k]]).alias(k))
-    parts = [rows.alias(key), F.struct(*summ).alias("extraction_summary")]
-    if style == "detailed":
-        em = F.struct(F.lit(r["extracted_count"]).alias("extracted_count"),
-                      F.lit(r["extraction_time"]).alias("extraction_time"),
-                      F.lit(r["data_type"]).alias("data_type"),
-                      F.lit(_iso(r["extraction_timestamp"])).alias("extraction_timestamp"),
-                      F.lit(r["total_available"]).cast("bigint").alias("total_available"),
-                      _map_lit(r.get("source_info")).alias("source_info"),
-                      _map_lit(r.get("pagination_info")).alias("pagination_info"))
-        errs, warns = list(r.get("errors") or []), list(r.get("warnings") or [])
-        rm = F.struct(F.lit(bool(r["success"])).alias("success"),
-                      F.lit(r["extracted_count"]).alias("record_count"),
-                      F.lit(bool(errs)).alias("has_errors"), F.lit(bool(warns)).alias("has_warnings"),
-                      F.array(*[F.lit(x) for x in errs]).cast("array<string>").alias("errors"),
-                      F.array(*[F.lit(x) for x in warns]).cast("array<string>").alias("warnings"))
-        parts.append(F.struct(em.alias("extraction_metadata"), rm.alias("result_metadata")).alias("metadata"))
-    return spark.range(1).select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("document"))
-
-
-def general_document(frames: Mapping[str, DataFrame], runs: DataFrame, export_mode: str = "general",
-                     selected: Sequence[str] | None = None, max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
-    """SNK-12: every selected dataset's rows under its own key, a combined
-    ``extraction_summary`` (AGG-3, summed over *all* runs as the source does)
-    and ``data_type_summaries`` (AGG-4). Runs are metadata (one row per
-    dataset) and are read on the driver."""
-    from ..operators.aggregates import combined_summary
-    spark = runs.sparkSession
-    names = [n for n in (selected or list(frames)) if n in frames]
-    cols = []
-    for n in names:
-        f = _materialize(frames[n])
-        _guard(f, max_rows)
-        cols.append(f.agg(records_array(f)).scalar().alias(n))
-    c = combined_summary(runs).first()
-    summ = F.struct(F.lit(c["total_extracted"]).alias("total_extracted"),
-                    F.lit(c["total_available"]).cast("bigint").alias("total_available"),
-                    F.array(*[F.lit(x) for x in c["data_types"]]).alias("data_types"),
-                    iso_timestamp(F.current_timestamp().cast("timestamp_ntz")).alias("timestamp"),
-                    F.lit(export_mode).alias("export_mode"))
-    per = [F.struct(F.lit(r["extracted_count"]).alias("extracted_count"),
-                    F.lit(r["extraction_time"]).alias("extraction_time"),
-                    F.lit(bool(r["success"])).alias("success")).alias(r["data_type"])
-           for r in runs.orderBy("seq").collect()]
-    doc = F.struct(*cols, summ.alias("extraction_summary"), F.struct(*per).alias("data_type_summaries"))
-    return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
-
-
-def write_document(doc: DataFrame, path: str) -> None:
-    """Write a one-row document as a single text file."""
-    doc.coalesce(1).write.mode("overwrite").text(path)
-
-
-RUNS_SCHEMA = T.StructType([
-    T.StructField("run_id", T.StringType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("data_type", T.StringType()),
-    T.StructField("success", T.BooleanType()),
-    T.StructField("extracted_count", T.LongType()),
-    T.StructField("extraction_time", T.DoubleType()),
-    T.StructField("total_available", T.LongType()),
-    T.StructField("extraction_timestamp", T.TimestampNTZType()),
-    T.StructField("source_info", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("pagination_info", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("errors", T.ArrayType(T.StringType())),
-    T.StructField("warnings", T.ArrayType(T.StringType())),
-])
-
-
-def append_runs(runs: DataFrame, path: str) -> None:
-    """SNK-13: append run rows (successful or failed) to the ``runs`` table."""
-    runs.select(*[F.col(f.name).cast(f.dataType) for f in RUNS_SCHEMA.fields]) \
-        .write.mode("append").parquet(path)
-
-
-def output_paths(data_types: Sequence[str], base: str | None, ts: str, ext: str, mode: str = "general",
-                 default_dir: str = ".") -> dict[str, str]:
-    """SNK-15: one path per dataset: the given path itself when there is one
-    dataset (or inspection mode: one document), else ``{stem}_{type}_{ts}{ext}``;
-    without a path ``{type}_{ts}{ext}`` in ``default_dir``. Driver-side."""
-    if mode == "inspection":
-        p = base or os.path.join(default_dir, f"inspection_report_{ts}{ext}")
-        return {"inspection": p}
-    if base and len(data_types) == 1:
-        return {data_types[0]: base}
-    out = {}
-    for t in data_types:
-        if base:
-            stem, e = os.path.splitext(base)
-            out[t] = f"{stem}_{t}_{ts}{e or ext}"
-        else:
-            out[t] = os.path.join(default_dir, f"{t}_{ts}{ext}")
-    return out
-
-
-__all__ = ["CSV_OPTIONS", "append_runs", "inspection_document", "json_document", "metadata_rows",
-           "multi_dataset_csv", "output_key", "output_paths", "read_csv", "records_array", "run_summary",
-           "write_csv", "write_csv_with_preamble", "write_document", "write_json_lines", "write_tsv"]
+from .documents import (DOCUMENT_MAX_ROWS, general_document, inspection_document, json_document,
+                        materialize, records_array, run_document, write_document)
+from .files import (CSV_OPTIONS, CSV_READ_OPTIONS, metadata_rows, multi_dataset_csv, output_paths,
+                    read_csv, write_csv, write_csv_with_preamble, write_json_lines, write_tsv)
+from .runs import RUNS_SCHEMA, append_runs
+
+__all__ = ["CSV_OPTIONS", "CSV_READ_OPTIONS", "DOCUMENT_MAX_ROWS", "RUNS_SCHEMA", "append_runs",
+           "general_document", "inspection_document", "json_document", "materialize", "metadata_rows",
+           "multi_dataset_csv", "output_paths", "read_csv", "records_array", "run_document", "write_csv",
+           "write_csv_with_preamble", "write_document", "write_json_lines", "write_tsv"]
