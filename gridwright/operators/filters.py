@@ -124,22 +124,34 @@ def lookup_or_self(df: DataFrame, column: str, mapping: Mapping[str, str], out:
 
 
 def lookup_join(df: DataFrame, column: str, table: DataFrame, key: str, value: str,
-                out: str | None = None, broadcast_max_rows: int = 1_000_000) -> DataFrame:
+                out: str | None = None, broadcast_max_rows: int = 1_000_000,
+                salt_buckets: int = 0) -> DataFrame:
     """JON-1 with a lookup table: left join + ``coalesce(value, self)``.
 
     The table is deduplicated on its key first (last write wins is not
     defined for tables, so the smallest value wins). It is broadcast only when
-    its row count is checked to be under ``broadcast_max_rows``; otherwise the
-    join shuffles and AQE decides at run time.
+    its row count is checked to be under ``broadcast_max_rows``. Otherwise the
+    join shuffles; AQE splits skewed partitions, and ``salt_buckets > 1``
+    salts explicitly: each probe row gets a random bucket and the lookup rows
+    are replicated once per bucket, so a key holding a third of the rows is
+    spread over ``salt_buckets`` tasks.
     """
+    out = out or column
     t = table.groupBy(key).agg(F.min(value).alias("_lk_value"))
-    n = t.count()
-    if n <= broadcast_max_rows:
-        t = F.broadcast(t)
-    j = df.join(t, df[quote(column)] == t[key], "left")
-    c = df[quote(column)]
-    return j.select(*[df[quote(x)] for x in df.columns if x != (out or column)],
-                    F.coalesce(F.col("_lk_value"), c).alias(out or column))
+    c = F.col(quote(column))
+    keep = [F.col(quote(x)) for x in df.columns if x != out]
+    if t.count() <= broadcast_max_rows:
+        j = df.join(F.broadcast(t), c == t[key], "left")
+        return j.select(*[df[quote(x)] for x in df.columns if x != out],
+                        F.coalesce(F.col("_lk_value"), df[quote(column)]).alias(out))
+    if salt_buckets > 1:
+        probe = df.withColumn("_lk_salt", (F.rand() * salt_buckets).cast("int"))
+        build = t.withColumn("_lk_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        j = probe.join(build, (probe[quote(column)] == build[key]) & (probe["_lk_salt"] == build["_lk_salt"]), "left")
+        return j.select(*[probe[quote(x)] for x in df.columns if x != out],
+                        F.coalesce(F.col("_lk_value"), probe[quote(column)]).alias(out))
+    j = df.join(t, c == t[key], "left")
+    return j.select(*keep, F.coalesce(F.col("_lk_value"), c).alias(out))
 
 
 def semi(df: DataFrame, allowed, on: Sequence[str]) -> DataFrame:

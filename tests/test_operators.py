@@ -134,6 +134,11 @@ def test_lookup_and_membership(spark):
     table = spark.createDataFrame([("b", "B")], "key string, value string")
     got = sorted((r[0] or "") for r in filters.lookup_join(df, "k", table, "key", "value").collect())
     assert got == ["", "B", "a"]
+    hot = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit("b")).otherwise(
+        F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
+    for kw in ({"broadcast_max_rows": 0, "salt_buckets": 8}, {"broadcast_max_rows": 0}, {}):
+        res = filters.lookup_join(hot, "k", table, "key", "value", **kw)
+        assert res.count() == 3000 and res.filter(F.col("k") == "B").count() == 1000
     allowed = spark.createDataFrame([("a",)], "k string")
     for a in (allowed, ["a"]):
         assert [r[0] for r in filters.semi(df, a, ["k"]).collect()] == ["a"]
