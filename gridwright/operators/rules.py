@@ -275,6 +275,30 @@ def run_rules(df: DataFrame, rules: Sequence[Rule], key: Sequence[str],
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def count_issues(df: DataFrame, rules: Sequence[Rule], group: Sequence[str] = ()) -> DataFrame:
+    """AGG-11 without issue rows: per severity the number of (row, rule)
+    issues, counted straight from the rule predicates in one partial
+    aggregate (no explode). Same counts as ``issue_summary(validate(...))``;
+    combine several with ``sum_counts``."""
+    cols = []
+    for sev in SEVERITIES:
+        parts = [F.count_if(F.coalesce(r.predicate, F.lit(False))) for r in rules if r.severity == sev]
+        c = reduce(lambda a, b: a + b, parts) if parts else F.lit(0)
+        cols.append(c.cast("bigint").alias(f"{sev}_count"))
+    return df.groupBy(*group).agg(*cols)
+
+
+def sum_counts(counts: Sequence[DataFrame], group: Sequence[str] = ()) -> DataFrame:
+    """Add up per-severity counts (from ``count_issues`` or
+    ``issue_summary``) and derive the total and ``valid``."""
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
+               [c.select(*group, *[f"{s}_count" for s in SEVERITIES]) for c in counts])
+    tot = u.groupBy(*group).agg(*[F.sum(f"{s}_count").cast("bigint").alias(f"{s}_count") for s in SEVERITIES])
+    total = reduce(lambda a, b: a + b, [F.col(f"{s}_count") for s in SEVERITIES])
+    return tot.select(*group, total.cast("bigint").alias("total_issues"), *[f"{s}_count" for s in SEVERITIES],
+                      ((F.col("error_count") + F.col("critical_count")) == 0).alias("valid"))
+
+
 def issue_summary(issues: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """AGG-11 / VAL-6: counts per severity, total, and ``valid`` (no error or
     critical issue). One partial aggregate."""

@@ -181,6 +181,10 @@ def test_rules_engine(spark):
     assert (3, "above:batch_size:10000") in got and (3, "above:batch_size:5000") not in got
     summ = rules.issue_summary(issues, ["id"]).collect()
     assert {r["id"]: r["valid"] for r in summ} == {2: False, 3: False}
+    # counting straight from the predicates gives the same totals
+    direct = rules.sum_counts([rules.count_issues(cfg, rs)]).first().asDict()
+    via_rows = rules.issue_summary(issues).first().asDict()
+    assert direct == via_rows
 
 
 def test_rule_runner_turns_failures_into_issues(spark):
