@@ -37,6 +37,24 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 
+def materialize_all(frames: Mapping[str, DataFrame], max_rows: int) -> dict[str, DataFrame]:
+    """Checkpoint and size-check several frames as concurrent jobs (driver
+    threads): small datasets then share the cluster instead of queueing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item):
+        name, df = item
+        f = materialize(df)
+        _guard(f, max_rows)
+        return name, f
+
+    items = list(frames.items())
+    if len(items) <= 1:
+        return dict(one(i) for i in items)
+    with ThreadPoolExecutor(max_workers=min(8, len(items))) as pool:
+        return dict(pool.map(one, items))
+
+
 def records_array(df: DataFrame, order: Sequence[str] | None = None) -> Column:
     """Aggregate expression: all rows as an ordered array of structs (the
     order is made explicit, since ``collect_list`` order is not defined).
@@ -75,11 +93,8 @@ def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Seq
     if not names:
         raise ValueError("no dataset with rows to put in the document")
     spark = frames[names[0]].sparkSession
-    cols = []
-    for n in names:
-        f = materialize(frames[n])
-        _guard(f, max_rows)
-        cols.append(f.agg(records_array(f, (order or {}).get(n))).scalar().alias(n))
+    ready = materialize_all({n: frames[n] for n in names}, max_rows)
+    cols = [ready[n].agg(records_array(ready[n], (order or {}).get(n))).scalar().alias(n) for n in names]
     return spark.range(1).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
 
 
@@ -166,11 +181,8 @@ def general_document(frames: Mapping[str, DataFrame], runs: DataFrame, export_mo
     from ..operators.aggregates import combined_summary
     spark = runs.sparkSession
     names = [n for n in (selected or list(frames)) if n in frames]
-    cols = []
-    for n in names:
-        f = materialize(frames[n])
-        _guard(f, max_rows)
-        cols.append(f.agg(records_array(f)).scalar().alias(n))
+    ready = materialize_all({n: frames[n] for n in names}, max_rows)
+    cols = [ready[n].agg(records_array(ready[n])).scalar().alias(n) for n in names]
     c = combined_summary(runs).first()
     summ = F.struct(F.lit(c["total_extracted"]).alias("total_extracted"),
                     F.lit(c["total_available"]).cast("bigint").alias("total_available"),
