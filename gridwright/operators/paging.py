@@ -47,12 +47,21 @@ def keyset_page(df: DataFrame, key: str, after: str | None, page_size: int = 100
     return d.orderBy(k).limit(page_size)
 
 
-def keyset_scan(df: DataFrame, key: str, page_size: int = 1000) -> DataFrame:
-    """SRT-3 over the whole table: every row gets the number of the keyset
-    page it would be served on (``floor(position / page_size)``), without
-    running one query per page."""
+def keyset_scan(df: DataFrame, key: str, page_size: int = 1000, inclusive: bool = True) -> DataFrame:
+    """SRT-3 over the whole table, without one query per page: every row gets
+    the number of the search that first returns it. With inclusive searches
+    (``key >= last key of the previous page``, as the source reads) each
+    search after the first repeats one row and brings ``page_size - 1`` new
+    ones, so for unique keys the search of position ``p`` is ``0`` when
+    ``p < page_size``, else ``(p - 1) div (page_size - 1)``; exclusive
+    searches give ``p div page_size``."""
     d = global_index(df, [key], out="_pos")
-    return d.withColumn("search_no", (F.floor(F.col("_pos") / page_size)).cast("bigint")).drop("_pos")
+    pos = F.col("_pos")
+    if inclusive and page_size > 1:
+        search = F.when(pos < page_size, F.lit(0)).otherwise(F.floor((pos - 1) / (page_size - 1)))
+    else:
+        search = F.floor(pos / page_size)
+    return d.withColumn("search_no", search.cast("bigint")).drop("_pos")
 
 
 def top_by(df: DataFrame, value: str, by: str, group: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:

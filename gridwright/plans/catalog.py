@@ -520,7 +520,8 @@ def q_stop_rules(spark, sf):
 
 
 @query("keyset_scan", """
-WITH r AS (SELECT c_name, CAST((row_number() OVER (ORDER BY c_name) - 1) // 1000 AS BIGINT) AS search_no FROM customer)
+WITH p AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS pos FROM customer),
+r AS (SELECT c_name, CAST(CASE WHEN pos < 1000 THEN 0 ELSE (pos - 1) // 999 END AS BIGINT) AS search_no FROM p)
 SELECT search_no, min(c_name) AS first_key, max(c_name) AS last_key, CAST(count(*) AS BIGINT) AS n_new
 FROM r GROUP BY search_no""")
 def q_keyset_scan(spark, sf):

@@ -150,6 +150,15 @@ def test_paging(spark):
     page = paging.offset_page(df, ["k"], page_size=5, start_page=2, max_pages=2).orderBy("k").collect()
     assert [r["k"] for r in page] == list(range(5, 15))
     assert [r["page_no"] for r in page][:1] == [2] and page[-1]["row_in_page"] == 5
+    # inclusive keyset searches of 5: rows 0-4, then 4-8 (4 repeated), 8-12, ...
+    scan = {r["k"]: r["search_no"] for r in paging.keyset_scan(df, "k", page_size=5).collect()}
+    model, last, search = {}, None, 0
+    while len(model) < 23:
+        page = [k for k in range(23) if last is None or k >= last][:5]
+        for k in page:
+            model.setdefault(k, search)
+        last, search = page[-1], search + 1
+    assert scan == model
     ks = paging.keyset_page(df, "k", 20, page_size=1000).collect()
     assert [r[0] for r in ks] == [20, 21, 22]
     v = spark.createDataFrame([("s", "1.9.0"), ("s", "1.10.0"), ("t", "2.0.0")], "schema_name string, version string")
