@@ -1,4 +1,4 @@
-"""Reference-shaped inputs derived from the driver tables.
+"""Source-shaped inputs derived from the driver tables.
 
 The driver tables hold none of the source system's datasets, so each query
 lays a driver table out in the shape the operators expect: landed grid pages
