@@ -1240,3 +1240,16 @@ def q_request_rules(spark, sf):
         rules.int_tiers("max_pages", 1, MAX_PAGES_WARN, integral=True) + \
         rules.int_tiers("page_size", 1, PAGE_SIZE_WARN, integral=True)
     return rules.validate(req, rs, ["event_id"]).select("event_id", "rule", "severity", "message")
+
+
+# Captured pages as a stream (STR-1 over the real capture chain): which copy
+# of a re-served row survives depends on arrival, so the result is the set of
+# keys, which does not.
+
+@query("stream_captures", f"""SELECT DISTINCT "Water System No." FROM ({WS_BOUND_SQL}) b""")
+def q_stream_captures(spark, sf):
+    run = scratch_path(spark, f"stream-captures-{uuid.uuid4().hex}")
+    out = streaming.ingest_captures(spark, _landed_captures(spark, sf), bind.bind_water_systems,
+                                    ["Water System No."], run + "/sink", run + "/checkpoint",
+                                    max_files_per_trigger=2)
+    return out.select("`Water System No.`")

@@ -56,6 +56,23 @@ def ingest_pages(spark: SparkSession, landing_dir: str, schema: T.StructType | s
     return spark.read.parquet(sink)
 
 
+def ingest_captures(spark: SparkSession, landing_dir: str, binder: Callable[[DataFrame], DataFrame],
+                    keys: Sequence[str], sink: str, checkpoint: str,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """STR-1 over captured page files (one JSON page per line): parse, explode
+    rows, bind with ``binder`` (e.g. ``bind.bind_water_systems``), keep the
+    first row to arrive per key in the state store, append to ``sink``.
+    Returns the sink as a batch DataFrame."""
+    from ..sources.grid import explode_rows, to_strict
+    r = spark.readStream.format("text")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    pages = r.load(landing_dir).select(F.parse_json("value").alias("page"))
+    bound = binder(to_strict(explode_rows(pages)))
+    run_available(dedup_stream(bound, keys), sink, checkpoint)
+    return spark.read.parquet(sink)
+
+
 def windowed_counts(stream: DataFrame, ts: str = "ts", by: Sequence[str] = ("event_type",),
                     window: str = "1 day", slide: str | None = None, delay: str = "1 day") -> DataFrame:
     """STR-2: counts per (window, group) under a watermark; late rows beyond
