@@ -60,11 +60,17 @@ def js_trim(s: str) -> str:
 class _Node:
     __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag: str, attrs: dict):
+    def __init__(self, tag: str, attrs: list):
         self.tag = tag
-        self.attrs = attrs
+        self.attrs = attrs  # raw (name, value) pairs; only the container's class is read
         self.children: list = []  # _Node or str
 
+    def css_classes(self) -> list[str]:
+        for k, v in self.attrs:
+            if k == "class":
+                return (v or "").split()
+        return []
+
     def text(self) -> str:
         out: list[str] = []
         stack = [self]
@@ -91,7 +97,7 @@ class _Node:
 class _TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#document", {})
+        self.root = _Node("#document", [])
         self.stack = [self.root]
 
     def handle_starttag(self, tag, attrs):
@@ -105,13 +111,13 @@ class _TreeBuilder(HTMLParser):
                 if t in closes:
                     del self.stack[k:]
                     break
-        node = _Node(tag, dict(attrs))
+        node = _Node(tag, attrs)
         self.stack[-1].children.append(node)
         if tag not in VOID_TAGS:
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.stack[-1].children.append(_Node(tag, dict(attrs)))
+        self.stack[-1].children.append(_Node(tag, attrs))
 
     def handle_endtag(self, tag):
         for k in range(len(self.stack) - 1, 0, -1):
@@ -139,7 +145,7 @@ def parse_tables(html: str | None, container: str = "table", row: str = "tr",
         pass
     out = []
     for t in b.root.descendants((container,)):
-        if css_class is not None and css_class not in (t.attrs.get("class") or "").split():
+        if css_class is not None and css_class not in t.css_classes():
             continue
         rows = list(t.descendants((row,)))
         if len(rows) < min_rows:
