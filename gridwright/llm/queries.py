@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import bpe, exact_dedup, simhash_dedup, toxicity
+from gridwright.llm import bpe, decontaminate, exact_dedup, simhash_dedup, toxicity
 from gridwright.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -30,7 +34,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op7_bpe, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op5_decontamination, op7_bpe, op10_simhash_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": """
