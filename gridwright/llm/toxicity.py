@@ -2,7 +2,7 @@
 
 Confirmed toxic documents are the positives, any documents of the learning
 fold are the unlabelled set; nobody says which documents are clean. A linear
-classifier over word presence minimises the class-prior-corrected risk
+classifier over the presence of words and word beginnings minimises the class-prior-corrected risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
@@ -29,14 +29,30 @@ from gridwright.llm.common import fold, fresh, written
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 MAX_POS, MAX_UNL, MEMBERS = 3000, 6000, 3
+STEMS = (3, 4, 5, 6, 7)
+PURITY = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def features(text: str | None) -> set[str]:
+    """Words and, as insults are inflected and compounded, word beginnings
+    of 3 to 7 letters (marked ``^``)."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words.union(*[["^" + w[:k] for w in words if len(w) > k] for k in STEMS])
 
 
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, l1: float = 2e-4, steps: int = 400,
+def matched(text: str | None, known: frozenset, stems: tuple) -> set[str]:
+    """The features of ``text`` that a model knows, without building all;
+    ``stems`` has (length, known beginnings)."""
+    words = set(_WORD.findall((text or "").lower()))
+    hit = words & known
+    for k, beginnings in stems:
+        found = beginnings.intersection([w[:k] for w in words if len(w) > k])
+        hit.update("^" + b for b in found)
+    return hit
+
+
+def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, l1: float = 5e-5, steps: int = 500,
          rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and intercept of a linear classifier by full-batch Adam on the
     non-negative risk. While the negative part of the risk is below zero the
@@ -67,21 +83,28 @@ def _fit(pos: list[set], unl: list[set], prior: float) -> tuple[dict[str, float]
     pos = list({frozenset(s): s for s in pos}.values())  # copies of one document confirm nothing new
     df = Counter(x for s in pos for x in s)
     least = max(3, len(pos) // 50)
-    vocab = sorted(x for x, c in df.items() if c >= least)
+    du = Counter(x for s in unl for x in s if df[x] >= least)
+    n, m = len(pos), len(unl)
+
+    def telling(x: str) -> bool:
+        """Clearly (4 sigma) commoner among the positives, and by the class
+        prior most documents that have it are positive: weaker signs only add
+        up in long texts."""
+        both = (df[x] + du[x]) / (n + m)
+        clear = df[x] / n - du[x] / m > 4 * (both * (1 - both) * (1 / n + 1 / m)) ** 0.5
+        return clear and prior * df[x] / n * m >= PURITY * (du[x] + 1)
+
+    vocab = sorted(x for x, c in df.items() if c >= least and telling(x))
     col = {x: k for k, x in enumerate(vocab)}
 
     def matrix(sets):
-        x = np.zeros((len(sets), len(vocab)), np.float32)
+        x = np.zeros((len(sets), len(vocab)))
         for i, s in enumerate(sets):
             x[i, [col[t] for t in s if t in col]] = 1
         return x
 
-    # words that are not clearly (4 sigma) commoner among the positives only add noise to the fit
-    xp, xu = matrix(pos), matrix(unl)
-    both = (xp.sum(0) + xu.sum(0)) / (len(xp) + len(xu))
-    use = np.flatnonzero(xp.mean(0) - xu.mean(0) > 4 * np.sqrt(both * (1 - both) * (1 / len(xp) + 1 / len(xu))))
-    w, b = nnpu(xp[:, use], xu[:, use], prior)
-    return {vocab[k]: float(x) for k, x in zip(use, w) if x}, b
+    w, b = nnpu(matrix(pos), matrix(unl), prior)
+    return {x: float(v) for x, v in zip(vocab, w) if v}, b
 
 
 def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: int = MAX_UNL,
@@ -109,8 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: i
     def fit(rows):
         import pandas as pd
         rows = rows.sort_values(["pos", "doc_id", "text"], na_position="first")
-        p = [words(t) for t in rows.loc[rows["pos"], "text"]]
-        u = [words(t) for t in rows.loc[~rows["pos"], "text"]]
+        p = [features(t) for t in rows.loc[rows["pos"], "text"]]
+        u = [features(t) for t in rows.loc[~rows["pos"], "text"]]
         if not p or not u:
             return pd.DataFrame({"member": [], "word": [], "weight": []})
         w, b = _fit(p, u, prior)
@@ -127,13 +150,14 @@ def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: i
 def score(docs: DataFrame, model: list, into: str) -> DataFrame:
     """``docs`` with a column ``into``: the mean score of the classifiers, 0 to 1."""
     known = frozenset(x for w, _ in model for x in w)
+    stems = tuple((k, frozenset(x[1:] for x in known if x[0] == "^" and len(x) == k + 1)) for k in STEMS)
 
     @F.pandas_udf("double")
     def toxicity(texts):
         import pandas as pd
         out = []
         for t in texts:
-            hit = words(t) & known
+            hit = matched(t, known, stems)
             z = np.array([b + sum(w[x] for x in sorted(hit) if x in w) for w, b in model])
             out.append(float((1 / (1 + np.exp(-np.clip(z, -40, 40)))).mean()))
         return pd.Series(out, dtype="float64")
