@@ -4,8 +4,10 @@ DuckDB SQL where SQL can express it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridwright.llm import bpe, decontaminate, exact_dedup, simhash_dedup, toxicity
+from gridwright.llm import (bpe, decontaminate, exact_dedup, html_extract, language_id, simhash_dedup,
+                            toxicity)
 from gridwright.llm.common import table
 
 
@@ -14,6 +16,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +45,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op5_decontamination, op7_bpe, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_toxicity, op4_language_id, op5_decontamination, op7_bpe, op10_simhash_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": """
