@@ -130,7 +130,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple | None:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
     ids = written(mine.select("doc_id", "lang").filter("doc_id is not null").distinct()
                   .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang), "language-ids")
-    sample = mine.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    sample = mine.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.lit(0).alias("all"))
 
     def fit(rows):
         import pandas as pd
@@ -148,7 +148,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple | None:
         t = temperature(z, np.array([y[k] for k in rest])) if len(rest) and len(langs) > 1 else 1.0
         return pd.DataFrame({"lang": langs, "w": [w[:, k].astype("<f8").tobytes() for k in range(len(langs))], "t": t})
 
-    model = sample.groupBy(F.lit(0)).applyInPandas(fit, "lang string, w binary, t double").orderBy("lang").collect()
+    model = sample.groupBy("all").applyInPandas(fit, "lang string, w binary, t double").orderBy("lang").collect()
     if not model:
         return None
     w = np.column_stack([np.frombuffer(r["w"], "<f8") for r in model])

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm import (bpe, decontaminate, exact_dedup, html_extract, language_id, simhash_dedup,
-                            toxicity)
+from gridwright.llm import (bpe, decontaminate, exact_dedup, html_extract, language_id, license_scan,
+                            line_dedup, simhash_dedup, toxicity, url_rules)
 from gridwright.llm.common import table
 
 
@@ -37,15 +37,33 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+# The host and path rules of the URL filter (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.notices(spark))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_toxicity, op4_language_id, op5_decontamination, op7_bpe, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_toxicity, op4_language_id, op5_decontamination, op6_url_filter, op7_bpe,
+                                op8_line_dedup, op9_license_scan, op10_simhash_dedup)}
 
 ORACLE = {
     "op2_exact_dedup": """
