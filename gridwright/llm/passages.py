@@ -36,7 +36,7 @@ def passage_table(df: DataFrame, key: str, text: str) -> DataFrame:
     each passage with at least one whole shingle."""
     w = df.select(F.col(key).alias("key"), F.expr(f"filter({word_array(text)}, x -> x <> '')").alias("w"))
     return (w.withColumn("n", F.size("w")).filter(F.col("n") >= SHINGLE)
-            .select("key", "n", F.expr(f"slice({shingle_array('w')}, 1, n - {SHINGLE - 1})").alias("sh")))
+            .select("key", "n", F.expr(f"slice({shingle_array('w')}, 1, greatest(0, n - {SHINGLE - 1}))").alias("sh")))
 
 
 def hit_windows(docs: DataFrame, passages: DataFrame, opened: str, literals: int = LITERALS) -> DataFrame:

@@ -71,16 +71,17 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def cells(fps: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """``(cell, fp)``: the own grid cell and the neighbours at distance 1."""
     width = 64 // segments
-    bits = width.bit_length()  # a count 0..width fits
-    assert segments * width == 64 and segments * bits <= 63
+    base = width + 1  # a cell is a number with one digit, 0 to width, per segment
+    assert segments * width == 64 and base ** segments < 1 << 63
     mask = (1 << width) - 1
     counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit(mask).cast("bigint")))
               for i in range(segments)]
     d = fps.select("fp", F.array(*counts).alias("c"))
-    key = sum((F.shiftleft(F.col("c")[i].cast("bigint"), bits * i) for i in range(segments)), F.lit(0).cast("bigint"))
+    key = sum((F.col("c")[i].cast("bigint") * F.lit(base ** i).cast("bigint") for i in range(segments)),
+              F.lit(0).cast("bigint"))
     near = [F.col("k")]
     for i in range(segments):
-        step = F.lit(1 << (bits * i)).cast("bigint")
+        step = F.lit(base ** i).cast("bigint")
         near += [F.when(F.col("c")[i] < width, F.col("k") + step), F.when(F.col("c")[i] > 0, F.col("k") - step)]
     return (d.select("fp", "c", key.alias("k")).select("fp", F.explode(F.array(*near)).alias("cell"))
             .filter("cell is not null"))

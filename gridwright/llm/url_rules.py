@@ -52,7 +52,7 @@ def longest_rule(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> Col
     fits = [F.when(((h == rh) | h.endswith("." + rh)) & p.startswith(rp),
                    F.struct(F.lit(len(rh + rp)).alias("size"), F.lit(rh + rp).alias("rule"), F.lit(v).alias("verdict")))
             for v, rh, rp in rules]
-    return F.array_max(F.array(*fits))
+    return F.array_max(F.array(*fits).cast("array<struct<size:int,rule:string,verdict:string>>"))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
