@@ -27,12 +27,18 @@ def offset_page(df: DataFrame, order: Sequence[str], page_size: int, start_page:
                 max_pages: int | None = 1) -> DataFrame:
     """SRT-2: pages ``start_page .. start_page + max_pages - 1`` (1-based) of
     ``page_size`` rows in ``order``, with ``page_no`` and ``row_in_page``.
-    ``max_pages=None`` reads to the end. Uses the distributed global index."""
-    d = global_index(df, order, out="_pos")
+    ``max_pages=None`` reads to the end, by the distributed global index; a
+    bounded window is a distributed top-k, and only its own rows, as many as
+    were asked for, are numbered."""
     first = (start_page - 1) * page_size
-    d = d.filter(F.col("_pos") >= first)
-    if max_pages is not None:
-        d = d.filter(F.col("_pos") < first + max_pages * page_size)
+    if max_pages is None:
+        d = global_index(df, order, out="_pos").filter(F.col("_pos") >= first)
+    else:
+        keys = [F.col(quote(c)) for c in order]
+        rest = [F.col(quote(c)) for c in df.columns if c not in order]
+        keys += [F.xxhash64(*rest)] if rest else []
+        d = df.orderBy(*keys).offset(first).limit(max_pages * page_size)
+        d = d.withColumn("_pos", F.lit(first - 1) + F.row_number().over(W.orderBy(*keys)))
     return (d.withColumn("page_no", (F.floor(F.col("_pos") / page_size) + 1).cast("bigint"))
             .withColumn("row_in_page", (F.col("_pos") % page_size + 1).cast("bigint"))
             .drop("_pos"))

@@ -10,6 +10,8 @@ the key range), which is the bound that makes its broadcast safe.
 
 from __future__ import annotations
 
+import re
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -58,28 +60,36 @@ def running_sum(df: DataFrame, value: str, order: str, out: str = "cum",
 
 def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
-    """A 0-based position of every row in ``order`` (ties broken by the other
-    columns), without a single-task window: range-partition by the order,
-    sort inside partitions, take the position inside the partition from
+    """A 0-based position of every row in ``order`` (ties broken by a hash of
+    the other columns), without a single-task window: range-partition by the
+    order, sort inside partitions, take the position inside the partition from
     ``monotonically_increasing_id`` and add the count of all earlier
-    partitions (a table with one row per partition)."""
-    order = list(order)
-    rest = [c for c in df.columns if c not in order]
-    keys = [F.col(quote(c)) for c in order + rest]
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds over the full total order: a hot value of the order key
-    # is split across partitions by the tie-breaking columns.
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_gi_pid", F.spark_partition_id())
-              .withColumn("_gi_mid", F.monotonically_increasing_id()))
-    local = F.col("_gi_mid") - F.shiftleft(F.col("_gi_pid").cast("bigint"), 33)
-    counts = ranged.groupBy("_gi_pid").agg(F.count(F.lit(1)).alias("_gi_n"))
+    partitions (a table with one row per partition).
+
+    The ranged rows are written once to the shared folder with their partition
+    and position, and both the counts and the result read that copy: range
+    bounds are sampled per plan, so two plans of the same ranges need not
+    agree."""
+    from ..session import scratch_path
+    spark, order = df.sparkSession, list(order)
+    rest = [F.col(quote(f.name)) for f in df.schema.fields
+            if f.name not in order and not re.search("map|variant", f.dataType.simpleString())]
+    # Range bounds over order and tie-break: a hot value of the order key is split across partitions.
+    keys = [F.col(quote(c)) for c in order] + ([F.xxhash64(*rest)] if rest else [])
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, f"ranged-{uuid.uuid4().hex}")
+    at = F.monotonically_increasing_id()
+    names = {c: f"_gi_{i}" for i, c in enumerate(df.columns)}  # any column name can be stored
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .select(*[F.col(quote(c)).alias(v) for c, v in names.items()],
+                      F.shiftright(at, 33).alias("_gi_pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_gi_pos")))
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    counts = stored.groupBy("_gi_pid").agg(F.count(F.lit(1)).alias("_gi_n"))
     offs = counts.select("_gi_pid", F.coalesce(F.sum("_gi_n").over(
         W.orderBy("_gi_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_gi_off"))
-    return (ranged.join(F.broadcast(offs), "_gi_pid", "inner")
-            .withColumn(out, (F.col("_gi_off") + local).cast("bigint"))
-            .drop("_gi_pid", "_gi_mid", "_gi_off"))
+    return stored.join(F.broadcast(offs), "_gi_pid").select(
+        *[F.col(v).alias(c) for c, v in names.items()], (F.col("_gi_off") + F.col("_gi_pos")).cast("bigint").alias(out))
 
 
 def raw_position(df: DataFrame, out: str = "row_index", row_col: str = "row_no") -> DataFrame:

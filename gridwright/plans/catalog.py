@@ -18,7 +18,7 @@ from ..functions import classify_extraction_error, digits_or_null, version_compa
 from ..operators import aggregates as agg
 from ..operators import bind, dedup, events, filters, migrate, paging, project, rules, windows
 from ..session import scratch_path, table
-from ..sinks import append_runs, inspection_document, read_csv, write_csv
+from ..sinks import append_runs, inspection_document, read_csv, records_of, write_csv
 from ..sources.schema_files import DatasetRules, FieldRule, load_schema
 from ..sources.html import html_rows
 from .. import streaming
@@ -829,11 +829,26 @@ def q_latest_version(spark, sf):
                          version_compatible("version", F.lit("1.9.0"), F.lit(True)).alias("compatible"))
 
 
-@query("inspection_document", f"""
-SELECT 'water_systems' AS data_type, CAST(count(*) AS BIGINT) AS record_count FROM ({WS_DEDUP_SQL}) a
-UNION ALL SELECT 'legal_entities', CAST(count(*) AS BIGINT) FROM ({LE_SQL}) b
-UNION ALL SELECT 'deficiency_types', CAST(count(*) AS BIGINT) FROM ({DEF_SQL}) c""")
+def _record_sql(cols: dict, source: str, name: str) -> str:
+    """Records of one dataset as JSON text with their position in arrival order."""
+    pairs = ", ".join(f"'{k}', {v}" for k, v in cols.items())
+    return (f"SELECT '{name}' AS data_type, row_number() OVER (ORDER BY page_no, row_no) - 1 AS pos, "
+            f"CAST(json_object({pairs}) AS VARCHAR) AS record FROM ({source}) x")
+
+
+_INSPECTED = {
+    "water_systems": ({"system_number": '"Water System No."', "system_name": '"Name"', "population": '"Population"',
+                       "county": '"Principal County Served"', "activity_status": '"Activity Status"',
+                       "system_type": '"State Type"'}, WS_DEDUP_SQL),
+    "legal_entities": ({"entity_name": '"Individual Name"', "status": '"Status"', "organization": '"Organization"',
+                        "state_code": '"State Code"', "mail_stop": '"Mail Stop"', "id_number": '"ID Number"'}, LE_SQL),
+    "deficiency_types": ({"code": '"Type Code"', "typical_severity": '"Default Severity Code"',
+                          "typical_category": '"Default Category Code"', "description": '"Description"'}, DEF_SQL)}
+
+
+@query("inspection_document", "\nUNION ALL ".join(_record_sql(c, q, n) for n, (c, q) in _INSPECTED.items()))
 def q_inspection_document(spark, sf):
+    """Every record of the inspection document with its place in its list."""
     schema = load_schema(spark, "inspection_report")
     frames = {"deficiency_types": deficiency_types(spark, sf), "legal_entities": legal_entities(spark, sf),
               "water_systems": ws_dedup(spark, sf)}
@@ -841,27 +856,62 @@ def q_inspection_document(spark, sf):
     # project each dataset but keep its arrival order for the document lists
     ordered = {k: frames[k].select("page_no", "row_no", *[project.rule_column(frames[k], r)
                                                           for r in schema.rules(k).fields]) for k in names}
-    order = {k: ["page_no", "row_no"] for k in names}
-    doc = inspection_document(ordered, order)
-    return doc.select(F.explode(F.array(*[F.struct(F.lit(n).alias("data_type"), F.json_array_length(
-        F.get_json_object("document", f"$.{n}")).cast("bigint").alias("record_count")) for n in names])).alias("x")) \
-        .select("x.*")
-
-
-@query("json_envelope")
+    doc = inspection_document(ordered, {k: ["page_no", "row_no"] for k in names})
+    return dedup.union_by_name(records_of(doc, 3 * i + 2).select(F.lit(n).alias("data_type"), "pos", "record")
+                               for i, n in enumerate(names))
+
+
+_WS_RECORD = _record_sql({c: f'"{c}"' for c in ("Activity Status", "Water System No.", "Name", "Federal Primary Source",
+                                               "Federal Type", "State Type", "Population", "Principal County Served")},
+                         WS_DEDUP_SQL, "x")
+_STAMP = "strftime((SELECT max(o_orderdate) FROM orders), '%Y-%m-%dT%H:%M:%S')"
+_N = f"(SELECT count(*) FROM ({WS_DEDUP_SQL}) n)"
+_SUMMARY = (f"'total_extracted', {_N}, 'expected_total', NULL, 'extraction_time', '1.50s', 'timestamp', {_STAMP}, 'success', true")
+_REST = "'source_info', json_object('extractor', 'landed_pages'), 'warnings', json_array('sample warning')"
+
+
+@query("json_envelope", f"""
+WITH r AS ({_WS_RECORD}),
+k AS (SELECT * FROM (VALUES ('standard', 'all_water_systems'), ('detailed', 'all_water_systems'),
+                            ('compact', 'all_water_systems'), ('general', 'all_water_systems'), ('multi', 'water_systems')) v(style, key))
+SELECT style, key AS part, pos, record FROM k CROSS JOIN r
+UNION ALL SELECT style, 'extraction_summary', 0, CAST(json_object({_SUMMARY}, {_REST}) AS VARCHAR)
+FROM k WHERE style IN ('standard', 'detailed')
+UNION ALL SELECT 'general', 'extraction_summary', 0,
+  CAST(json_object({_SUMMARY}, 'export_mode', 'general', {_REST}) AS VARCHAR)
+UNION ALL SELECT 'compact', 'count', 0, CAST({_N} AS VARCHAR)
+UNION ALL SELECT 'compact', 'timestamp', 0, '"' || {_STAMP} || '"'
+UNION ALL SELECT 'detailed', 'metadata', 0, CAST(json_object(
+  'extraction_metadata', json_object('extracted_count', {_N}, 'extraction_time', 1.5, 'data_type', 'water_systems',
+    'extraction_timestamp', {_STAMP}, 'total_available', NULL, 'source_info', json_object('extractor', 'landed_pages'),
+    'pagination_info', json_object()),
+  'result_metadata', json_object('success', true, 'record_count', {_N}, 'has_errors', false, 'has_warnings', true,
+    'errors', json_array(), 'warnings', json_array('sample warning'))) AS VARCHAR)
+UNION ALL SELECT 'multi', 'extraction_summary', 0, CAST(json_object('total_extracted', {_N}, 'total_available', NULL,
+  'data_types', json_array('water_systems'), 'timestamp', {_STAMP}, 'export_mode', 'general') AS VARCHAR)
+UNION ALL SELECT 'multi', 'data_type_summaries', 0, CAST(json_object('water_systems',
+  json_object('extracted_count', {_N}, 'extraction_time', 1.5, 'success', true)) AS VARCHAR)""")
 def q_json_envelope(spark, sf):
-    """SNK-6..9 and SNK-12 over projected water systems: one document per
-    style. Rows-only check (a document is one string)."""
-    from ..sinks import RUNS_SCHEMA, general_document, materialize, run_document
-    recs = materialize(ws_dedup(spark, sf))
+    """SNK-6..9 and SNK-12 over projected water systems: every record and
+    every summary field of one document per style, by position."""
+    from ..sinks import RUNS_SCHEMA, general_document, run_document
+    recs = ws_dedup(spark, sf).drop("dataset", "capture_id")
     stamp = table(spark, sf, "orders").agg(F.max("o_orderdate")).first()[0]  # one value
     n = recs.count()
     run = spark.createDataFrame([("r", 0, "water_systems", True, n, 1.5, None, stamp, {"extractor": "landed_pages"},
                                   {}, [], ["sample warning"])], RUNS_SCHEMA)
-    docs = [run_document(recs, run, s, order=["page_no", "row_no"]).select(F.lit(s).alias("style"), "document")
-            for s in ("standard", "detailed", "compact", "general")]
-    docs.append(general_document({"water_systems": recs}, run).select(F.lit("multi").alias("style"), "document"))
-    return dedup.union_by_name(docs)
+    order = ["page_no", "row_no"]
+    docs = {s: run_document(recs, run, s, order=order) for s in ("standard", "detailed", "compact", "general")}
+    docs["multi"] = general_document({"water_systems": recs}, run, order={"water_systems": order}, timestamp=stamp)
+    out = []
+    for style, lines in docs.items():
+        key = "water_systems" if style == "multi" else "all_water_systems"
+        out.append(records_of(lines).select(F.lit(style).alias("style"), F.lit(key).alias("part"), "pos", "record"))
+        named = F.regexp_extract("line", r'^,"(\w+)": (.*)$', 1)
+        out.append(lines.filter(F.col("part") > 3).filter(named != "").select(
+            F.lit(style).alias("style"), named.alias("part"), F.col("idx").alias("pos"),
+            F.regexp_extract("line", r'^,"(\w+)": (.*)$', 2).alias("record")))
+    return dedup.union_by_name(out)
 
 
 DOC_SQL = "SELECT doc_id, text, lang, source, n_chars FROM documents"

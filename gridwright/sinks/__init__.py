@@ -1,18 +1,18 @@
 """Sinks: CSV, TSV, JSON lines, JSON documents, metadata sidecars, run log
 (SNK-1..SNK-13, SNK-15).
 
-Row data is always written by the executors (``df.write``). A single JSON
-*document* needs every row in one string, so it is built by one aggregate and
-is only allowed under a checked row limit (H-6); above it, write JSON lines.
+Row data is always written by the executors (``df.write``). JSON documents
+are written in ordered parts: their lines, one per record, lie in files that
+hold consecutive ranges.
 """
 
-from .documents import (DOCUMENT_MAX_ROWS, general_document, inspection_document, json_document,
-                        materialize, records_array, run_document, write_document)
+from .documents import (document, general_document, inspection_document, json_document, record_lines,
+                        records_of, run_document, write_document)
 from .files import (CSV_OPTIONS, CSV_READ_OPTIONS, metadata_rows, multi_dataset_csv, output_paths,
                     read_csv, write_csv, write_csv_with_preamble, write_json_lines, write_tsv)
 from .runs import RUNS_SCHEMA, append_runs
 
-__all__ = ["CSV_OPTIONS", "CSV_READ_OPTIONS", "DOCUMENT_MAX_ROWS", "RUNS_SCHEMA", "append_runs",
-           "general_document", "inspection_document", "json_document", "materialize", "metadata_rows",
-           "multi_dataset_csv", "output_paths", "read_csv", "records_array", "run_document", "write_csv",
+__all__ = ["CSV_OPTIONS", "CSV_READ_OPTIONS", "RUNS_SCHEMA", "append_runs", "document",
+           "general_document", "inspection_document", "json_document", "metadata_rows",
+           "multi_dataset_csv", "output_paths", "read_csv", "record_lines", "records_of", "run_document", "write_csv",
            "write_csv_with_preamble", "write_document", "write_json_lines", "write_tsv"]

@@ -1,114 +1,85 @@
-"""JSON documents (SNK-6..SNK-12). A document is one string holding every
-row, so it is built by one aggregate over a checkpointed input and is only
-allowed under a checked row limit (H-6); above it, write JSON lines."""
+"""JSON documents (SNK-6..SNK-12), written in ordered parts.
+
+A document is a table of lines ``(part, idx, line)``: the opening, each
+record, the separators and the closing are lines of their own, a comma stands
+in front of every record but the first. Sorted by ``(part, idx)`` the lines
+are one JSON document. Records are numbered by the distributed global index
+and written as text files that each hold an ordered range of lines, so no
+record ever meets another in one task and no row limit is needed; the files,
+concatenated in name order, are the document.
+"""
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+import json
+from functools import reduce
+from typing import Any, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions._util import quote
-from ..functions.fmt import iso_timestamp
-
-DOCUMENT_MAX_ROWS = 1_000_000
-
-
-def _guard(df: DataFrame, max_rows: int) -> None:
-    n = df.limit(max_rows + 1).count()  # stops counting past the limit
-    if n > max_rows:
-        raise ValueError(f"a single JSON document holds at most {max_rows} rows, got more than {n - 1}; "
-                         "write JSON lines instead")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a frame once into the shared checkpoint folder (cuts lineage,
-    survives lost executors), so the size guard and the document both read
-    the stored rows instead of recomputing the plan. Idempotent."""
-    if getattr(df, "_gw_materialized", False):
-        return df
-    from ..session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    out._gw_materialized = True
-    return out
-
-
-
-
-def materialize_all(frames: Mapping[str, DataFrame], max_rows: int) -> dict[str, DataFrame]:
-    """Checkpoint and size-check several frames as concurrent jobs (driver
-    threads): small datasets then share the cluster instead of queueing."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    def one(item):
-        name, df = item
-        f = materialize(df)
-        _guard(f, max_rows)
-        return name, f
-
-    items = list(frames.items())
-    if len(items) <= 1:
-        return dict(one(i) for i in items)
-    with ThreadPoolExecutor(max_workers=min(8, len(items))) as pool:
-        return dict(pool.map(one, items))
-
-
-def records_array(df: DataFrame, order: Sequence[str] | None = None) -> Column:
-    """Aggregate expression: all rows as an ordered array of structs (the
-    order is made explicit, since ``collect_list`` order is not defined).
-    The order columns themselves are not part of the records."""
-    cols = [quote(c) for c in df.columns if not order or c not in order]
-    if order:
-        key = F.struct(*[F.col(quote(c)) for c in order])
-        return F.transform(F.array_sort(F.collect_list(F.struct(key.alias("_k"), F.struct(*cols).alias("_r")))),
-                           lambda x: x["_r"])
-    return F.collect_list(F.struct(*cols))
-
-
-def json_document(df: DataFrame, key: str, summary: Column | None = None, order: Sequence[str] | None = None,
-                  max_rows: int = DOCUMENT_MAX_ROWS, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """SNK-6/7/9/10: one-row DataFrame ``(document STRING)`` =
-    ``{key: [rows], extraction_summary: {...}, ...}`` with NULL fields kept."""
-    df = materialize(df)
-    _guard(df, max_rows)
-    parts = [records_array(df, order).alias(key)]
-    if summary is not None:
-        parts.append(summary.alias("extraction_summary"))
-    for k, v in (extra or {}).items():
-        parts.append(v.alias(k))
-    agg = df.agg(*parts)
-    return agg.select(F.to_json(F.struct(*agg.columns), {"ignoreNullFields": "false"}).alias("document"))
-
-
-def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None,
-                        max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
-    """SNK-10 / SNK-11 / PRJ-10: one document with one key per dataset
-    present (one dataset: SNK-10, several: SNK-11), in the inspection key
-    order; projected rows only, no envelope. Each dataset's row list is one aggregate, used as a
-    scalar subquery of a one-row frame (no join between the datasets)."""
+from ..operators.windows import global_index
+
+
+def _lines(spark: SparkSession, part: int, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("idx"), F.lit(text).alias("line"))
+
+
+def record_lines(df: DataFrame, part: int, order: Sequence[str] | None = None) -> DataFrame:
+    """One line per record in ``order`` (without one: in the order of all
+    columns); the order columns are not part of the records. NULL fields are
+    kept."""
+    fields = [c for c in df.columns if not order or c not in order]
+    d = global_index(df, list(order or df.columns), out="_doc_idx")
+    text = F.to_json(F.struct(*[F.col(quote(c)) for c in fields]), {"ignoreNullFields": "false"})
+    comma = F.when(F.col("_doc_idx") > 0, F.lit(",")).otherwise(F.lit(""))
+    return d.select(F.lit(part).alias("part"), F.col("_doc_idx").alias("idx"), F.concat(comma, text).alias("line"))
+
+
+def document(spark: SparkSession, records: Mapping[str, DataFrame], tail: Mapping[str, Any] | None = None,
+             order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Lines of ``{key: [records], ..., tail key: value, ...}``. Tail values
+    are metadata: small Python values."""
+    out, part, first = [_lines(spark, 0, "{")], 1, ""
+    for key, df in records.items():
+        out += [_lines(spark, part, f"{first}{json.dumps(key)}: ["), record_lines(df, part + 1, (order or {}).get(key)),
+                _lines(spark, part + 2, "]")]
+        part, first = part + 3, ","
+    for key, value in (tail or {}).items():
+        out.append(_lines(spark, part, f"{first}{json.dumps(key)}: {json.dumps(value, ensure_ascii=False, separators=(',', ':'))}"))
+        part, first = part + 1, ","
+    out.append(_lines(spark, part, "}"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def records_of(lines: DataFrame, part: int = 2) -> DataFrame:
+    """``(pos, record)``: the records of one part, read back from its lines."""
+    return lines.filter(F.col("part") == part).select(
+        F.col("idx").alias("pos"), F.regexp_replace("line", "^,", "").alias("record"))
+
+
+def json_document(df: DataFrame, key: str, summary: Mapping[str, Any] | None = None,
+                  order: Sequence[str] | None = None) -> DataFrame:
+    """SNK-6/7/9/10: one dataset under ``key``, an optional summary behind it."""
+    return document(df.sparkSession, {key: df}, {"extraction_summary": dict(summary)} if summary is not None else None,
+                    {key: order} if order else None)
+
+
+def inspection_document(frames: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """SNK-10 / SNK-11 / PRJ-10: one key per dataset present, in the
+    inspection key order; projected records only, no envelope."""
     from ..operators.project import INSPECTION_ORDER
     names = [n for n in INSPECTION_ORDER if n in frames]
     if not names:
         raise ValueError("no dataset with rows to put in the document")
-    spark = frames[names[0]].sparkSession
-    ready = materialize_all({n: frames[n] for n in names}, max_rows)
-    cols = [ready[n].agg(records_array(ready[n], (order or {}).get(n))).scalar().alias(n) for n in names]
-    return spark.range(1).select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("document"))
+    return document(frames[names[0]].sparkSession, {n: frames[n] for n in names}, None, order)
 
 
 def _iso(ts) -> str | None:
     return None if ts is None else ts.isoformat()
 
 
-def _map_lit(d: Mapping[str, str] | None) -> Column:
-    d = dict(d or {})
-    if not d:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in sorted(d.items()) for x in (kv[0], str(kv[1]))])
-
-
 def _legacy_key(data_type: str) -> str:
     """PRJ-16, older list used by the plain JSON writers."""
     return data_type if data_type in ("legal_entities", "sample_schedules") else (
@@ -116,87 +87,63 @@ def _legacy_key(data_type: str) -> str:
 
 
 def run_document(records: DataFrame, run: DataFrame, style: str = "standard",
-                 order: Sequence[str] | None = None, max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
+                 order: Sequence[str] | None = None) -> DataFrame:
     """SNK-6 (``standard``: older output keys), SNK-7 (``detailed``: plus a
     ``metadata`` object), SNK-8 (``compact``: rows, count, timestamp) and
     SNK-9 (``general``: current output keys, ``export_mode`` inside the
-    summary) as a one-row ``document`` frame.
+    summary) as document lines.
 
     ``run`` is the one-row run log entry of the records (``RUNS_SCHEMA``);
     being metadata, it is read on the driver. Optional summary parts
     (source/pagination info, errors, warnings) appear only when non-empty.
     """
-    spark = records.sparkSession
     r = run.first().asDict()
-    records = materialize(records)
-    _guard(records, max_rows)
-    rows = records.agg(records_array(records, order)).scalar()
-    if style == "general":
-        key = r["data_type"] if r["data_type"] in ("legal_entities", "sample_schedules", "deficiency_types") \
-            else _legacy_key(r["data_type"])
+    stamp, errs, warns = _iso(r["extraction_timestamp"]), list(r.get("errors") or []), list(r.get("warnings") or [])
+    infos = {k: dict(sorted((r.get(k) or {}).items())) for k in ("source_info", "pagination_info")}
+    if style == "general" and r["data_type"] in ("legal_entities", "sample_schedules", "deficiency_types"):
+        key = r["data_type"]
     else:
         key = _legacy_key(r["data_type"])
     if style == "compact":
-        doc = F.struct(rows.alias(key), F.lit(r["extracted_count"]).alias("count"),
-                       F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"))
-        return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
-    summ = [F.lit(r["extracted_count"]).alias("total_extracted"),
-            F.lit(r["total_available"]).cast("bigint").alias("expected_total"),
-            F.lit(f"{r['extraction_time']:.2f}s").alias("extraction_time"),
-            F.lit(_iso(r["extraction_timestamp"])).alias("timestamp"),
-            F.lit(bool(r["success"])).alias("success")]
+        tail: dict[str, Any] = {"count": r["extracted_count"], "timestamp": stamp}
+        return document(records.sparkSession, {key: records}, tail, {key: order} if order else None)
+    summary = {"total_extracted": r["extracted_count"], "expected_total": r["total_available"],
+               "extraction_time": f"{r['extraction_time']:.2f}s", "timestamp": stamp, "success": bool(r["success"])}
     if style == "general":
-        summ.append(F.lit("general").alias("export_mode"))
-    for k in ("source_info", "pagination_info"):
-        if r.get(k):
-            summ.append(_map_lit(r[k]).alias(k))
-    for k in ("errors", "warnings"):
-        if r.get(k):
-            summ.append(F.array(*[F.lit(x) for x in r[k]]).alias(k))
-    parts = [rows.alias(key), F.struct(*summ).alias("extraction_summary")]
+        summary["export_mode"] = "general"
+    summary.update({k: v for k, v in {**infos, "errors": errs, "warnings": warns}.items() if v})
+    tail = {"extraction_summary": summary}
     if style == "detailed":
-        em = F.struct(F.lit(r["extracted_count"]).alias("extracted_count"),
-                      F.lit(r["extraction_time"]).alias("extraction_time"),
-                      F.lit(r["data_type"]).alias("data_type"),
-                      F.lit(_iso(r["extraction_timestamp"])).alias("extraction_timestamp"),
-                      F.lit(r["total_available"]).cast("bigint").alias("total_available"),
-                      _map_lit(r.get("source_info")).alias("source_info"),
-                      _map_lit(r.get("pagination_info")).alias("pagination_info"))
-        errs, warns = list(r.get("errors") or []), list(r.get("warnings") or [])
-        rm = F.struct(F.lit(bool(r["success"])).alias("success"),
-                      F.lit(r["extracted_count"]).alias("record_count"),
-                      F.lit(bool(errs)).alias("has_errors"), F.lit(bool(warns)).alias("has_warnings"),
-                      F.array(*[F.lit(x) for x in errs]).cast("array<string>").alias("errors"),
-                      F.array(*[F.lit(x) for x in warns]).cast("array<string>").alias("warnings"))
-        parts.append(F.struct(em.alias("extraction_metadata"), rm.alias("result_metadata")).alias("metadata"))
-    return spark.range(1).select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("document"))
+        tail["metadata"] = {
+            "extraction_metadata": {"extracted_count": r["extracted_count"], "extraction_time": r["extraction_time"],
+                                    "data_type": r["data_type"], "extraction_timestamp": stamp,
+                                    "total_available": r["total_available"], **infos},
+            "result_metadata": {"success": bool(r["success"]), "record_count": r["extracted_count"], "has_errors": bool(errs),
+                                "has_warnings": bool(warns), "errors": errs, "warnings": warns}}
+    return document(records.sparkSession, {key: records}, tail, {key: order} if order else None)
 
 
 def general_document(frames: Mapping[str, DataFrame], runs: DataFrame, export_mode: str = "general",
-                     selected: Sequence[str] | None = None, max_rows: int = DOCUMENT_MAX_ROWS) -> DataFrame:
+                     selected: Sequence[str] | None = None, order: Mapping[str, Sequence[str]] | None = None,
+                     timestamp=None) -> DataFrame:
     """SNK-12: every selected dataset's rows under its own key, a combined
     ``extraction_summary`` (AGG-3, summed over *all* runs as the source does)
     and ``data_type_summaries`` (AGG-4). Runs are metadata (one row per
     dataset) and are read on the driver."""
+    from datetime import datetime
+
     from ..operators.aggregates import combined_summary
-    spark = runs.sparkSession
     names = [n for n in (selected or list(frames)) if n in frames]
-    ready = materialize_all({n: frames[n] for n in names}, max_rows)
-    cols = [ready[n].agg(records_array(ready[n])).scalar().alias(n) for n in names]
     c = combined_summary(runs).first()
-    summ = F.struct(F.lit(c["total_extracted"]).alias("total_extracted"),
-                    F.lit(c["total_available"]).cast("bigint").alias("total_available"),
-                    F.array(*[F.lit(x) for x in c["data_types"]]).alias("data_types"),
-                    iso_timestamp(F.current_timestamp().cast("timestamp_ntz")).alias("timestamp"),
-                    F.lit(export_mode).alias("export_mode"))
-    per = [F.struct(F.lit(r["extracted_count"]).alias("extracted_count"),
-                    F.lit(r["extraction_time"]).alias("extraction_time"),
-                    F.lit(bool(r["success"])).alias("success")).alias(r["data_type"])
-           for r in runs.orderBy("seq").collect()]
-    doc = F.struct(*cols, summ.alias("extraction_summary"), F.struct(*per).alias("data_type_summaries"))
-    return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("document"))
-
-
-def write_document(doc: DataFrame, path: str) -> None:
-    """Write a one-row document as a single text file."""
-    doc.coalesce(1).write.mode("overwrite").text(path)
+    tail = {"extraction_summary": {"total_extracted": c["total_extracted"], "total_available": c["total_available"],
+                                   "data_types": list(c["data_types"]), "timestamp": _iso(timestamp or datetime.now()),
+                                   "export_mode": export_mode},
+            "data_type_summaries": {r["data_type"]: {"extracted_count": r["extracted_count"], "extraction_time": r["extraction_time"],
+                                                     "success": bool(r["success"])} for r in runs.orderBy("seq").collect()}}
+    return document(runs.sparkSession, {n: frames[n] for n in names}, tail, order)
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Write document lines as text files that hold ordered ranges; their
+    concatenation in name order is the document."""
+    lines.orderBy("part", "idx").select("line").write.mode("overwrite").text(path)

@@ -1,19 +1,24 @@
 """Export-schema files (SRC-10) and their rules.
 
-A schema file is a small JSON document:
-``{"schema_info": {"name", "version", "description"}, "data_types": {dataset:
-{"required", "description", "include_all_fields" | "fields": {out: {...}}}}}``.
-It is configuration, not data: the file is read through Spark (so any
-cluster file system works), parsed on the driver with key order kept (the
-order of ``fields`` is the output column order; Spark's JSON inference would
-sort it), and compiled to Column lists.
+A schema file is a small JSON document that names, per dataset, the output
+fields and where they come from. It is configuration, not data: files that
+come with the library are package resources, read on the driver; only a URI is
+read through Spark, so any file system of the cluster works and no path is
+ever looked up on an executor's disk.
+
+What a document may hold is declared once, in ``FORM``; one walk over that
+table fills in defaults and gathers every fault, so a bad file is reported
+whole instead of fault by fault.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import posixpath
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from importlib import resources
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +30,24 @@ FIELD_TYPES = ("string", "number", "integer", "boolean", "date", "array")
 SPARK_TYPES = {"string": "string", "number": "double", "integer": "bigint",
                "boolean": "boolean", "date": "date", "array": "array<string>"}
 
-MAX_SCHEMA_BYTES = 4 << 20
+_NEEDED = object()
 
-CONFIG_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "config")
+#: section -> key -> (kind, default); ``_NEEDED`` marks keys without default.
+FORM: dict[str, dict[str, tuple[type, Any]]] = {
+    "document": {"schema_info": (dict, _NEEDED), "data_types": (dict, _NEEDED)},
+    "schema_info": {"name": (str, _NEEDED), "version": (str, "1.0"), "description": (str, _NEEDED)},
+    "dataset": {"fields": (dict, {}), "required": (bool, False), "description": (str, None), "include_all_fields": (bool, False)},
+    "field": {"source_field": (str, _NEEDED), "output_field": (str, _NEEDED), "field_type": (str, "string"),
+              "required": (bool, False), "description": (str, None), "transform": (str, None), "default_value": (object, None)},
+}
 
 
 class SchemaFileError(ValueError):
-    pass
+    """Carries every fault of a file in ``faults``."""
+
+    def __init__(self, faults: list[str] | str):
+        self.faults = [faults] if isinstance(faults, str) else faults
+        super().__init__("; ".join(self.faults))
 
 
 @dataclass(frozen=True)
@@ -65,77 +81,79 @@ class ExportSchema:
         return self.datasets.get(dataset)
 
 
+def _section(kind: str, given: Any, at: str, faults: list[str]) -> dict[str, Any]:
+    """The declared keys of one section with defaults filled in; faults are
+    added to ``faults`` under the place ``at``."""
+    if not isinstance(given, dict):
+        faults.append(f"{at}: an object is expected")
+        given = {}
+    out = {}
+    for key, (wanted, default) in FORM[kind].items():
+        value = given.get(key)
+        if value is None:
+            if default is _NEEDED:
+                faults.append(f"{at}.{key}: missing")
+            value = wanted() if default is _NEEDED else default
+        elif wanted is dict and not isinstance(value, dict):
+            faults.append(f"{at}.{key}: an object is expected")
+            value = {}
+        elif wanted in (str, bool):
+            value = wanted(value)
+        out[key] = value
+    return out
+
+
+def _dataset(name: str, given: Any, at: str, faults: list[str]) -> DatasetRules:
+    cfg = _section("dataset", given, at, faults)
+    declared = {} if cfg["include_all_fields"] else cfg.pop("fields")
+    cfg.pop("fields", None)
+    rules = [_section("field", f, f"{at}.fields.{k}", faults) for k, f in declared.items()]
+    for r in rules:
+        if r["field_type"] not in FIELD_TYPES:
+            r["field_type"] = FORM["field"]["field_type"][1]
+    return DatasetRules(name, tuple(FieldRule(**r) for r in rules), **cfg)
+
+
 def parse_schema(doc: dict, name: str | None = None) -> ExportSchema:
-    """Check the sections and compile rules. Unknown datasets are skipped
-    (forward compatibility); unknown field types fall back to string;
-    ``source_field`` and ``output_field`` are mandatory; ``required``
-    defaults to False."""
-    if "schema_info" not in doc:
-        raise SchemaFileError("Schema must contain 'schema_info' section")
-    if "data_types" not in doc:
-        raise SchemaFileError("Schema must contain 'data_types' section")
-    info = doc["schema_info"]
-    for k in ("name", "description"):
-        if k not in info:
-            raise SchemaFileError(f"Schema info must contain '{k}' field")
-    datasets = {}
-    for ds, cfg in doc["data_types"].items():
-        if ds not in DATASETS:
-            continue
-        rules = []
-        if not cfg.get("include_all_fields", False):
-            for fname, fc in cfg.get("fields", {}).items():
-                for k in ("source_field", "output_field"):
-                    if k not in fc:
-                        raise SchemaFileError(f"Field '{fname}' must have '{k}'")
-                ftype = fc.get("field_type", "string")
-                rules.append(FieldRule(
-                    source_field=fc["source_field"], output_field=fc["output_field"],
-                    field_type=ftype if ftype in FIELD_TYPES else "string",
-                    required=bool(fc.get("required", False)), description=fc.get("description"),
-                    transform=fc.get("transform"), default_value=fc.get("default_value")))
-        datasets[ds] = DatasetRules(ds, tuple(rules), bool(cfg.get("required", False)),
-                                    cfg.get("description"), bool(cfg.get("include_all_fields", False)))
-    return ExportSchema(name or info["name"], str(info.get("version", "1.0")),
-                        info["description"], datasets)
-
-
-_CACHE: dict[tuple[str, float], ExportSchema] = {}
+    """Compile a document. Datasets this library does not know are left out,
+    so newer files stay readable, and an unknown field type means text."""
+    faults: list[str] = []
+    top = _section("document", doc, "$", faults)
+    info = _section("schema_info", top["schema_info"], "$.schema_info", faults)
+    known = {d: _dataset(d, cfg, f"$.data_types.{d}", faults) for d, cfg in top["data_types"].items() if d in DATASETS}
+    if faults:
+        raise SchemaFileError(faults)
+    return ExportSchema(name or info["name"], info["version"], info["description"], known)
+
+
+def _texts(spark: SparkSession, place: str) -> Iterator[str]:
+    """Text of the file at ``place``: a URI through Spark, a path on the driver,
+    a bare name from the package."""
+    if "://" in place:
+        for row in spark.read.text(place, wholetext=True).toLocalIterator():
+            yield row[0]
+    elif os.path.basename(place) != place:
+        with open(place, encoding="utf-8") as f:
+            yield f.read()
+    else:
+        yield (resources.files("gridwright") / "config" / place).read_text(encoding="utf-8")
 
 
 def load_schema(spark: SparkSession, name_or_path: str, schema_dir: str | None = None) -> ExportSchema:
-    """SRC-10: read ``{schema_dir}/{name}.json`` (or a path) through Spark.
-    Parsed schemas are cached per path and modification time (local files)."""
-    path = name_or_path
-    if not path.endswith(".json"):
-        path = os.path.join(schema_dir or CONFIG_DIR, f"{name_or_path}.json")
-    if "://" not in path and not os.path.exists(path):
-        raise SchemaFileError(f"Schema file not found: {path}")
-    key = (path, os.path.getmtime(path)) if "://" not in path else None
-    if key is not None and key in _CACHE:
-        return _CACHE[key]
-    schema = _load_uncached(spark, path)
-    if key is not None:
-        _CACHE[key] = schema
-    return schema
-
-
-def _load_uncached(spark: SparkSession, path: str) -> ExportSchema:
+    """SRC-10: a schema by name (of the package, or of ``schema_dir``), by
+    driver path or by URI; the file's name becomes the schema's name."""
+    place = name_or_path if name_or_path.endswith(".json") else f"{name_or_path}.json"
+    if schema_dir and not name_or_path.endswith(".json"):
+        place = posixpath.join(schema_dir, place)
     try:
-        rows = spark.read.text(path, wholetext=True).take(2)
-    except Exception as e:  # missing on a remote file system
-        raise SchemaFileError(f"Schema file not found: {path}") from e
-    if len(rows) != 1:
-        raise SchemaFileError(f"Schema file not found or empty: {path}")
-    text = rows[0][0]
-    if len(text) > MAX_SCHEMA_BYTES:
-        raise SchemaFileError(f"Schema file too large: {path}")
+        (text,) = _texts(spark, place)
+    except Exception as e:  # the file systems have no common "not there" error
+        raise SchemaFileError(f"{place}: cannot be read ({e})") from e
     try:
         doc = json.loads(text)
     except json.JSONDecodeError as e:
-        raise SchemaFileError(f"Invalid JSON in schema file {path}: {e}") from e
-    stem = os.path.splitext(os.path.basename(path))[0]
-    return parse_schema(doc, name=stem)
+        raise SchemaFileError(f"{place}: not JSON ({e})") from e
+    return parse_schema(doc, posixpath.splitext(posixpath.basename(place))[0])
 
 
 def rules_frame(spark: SparkSession, schema: ExportSchema) -> DataFrame:

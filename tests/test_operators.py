@@ -299,3 +299,22 @@ def test_custom_transform_and_events(spark):
     assert str(st["last_event_timestamp"]) == "2024-01-01 00:00:03"
     assert st["event_type_counts"] == {"export_completed": 1, "export_failed": 1, "export_started": 1}
     assert st["severity_counts"] == {"error": 1, "info": 2}
+
+
+def test_global_index_without_exchange_reuse(spark):
+    """Positions must not rest on two plans of the same ranges agreeing."""
+    from gridwright.operators import paging, windows
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        df = spark.range(300_000).select((F.col("id") * 7919 % 300_007).alias("k"), F.lit("x").alias("odd name"),
+                                         F.create_map(F.lit("a"), F.col("id")).alias("m"))
+        got = windows.global_index(df, ["k"], num_partitions=13)
+        r = got.agg(F.countDistinct("idx").alias("n"), F.min("idx").alias("a"), F.max("idx").alias("b")).first()
+        assert (r["n"], r["a"], r["b"]) == (300_000, 0, 299_999) and got.columns == ["k", "odd name", "m", "idx"]
+        low = got.filter("idx < 5").orderBy("idx").collect()
+        assert [x["k"] for x in low] == sorted(x["k"] for x in df.select("k").orderBy("k").limit(5).collect())
+        page = paging.offset_page(df.select("k"), ["k"], 10, start_page=3, max_pages=2).collect()
+        assert [(x["page_no"], x["row_in_page"]) for x in sorted(page, key=lambda x: x["k"])] == [
+            (3 + i // 10, i % 10 + 1) for i in range(20)]
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")

@@ -142,17 +142,43 @@ def test_csv_tsv_roundtrip(spark, tmp_path):
     assert project.flatten(nested).first()["l"] == "1, 2"
 
 
+def joined(lines):
+    """The document of a table of lines, as its files hold it."""
+    return json.loads("\n".join(r["line"] for r in lines.orderBy("part", "idx").collect()))
+
+
 def test_json_documents(spark, tmp_path):
-    df = spark.createDataFrame([(2, "b", None), (1, "a", "x")], "k int, v string, n string")
-    doc = sinks.json_document(df, "all_water_systems", F.struct(F.count(F.lit(1)).alias("total_records")),
-                              order=["k"]).first()[0]
-    d = json.loads(doc)
-    assert [r["v"] for r in d["all_water_systems"]] == ["a", "b"]
-    assert d["all_water_systems"][1]["n"] is None and d["extraction_summary"]["total_records"] == 2
+    df = spark.createDataFrame([(2, "b", None), (1, "a", 'x"\n')], "k int, v string, n string")
+    d = joined(sinks.json_document(df, "all_water_systems", {"total_records": 2}, order=["k"]))
+    assert d == {"all_water_systems": [{"v": "a", "n": 'x"\n'}, {"v": "b", "n": None}], "extraction_summary": {"total_records": 2}}
+    insp = joined(sinks.inspection_document({"legal_entities": df, "water_systems": df.limit(0)}))
+    assert list(insp) == ["water_systems", "legal_entities"] and insp["water_systems"] == []
     with pytest.raises(ValueError):
-        sinks.json_document(df, "k", max_rows=1)
-    insp = sinks.inspection_document({"legal_entities": df, "water_systems": df}).first()[0]
-    assert list(json.loads(insp)) == ["water_systems", "legal_entities"]
+        sinks.inspection_document({})
+
+
+def test_document_files_in_name_order(spark, tmp_path):
+    df = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v")).repartition(7)
+    path = str(tmp_path / "doc")
+    sinks.write_document(sinks.json_document(df, "rows", {"n": 5000}, order=["k"]), path)
+    files = sorted(f for f in os.listdir(path) if f.startswith("part"))
+    text = "".join(open(os.path.join(path, f)).read() for f in files)
+    d = json.loads(text)
+    assert [r["v"] for r in d["rows"]] == [f"v{k}" for k in range(5000)] and d["extraction_summary"] == {"n": 5000}
+
+
+def test_schema_faults_are_reported_together():
+    with pytest.raises(schema_files.SchemaFileError) as e:
+        schema_files.parse_schema({"schema_info": {"name": "x"}, "data_types": {"water_systems": {"fields": {"a": {}, "b": 3}}}})
+    assert len(e.value.faults) == 6
+
+
+def test_schema_by_uri_and_directory(spark, tmp_path):
+    doc = {"schema_info": {"name": "n", "description": "d"}, "data_types": {"legal_entities": {"include_all_fields": True}}}
+    (tmp_path / "own.json").write_text(json.dumps(doc, indent=1))
+    for place, where in ((str(tmp_path / "own.json"), None), ("own", str(tmp_path)), ((tmp_path / "own.json").as_uri(), None)):
+        s = schema_files.load_schema(spark, place.replace("file:///", "file:///"), where)
+        assert s.name == "own" and s.rules("legal_entities").include_all_fields
 
 
 def test_runs_metadata_and_paths(spark, tmp_path):
@@ -200,9 +226,9 @@ def test_run_document_styles(spark):
     recs = spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string")
     run = spark.createDataFrame([("r", 0, "deficiency_types", True, 2, 1.005, None, datetime(2024, 1, 2, 3, 4, 5),
                                   {"extractor": "x"}, {}, [], ["w1"])], sinks.RUNS_SCHEMA)
-    std = json.loads(sinks.run_document(recs, run, "standard", order=["k"]).first()[0])
+    std = joined(sinks.run_document(recs, run, "standard", order=["k"]))
     assert list(std) == ["all_deficiency_types", "extraction_summary"]
-    gen_one = json.loads(sinks.run_document(recs, run, "general").first()[0])
+    gen_one = joined(sinks.run_document(recs, run, "general"))
     assert list(gen_one) == ["deficiency_types", "extraction_summary"]
     assert gen_one["extraction_summary"]["export_mode"] == "general"
     assert [r["v"] for r in std["all_deficiency_types"]] == ["a", "b"]
@@ -210,11 +236,11 @@ def test_run_document_styles(spark):
     assert es["expected_total"] is None and es["timestamp"] == "2024-01-02T03:04:05"
     assert es["source_info"] == {"extractor": "x"} and es["warnings"] == ["w1"] and "errors" not in es
     assert "pagination_info" not in es
-    det = json.loads(sinks.run_document(recs, run, "detailed").first()[0])
+    det = joined(sinks.run_document(recs, run, "detailed"))
     assert det["metadata"]["result_metadata"]["has_warnings"] is True
     assert det["metadata"]["extraction_metadata"]["source_info"] == {"extractor": "x"}
-    cmp_ = json.loads(sinks.run_document(recs, run, "compact").first()[0])
+    cmp_ = joined(sinks.run_document(recs, run, "compact"))
     assert set(cmp_) == {"all_deficiency_types", "count", "timestamp"} and cmp_["count"] == 2
-    gen = json.loads(sinks.general_document({"deficiency_types": recs}, run).first()[0])
+    gen = joined(sinks.general_document({"deficiency_types": recs}, run))
     assert gen["extraction_summary"]["total_available"] is None
     assert gen["data_type_summaries"]["deficiency_types"]["success"] is True
