@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -35,8 +36,8 @@ def offset_page(df: DataFrame, order: Sequence[str], page_size: int, start_page:
         d = global_index(df, order, out="_pos").filter(F.col("_pos") >= first)
     else:
         keys = [F.col(quote(c)) for c in order]
-        rest = [F.col(quote(c)) for c in df.columns if c not in order]
-        keys += [F.xxhash64(*rest)] if rest else []
+        keys += [F.col(quote(f.name)) for f in df.schema.fields
+                 if f.name not in order and not re.search("map|variant", f.dataType.simpleString())]
         d = df.orderBy(*keys).offset(first).limit(max_pages * page_size)
         d = d.withColumn("_pos", F.lit(first - 1) + F.row_number().over(W.orderBy(*keys)))
     return (d.withColumn("page_no", (F.floor(F.col("_pos") / page_size) + 1).cast("bigint"))

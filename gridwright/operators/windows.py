@@ -60,8 +60,8 @@ def running_sum(df: DataFrame, value: str, order: str, out: str = "cum",
 
 def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
-    """A 0-based position of every row in ``order`` (ties broken by a hash of
-    the other columns), without a single-task window: range-partition by the
+    """A 0-based position of every row in ``order`` (ties broken by the
+    other columns that have an order), without a single-task window: range-partition by the
     order, sort inside partitions, take the position inside the partition from
     ``monotonically_increasing_id`` and add the count of all earlier
     partitions (a table with one row per partition).
@@ -75,7 +75,7 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
     rest = [F.col(quote(f.name)) for f in df.schema.fields
             if f.name not in order and not re.search("map|variant", f.dataType.simpleString())]
     # Range bounds over order and tie-break: a hot value of the order key is split across partitions.
-    keys = [F.col(quote(c)) for c in order] + ([F.xxhash64(*rest)] if rest else [])
+    keys = [F.col(quote(c)) for c in order] + rest
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, f"ranged-{uuid.uuid4().hex}")
     at = F.monotonically_increasing_id()
