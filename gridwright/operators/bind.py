@@ -35,7 +35,7 @@ MIN_NAME_LENGTH = 3  # FLT-3: a name must be longer than this
 
 
 def _keys(df: DataFrame) -> list[str]:
-    return [k for k in LANDING_KEYS if k in df.columns]
+    return [k for k in [*LANDING_KEYS, "captured_at"] if k in df.columns]
 
 
 def cell_text(cells: Column, i: int) -> Column:

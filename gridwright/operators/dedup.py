@@ -10,6 +10,7 @@ survives.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Iterable, Sequence
 
@@ -26,8 +27,8 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ARRIVA
     """SET-1 / SET-2: one row per key, the first in ``order``.
 
     Rows whose key is NULL or '' are dropped (the source skips falsy keys).
-    Ties on ``order`` are broken by the remaining columns, so the result is
-    deterministic. Column order of ``df`` is kept.
+    Ties on ``order`` are broken by the remaining columns that have an order,
+    so the result is deterministic. Column order of ``df`` is kept.
     """
     keys = list(keys)
     order = [c for c in order if c in df.columns]
@@ -37,7 +38,13 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ARRIVA
             df = df.filter(kc.isNotNull() & (kc.cast("string") != ""))
     rest = [c for c in df.columns if c not in keys and c not in order]
     packed = F.struct(*[F.col(quote(c)).alias(f"_{i}") for i, c in enumerate(order + rest)])
-    agg = df.groupBy(*[F.col(quote(k)) for k in keys]).agg(F.min(packed).alias("_first"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    sortable = [c for c in order + rest if not re.search("map|variant", kinds[c])]
+    if len(sortable) == len(order + rest):
+        first = F.min(packed)
+    else:  # a MAP or VARIANT has no order: it travels beside the key that is compared
+        first = F.min_by(packed, F.struct(*[F.col(quote(c)) for c in sortable]) if sortable else F.lit(0))
+    agg = df.groupBy(*[F.col(quote(k)) for k in keys]).agg(first.alias("_first"))
     names = order + rest
     sel = {k: F.col(quote(k)) for k in keys}
     for i, c in enumerate(names):
@@ -63,7 +70,14 @@ def combine_datasets(frames: dict, column: str = "data_type", selected: Sequence
     """SET-3 + PRJ-12 + SET-4: tagged union of several datasets (selection
     order kept; unknown or absent names skipped)."""
     names = [n for n in (selected or list(frames)) if n in frames]
-    return union_by_name(tag_dataset(frames[n], n, column) for n in names)
+    kinds: dict[str, set] = {}
+    for n in names:
+        for f in frames[n].schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    clash = {c for c, k in kinds.items() if len(k) > 1}  # a column that differs in type is text, as the source writes it
+    return union_by_name(tag_dataset(frames[n].select(*[
+        F.col(quote(c)).cast("string").alias(c) if c in clash else F.col(quote(c)) for c in frames[n].columns]), n, column)
+        for n in names)
 
 
 def intersect_sorted(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ..functions._util import as_col, quote
 
 
+ACTIVE_STATUS = "A"  # fixed value: status code of active rows
+
+
 @dataclass(frozen=True)
 class PatternCheck:
     index: int
@@ -26,24 +29,20 @@ class PatternCheck:
     error: str | None
 
 
-_JAVA_CHECKS: dict[str, str | None] = {}
-
-
 def _java_error(spark: SparkSession, p: str) -> str | None:
-    if p not in _JAVA_CHECKS:
-        try:
-            spark.range(1).select(F.lit("").rlike(p)).collect()
-            _JAVA_CHECKS[p] = None
-        except Exception as e:  # Java rejects the pattern
-            _JAVA_CHECKS[p] = f"invalid regex pattern: {str(e).splitlines()[0][:200]}"
-    return _JAVA_CHECKS[p]
+    """What the engine's own regex compiler says about ``p``; no job runs."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(p)
+    except Exception as e:  # Java rejects the pattern
+        cause = getattr(e, "java_exception", None)
+        return f"invalid regex pattern: {cause.getMessage() if cause is not None else e}"
+    return None
 
 
 def check_patterns(spark: SparkSession, patterns: Sequence[str]) -> list[PatternCheck]:
     """FLT-6: a pattern is usable when both Python ``re`` (the source's
     dialect) and Java regex (the engine's) accept it; Python-only syntax such
-    as ``(?P<n>...)`` is rejected. The Java check runs once per pattern text
-    (cached) on a one-row frame."""
+    as ``(?P<n>...)`` is rejected. Both only compile the text: no job runs."""
     out = []
     for i, p in enumerate(patterns):
         err = None
@@ -87,14 +86,19 @@ def any_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def search(df: DataFrame, params: Mapping[str, Any], field_map: Mapping[str, str] | None = None) -> DataFrame:
     """FLT-7: equality search. A parameter name is translated through
     ``field_map`` (falling back to itself, JON-1); parameters that address no
-    column, or whose value is None, are skipped."""
+    column, or whose value is None, are skipped. ``active_only`` is a flag: True
+    asks for active rows, False for all. A value is compared in the column's
+    own type; one that has no such value matches nothing."""
     field_map = dict(field_map or {})
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     conds = []
     for k, v in params.items():
         col = field_map.get(k, k)
+        if k == "active_only" and isinstance(v, bool):
+            v = ACTIVE_STATUS if v else None
         if col not in df.columns or v is None:
             continue
-        conds.append(F.col(quote(col)) == F.lit(v))
+        conds.append(F.coalesce(F.col(quote(col)) == F.lit(str(v)).try_cast(types[col]), F.lit(False)))
     return df.filter(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
@@ -124,34 +128,28 @@ def lookup_or_self(df: DataFrame, column: str, mapping: Mapping[str, str], out:
 
 
 def lookup_join(df: DataFrame, column: str, table: DataFrame, key: str, value: str,
-                out: str | None = None, broadcast_max_rows: int = 1_000_000,
-                salt_buckets: int = 0) -> DataFrame:
+                out: str | None = None, salt_buckets: int = 0) -> DataFrame:
     """JON-1 with a lookup table: left join + ``coalesce(value, self)``.
 
     The table is deduplicated on its key first (last write wins is not
-    defined for tables, so the smallest value wins). It is broadcast only when
-    its row count is checked to be under ``broadcast_max_rows``. Otherwise the
-    join shuffles; AQE splits skewed partitions, and ``salt_buckets > 1``
-    salts explicitly: each probe row gets a random bucket and the lookup rows
-    are replicated once per bucket, so a key holding a third of the rows is
-    spread over ``salt_buckets`` tasks.
+    defined for tables, so the smallest value wins). One shuffle join is
+    planned; Spark turns it into a broadcast when the measured bytes allow it
+    and splits skewed partitions. ``salt_buckets > 1`` salts explicitly: each
+    probe row gets a random bucket and the lookup rows are replicated once per
+    bucket, so a key holding a third of the rows is spread over
+    ``salt_buckets`` tasks.
     """
     out = out or column
     t = table.groupBy(key).agg(F.min(value).alias("_lk_value"))
-    c = F.col(quote(column))
-    keep = [F.col(quote(x)) for x in df.columns if x != out]
-    if t.count() <= broadcast_max_rows:
-        j = df.join(F.broadcast(t), c == t[key], "left")
-        return j.select(*[df[quote(x)] for x in df.columns if x != out],
-                        F.coalesce(F.col("_lk_value"), df[quote(column)]).alias(out))
     if salt_buckets > 1:
         probe = df.withColumn("_lk_salt", (F.rand() * salt_buckets).cast("int"))
         build = t.withColumn("_lk_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         j = probe.join(build, (probe[quote(column)] == build[key]) & (probe["_lk_salt"] == build["_lk_salt"]), "left")
         return j.select(*[probe[quote(x)] for x in df.columns if x != out],
                         F.coalesce(F.col("_lk_value"), probe[quote(column)]).alias(out))
-    j = df.join(t, c == t[key], "left")
-    return j.select(*keep, F.coalesce(F.col("_lk_value"), c).alias(out))
+    j = df.join(t, df[quote(column)] == t[key], "left")
+    return j.select(*[df[quote(x)] for x in df.columns if x != out],
+                    F.coalesce(F.col("_lk_value"), df[quote(column)]).alias(out))
 
 
 def semi(df: DataFrame, allowed, on: Sequence[str]) -> DataFrame:

@@ -268,7 +268,7 @@ def run_rules(df: DataFrame, rules: Sequence[Rule], key: Sequence[str],
             res.schema  # analysis errors surface here
             parts.append(res)
         except Exception as e:  # noqa: BLE001 — a rule failure is data
-            msg = f"Validation rule '{name}' failed: {str(e).splitlines()[0][:300]}"
+            msg = f"Validation rule '{name}' failed: {e}"
             row = [None] * len(key_schema.fields) + [name, None, None, "error", "RULE_EXECUTION_ERROR", msg, None]
             st = T.StructType(list(key_schema.fields) + [T.StructField(f, T.StringType()) for f in ISSUE_FIELDS])
             parts.append(spark.createDataFrame([tuple(row)], st))

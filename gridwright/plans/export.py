@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import bind, dedup, filters, paging, project
+from ..operators import aggregates, bind, dedup, filters, paging, project
 from ..operators.windows import honor_stop_rules
 from ..sinks import (RUNS_SCHEMA, inspection_document, output_paths, write_csv, write_document,
                      write_json_lines)
 from ..sources.grid import to_strict
+from ..session import scratch_path
 from ..sources.schema_files import DATASETS, ExportSchema, load_schema
 
 # Formats allowed per export mode (TSV allowed in general mode,
@@ -59,6 +60,10 @@ class Extraction:
     errors: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     source_info: dict[str, str] = field(default_factory=dict)
+    pagination_info: dict[str, str] = field(default_factory=dict)
+    total_available: int | None = None
+    bound: DataFrame | None = None  # bound rows before the exclusion patterns
+    patterns: tuple[str, ...] = ()
 
     @property
     def success(self) -> bool:
@@ -78,15 +83,23 @@ def _strict(landing: DataFrame) -> DataFrame:
 
 
 def extract(spark: SparkSession, query: ExtractionQuery, landing: DataFrame, *,
-            dedup_keys: Sequence[str] | None = None, honor_stop: bool = False) -> Extraction:
+            dedup_keys: Sequence[str] | None = None, honor_stop: bool = False, pages: DataFrame | None = None,
+            totals: DataFrame | None = None) -> Extraction:
     """PIP-1: landed pages of one dataset → bound, filtered, de-duplicated
     records. Exclusion patterns (FLT-5/6) and search parameters (FLT-7)
     from ``query.filters`` are honoured (D-8); paging (SRT-2) when the query
-    carries pagination with ``max_pages``; stop rules only on request (D-4)."""
+    carries pagination with ``max_pages``; stop rules only on request (D-4).
+
+    A capture is one read of the source, so keep-first and stop rules work per
+    capture. ``pages`` (``sources.grid.page_list``) names every page that was
+    read, those without rows too; without it the pages of the landed rows
+    count. ``totals`` (``sources.grid.reported_totals``) gives the totals that
+    the source reported: run metadata, one row per capture."""
     q = query
     try:
-        rows = BINDERS[q.data_type](landing.filter(F.col("dataset") == q.data_type)
-                                    if "dataset" in landing.columns else landing)
+        raw = landing.filter(F.col("dataset") == q.data_type) if "dataset" in landing.columns else landing
+        rows = BINDERS[q.data_type](raw)
+        bound = rows
         warnings: list[str] = []
         errors: list[str] = []
         pats = list(q.filters.get("exclusion_patterns", []) or [])
@@ -98,29 +111,45 @@ def extract(spark: SparkSession, query: ExtractionQuery, landing: DataFrame, *,
             rows = filters.exclude_patterns(rows, bind.KEY_COLUMN[q.data_type], [c.pattern for c in checks if c.valid])
         sp = q.filters.get("search_params")
         if sp:
-            rows = filters.search(rows, sp, SCHEDULE_FIELDS)
+            rows = filters.search(rows, sp, SEARCH_FIELDS.get(q.data_type))
+        capture = [c for c in ("dataset", "capture_id") if c in rows.columns]
         keys = list(dedup_keys or [bind.KEY_COLUMN[q.data_type]])
         if q.data_type == "deficiency_types":
             out = rows  # the source does not de-duplicate deficiency types
         else:
-            out = dedup.keep_first(rows, keys)
+            out = dedup.keep_first(rows, capture + keys)
         if honor_stop:
-            stats = page_new_counts(rows, out)
-            out = honor_stop_rules(out, stats, q.pagination.page_size if q.pagination else 1000)
+            stats = page_new_counts(rows, out, pages if pages is not None else raw, capture)
+            out = honor_stop_rules(out, stats, q.pagination.page_size if q.pagination else 1000, capture)
+        info = {}
         if q.pagination and q.pagination.max_pages:
             p = q.pagination
-            out = paging.offset_page(out, ["page_no", "row_no"], p.page_size, p.start_page, p.max_pages) \
-                .drop("row_in_page").withColumnRenamed("page_no", "result_page")
+            order = [c for c in ("captured_at", "capture_id", "page_no", "row_no") if c in out.columns]
+            out = paging.offset_page(out.withColumnRenamed("page_no", "_landed_page"),
+                                     [c if c != "page_no" else "_landed_page" for c in order], p.page_size, p.start_page,
+                                     p.max_pages).drop("row_in_page", "_landed_page").withColumnRenamed("page_no", "result_page")
+            info = {"page_size": str(p.page_size), "start_page": str(p.start_page), "max_pages": str(p.max_pages)}
         out.schema  # analysis errors surface here, as a failed run
-        return Extraction(q, out, errors, warnings, {"extraction_method": "landed_pages",
-                                                    "dedup_keys": ",".join(keys)})
+        total = None
+        if totals is not None:
+            mine = totals.filter(F.col("dataset") == q.data_type) if "dataset" in totals.columns else totals
+            total = mine.agg(F.sum("total_available")).first()[0]
+        used = tuple(p for p in pats if isinstance(p, str) and not any(p == c.pattern and not c.valid for c in checks)) if pats else ()
+        return Extraction(q, out, errors, warnings, {"extraction_method": "landed_pages", "dedup_keys": ",".join(keys)},
+                          info, total, bound if used else None, used)
     except Exception as e:  # noqa: BLE001 — a failed extraction is a result
-        return Extraction(q, None, [f"{q.data_type} extraction failed: {str(e).splitlines()[0][:300]}"])
+        return Extraction(q, None, [f"{q.data_type} extraction failed: {e}"])
 
 
-# Search parameter names of the schedule search form.
-SCHEDULE_FIELDS = {"pws_id": "PWS ID", "facility_id": "Facility ID", "schedule_type": "Schedule Type",
-                   "active_only": "Status", "sample_count_unit": "Sample Count"}
+# Search parameter names of each dataset's search form.
+SEARCH_FIELDS = {
+    "sample_schedules": {"pws_id": "PWS ID", "facility_id": "Facility ID", "schedule_type": "Schedule Type",
+                         "active_only": "Status", "sample_count_unit": "Sample Count"},
+    "deficiency_types": {"type_code": "Type Code", "category_code": "Default Category Code",
+                         "severity_code": "Default Severity Code"},
+    "water_systems": {"pws_id": "Water System No.", "active_only": "Activity Status"},
+    "legal_entities": {"active_only": "Status"},
+}
 
 
 def prepare_export(frames: Mapping[str, DataFrame], schema: ExportSchema, mode: str,
@@ -132,20 +161,23 @@ def prepare_export(frames: Mapping[str, DataFrame], schema: ExportSchema, mode:
     return project.transform_datasets(clean, schema, mode, selected)
 
 
-def page_new_counts(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Per page: valid rows and rows that were new (kept by keep-first)."""
-    k = ["capture_id", "page_no"]
+def page_new_counts(rows: DataFrame, kept: DataFrame, pages: DataFrame | None = None,
+                    capture: Sequence[str] = ("capture_id",)) -> DataFrame:
+    """Per page that was read (``pages``, also those without a valid row):
+    valid rows and rows that were new (kept by keep-first)."""
+    k = [*capture, "page_no"]
     valid = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("n_valid"))
     new = kept.groupBy(*k).agg(F.count(F.lit(1)).alias("n_new"))
-    return valid.join(new, k, "left").fillna(0, ["n_new"])
+    read = (pages if pages is not None else rows).select(*k).distinct()
+    return read.join(valid, k, "left").join(new, k, "left").fillna(0, ["n_valid", "n_new"])
 
 
 def _run_row(spark: SparkSession, ex: Extraction, seq: int, count: int | None, seconds: float,
              run_id: str, extra: Mapping[str, str]) -> DataFrame:
     info = dict(ex.source_info)
     info.update(extra)
-    row = (run_id, seq, ex.query.data_type, ex.success, int(count or 0), float(seconds), None,
-           datetime.now(), info, {}, list(ex.errors), list(ex.warnings))
+    row = (run_id, seq, ex.query.data_type, ex.success, int(count or 0), float(seconds), ex.total_available,
+           datetime.now(), info, dict(ex.pagination_info), list(ex.errors), list(ex.warnings))
     return spark.createDataFrame([row], RUNS_SCHEMA)
 
 
@@ -162,9 +194,9 @@ def run_batch(spark: SparkSession, extractions: Sequence[Extraction], destinatio
     cluster fairly when the session runs ``spark.scheduler.mode=FAIR``. Run
     rows keep batch order."""
     if destinations is not None and len(destinations) != len(extractions):
-        raise ValueError("output_destinations must be same length as queries")
+        raise ValueError(f"{len(extractions)} extractions need as many destinations, got {len(destinations)}")
     run_id = uuid.uuid4().hex
-    batch_id = f"batch_{int(time.time())}"
+    batch_id = f"{datetime.now():%Y%m%dT%H%M%S}-{run_id[:8]}"
 
     def one(i: int) -> DataFrame:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"batch_{i % max(1, max_parallel)}")
@@ -198,12 +230,24 @@ def _run_one(spark: SparkSession, extractions: Sequence[Extraction], destination
                 count = obs.get["n"]
             else:
                 count = df.count()
+            _add_warnings(ex, count)
         except Exception as e:  # noqa: BLE001 — a failed write is a failed run
-            ex.errors.append(f"Failed to save {ex.query.data_type}: {str(e).splitlines()[0][:300]}")
+            ex.errors.append(f"Failed to save {ex.query.data_type}: {e}")
     return _run_row(spark, ex, i, count, time.time() - t0, run_id,
                     {"batch_index": str(i), "batch_total": str(len(extractions)), "batch_id": batch_id})
 
 
+def _add_warnings(ex: Extraction, count: int) -> None:
+    """AGG-7..9 as run warnings: rows left out by patterns, rows without a
+    name, and a count that differs from the reported total."""
+    if ex.bound is not None:
+        name = bind.KEY_COLUMN[ex.query.data_type]
+        facts = aggregates.exclusion_counts(ex.bound, ~filters.matches_any(name, list(ex.patterns)), name).first()
+        ex.warnings += [w for w in (facts["exclusion_warning"], facts["empty_name_warning"]) if w]
+    if ex.total_available is not None and ex.total_available != count and not ex.pagination_info:
+        ex.warnings.append(f"{count} records extracted, the source reported {ex.total_available}")
+
+
 def save(df: DataFrame, path: str, fmt: str) -> None:
     """Write one dataset: CSV / TSV (flattened) or JSON lines."""
     if fmt == "csv":
@@ -224,6 +268,9 @@ class ExportConfiguration:
     output_path: str | None = None
     output_dir: str = "."
     filters: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
+    pagination: PaginationConfig | None = None
+    honor_stop: bool = False
+    dedup_keys: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     def check(self) -> list[str]:
         """Argument guards of an export request (plain Python)."""
@@ -241,11 +288,24 @@ class ExportConfiguration:
 
 
 def export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str, DataFrame],
-           events_path: str | None = None, schema: ExportSchema | None = None) -> dict[str, Any]:
+           events_path: str | None = None, schema: ExportSchema | None = None,
+           pages: Mapping[str, DataFrame] | None = None, totals: DataFrame | None = None) -> dict[str, Any]:
     """PIP-3 / PIP-4 / PIP-6: validate → extract each dataset → save (one
     file set per dataset, or one inspection document) → summary; audit events
-    (started / completed / failed) are appended to ``events_path``."""
+    (started / completed / failed) are appended to ``events_path``. Whatever
+    fails, ``export`` returns a result and the last event says how it ended."""
     export_id = uuid.uuid4().hex
+    try:
+        return _export(spark, cfg, landings, events_path, schema, pages or {}, totals, export_id)
+    except Exception as e:  # noqa: BLE001 — a failed export is a result
+        audit(spark, events_path, export_id, "export_failed", "error", {"error": str(e)})
+        return {"success": False, "completed": False, "all_success": False, "errors": [str(e)], "runs": None,
+                "export_id": export_id}
+
+
+def _export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str, DataFrame], events_path: str | None,
+            schema: ExportSchema | None, pages: Mapping[str, DataFrame], totals: DataFrame | None,
+            export_id: str) -> dict[str, Any]:
     audit(spark, events_path, export_id, "export_started", "info", {"data_types": ",".join(cfg.data_types)})
     errs = cfg.check()
     if errs:
@@ -253,15 +313,24 @@ def export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str,
         return {"success": False, "completed": False, "all_success": False, "errors": errs, "runs": None}
     schema = schema or load_schema(spark, "inspection_report" if cfg.export_mode == "inspection" else "general_export")
     ts = datetime.now().strftime("%Y%m%d_%H%M%S")
-    exts = [extract(spark, ExtractionQuery(t, cfg.filters.get(t, {})), landings[t]) for t in cfg.data_types]
+    exts = [extract(spark, ExtractionQuery(t, cfg.filters.get(t, {}), cfg.pagination), landings[t],
+                    dedup_keys=cfg.dedup_keys.get(t), honor_stop=cfg.honor_stop, pages=pages.get(t), totals=totals)
+            for t in cfg.data_types]
     ext = {"csv": ".csv", "tsv": ".tsv", "json": ".json"}[cfg.output_format]
     paths = output_paths(list(cfg.data_types), cfg.output_path, ts, ext, cfg.export_mode, cfg.output_dir)
     if cfg.export_mode == "inspection":
-        frames = {e.query.data_type: e.records for e in exts if e.success}
-        projected = prepare_export(frames, schema, "inspection")
+        for e in exts:
+            if e.success and schema.rules(e.query.data_type) is None:
+                e.errors.append(f"{e.query.data_type} has no fields in the inspection schema: nothing to write")
+        # each dataset is computed once: projected and stored, then counted and written from there
+        frames = {e.query.data_type: written_projection(spark, e, schema) for e in exts if e.success}
+        for e in exts:
+            if e.query.data_type in frames:
+                e.records = frames[e.query.data_type]
         runs = run_batch(spark, exts, None)
-        if projected:
-            write_document(inspection_document(projected), paths["inspection"])
+        if frames:
+            order = {t: ["_arrival"] for t in frames}
+            write_document(inspection_document(frames, order), paths["inspection"])
     else:
         runs = run_batch(spark, exts, [paths[e.query.data_type] for e in exts], cfg.output_format, schema, "general")
     flags = runs.agg(F.bool_and("success").alias("ok"), F.count(F.lit(1)).alias("n")).first()
@@ -272,6 +341,18 @@ def export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str,
             "paths": paths, "export_id": export_id}
 
 
+def written_projection(spark: SparkSession, ex: Extraction, schema: ExportSchema) -> DataFrame:
+    """The inspection fields of one dataset, stored once in the shared folder
+    with their arrival order in ``_arrival``."""
+    rules = schema.rules(ex.query.data_type)
+    order = [c for c in ("captured_at", "capture_id", "result_page", "page_no", "row_no") if c in ex.records.columns]
+    df = ex.records.select(*[project.rule_column(ex.records, r) for r in rules.fields],
+                           F.struct(*order).alias("_arrival"))
+    path = scratch_path(spark, f"inspection-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()), T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("event_type", T.StringType()), T.StructField("aggregate_id", T.StringType()),

@@ -57,13 +57,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def size_for(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
-             min_partitions: int = 200, max_partitions: int = 100_000) -> int:
+             min_partitions: int = 200) -> int:
     """Shuffle sizing from the input volume: about ``input / 256 MB`` initial
-    shuffle partitions (bounded), which AQE then coalesces toward the same
-    advisory size, and file splits of 256 MB. Returns the partition count.
-    For 100 TB of input this gives the 100k cap: ~1 GB per partition before
-    AQE, so a cluster would raise the cap or the target with its memory."""
-    n = max(min_partitions, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    shuffle partitions, which AQE then coalesces toward the same advisory size,
+    and file splits of 256 MB. Returns the partition count (about 400,000 for
+    100 TB; raise the target for fewer, larger partitions)."""
+    n = max(min_partitions, -(-input_bytes // target_partition_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))

@@ -26,25 +26,52 @@ LANDING_KEYS = ["dataset", "capture_id", "page_no", "row_no"]
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Read captured pages as one VARIANT per line (no schema inference)."""
-    return spark.read.text(path).select(F.parse_json("value").alias("page"))
+    """Read captured pages as one VARIANT per line (no schema inference).
+    A line that is no JSON gives a NULL page, and so no rows: one bad line never
+    ends a read. ``capture_issues`` lists such lines."""
+    return spark.read.text(path).select(F.try_parse_json("value").alias("page"))
+
+
+def capture_issues(spark: SparkSession, path: str) -> DataFrame:
+    """``(code, capture_id, page_no, detail)``: captured lines that yield no
+    rows, as data: ``BAD_JSON`` (detail: the line), ``NO_VALUES`` (no array of
+    rows in the page), ``EMPTY_PAGE``. Blank lines are no captures."""
+    d = spark.read.text(path).filter(F.trim("value") != "").select("value", F.try_parse_json("value").alias("p"))
+    rows = F.try_variant_get("p", "$.values", "array<variant>")
+    code = (F.when(F.col("p").isNull(), "BAD_JSON").when(rows.isNull(), "NO_VALUES").when(F.size(rows) == 0, "EMPTY_PAGE"))
+    return d.select(code.alias("code"), F.try_variant_get("p", "$.capture_id", "string").alias("capture_id"),
+                    F.try_variant_get("p", "$.page_no", "bigint").alias("page_no"),
+                    F.when(F.col("p").isNull(), F.col("value")).alias("detail")).filter("code is not null")
+
+
+def page_list(pages: DataFrame, page_col: str = "page") -> DataFrame:
+    """``(dataset, capture_id, page_no)``: every page that was read, also those
+    without rows; stop rules count these."""
+    p = F.col(page_col)
+    return pages.select(F.try_variant_get(p, "$.dataset", "string").alias("dataset"),
+                        F.try_variant_get(p, "$.capture_id", "string").alias("capture_id"),
+                        F.try_variant_get(p, "$.page_no", "bigint").alias("page_no")).filter("page_no is not null").distinct()
 
 
-def explode_rows(pages: DataFrame, page_col: str = "page") -> DataFrame:
+def explode_rows(pages: DataFrame, page_col: str = "page", captured_at: str | None = None) -> DataFrame:
     """SRC-1 / SRC-2 (/ SRC-3 rows): one landing row per grid row, ragged
     form; the same scan serves every dataset.
 
     A page whose ``values`` is missing or not an array gives no rows.
+    ``captured_at`` names a column for the page's capture time.
     """
     p = F.col(page_col)
+    when = [F.try_variant_get(p, "$.captured_at", "timestamp").alias(captured_at)] if captured_at else []
     return (
         pages.select(
+            *when,
             F.try_variant_get(p, "$.dataset", "string").alias("dataset"),
             F.try_variant_get(p, "$.capture_id", "string").alias("capture_id"),
             F.try_variant_get(p, "$.page_no", "bigint").alias("page_no"),
             F.try_variant_get(p, "$.values", "array<variant>").alias("rows"),
         )
-        .select("dataset", "capture_id", "page_no", F.posexplode("rows").alias("row_no", "row"))
+        .select("dataset", "capture_id", *([captured_at] if captured_at else []), "page_no",
+                F.posexplode("rows").alias("row_no", "row"))
         .withColumn("row_no", F.col("row_no").cast("bigint"))
     )
 

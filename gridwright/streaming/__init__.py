@@ -31,11 +31,16 @@ def dedup_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None
 
 
 def run_available(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet",
-                  mode: str = "append", timeout_s: int = 600) -> None:
+                  mode: str = "append", timeout_s: float | None = None) -> None:
     """Run a streaming plan over everything that has landed, then stop."""
     q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(sink))
-    q.awaitTermination(timeout_s)
+    _finish(q, timeout_s)
+
+
+def _finish(q, timeout_s: float | None) -> None:
+    """Wait until all that has landed is processed; a time limit only on request."""
+    q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
     if q.isActive:
         q.stop()
         raise TimeoutError("stream did not finish in time")
@@ -58,18 +63,22 @@ def ingest_pages(spark: SparkSession, landing_dir: str, schema: T.StructType | s
 
 def ingest_captures(spark: SparkSession, landing_dir: str, binder: Callable[[DataFrame], DataFrame],
                     keys: Sequence[str], sink: str, checkpoint: str,
-                    max_files_per_trigger: int | None = None) -> DataFrame:
+                    max_files_per_trigger: int | None = None, event_time: str | None = None,
+                    delay: str = "1 day") -> DataFrame:
     """STR-1 over captured page files (one JSON page per line): parse, explode
     rows, bind with ``binder`` (e.g. ``bind.bind_water_systems``), keep the
     first row to arrive per key in the state store, append to ``sink``.
+    Lines that are no JSON are left out (``sources.grid.capture_issues`` lists
+    them) and do not stop the stream. With ``event_time`` the page's
+    ``captured_at`` (as that column) bounds the state by its watermark.
     Returns the sink as a batch DataFrame."""
     from ..sources.grid import explode_rows, to_strict
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    pages = r.load(landing_dir).select(F.parse_json("value").alias("page"))
-    bound = binder(to_strict(explode_rows(pages)))
-    run_available(dedup_stream(bound, keys), sink, checkpoint)
+    pages = r.load(landing_dir).select(F.try_parse_json("value").alias("page"))
+    bound = binder(to_strict(explode_rows(pages, captured_at=event_time)))
+    run_available(dedup_stream(bound, keys, event_time, delay), sink, checkpoint)
     return spark.read.parquet(sink)
 
 
@@ -98,7 +107,7 @@ def latest_per_key(updates: DataFrame, keys: Sequence[str], value_cols: Sequence
 
 def event_counts(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
                  glob: str | None = None, window: str = "1 day", delay: str = "1 day",
-                 schema: T.StructType | None = None, timeout_s: int = 600) -> DataFrame:
+                 schema: T.StructType | None = None, timeout_s: float | None = None) -> DataFrame:
     """STR-2 end to end over parquet event files: windowed counts in
     ``update`` mode through ``foreachBatch``; returns ``(window_start,
     window_end, event_type, n)`` as a batch DataFrame."""
@@ -124,12 +133,7 @@ def event_counts(spark: SparkSession, source_dir: str, sink: str, checkpoint: st
                            back(F.col("window.end")).alias("window_end"), "event_type", "n")
     q = (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(upsert_batches(sink)).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish in time")
-    if q.exception() is not None:
-        raise q.exception()
+    _finish(q, timeout_s)
     return latest_per_key(spark.read.parquet(sink), ["window_start", "window_end", "event_type"], ["n"])
 
 

@@ -136,7 +136,7 @@ def test_lookup_and_membership(spark):
     assert got == ["", "B", "a"]
     hot = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit("b")).otherwise(
         F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
-    for kw in ({"broadcast_max_rows": 0, "salt_buckets": 8}, {"broadcast_max_rows": 0}, {}):
+    for kw in ({"salt_buckets": 8}, {}):
         res = filters.lookup_join(hot, "k", table, "key", "value", **kw)
         assert res.count() == 3000 and res.filter(F.col("k") == "B").count() == 1000
     allowed = spark.createDataFrame([("a",)], "k string")

@@ -1,10 +1,13 @@
 """Export plans (PIP-*) and the event stream (STR-2, UDF-4)."""
 
 import json
+import os
 import uuid
 
 from pyspark.sql import functions as F
 
+from gridwright.operators import dedup, filters
+from gridwright.sources import grid
 from gridwright import streaming
 from gridwright.plans import export as ex
 from gridwright.plans import standins
@@ -62,12 +65,17 @@ def test_inspection_export(spark, sf_small):
                                  output_path=run + "/report.json")
     res = ex.export(spark, cfg, landings)
     assert res["all_success"]
-    doc = json.loads(spark.read.text(res["paths"]["inspection"]).first()[0])
+    folder = res["paths"]["inspection"]
+    doc = json.loads("".join(open(f"{folder}/{f}").read() for f in sorted(os.listdir(folder)) if f.startswith("part")))
     assert list(doc) == ["water_systems", "deficiency_types"]
     assert set(doc["water_systems"][0]) == {"system_number", "system_name", "population", "county",
                                             "activity_status", "system_type"}
     bad = ex.export(spark, ex.ExportConfiguration(("water_systems",), "inspection", "csv"), landings)
     assert not bad["success"]
+    none = ex.export(spark, ex.ExportConfiguration(("sample_schedules",), "inspection", "json", output_path=run + "/none.json"),
+                     {"sample_schedules": standins.deficiency_rows(spark, sf_small).withColumn("dataset", F.lit("sample_schedules"))})
+    assert not none["all_success"] and "nothing to write" in none["runs"].first()["errors"][0]
+    assert not os.path.exists(run + "/none.json")
 
 
 def test_event_stream_and_handlers(spark, tmp_path):
@@ -85,3 +93,72 @@ def test_event_stream_and_handlers(spark, tmp_path):
                           [lambda b, i: seen.setdefault("all", b.count())])
     h(df, 0)
     assert seen == {"view": 2, "all": 3}
+
+
+def _page(capture, no, ids, at="2024-01-01T00:00:00Z"):
+    rows = [[["A"], [i], [f"name {i}"], ["GW"], ["C"], ["NP"], ["10"], ["COUNTY"]] for i in ids]
+    return json.dumps({"dataset": "water_systems", "capture_id": capture, "captured_at": at, "page_no": no, "total": "9", "values": rows})
+
+
+def _captures(spark, tmp_path, lines):
+    (tmp_path / "pages.json").write_text("\n".join(lines))
+    return grid.read_captures(spark, str(tmp_path / "pages.json"))
+
+
+def test_captures_are_read_apart(spark, tmp_path):
+    raw = _captures(spark, tmp_path, [
+        _page("a", 0, ["K1", "K2", "K3"]), _page("a", 1, []), _page("a", 2, ["K4", "K5", "K6"]),
+        _page("b", 0, ["K1", "K2", "K3"]), _page("b", 1, ["K7", "K8"]), "{broken", _page("c", 0, ["K1", "K2", "K3"]),
+        _page("c", 1, ["K3", "K2", "K1"]), _page("c", 2, ["K9", "K9", "K9"])])
+    landing, pages, totals = grid.explode_rows(raw, captured_at="captured_at"), grid.page_list(raw), grid.reported_totals(raw)
+    q = ex.ExtractionQuery("water_systems", pagination=ex.PaginationConfig(page_size=3))
+    e = ex.extract(spark, q, landing, honor_stop=True, pages=pages, totals=totals)
+    got = sorted((r["capture_id"], r["Water System No."]) for r in e.records.collect())
+    # a stops at its empty page, b after its short page, c before its page without new keys
+    assert got == [("a", k) for k in ("K1", "K2", "K3")] + [("b", k) for k in ("K1", "K2", "K3", "K7", "K8")] + [
+        ("c", k) for k in ("K1", "K2", "K3")]
+    assert e.total_available == 27
+    every = ex.extract(spark, q, landing)
+    assert every.records.count() == 6 + 5 + 4
+    run = ex.run_batch(spark, [e]).first()
+    assert run["total_available"] == 27 and "27" in run["warnings"][0]
+
+
+def test_bad_lines_become_issues(spark, tmp_path):
+    raw = _captures(spark, tmp_path, [_page("a", 0, ["K1"]), "{broken", "", '{"capture_id": "a", "page_no": 7}', _page("a", 1, [])])
+    landing = grid.explode_rows(raw)
+    assert ex.extract(spark, ex.ExtractionQuery("water_systems"), landing).records.count() == 1
+    issues = {r["code"]: r for r in grid.capture_issues(spark, str(tmp_path / "pages.json")).collect()}
+    assert set(issues) == {"BAD_JSON", "NO_VALUES", "EMPTY_PAGE"}
+    assert issues["BAD_JSON"]["detail"] == "{broken" and issues["NO_VALUES"]["page_no"] == 7
+
+
+def test_a_failing_export_says_so(spark, sf_small, tmp_path):
+    cfg = ex.ExportConfiguration(("water_systems",), "inspection", "json", output_path="nosuchfs://x/report.json")
+    res = ex.export(spark, cfg, {"water_systems": standins.water_system_grid(spark, sf_small)}, events_path=str(tmp_path / "ev"))
+    assert not res["success"] and res["errors"]
+    evs = [r["event_type"] for r in spark.read.parquet(str(tmp_path / "ev")).orderBy("timestamp").collect()]
+    assert evs == ["export_started", "export_failed"]
+
+
+def test_run_facts(spark, sf_small, tmp_path):
+    cfg = ex.ExportConfiguration(("legal_entities", "deficiency_types"), "general", "csv", output_path=str(tmp_path / "o.csv"),
+                                 filters={"legal_entities": {"exclusion_patterns": ["NATION_1"]},
+                                          "deficiency_types": {"search_params": {"severity_code": "PROMO", "active_only": True}}},
+                                 pagination=ex.PaginationConfig(5, 1, 1))
+    res = ex.export(spark, cfg, {"legal_entities": standins.legal_entity_grid(spark, sf_small),
+                                 "deficiency_types": standins.deficiency_rows(spark, sf_small)})
+    runs = {r["data_type"]: r for r in res["runs"].collect()}
+    assert runs["legal_entities"]["warnings"][0].startswith("Excluded ") and runs["legal_entities"]["pagination_info"]["page_size"] == "5"
+    assert runs["legal_entities"]["extracted_count"] <= 5 and runs["deficiency_types"]["success"]
+
+
+def test_search_and_union_types(spark):
+    d = spark.createDataFrame([("A", 1), ("I", 2)], "Status string, n int")
+    f = {"active_only": "Status", "count": "n"}
+    assert filters.search(d, {"active_only": True}, f).count() == 1 and filters.search(d, {"active_only": False}, f).count() == 2
+    assert filters.search(d, {"count": "2"}, f).count() == 1 and filters.search(d, {"count": "many"}, f).count() == 0
+    both = dedup.combine_datasets({"a": d, "b": spark.createDataFrame([("x",)], "n string")})
+    assert sorted(r["n"] for r in both.collect()) == ["1", "2", "x"]
+    m = spark.sql("select 1 k, 2 page_no, 0 row_no, map('a', 1) r union all select 1, 1, 0, map('a', 2)")
+    assert dedup.keep_first(m, ["k"]).first()["r"] == {"a": 2}

@@ -9,7 +9,7 @@ def test_size_for_bounds(spark):
     try:
         assert session.size_for(spark, 10 << 20) == 200                      # small input: the floor
         assert session.size_for(spark, 1 << 40) == 4096                      # 1 TiB / 256 MiB
-        assert session.size_for(spark, 100 << 40) == 100_000                 # 100 TiB: the cap
+        assert session.size_for(spark, 100 << 40) == 409_600                 # 100 TiB / 256 MiB: no cap
         assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(256 << 20)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
