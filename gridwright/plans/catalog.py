@@ -20,7 +20,7 @@ from ..operators import bind, dedup, events, filters, migrate, paging, project,
 from ..session import scratch_path, table
 from ..sinks import append_runs, inspection_document, read_csv, records_of, write_csv
 from ..sources.schema_files import DatasetRules, FieldRule, load_schema
-from ..sources.html import html_rows
+from ..sources.html import bind_header, html_rows
 from .. import streaming
 from . import standins
 
@@ -1210,6 +1210,113 @@ def q_export_run(spark, sf):
                        "success", "extracted_count")
 
 
+@query("export_rows", """
+SELECT "Activity Status", "Water System No.", "Name", "Federal Primary Source", "Federal Type", "State Type", "Population",
+       "Principal County Served" FROM (""" + WS_DEDUP_SQL + """) d""")
+def q_export_rows(spark, sf):
+    """The rows that an export wrote, read back."""
+    from . import export as ex
+    run = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    cfg = ex.ExportConfiguration(("water_systems",), "general", "csv", output_path=run + "/out.csv")
+    res = ex.export(spark, cfg, {"water_systems": standins.water_system_grid(spark, sf)})
+    return spark.read.option("header", True).option("escape", '"').csv(res["paths"]["water_systems"]) \
+        .drop("page_no", "row_no").na.fill("")
+
+
+_TWO_CAPTURES_SQL = f"""
+SELECT * REPLACE ('c1' AS capture_id) FROM ({WS_BOUND_SQL}) a WHERE "Population" <> '0'
+UNION ALL SELECT * REPLACE ('c0' AS capture_id) FROM ({WS_BOUND_SQL}) b"""
+
+
+def _two_captures(spark, sf):
+    rows = ws_bound(spark, sf)
+    later = rows.filter(F.col("Population") != "0").withColumn("capture_id", F.lit("c1"))
+    return later.unionByName(rows.withColumn("capture_id", F.lit("c0")))
+
+
+@query("multi_capture_dedup", f"""
+SELECT * FROM ({_TWO_CAPTURES_SQL}) t
+QUALIFY row_number() OVER (PARTITION BY capture_id, "Water System No." ORDER BY page_no, row_no) = 1""")
+def q_multi_capture_dedup(spark, sf):
+    return dedup.keep_first(_two_captures(spark, sf), ["dataset", "capture_id", "Water System No."])
+
+
+_READS_SQL = """
+WITH o AS (SELECT o_orderpriority AS capture_id, CAST(o_orderkey // 40 AS BIGINT) AS page_no, CAST(o_orderkey % 40 AS BIGINT) AS row_no,
+                  o_custkey % 50 AS k, o_orderstatus = 'F' AND o_orderkey // 40 % 9 = 8 AS blank FROM orders)"""
+
+
+@query("stop_rules_captures", _READS_SQL + """,
+pages AS (SELECT DISTINCT capture_id, page_no FROM o),
+v AS (SELECT * FROM o WHERE NOT blank AND NOT (capture_id = '5-LOW' AND page_no = 2)),
+f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY capture_id, k ORDER BY page_no, row_no) = 1),
+s AS (SELECT p.capture_id, p.page_no, (SELECT count(*) FROM v WHERE v.capture_id = p.capture_id AND v.page_no = p.page_no) AS n_valid,
+             (SELECT count(*) FROM f WHERE f.capture_id = p.capture_id AND f.page_no = p.page_no) AS n_new FROM pages p),
+stop AS (SELECT capture_id, min(CASE WHEN n_valid = 0 OR n_new = 0 THEN page_no - 1 WHEN n_valid < 4 THEN page_no END) AS sp
+         FROM s GROUP BY capture_id)
+SELECT f.capture_id, f.page_no, f.row_no, CAST(f.k AS BIGINT) AS k FROM f JOIN stop USING (capture_id)
+WHERE sp IS NULL OR f.page_no <= sp""")
+def q_stop_rules_captures(spark, sf):
+    """Several captures, pages without a valid row, pages without a new key."""
+    from .export import page_new_counts
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("capture_id"), F.floor(F.col("o_orderkey") / 40).cast("bigint").alias("page_no"),
+        (F.col("o_orderkey") % 40).cast("bigint").alias("row_no"), (F.col("o_custkey") % 50).cast("bigint").alias("k"),
+        ((F.col("o_orderstatus") == "F") & (F.floor(F.col("o_orderkey") / 40) % 9 == 8)).alias("blank"))
+    valid = o.filter(~F.col("blank") & ~((F.col("capture_id") == "5-LOW") & (F.col("page_no") == 2)))
+    kept = dedup.keep_first(valid, ["capture_id", "k"])
+    stats = page_new_counts(valid, kept, o, ["capture_id"])
+    return windows.honor_stop_rules(kept, stats, 4, ["capture_id"]).select("capture_id", "page_no", "row_no", "k")
+
+
+@query("capture_issues", """
+SELECT CASE event_id % 5 WHEN 0 THEN 'BAD_JSON' WHEN 1 THEN 'NO_VALUES' ELSE 'EMPTY_PAGE' END AS code,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS capture_id,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id AS BIGINT) END AS page_no,
+       CASE WHEN event_id % 5 = 0 THEN left(props, length(props) - 1) END AS detail
+FROM events WHERE event_id % 5 IN (0, 1, 2)""")
+def q_capture_issues(spark, sf):
+    from ..sources import grid
+    e = table(spark, sf, "events")
+    head = F.concat(F.lit('{"capture_id": "'), "event_type", F.lit('", "page_no": '), "event_id")
+    kind = F.col("event_id") % 5
+    line = (F.when(kind == 0, F.expr("left(props, length(props) - 1)")).when(kind == 1, F.concat(head, F.lit("}")))
+            .when(kind == 2, F.concat(head, F.lit(', "values": []}'))).when(kind == 3, F.lit(" "))
+            .otherwise(F.concat(head, F.lit(', "values": [[["x"]]]}'))))
+    path = scratch_path(spark, f"captures-{uuid.uuid4().hex}")
+    e.select(line).write.text(path)
+    return grid.capture_issues(spark, path)
+
+
+@query("fallback_rows", """
+WITH p AS (SELECT p_partkey, p_partkey % 4 AS kind, p_brand, p_type, p_name FROM part)
+SELECT p_partkey AS page_no, 'main' AS source, 1 AS row_index, p_brand AS code FROM p WHERE kind = 0
+UNION ALL SELECT p_partkey, 'wide', 1, p_type FROM p WHERE kind = 1
+UNION ALL SELECT p_partkey, 'wide', 2, p_name FROM p WHERE kind = 1
+UNION ALL SELECT p_partkey, 'table', 1, p_brand FROM p WHERE kind = 2
+UNION ALL SELECT p_partkey, 'table', 2, p_name FROM p WHERE kind = 2""")
+def q_fallback_rows(spark, sf):
+    """Main array, else the largest other array, else the page's table."""
+    from ..sources import grid
+    q = lambda c: F.to_json(F.array(c, F.lit("x"), F.lit("y"), F.lit("z")))
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 4).alias("kind"), "p_brand", "p_type", "p_name")
+    arrays = (F.when(F.col("kind") == 0, F.concat(F.lit('"main": ['), q(F.col("p_brand")), F.lit('], "wide": [[1], [2]]')))
+              .when(F.col("kind") == 1, F.concat(F.lit('"main": [], "thin": [["t"]], "wide": ['), q(F.col("p_type")), F.lit(","),
+                                                 q(F.col("p_name")), F.lit("]"))).otherwise(F.lit('"main": []')))
+    html = F.concat(F.lit("<table><tr><th>Type Code</th></tr><tr><td>"), "p_brand", F.lit("</td></tr><tr><td>"), "p_name",
+                    F.lit("</td></tr></table>"))
+    pages = p.select("p_partkey", F.when(F.col("kind") == 2, html).alias("html"), F.parse_json(F.concat(
+        F.lit('{"page_no": '), "p_partkey", F.lit(', "capture_id": "c0", '), arrays, F.lit("}"))).alias("page"))
+    rows = grid.fallback_rows(pages, ["main", "thin", "wide"])
+    bound = bind.bind_generic(rows.drop("capture_id").withColumnRenamed("source", "capture_id"))  # carried as a landing key
+    arrays_out = bound.select("page_no", F.col("capture_id").alias("source"), F.col("row_index").cast("int").alias("row_index"),
+                              F.col("record")["Type Code"].alias("code"))
+    tables = bind_header(html_rows(pages.filter("html is not null").select("p_partkey", "html"), "html", ["p_partkey"]),
+                         ["p_partkey", "table_no"])
+    return arrays_out.unionByName(tables.select(F.col("p_partkey").alias("page_no"), F.lit("table").alias("source"), "row_index",
+                                                F.col("record")["Type Code"].alias("code")))
+
+
 # HTML tables rendered from lineitem, one page per order, parsed back by the
 # table scans (SRC-6, SRC-7, PRJ-5c, WIN-1). A page holds its order's lines
 # (a handful here: 4 on average); the per-order list is a partial + final

@@ -88,11 +88,12 @@ def metadata_rows(spark: SparkSession, runs: DataFrame, export_mode: str | None
 
 def write_csv_with_preamble(df: DataFrame, runs: DataFrame, path: str, export_mode: str | None = None) -> None:
     """SNK-3 text form: preamble lines, a blank line, then the CSV header and
-    rows, in one file. Only for small exports (one file is one task)."""
+    rows, in files that hold ordered ranges: concatenated in name order they
+    are the text."""
     spark = df.sparkSession
     meta = metadata_rows(spark, runs, export_mode)
     pre = meta.select(F.col("seq").cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                      F.format_string("%s,%s", "key", "value").alias("line"))
+                      F.to_csv(F.struct("key", "value"), {"escape": '"'}).alias("line"))
     blank = spark.range(1).select(F.lit(100).cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
                                   F.lit("").alias("line"))
     flat = flatten(df)
@@ -102,8 +103,8 @@ def write_csv_with_preamble(df: DataFrame, runs: DataFrame, path: str, export_mo
     body = flat.select(F.lit(102).cast("bigint").alias("o1"), F.monotonically_increasing_id().alias("o2"),
                        F.to_csv(F.struct(*[quote(c) for c in cols]), {"escape": '"', "nullValue": "",
                                                                      "emptyValue": ""}).alias("line"))
-    pre.unionByName(blank).unionByName(header).unionByName(body).coalesce(1) \
-        .sortWithinPartitions("o1", "o2").select("line").write.mode("overwrite").text(path)
+    pre.unionByName(blank).unionByName(header).unionByName(body) \
+        .orderBy("o1", "o2").select("line").write.mode("overwrite").text(path)
 
 
 def multi_dataset_csv(frames: Mapping[str, DataFrame], path: str, selected: Sequence[str] | None = None,

@@ -124,6 +124,25 @@ def grid_from_table(df: DataFrame, key: str | Column, cells: Sequence[Column], *
     )
 
 
+def fallback_rows(pages: DataFrame, names: Sequence[str], page_col: str = "page") -> DataFrame:
+    """SRC-4 + SRC-5 as rows: per page the first of the named arrays when it
+    has rows, else the largest of the others (ties: first named); landing rows
+    ``capture_id, page_no, source, row_no, row`` for ``bind.bind_generic``. The
+    choice is made inside the page: no shuffle. Pages without any such array
+    give no rows; their tables are read by ``sources.html``."""
+    p = F.col(page_col)
+    found = F.filter(F.array(*[F.struct(
+        F.lit(k == 0).alias("main"), F.size(F.try_variant_get(p, f"$.{n}", "array<variant>")).alias("size"),
+        F.lit(-k).alias("ord"), F.lit(n).alias("name")) for k, n in enumerate(names)]), lambda x: x["size"] > 0)
+    best = F.array_max(F.transform(found, lambda x: F.struct(
+        x["main"].alias("main"), F.when(x["main"], 0).otherwise(x["size"]).alias("size"), x["ord"].alias("ord"),
+        x["name"].alias("name"))))
+    rows = F.coalesce(*[F.when(F.col("source") == n, F.try_variant_get(p, f"$.{n}", "array<variant>")) for n in names])
+    return (pages.select(p, F.try_variant_get(p, "$.capture_id", "string").alias("capture_id"),
+                         F.try_variant_get(p, "$.page_no", "bigint").alias("page_no"), best["name"].alias("source"))
+            .filter("source is not null").select("capture_id", "page_no", "source", F.posexplode(rows).alias("row_no", "row")))
+
+
 def choose_source(candidates: DataFrame, key: Sequence[str] = ("capture_id",)) -> DataFrame:
     """SRC-4: ordered source fallback. ``candidates`` has one row per
     (capture, source) with ``priority`` (lower first) and ``n_rows``; keep,

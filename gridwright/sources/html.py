@@ -141,8 +141,10 @@ def parse_tables(html: str | None, container: str = "table", row: str = "tr",
     try:
         b.feed(html)
         b.close()
-    except Exception:  # malformed markup: keep what was parsed
-        pass
+    except AssertionError:  # a marked section the parser does not know: read its opening as text
+        b = _TreeBuilder()
+        b.feed(html.replace("<![", "&lt;!["))
+        b.close()
     out = []
     for t in b.root.descendants((container,)):
         if css_class is not None and css_class not in t.css_classes():
@@ -178,11 +180,11 @@ def html_rows(df: DataFrame, html_col: str = "html", id_cols: Sequence[str] = ("
     """
     id_cols = list(id_cols)
     id_fields = [df.schema[c] for c in id_cols]
+    quote = lambda c: "`" + c.replace("`", "``") + "`"  # noqa: E731  (this module ships by value and imports no sibling)
+    # a table leaves Python as one row; its rows and header are taken apart in the JVM
     out_schema = T.StructType(id_fields + [
         T.StructField("table_no", T.IntegerType(), False),
-        T.StructField("row_no", T.IntegerType(), False),
-        T.StructField("cells", T.ArrayType(T.StringType(), False), False),
-        T.StructField("header", T.ArrayType(T.StringType(), False), False),
+        T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType(), False), False), False),
     ])
     cells_t = tuple(cells)
 
@@ -190,22 +192,20 @@ def html_rows(df: DataFrame, html_col: str = "html", id_cols: Sequence[str] = ("
         for pdf in batches:
             recs = []
             for rec in pdf.itertuples(index=False):
-                ids = tuple(getattr(rec, c) for c in id_cols)
-                tables = parse_tables(getattr(rec, html_col), container, row, cells_t,
-                                      css_class, min_rows=1)
+                *ids, page = rec
+                tables = parse_tables(page, container, row, cells_t, css_class, min_rows=1)
                 tables = [t for t in tables if len(t) >= min_data_rows]
                 if first_only:
                     tables = tables[:1]
-                for ti, t in enumerate(tables):
-                    for ri, vals in enumerate(t):
-                        recs.append(ids + (ti, ri, vals, t[0]))
-            yield pd.DataFrame.from_records(
-                recs, columns=id_cols + ["table_no", "row_no", "cells", "header"])
+                recs += [(*ids, ti, t) for ti, t in enumerate(tables)]
+            yield pd.DataFrame.from_records(recs, columns=id_cols + ["table_no", "rows"])
 
     # Pages without the container tag cannot yield rows: drop them JVM-side
     # (a case-insensitive regex find) before anything crosses into Python.
-    has_tag = F.col(html_col).rlike(f"(?i)<{container}[\\s>/]")
-    return df.select(*id_cols, html_col).filter(has_tag).mapInPandas(scan, out_schema)
+    has_tag = F.col(quote(html_col)).rlike(f"(?i)<{container}[\\s>/]")
+    ids = [F.col(quote(c)) for c in id_cols]
+    tables = df.select(*ids, F.col(quote(html_col))).filter(has_tag).mapInPandas(scan, out_schema)
+    return (tables.select(*ids, "table_no", F.posexplode("rows").alias("row_no", "cells"), F.col("rows")[0].alias("header")))
 
 
 # Fixed value: CSS class of the schedules result table (SRC-7).
