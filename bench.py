@@ -42,7 +42,10 @@ HEADLINE = [
     "issue_summary",
     "html_rows",
     "csv_roundtrip",
+    "html_tables",
+    "schedule_tables",
     "inspection_document",
+    "json_envelope",
 ]
 
 
