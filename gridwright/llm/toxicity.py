@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ from gridwright.llm.common import fold, fresh, written
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-MAX_POS, MAX_UNL, MEMBERS = 3000, 6000, 3
+MAX_POS, MAX_UNL, MEMBERS = 2000, 4000, 3
 STEMS = (3, 4, 5, 6, 7)
 PURITY = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -41,15 +42,20 @@ def features(text: str | None) -> set[str]:
     return words.union(*[["^" + w[:k] for w in words if len(w) > k] for k in STEMS])
 
 
-def matched(text: str | None, known: frozenset, stems: tuple) -> set[str]:
-    """The features of ``text`` that a model knows, without building all;
-    ``stems`` has (length, known beginnings)."""
-    words = set(_WORD.findall((text or "").lower()))
-    hit = words & known
-    for k, beginnings in stems:
-        found = beginnings.intersection([w[:k] for w in words if len(w) > k])
-        hit.update("^" + b for b in found)
-    return hit
+class Known:
+    """A fixed set of features, looked up in texts without building all theirs."""
+
+    def __init__(self, names):
+        self.words = frozenset(x for x in names if x[0] != "^")
+        self.stems = [(k, frozenset(x[1:] for x in names if x[0] == "^" and len(x) == k + 1)) for k in STEMS]
+
+    def within(self, text: str | None) -> set[str]:
+        words = set(_WORD.findall((text or "").lower()))
+        hit = words & self.words
+        for k, beginnings in self.stems:
+            if beginnings:
+                hit.update("^" + b for b in beginnings.intersection([w[:k] for w in words if len(w) > k]))
+        return hit
 
 
 def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, l1: float = 5e-5, steps: int = 500,
@@ -79,32 +85,36 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, l1: float = 5e-5, steps:
     return w, float(b)
 
 
-def _fit(pos: list[set], unl: list[set], prior: float) -> tuple[dict[str, float], float]:
-    pos = list({frozenset(s): s for s in pos}.values())  # copies of one document confirm nothing new
-    df = Counter(x for s in pos for x in s)
-    least = max(3, len(pos) // 50)
-    du = Counter(x for s in unl for x in s if df[x] >= least)
+def _frequent(texts: list[str], least: int) -> Counter:
+    """Document counts of the features that ``least`` texts or more have.
+    Hashed counts, never too low, first tell which few can reach it."""
+    bins = np.zeros(1 << 22, np.int32)
+    place = lambda x: crc32(x.encode()) & ((1 << 22) - 1)
+    for t in texts:
+        bins[list({place(x) for x in features(t)})] += 1
+    df = Counter(x for t in texts for x in features(t) if bins[place(x)] >= least)
+    return Counter({x: c for x, c in df.items() if c >= least})
+
+
+def _fit(pos: list[str], unl: list[str], prior: float) -> tuple[dict[str, float], float]:
+    """One classifier: word weights and intercept. Only the texts, and for each
+    the numbers of its frequent features, are held at a time."""
+    pos = list(dict.fromkeys(pos))  # copies of one document confirm nothing new
+    df = _frequent(pos, max(3, len(pos) // 50))
+    col = {x: k for k, x in enumerate(sorted(df))}
+    known = Known(col)
+    rows = [[np.array(sorted(col[x] for x in known.within(t)), int) for t in texts] for texts in (pos, unl)]
+    cp, cu = (np.bincount(np.concatenate([np.empty(0, int), *r]), minlength=len(col)) for r in rows)
+    # What enters the fit is clearly (4 sigma) commoner among the positives, and by the class prior most
+    # documents that have it are positive: weaker signs only add up in long texts.
     n, m = len(pos), len(unl)
-
-    def telling(x: str) -> bool:
-        """Clearly (4 sigma) commoner among the positives, and by the class
-        prior most documents that have it are positive: weaker signs only add
-        up in long texts."""
-        both = (df[x] + du[x]) / (n + m)
-        clear = df[x] / n - du[x] / m > 4 * (both * (1 - both) * (1 / n + 1 / m)) ** 0.5
-        return clear and prior * df[x] / n * m >= PURITY * (du[x] + 1)
-
-    vocab = sorted(x for x, c in df.items() if c >= least and telling(x))
-    col = {x: k for k, x in enumerate(vocab)}
-
-    def matrix(sets):
-        x = np.zeros((len(sets), len(vocab)))
-        for i, s in enumerate(sets):
-            x[i, [col[t] for t in s if t in col]] = 1
-        return x
-
-    w, b = nnpu(matrix(pos), matrix(unl), prior)
-    return {x: float(v) for x, v in zip(vocab, w) if v}, b
+    both = (cp + cu) / (n + m)
+    clear = cp / n - cu / m > 4 * np.sqrt(both * (1 - both) * (1 / n + 1 / m))
+    use = np.flatnonzero(clear & (prior * cp / n * m >= PURITY * (cu + 1)))
+    xp, xu = (np.array([np.isin(use, r) for r in part], float).reshape(len(part), len(use)) for part in rows)
+    w, b = nnpu(xp, xu, prior)
+    names = sorted(df)
+    return {names[k]: float(v) for k, v in zip(use, w) if v}, b
 
 
 def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: int = MAX_UNL,
@@ -132,8 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: i
     def fit(rows):
         import pandas as pd
         rows = rows.sort_values(["pos", "doc_id", "text"], na_position="first")
-        p = [features(t) for t in rows.loc[rows["pos"], "text"]]
-        u = [features(t) for t in rows.loc[~rows["pos"], "text"]]
+        p, u = ([t or "" for t in rows.loc[rows["pos"] == v, "text"]] for v in (True, False))
         if not p or not u:
             return pd.DataFrame({"member": [], "word": [], "weight": []})
         w, b = _fit(p, u, prior)
@@ -149,15 +158,14 @@ def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: i
 
 def score(docs: DataFrame, model: list, into: str) -> DataFrame:
     """``docs`` with a column ``into``: the mean score of the classifiers, 0 to 1."""
-    known = frozenset(x for w, _ in model for x in w)
-    stems = tuple((k, frozenset(x[1:] for x in known if x[0] == "^" and len(x) == k + 1)) for k in STEMS)
+    known = Known({x for w, _ in model for x in w})
 
     @F.pandas_udf("double")
     def toxicity(texts):
         import pandas as pd
         out = []
         for t in texts:
-            hit = matched(t, known, stems)
+            hit = known.within(t)
             z = np.array([b + sum(w[x] for x in sorted(hit) if x in w) for w, b in model])
             out.append(float((1 / (1 + np.exp(-np.clip(z, -40, 40)))).mean()))
         return pd.Series(out, dtype="float64")
