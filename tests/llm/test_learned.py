@@ -120,7 +120,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_main_text():
     tree = html_extract.grow(*html_extract.labelled())
-    assert html_extract.main_text([PAGE], tree) == ["A & B First para bold Second para link . Of."]
+    assert html_extract.main_text([PAGE], tree) == ["A & B First para bold Second para link. Of."]
     long = "word " * 60
     open_page = f"<div><a href=a>one</a><a href=b>two</a></div><p>{long}</p><p>{long}</p><div><a href=c>three</a></div>"
     assert html_extract.main_text([open_page], tree) == [(long * 2).strip()]
