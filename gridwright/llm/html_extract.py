@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -51,6 +52,14 @@ LABELLED = """
 5 0.0 2 1.0 0 0 0 0 0
 9 0.1 4 1.0 0 0 0 0 0
 3 0.0 0 0 4 1.0 0 0 0
+1 1.0 0 0 60 0.0 0 0 0
+2 1.0 0 0 60 0.0 0 0 0
+6 1.0 0 0 90 0.0 0 0 0
+4 0.9 0 0 8 0.0 0 1 0
+1 1.0 55 0.0 0 0 0 0 0
+2 1.0 40 0.0 0 0 0 0 0
+3 1.0 50 0.0 45 0.0 0 0 0
+9 1.0 70 0.0 30 0.0 0 0 0
 2 0.0 5 0.9 6 1.0 0 0 0
 6 0.0 2 1.0 70 0.0 0 1 1
 9 0.0 0 0 80 0.0 0 1 1
@@ -150,6 +159,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     page order; markup that never shows is gone, references are decoded."""
     out: list[tuple[str, int, int, int, int]] = []
     stack: list[tuple[str, int]] = []  # open elements with the place of their content
+    open_: Counter = Counter()  # and how many there are of each name
     parts: list[str] = []
     linked, links, heading = 0, 0, 0
 
@@ -173,13 +183,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     def close(depth: int) -> None:
         nonlocal links, heading
         for tag, _ in stack[depth:]:
+            open_[tag] -= 1
             links -= tag == "a"
             if len(tag) == 2 and tag[0] == "h":
                 heading = 0
         del stack[depth:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in _TOKEN.finditer(page + ">"):  # the sign closes a tag that the page leaves open, so none is searched for twice
         if m.start() > at:
             say(page[at:m.start()])
         at = m.end()
@@ -192,7 +203,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             parts.append(" ")
             continue
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if open_[tag] else None
             if tag not in INLINE or (depth is not None and any(p != (stack[depth - 1][1] if depth else 0)
                                                                for _, p in stack[depth:])):
                 flush()
@@ -220,6 +231,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag in INLINE and place != outer:
             flush()
         stack.append((tag, place))
+        open_[tag] += 1
         links += tag == "a"
         if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             heading = 1

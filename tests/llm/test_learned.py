@@ -122,7 +122,7 @@ def test_main_text():
     tree = html_extract.grow(*html_extract.labelled())
     assert html_extract.main_text([PAGE], tree) == ["A & B First para bold Second para link. Of."]
     long = "word " * 60
-    open_page = f"<div><a href=a>one</a><a href=b>two</a></div><p>{long}</p><p>{long}</p><div><a href=c>three</a></div>"
+    open_page = f"<div><a href=a>one</a> <a href=b>two</a></div><p>{long}</p><p>{long}</p><div><a href=c>three</a></div>"
     assert html_extract.main_text([open_page], tree) == [(long * 2).strip()]
     assert html_extract.main_text([None, "", "<!-- x", "<script>a", "<p>a &am b &lt;i&gt;</p>" + f"<p>{long}</p>"], tree)[:4] == [""] * 4
 
@@ -141,5 +141,5 @@ def test_extract_keeps_rows_and_columns(spark):
 
 
 def test_html_is_linear_on_open_markup():
-    for bad in ("<a \"" * 30_000, "<" * 100_000, "<div>" * 20_000, "<p class='" * 20_000):
+    for bad in ("<a \"" * 30_000, "<" * 100_000, "<div>" * 20_000, "<p class='" * 20_000, "<b>" * 20_000 + "</i>" * 20_000):
         html_extract.blocks(bad)

@@ -162,10 +162,12 @@ def test_near_lines(spark):
                     b[q:q + 1] = [] if o == 1 else ["y"]
             lines.add("".join(b))
     lines = sorted(lines)
-    d = spark.createDataFrame(list(enumerate(lines)), "lid bigint, line string")
+    d = spark.createDataFrame([(x,) for x in lines + lines[::3]], "line string")
     for edits, least in ((1, 2), (2, 3), (2, 24), (3, 4)):
         pairs = line_dedup.near_pairs(d, edits, least)
-        got = {(min(r["a"], r["b"]), max(r["a"], r["b"])): r["edits"] for r in pairs.collect()}
+        rows = pairs.collect()
+        got = {tuple(sorted((lines.index(r["p"]), lines.index(r["t"])))): r["edits"] for r in rows}
+        assert len(got) == len(rows) and all(len(r["p"]) <= len(r["t"]) for r in rows)
         want = {}
         for (i, x), (j, y) in itertools.combinations(enumerate(lines), 2):
             if min(len(x), len(y)) >= max(least, edits + 1) and abs(len(x) - len(y)) <= edits and (e := distance(x, y)) <= edits:
