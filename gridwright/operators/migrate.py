@@ -32,7 +32,7 @@ class Migrator:
     def path(self, schema: str, from_version: str, to_version: str) -> list[tuple[str, str]]:
         steps = self._steps.get(schema)
         if not steps:
-            raise MigrationError(f"No migrations registered for schema: {schema}")
+            raise MigrationError(f"{schema}: no migration step is known")
         if (from_version, to_version) in steps:
             return [(from_version, to_version)]
         prev: dict[str, tuple[str, str] | None] = {from_version: None}
@@ -50,7 +50,7 @@ class Migrator:
                             cur = prev[cur][0]
                         return out[::-1]
                     q.append(b)
-        raise MigrationError(f"No migration path from {from_version} to {to_version}")
+        raise MigrationError(f"{schema}: no chain of steps leads from {from_version} to {to_version}")
 
     def migrate(self, df: DataFrame, schema: str, from_version: str, to_version: str) -> DataFrame:
         if from_version == to_version:

@@ -146,6 +146,7 @@ INSPECTION_FIELDS = {
     "sample_schedules": ["schedule_id", "facility_name", "analyte_group", "frequency",
                          "start_date"],
 }
+# Output names of the deficiency fields.
 DEFICIENCY_RENAMES = {"Type Code": "code", "Default Severity Code": "typical_severity",
                       "Default Category Code": "typical_category", "Description": "description"}
 

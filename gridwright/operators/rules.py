@@ -176,19 +176,19 @@ def url_rules(field: str, path_suffix: str | None = None) -> list[Rule]:
     rules = [
         Rule(f"url_required:{field}", field, ~present, "error", "MISSING_BASE_URL", "is required"),
         Rule(f"url_scheme:{field}", field, present & (u["scheme"] == ""), "error", "MISSING_PROTOCOL",
-             "missing protocol (http/https)", "Add 'http://' or 'https://' to the beginning"),
+             "has no scheme", "start the address with http:// or https://"),
         Rule(f"url_host:{field}", field, present & (u["netloc"] == ""), "error", "MISSING_HOSTNAME",
-             "missing hostname"),
+             "names no host"),
         Rule(f"url_protocol:{field}", field, present & ~u["scheme"].isin("http", "https"), "error",
-             "INVALID_PROTOCOL", F.format_string("unsupported protocol '%s'", u["scheme"]),
-             "Use 'http' or 'https'"),
+             "INVALID_PROTOCOL", F.format_string("scheme %s is not served", u["scheme"]),
+             "only http and https are"),
         Rule(f"url_localhost:{field}", field, present & u["netloc"].contains("localhost") & (u["port"] == ""),
-             "warning", None, "Using localhost without port"),
+             "warning", None, "points at localhost and gives no port"),
     ]
     if path_suffix:
         stripped = F.regexp_replace(c, "/+$", "")
         rules.append(Rule(f"url_path:{field}", field, present & ~stripped.endswith(path_suffix.rstrip("/")),
-                          "warning", None, f"URL should typically end with '{path_suffix}'"))
+                          "warning", None, f"does not end in {path_suffix}, as these addresses do"))
     return rules
 
 
