@@ -1063,9 +1063,9 @@ def q_schedule_rows(spark, sf):
 
 @query("schedule_search", f"""SELECT * FROM ({SCHEDULE_SQL}) s WHERE "Schedule Type" = 'TC'""")
 def q_schedule_search(spark, sf):
-    from .export import SCHEDULE_FIELDS
+    from .export import SEARCH_FIELDS
     rows = bind.bind_schedules(_schedule_rows(spark, sf))
-    return filters.search(rows, {"schedule_type": "TC", "unknown_param": "1"}, SCHEDULE_FIELDS)
+    return filters.search(rows, {"schedule_type": "TC", "unknown_param": "1"}, SEARCH_FIELDS["sample_schedules"])
 
 
 # Source fallback (SRC-4) and largest-array choice (SRC-5), one capture per
