@@ -14,9 +14,11 @@ grown over both sides it is the answer itself.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,15 @@ from pyspark.sql import functions as F
 LEAF_CHARS = 65_536
 WINDOW = 64
 AGREE = 3
-CACHE = 300_000  # distinct runs held per worker; a full cache starts anew
+# Runs and pieces held per worker, and their length; a full cache keeps what it has, so a worker holds some 70 MB.
+RUNS, PARTS, LONGEST = 100_000, 250_000, 200
 _RUN = re.compile(r"[^\x20\x09-\x0D]+")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # str.split() splits there too
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)")
+# The byte alphabet of byte-level vocabularies, by its rule: printable Latin-1 stands for itself, the other bytes
+# for the characters from 256 on, in order.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTES = {b: 256 + k for k, b in enumerate(_OTHERS)}
 _loaded: dict = {}
 
 
@@ -37,35 +46,66 @@ class Codec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[int, str] = {}
+        self.cache: dict[str, bytes] = {}  # 32-bit ids of runs
+        self.parts: dict[str, bytes] = {}  # and of the pieces that runs are split into
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.pieces = [""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.pieces[i] = t
+        # text can be taken run by run when white space leaves no trace in the tokens
         specials = self.tok.get_added_tokens_decoder().values()
-        self.by_runs = not any(_RUN.fullmatch(t.content) is None or t.lstrip or t.rstrip for t in specials)
+        self.specials = [t.content for t in specials]
+        apart = self.tok.encode("x", add_special_tokens=False).ids + self.tok.encode("y", add_special_tokens=False).ids
+        self.by_runs = (self.tok.normalizer is not None and self.tok.pre_tokenizer is not None and self.tok.post_processor is None
+                        and all(_RUN.fullmatch(t.content) and not t.lstrip and not t.rstrip for t in specials) and all(
+            self.tok.encode(f" x{gap}y{gap}", add_special_tokens=False).ids == apart for gap in (" ", "  ", "\n", "\t \r\x0b\x0c")))
+
+        # and a plain word takes a short way when the file's normaliser and splitter treat letters as that way does
+        probe = "AÀÖØÞßzöøÿ"
+        self.plain = self.by_runs and all(
+            [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(probe + stop))]
+            == [probe.lower().encode().decode("latin-1").translate(_BYTES)] + [stop] * bool(stop) for stop in ("", ".", ",", "###", "?!)", '"', "|", "_-"))
 
     def spans(self, text: str, at: int = 0) -> tuple[list[int], list[tuple[int, int]]]:
         """Ids and their character spans, ``at`` added."""
         e = self.tok.encode(text, add_special_tokens=False)
         return e.ids, [(a + at, b + at) for a, b in e.offsets]
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         if not self.by_runs:
-            return self.tok.encode(text, add_special_tokens=False).ids
-        runs, cache = _RUN.findall(text), self.cache
-        new = list({r for r in runs if r not in cache})
-        if new:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(set(runs))
-            for r, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                cache[r] = e.ids
-        return [i for r in runs for i in cache[r]]
-
-    def decode(self, ids: list[int]) -> str:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
+        runs = _RUN.findall(text) if _OTHER_SPACE.search(text) else text.split()
+        cache = self.cache
+        return np.frombuffer(b"".join([cache[r] if r in cache else self.run(r) for r in runs]), np.int32)
+
+    def run(self, run: str) -> bytes:
+        """Ids of one run: the file's normaliser and splitter, then its merges
+        on each piece that is new. A run that may hold a special token goes
+        through the whole tokenizer."""
+        if any(s in run for s in self.specials):
+            return np.array(self.tok.encode(run, add_special_tokens=False).ids, np.int32).tobytes()
+        plain = _PLAIN.fullmatch(run) if self.plain else None
+        if plain:  # letters that have one lower case and are stable under NFC, then ASCII signs
+            pieces = [plain[1].lower().encode().decode("latin-1").translate(_BYTES)] + [plain[2]] * bool(plain[2])
+        else:
+            pieces = [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(run))]
+        found = []
+        for piece in pieces:
+            ids = self.parts.get(piece)
+            if ids is None:
+                ids = array("i", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+                if len(self.parts) < PARTS and len(piece) <= LONGEST:
+                    self.parts[piece] = ids
+            found.append(ids)
+        all_ids = b"".join(found)
+        if len(self.cache) < RUNS and len(run) <= LONGEST:
+            self.cache[run] = all_ids
+        return all_ids
+
+    def decode(self, ids: np.ndarray) -> str:
         if self.tok.decoder is not None:
-            return self.tok.decode(ids, skip_special_tokens=False)
-        if not self.pieces:  # a file without decoder: its tokens, joined by one space
-            self.pieces = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
-        return " ".join([self.pieces[i] for i in ids])
+            return self.tok.decode(ids.tolist(), skip_special_tokens=False)
+        return " ".join(map(self.pieces.__getitem__, ids.tolist()))  # without a decoder: the tokens, joined by one space
 
     def join(self, text: str, cut: int, left: tuple, right: tuple) -> tuple:
         """Tokens of ``text`` from those of its parts before and after ``cut``
@@ -145,8 +185,9 @@ def _short(path: str):
             texts = b.column(1).to_pylist()
             for k in range(0, len(texts), 64):  # what goes back at once stays small
                 ids = [c.ids(t or "") for t in texts[k:k + 64]]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(k, 64), pa.array(ids, pa.list_(pa.int32())),
+                    [b.column(0).slice(k, 64), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
                      pa.array([c.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
     return run
 
@@ -183,7 +224,7 @@ def _whole(path: str):
         c, d = codec(path), leaves.sort_values("leaf")
         parts = [(s, s + len(t), (list(map(int, i)), [(int(p) + s, int(q) + s) for p, q in zip(b, e)]))
                  for s, t, i, b, e in zip(d["start"].astype(int), d["piece"], d["ids"], d["begins"], d["ends"])]
-        ids = concatenate(c, "".join(d["piece"]), parts)
+        ids = np.array(concatenate(c, "".join(d["piece"]), parts), np.int32)
         return pd.DataFrame({"doc_id": d["doc_id"].iloc[:1], "ids": [ids], "decoded": [c.decode(ids)]})
     return run
 
