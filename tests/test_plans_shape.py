@@ -8,11 +8,12 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from gridwright.plans.catalog import QUERIES
 
-HTML_QUERIES = {"html_rows", "html_tables", "schedule_tables"}
+HTML_QUERIES = {"fallback_rows", "html_rows", "html_tables", "schedule_tables"}
 SIDE_EFFECTS = ("roundtrip", "stream", "export", "capture", "reported_totals", "json_envelope",
                 "inspection_document")
-NAMES = sorted(n for n in E.queries() if not any(s in n for s in SIDE_EFFECTS))
+NAMES = sorted(n for n in QUERIES if not any(s in n for s in SIDE_EFFECTS))
 
 
 @pytest.mark.parametrize("name", NAMES)
