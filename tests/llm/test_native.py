@@ -176,6 +176,41 @@ def test_near_lines(spark):
     assert not PYTHON.search(plan(line_dedup.near_pairs(d, 2, 3)))
 
 
+def edited(rng, line, n):
+    b = list(line)
+    for _ in range(n):
+        q, o = rng.randint(0, len(b)), rng.randint(0, 2)
+        b[q:q + (o > 0)] = "" if o == 1 else rng.choice("qzü")
+    return "".join(b)
+
+
+def allowed(n):
+    return max([k for low, k in line_dedup.EDITS if n >= low], default=0)
+
+
+def check_own_edits(spark, lines):
+    got = {tuple(sorted((r["p"], r["t"]))): r["edits"] for r in line_dedup.near_pairs(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    want = {}
+    for x, y in itertools.combinations(sorted(lines), 2):
+        k = allowed(min(len(x), len(y)))
+        if abs(len(x) - len(y)) <= k and (e := distance(x, y)) <= k:
+            want[x, y] = e
+    assert got == want
+    return want
+
+
+def test_near_lines_longer_lines_allow_more_edits(spark):
+    rng = random.Random(8)
+    lines = set()
+    for size in (38, 41, 59, 62, 79, 85, 158, 165, 240, 318, 330):
+        base = "".join(rng.choice("abcdefg ") for _ in range(size))
+        lines |= {base} | {edited(rng, base, rng.randint(1, 14)) for _ in range(5)}
+    want = check_own_edits(spark, lines)
+    assert max(want.values()) > 8 and sum(e > 2 for e in want.values()) > 40
+    word = "the committee has published its yearly report on the state of the rivers and lakes of the northern districts, " * 2
+    assert len(word) > 200 and list(check_own_edits(spark, {word, word.replace("published", "withdrawn", 1)}).values()) == [9]
+
+
 def test_line_dedup(spark):
     a, b = "the same line with enough letters", "the same line with enuff letters"
     rows = [(1, f"{a}\nshort\n\n  {a}  \nother words that stand here alone"), (2, f"{b}\nshort\nshorx"), (None, a), (3, None), (4, ""),
