@@ -211,6 +211,19 @@ def test_near_lines_longer_lines_allow_more_edits(spark):
     assert len(word) > 200 and list(check_own_edits(spark, {word, word.replace("published", "withdrawn", 1)}).values()) == [9]
 
 
+def test_near_lines_link_short_lines(spark):
+    rng = random.Random(9)
+    lines = {"All rights reserved.", "All rights reservd.", "Al rights reserved", "abc", "abd", "shorx", "short"}
+    for size in (3, 5, 6, 7, 9, 10, 12, 15, 19, 22, 23, 24):
+        base = "".join(rng.choice("abcd ") for _ in range(size))
+        lines |= {base} | {edited(rng, base, rng.randint(1, 3)) for _ in range(5)}
+    hot = "common words"  # one segment shared by many different lines
+    lines |= {hot + "".join(rng.choice("xyz") for _ in range(6)) for _ in range(60)}
+    want = check_own_edits(spark, {x for x in lines if x})
+    assert ("All rights reservd.", "All rights reserved.") in want and ("abc", "abd") not in want
+    assert sum(len(x) < 24 for x, _ in want) > 60
+
+
 def test_line_dedup(spark):
     a, b = "the same line with enough letters", "the same line with enuff letters"
     rows = [(1, f"{a}\nshort\n\n  {a}  \nother words that stand here alone"), (2, f"{b}\nshort\nshorx"), (None, a), (3, None), (4, ""),
