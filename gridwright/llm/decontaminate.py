@@ -1,7 +1,10 @@
 """Benchmark decontamination, SQL functions only.
 
 1. Item-sized windows are opened where a document shares a shingle with an
-   item (``passages.hit_windows``), at the place where that shingle aligns both.
+   item (``passages.hit_windows``): at the place where that shingle aligns both
+   and at the shingle itself. The second kind misses no passage, whatever the
+   order of its parts: moving a window right to its first shared shingle drops
+   only shingles that the item does not have.
 2. Equal windows become one; each gets a 64-bit SimHash of its shingles.
 3. A multi-index over ``BLOCKS`` blocks of the fingerprint finds the items of
    that size: items are filed under every block value within ``FLIPS`` bits, so
@@ -52,7 +55,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     """``doc_id, tk, item_id, window_start, window_words, bits, similarity``:
     the most similar window of each contaminated row and item."""
     items = passage_table(benchmark.filter("item_id is not null"), "item_id", "text")
-    windows = written(hit_windows(docs, items, "array(struct(i - p as start, n as size))", literals), "windows")
+    windows = written(hit_windows(docs, items, "array(struct(i - p as start, n as size), struct(i as start, n as size))", literals), "windows")
     kinds = (windows.select("n", "win", F.xxhash64("win").alias("wk")).groupBy("n", "wk").agg(F.max("win").alias("win"))
              .select("n", "wk", "win", F.expr(simhash_sql("win")).alias("fp")))
     kinds = written(kinds, "window-kinds")

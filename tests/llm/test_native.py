@@ -78,6 +78,21 @@ def test_leaks(leak_case, literals):
     assert not PYTHON.search(plan(got))
 
 
+@pytest.mark.parametrize("literals", [passages.LITERALS, 0])
+def test_leaks_in_another_order(spark, literals):
+    rng = random.Random(10)
+    items = [(k, " ".join(words(rng, n, 10_000))) for k, n in enumerate([100, 60, 80])]
+    docs = []
+    for k, turn in ((0, 30), (0, 70), (1, 20), (1, 45), (2, 11), (2, 40)):
+        v = items[k][1].split()
+        w = words(rng, rng.randint(0, 60), 10_000)
+        docs.append((len(docs), " ".join(w + v[turn:] + v[:turn] + w[:len(docs) * 9])))
+    want = brute_leaks(docs, items)
+    assert len(want) == len(docs)
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, b, literals=literals).collect()} == want
+
+
 def test_drop_contaminated(leak_case):
     d, b, want = leak_case
     kept = decontaminate.drop_contaminated(d, b)
