@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML element names by their role.
-RAW = "script style noscript template svg math iframe object canvas textarea select button head title"
+RAW = "script style"  # their text is no markup; left open, they run to the end of the page
+HIDE = "noscript template svg math iframe object canvas textarea select button title"  # left out with their content
+_HIDDEN_TAGS = set(HIDE.split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
              "strike strong sub sup time tt u var".split())
@@ -28,11 +30,13 @@ HINTS = set("ad ads advert adverts advertisement sponsor sponsored promo banner
 READERS = set("comment comments reply replies disqus".split())
 TEXT = set("article post entry content main story body text".split())
 
+_SKIP = (r"<!--.*?(?:-->|\Z)"
+         rf"|<(?P<raw>{'|'.join(RAW.split())})(?=[\s/>])(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*>.*?(?:</(?P=raw)\s*>|\Z)")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW.split())})\b(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*|[^>]*)>"
+    _SKIP + r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/><]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*|[^>]*)>"
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_HIDE = re.compile(
+    _SKIP + rf"|<(?P<end>/?)(?P<tag>{'|'.join(HIDE.split())})(?=[\s/>])(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*|[^>]*)>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\b(?:hidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none)", re.I)
 
@@ -154,6 +158,23 @@ def _place(tag: str, attrs: str, outer: int) -> int:
     return outer
 
 
+def hidden_ends(page: str) -> dict[int, int]:
+    """Start of each ``HIDE`` element -> end of its end tag. Elements that are
+    empty or have no end tag of their own are absent."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in _HIDE.finditer(page):
+        if not m["tag"]:
+            continue
+        starts = open_.setdefault(m["tag"].lower(), [])
+        if not m["end"]:
+            if not (m["attrs"].endswith("/") and m["tag"].lower() in ("svg", "math")):
+                starts.append(m.start())
+        elif starts:
+            out[starts.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """``(text, words, words in links, place, heading)`` of each text block in
     page order; markup that never shows is gone, references are decoded."""
@@ -190,7 +211,9 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         del stack[depth:]
 
     at = 0
-    for m in _TOKEN.finditer(page + ">"):  # the sign closes a tag that the page leaves open, so none is searched for twice
+    shut_page = page + ">"  # the sign closes a tag that the page leaves open, so none is searched for twice
+    ends = hidden_ends(shut_page)
+    while m := _TOKEN.search(shut_page, at):
         if m.start() > at:
             say(page[at:m.start()])
         at = m.end()
@@ -202,6 +225,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in _HIDDEN_TAGS and not m["end"]:
+            flush()
+            at = ends.get(m.start(), at)  # without an end tag only the tag itself is left out
+            continue
         if m["end"]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if open_[tag] else None
             if tag not in INLINE or (depth is not None and any(p != (stack[depth - 1][1] if depth else 0)
@@ -210,8 +237,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if depth is not None:
                 close(depth)
             continue
-        if tag in VOID:
-            if tag == "hr":
+        if tag in VOID or tag == "head":  # the head may be left open; what it holds is void, raw or hidden anyway
+            if tag in ("hr", "head"):
                 flush()
             continue
         outer = stack[-1][1] if stack else 0
@@ -261,8 +288,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Null and empty html, and pages without article text, give the empty
     string. Repeated rows give repeated results; malformed markup is read as
-    far as it goes (open elements end with their parent, an open comment or
-    script takes the rest of the page); an empty table gives an empty one."""
+    far as it goes (open elements end with their parent; an open comment, script
+    or style takes the rest of the page; of other hidden elements without an end
+    tag only the tag is left out); an empty table gives an empty one."""
     tree = grow(*labelled())
 
     @F.pandas_udf("string")

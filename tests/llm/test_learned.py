@@ -127,6 +127,27 @@ def test_main_text():
     assert html_extract.main_text([None, "", "<!-- x", "<script>a", "<p>a &am b &lt;i&gt;</p>" + f"<p>{long}</p>"], tree)[:4] == [""] * 4
 
 
+def test_main_text_with_left_out_and_empty_tags():
+    tree = html_extract.grow(*html_extract.labelled())
+    a, b = "first " * 40, "second " * 40
+    both = (a + b).strip()
+    for page in (f"<html><head><title>T</title><body><article><p>{a}<p>{b}</article>",
+                 f"<html><head><title>T</title><meta charset=x><article><p>{a}<p>{b}</article>",
+                 f"<article><p>{a}</p><svg viewBox='0 0 1 1'/><p>{b}</p></article>",
+                 f"<article><p>{a}</p><math/><p>{b}</p></article>",
+                 f"<article><p>{a}</p><button-group><p>{b}</p></button-group></article><button>x</button>",
+                 f"<article><p>{a}</p><select-menu></select-menu><p>{b}</p></article>",
+                 f"<article><p>{a}</p><button><p>{b}</p></article><button>x</button>",
+                 f"<article><p>{a}</p><iframe src=x><p>{b}</p></article>",
+                 f"<article><p>{a}</p><svg><title>t</title><svg>x</svg>y</svg><p>{b}</p></article>",
+                 f"<article><p>{a}</p><button>x<!-- <button> --></button><p>{b}</p></article>"):
+        assert html_extract.main_text([page], tree) == [both], page
+    for tag in ("script", "style"):
+        assert html_extract.main_text([f"<article><p>{a}</p><{tag}>x<p>{b}</p></article>"], tree) == [a.strip()]
+    for bad in ("<svg>" * 30_000, "<svg " * 30_000, "<svg/>" * 30_000, "<button>x" * 20_000 + "</button>" * 20_000):
+        html_extract.blocks(bad)
+
+
 def test_tree_fits_its_table():
     x, y = html_extract.labelled()
     assert ((html_extract.judge(html_extract.grow(x, y), x) >= 0.5) == y).all()
