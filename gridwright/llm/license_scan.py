@@ -1,8 +1,10 @@
 """License scan, SQL functions only.
 
 Over each document lie windows of twice a template's length that overlap by
-half, so any passage as long as the template lies wholly in one of them.
-Windows that hold a shingle of some template get a MinHash signature and meet
+half, so any passage up to one word longer than the template lies wholly in one
+of them. Windows of that size also open at each shingle shared with a template:
+moving a window right to its first shared shingle loses none, so no passage of
+up to twice the template's length is missed, wherever it starts. Windows that hold a shingle of some template get a MinHash signature and meet
 the templates in bands of one value each. A passage with containment ``c`` of
 the template's shingles makes the window's Jaccard similarity at least ``j``;
 the number of bands is the smallest with ``1 - (1 - j) ** bands >=
@@ -72,7 +74,8 @@ def minhash_sql(hashes: str, bands: int) -> str:
 def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT, literals: int = LITERALS) -> DataFrame:
     """``doc_id, license, template_id, window_start, window_words,
     containment, shared, places``: for each document and template the window
-    that holds most of it; ``places`` is the number of windows that hold it.
+    that holds most of it; ``places`` is the number of half-overlapping windows
+    that hold it, 1 if only a window at a shared shingle does.
 
     ``templates`` has ``template_id, license, text``. Null and empty texts
     hold nothing; templates of fewer than five words are not looked for.
@@ -83,7 +86,7 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
     sizes = [r["n"] for r in t.select("n").distinct().collect()]  # as many as there are template lengths
     bands = max([bands_for(n, containment) for n in sizes], default=1)
     opened = ("array(struct(cast(n * (i div n) as int) as start, 2 * n as size), "
-              "struct(cast(n * (i div n - 1) as int) as start, 2 * n as size))")
+              "struct(cast(n * (i div n - 1) as int) as start, 2 * n as size), struct(i as start, 2 * n as size))")
     windows = written(hit_windows(docs, t, opened, literals), "license-windows")
     kinds = (windows.select("n", "win", F.xxhash64("win").alias("wk")).groupBy("n", "wk").agg(F.max("win").alias("win")))
     kinds = written(kinds, "license-kinds")
@@ -95,7 +98,7 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
             .withColumn("containment", F.col("shared") / F.col("own")).filter(F.col("containment") >= containment))
     best = F.max(F.struct("containment", (-F.col("start")).alias("s"), "shared", "n")).alias("x")
     found = (windows.select("doc_id", "tk", "n", "start", F.xxhash64("win").alias("wk")).join(sure, ["n", "wk"])
-             .groupBy("doc_id", "tk", "key").agg(best, F.count("*").alias("places")))
+             .groupBy("doc_id", "tk", "key").agg(best, F.expr("greatest(1, count_if(start % n = 0))").alias("places")))
     names = templates.select("template_id", "license")
     return found.join(names, found["key"] == names["template_id"]).select(
         "doc_id", "license", "template_id", (-F.col("x.s")).alias("window_start"), (2 * F.col("x.n")).alias("window_words"),

@@ -144,6 +144,29 @@ def test_licenses(spark):
     assert license_scan.scan(d.limit(0), license_scan.notices(spark)).count() == 0
 
 
+def test_licenses_with_words_put_in(spark):
+    rng = random.Random(11)
+    texts = [(k, t) for k, (_, t) in enumerate(license_scan.NOTICES) if len(tokens(t)) > 25]
+    docs = []
+    for before in range(0, 90, 3):
+        k, t = texts[before % len(texts)]
+        v = t.split()
+        at = rng.randint(5, len(v) - 5)
+        v[at:at] = words(rng, rng.randint(8, len(v) - 8))
+        docs.append((before, " ".join(words(rng, before) + v + words(rng, 60))))
+    want = set()
+    for i, t in docs:
+        w = tokens(t)
+        for k, tpl in enumerate(x for _, x in license_scan.NOTICES):
+            v = tokens(tpl)
+            y = set(grams(v))
+            if any(len(y & set(grams(w[s:s + 2 * len(v)]))) >= 0.8 * len(y) for s in range(len(w))):
+                want.add((i, k))
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), license_scan.notices(spark)).collect()
+    assert {(r["doc_id"], r["template_id"]) for r in got} == want and len(want) >= len(docs)
+    assert all(r["places"] >= 1 for r in got)
+
+
 def test_band_settings():
     for n in (5, 8, 12, 60):
         own = n - 4
