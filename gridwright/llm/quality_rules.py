@@ -74,7 +74,7 @@ def measures_sql(text: str, window: int = WINDOW) -> str:
                 f"size(filter(w, x -> lower(x) in ({stop}))) as n_stop_words, "
                 f"size(filter(w, x -> x rlike '\\\\p{{L}}')) as n_letter_words)")
     split = f"if(t = '', array(), split(t, '[{_SPACE}]+'))"
-    trimmed = "trim(both ' \\t\\n\\u000B\\f\\r' from x)"
+    trimmed = "trim(both ' \\t\\n\\u000B\\u000C\\r' from x)"
     words = _bind(trimmed, "t", _bind(split, "w", of_words))
     lines = _bind(f"filter(split(x, '\\n'), y -> y rlike '[^{_SPACE}]')", "y",
                   f"struct(size(y) as n_lines, size(y) - size(array_distinct(y)) as n_dup_lines, "
