@@ -961,8 +961,11 @@ def q_stream_dedup(spark, sf):
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, CAST(count(*) AS BIGINT) AS n
 FROM events GROUP BY ALL""")
 def q_stream_event_counts(spark, sf):
+    """Many batches: the result is read from one snapshot and the last deltas."""
     run = scratch_path(spark, f"stream-events-{uuid.uuid4().hex}")
-    counts = streaming.event_counts(spark, sf, run + "/sink", run + "/checkpoint", glob="events.parquet")
+    table(spark, sf, "events").repartition(10, "event_id").write.parquet(run + "/events")
+    counts = streaming.event_counts(spark, run + "/events", run + "/sink", run + "/checkpoint", delay="3650 days",
+                                    max_files_per_trigger=1)
     return counts.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                          "event_type", "n")
 
@@ -1399,14 +1402,21 @@ def q_request_rules(spark, sf):
     return rules.validate(req, rs, ["event_id"]).select("event_id", "rule", "severity", "message")
 
 
-# Captured pages as a stream (STR-1 over the real capture chain): which copy
-# of a re-served row survives depends on arrival, so the result is the set of
-# keys, which does not.
+# Captured pages as a stream (STR-1 over the real capture chain), landed in
+# three waves: which copy of a re-served row survives depends on arrival, wave
+# by wave, inside a wave by page and row.
 
-@query("stream_captures", f"""SELECT DISTINCT "Water System No." FROM ({WS_BOUND_SQL}) b""")
+@query("stream_captures", f"""
+SELECT page_no, row_no, "Activity Status", "Water System No.", "Name", "Population", "Principal County Served"
+FROM ({WS_DENSE_SQL}) b
+QUALIFY row_number() OVER (PARTITION BY "Water System No." ORDER BY (page_no + 1) % 3, page_no, row_no) = 1""")
 def q_stream_captures(spark, sf):
     run = scratch_path(spark, f"stream-captures-{uuid.uuid4().hex}")
-    out = streaming.ingest_captures(spark, _landed_captures(spark, sf), bind.bind_water_systems,
-                                    ["Water System No."], run + "/sink", run + "/checkpoint",
-                                    max_files_per_trigger=2)
-    return out.select("`Water System No.`")
+    pages = spark.read.text(_landed_captures(spark, sf))
+    page_no = F.get_json_object("value", "$.page_no").cast("int")
+    for wave in range(3):  # every wave lands and is read by the same stream
+        pages.filter((page_no + 1) % 3 == wave).write.mode("append").text(run + "/landing")
+        out = streaming.ingest_captures(spark, run + "/landing", bind.bind_water_systems, ["Water System No."],
+                                        run + "/sink", run + "/checkpoint")
+    return out.select("page_no", "row_no", *[F.col(f"`{c}`") for c in (
+        "Activity Status", "Water System No.", "Name", "Population", "Principal County Served")])

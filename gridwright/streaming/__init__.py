@@ -1,10 +1,12 @@
 """Structured Streaming forms of the incremental work (STR-1, STR-2, UDF-4).
 
-* STR-1: landed pages arrive as files; keyed dedup state (the "ids already
-  seen" set of a paginated read) is Spark's ``dropDuplicates`` state store.
-  With an arrival timestamp, ``dropDuplicatesWithinWatermark`` bounds it.
+* STR-1: landed pages arrive as files; the first row to arrive per key stays.
+  The keys already seen are a bucketed table of files (``state.BatchTable``),
+  so memory holds one batch whatever the number of keys. With an arrival
+  timestamp ``dropDuplicatesWithinWatermark`` can forget old keys instead.
 * STR-2: the event log as a stream: windowed counts per event type under a
-  watermark, and per-batch handlers (``foreachBatch``).
+  watermark, and per-batch handlers (``foreachBatch``); changed counts go to a
+  ``BatchTable`` of one snapshot and a few deltas.
 
 Sinks are files plus a checkpoint under the shared checkpoint folder, so a
 lost executor or a restarted driver resumes where it stopped. ``availableNow``
@@ -13,12 +15,20 @@ processes what has landed and stops.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions._util import quote
+from ..operators.dedup import keep_first
+from .state import BatchTable
+
+#: Folders of the key table; a batch opens only those of its own keys.
+KEY_BUCKETS = 64
+
 
 def dedup_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None = None,
                  delay: str = "1 day") -> DataFrame:
@@ -48,17 +58,61 @@ def _finish(q, timeout_s: float | None) -> None:
         raise q.exception()
 
 
+def keep_first_batches(keys: Sequence[str], sink: str, state: str, order: Sequence[str] = ("page_no", "row_no"),
+                       buckets: int = KEY_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """STR-1, exact: a batch handler that appends the first row to arrive per
+    key to ``sink``. Earlier batches come first; inside a batch ``order``
+    decides (columns that are there; without any, the order of all columns).
+
+    A batch is reduced to one row per key, keys of earlier batches are
+    anti-joined away, and the rest is written to the batch's own folder of the
+    sink before its keys are committed. A batch that runs again sees the keys
+    of the batches before it and overwrites its folder: the result is the same.
+    Rows with a NULL or empty key are left out, as in ``keep_first``."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        table = BatchTable(spark, state, partition_by=["key_bucket"])
+        by = [c for c in order if c in batch.columns] or [c for c in batch.columns if c not in keys]
+        cols = [F.col(quote(k)) for k in keys]
+        named = [c.alias(f"k{i}") for i, c in enumerate(cols)]
+        first = keep_first(batch, list(keys), by).withColumn("key_bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int"))
+        seen = table.rows(before=batch_id)
+        if seen is not None:
+            mine = [r[0] for r in first.select("key_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            seen = seen.filter(F.col("key_bucket").isin(mine)).drop("key_bucket", "batch_id")
+            same = [c.eqNullSafe(F.col(f"k{i}")) for i, c in enumerate(cols)]
+            first = first.join(seen, reduce(Column.__and__, same), "left_anti")
+        folder = f"{sink}/batch_id={batch_id}"
+        first.write.mode("overwrite").parquet(folder)
+        stored = spark.read.schema(first.schema).parquet(folder)
+        table.commit(batch_id, stored.select(*named, "key_bucket"))
+    return handle
+
+
+def _first_rows(spark: SparkSession, stream: DataFrame, keys: Sequence[str], sink: str, checkpoint: str,
+                event_time: str | None, delay: str) -> DataFrame:
+    """Run the dedup over all that has landed; the sink as a batch DataFrame."""
+    if event_time:
+        run_available(dedup_stream(stream, keys, event_time, delay), sink, checkpoint)
+        return spark.read.parquet(sink)
+    q = (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+         .foreachBatch(keep_first_batches(keys, sink, f"{checkpoint}-keys")).start())
+    _finish(q, None)
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
 def ingest_pages(spark: SparkSession, landing_dir: str, schema: T.StructType | str, keys: Sequence[str],
                  sink: str, checkpoint: str, fmt: str = "json", event_time: str | None = None,
                  max_files_per_trigger: int | None = None, delay: str = "1 day") -> DataFrame:
-    """STR-1 end to end: stream the landing folder, dedup by key, append new
-    rows to ``sink``; returns the sink as a batch DataFrame."""
+    """STR-1 end to end: stream the landing folder, keep the first row to
+    arrive per key (``keep_first_batches``), append it to ``sink``; returns the
+    sink as a batch DataFrame. With ``event_time`` keys older than ``delay``
+    are forgotten instead."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = r.load(landing_dir)
-    run_available(dedup_stream(stream, keys, event_time, delay), sink, checkpoint)
-    return spark.read.parquet(sink)
+    return _first_rows(spark, stream, keys, sink, checkpoint, event_time, delay)
 
 
 def ingest_captures(spark: SparkSession, landing_dir: str, binder: Callable[[DataFrame], DataFrame],
@@ -67,7 +121,7 @@ def ingest_captures(spark: SparkSession, landing_dir: str, binder: Callable[[Dat
                     delay: str = "1 day") -> DataFrame:
     """STR-1 over captured page files (one JSON page per line): parse, explode
     rows, bind with ``binder`` (e.g. ``bind.bind_water_systems``), keep the
-    first row to arrive per key in the state store, append to ``sink``.
+    first row to arrive per key (``keep_first_batches``), append to ``sink``.
     Lines that are no JSON are left out (``sources.grid.capture_issues`` lists
     them) and do not stop the stream. With ``event_time`` the page's
     ``captured_at`` (as that column) bounds the state by its watermark.
@@ -78,8 +132,7 @@ def ingest_captures(spark: SparkSession, landing_dir: str, binder: Callable[[Dat
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     pages = r.load(landing_dir).select(F.try_parse_json("value").alias("page"))
     bound = binder(to_strict(explode_rows(pages, captured_at=event_time)))
-    run_available(dedup_stream(bound, keys, event_time, delay), sink, checkpoint)
-    return spark.read.parquet(sink)
+    return _first_rows(spark, bound, keys, sink, checkpoint, event_time, delay)
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", by: Sequence[str] = ("event_type",),
@@ -91,27 +144,36 @@ def windowed_counts(stream: DataFrame, ts: str = "ts", by: Sequence[str] = ("eve
             .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
-def upsert_batches(sink: str) -> Callable[[DataFrame, int], None]:
-    """UDF-4 style batch handler for ``update`` output: every micro-batch's
-    changed rows are appended with their batch id; the latest row per key is
-    the current value (a replayed batch writes the same values again)."""
+def latest_per_key(updates: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
+    """Current value per key from an update log, with its ``batch_id``
+    (partial aggregate)."""
+    return updates.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in value_cols], F.max("batch_id").alias("batch_id"))
+
+
+def upsert_batches(path: str, keys: Sequence[str], value_cols: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """UDF-4 style batch handler for ``update`` output: the changed rows of a
+    micro-batch are one delta of a ``BatchTable``, which keeps the latest row
+    per key; a batch that runs again changes nothing."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(sink)
+        counts_table(batch.sparkSession, path, keys, value_cols).commit(batch_id, batch.select(*keys, *value_cols))
     return handle
 
 
-def latest_per_key(updates: DataFrame, keys: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
-    """Current value per key from an update log (partial aggregate)."""
-    return updates.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in value_cols])
+def counts_table(spark: SparkSession, path: str, keys: Sequence[str], value_cols: Sequence[str]) -> BatchTable:
+    return BatchTable(spark, path, lambda d: latest_per_key(d, keys, value_cols))
 
 
 def event_counts(spark: SparkSession, source_dir: str, sink: str, checkpoint: str,
                  glob: str | None = None, window: str = "1 day", delay: str = "1 day",
-                 schema: T.StructType | None = None, timeout_s: float | None = None) -> DataFrame:
+                 schema: T.StructType | None = None, timeout_s: float | None = None,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
     """STR-2 end to end over parquet event files: windowed counts in
     ``update`` mode through ``foreachBatch``; returns ``(window_start,
-    window_end, event_type, n)`` as a batch DataFrame."""
+    window_end, event_type, n)`` as a batch DataFrame. The changed counts of
+    each batch go to a ``BatchTable`` in ``sink``."""
     r = spark.readStream.format("parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if schema is None:
@@ -131,10 +193,12 @@ def event_counts(spark: SparkSession, source_dir: str, sink: str, checkpoint: st
         return F.to_utc_timestamp(c, tz).cast("timestamp_ntz") if ntz else c
     counts = counts.select(back(F.col("window.start")).alias("window_start"),
                            back(F.col("window.end")).alias("window_end"), "event_type", "n")
+    keys = ["window_start", "window_end", "event_type"]
     q = (counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(upsert_batches(sink)).trigger(availableNow=True).start())
+         .foreachBatch(upsert_batches(sink, keys, ["n"])).trigger(availableNow=True).start())
     _finish(q, timeout_s)
-    return latest_per_key(spark.read.parquet(sink), ["window_start", "window_end", "event_type"], ["n"])
+    now = counts_table(spark, sink, keys, ["n"]).current()
+    return spark.createDataFrame([], counts.schema) if now is None else now.drop("batch_id")
 
 
 def publish(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]],
