@@ -58,6 +58,24 @@ def running_sum(df: DataFrame, value: str, order: str, out: str = "cum",
     return d.withColumn(out, res).drop(b, "_rs_in", "_rs_off")
 
 
+def tie_break(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """``order`` and behind it the other columns that have an order: a hot
+    value of the order key is split across ranges."""
+    rest = [f.name for f in df.schema.fields if f.name not in order and not re.search("map|variant", f.dataType.simpleString())]
+    return [F.col(quote(c)) for c in [*order, *rest]]
+
+
+def positions(stored: DataFrame, out: str) -> DataFrame:
+    """0-based positions of stored ranged rows (``_gi_pid``, the range, and
+    ``_gi_pos``, the place in it) in ``out``: the counts of all earlier ranges,
+    a table with one row per range, are added."""
+    counts = stored.groupBy("_gi_pid").agg(F.count(F.lit(1)).alias("_gi_n"))
+    offs = counts.select("_gi_pid", F.coalesce(F.sum("_gi_n").over(
+        W.orderBy("_gi_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_gi_off"))
+    return stored.join(F.broadcast(offs), "_gi_pid").withColumn(
+        out, (F.col("_gi_off") + F.col("_gi_pos")).cast("bigint")).drop("_gi_pid", "_gi_pos", "_gi_off")
+
+
 def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """A 0-based position of every row in ``order`` (ties broken by the
@@ -72,10 +90,7 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
     agree."""
     from ..session import scratch_path
     spark, order = df.sparkSession, list(order)
-    rest = [F.col(quote(f.name)) for f in df.schema.fields
-            if f.name not in order and not re.search("map|variant", f.dataType.simpleString())]
-    # Range bounds over order and tie-break: a hot value of the order key is split across partitions.
-    keys = [F.col(quote(c)) for c in order] + rest
+    keys = tie_break(df, order)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, f"ranged-{uuid.uuid4().hex}")
     at = F.monotonically_increasing_id()
@@ -85,11 +100,7 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
                       F.shiftright(at, 33).alias("_gi_pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_gi_pos")))
     ranged.write.parquet(path)
     stored = spark.read.schema(ranged.schema).parquet(path)
-    counts = stored.groupBy("_gi_pid").agg(F.count(F.lit(1)).alias("_gi_n"))
-    offs = counts.select("_gi_pid", F.coalesce(F.sum("_gi_n").over(
-        W.orderBy("_gi_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_gi_off"))
-    return stored.join(F.broadcast(offs), "_gi_pid").select(
-        *[F.col(v).alias(c) for c, v in names.items()], (F.col("_gi_off") + F.col("_gi_pos")).cast("bigint").alias(out))
+    return positions(stored, "_gi_idx").select(*[F.col(v).alias(c) for c, v in names.items()], F.col("_gi_idx").alias(out))
 
 
 def raw_position(df: DataFrame, out: str = "row_index", row_col: str = "row_no") -> DataFrame:

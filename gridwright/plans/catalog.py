@@ -894,19 +894,20 @@ UNION ALL SELECT 'multi', 'data_type_summaries', 0, CAST(json_object('water_syst
 def q_json_envelope(spark, sf):
     """SNK-6..9 and SNK-12 over projected water systems: every record and
     every summary field of one document per style, by position."""
-    from ..sinks import RUNS_SCHEMA, general_document, run_document
+    from ..sinks import RUNS_SCHEMA, OrderedRecords, general_document, run_document
     recs = ws_dedup(spark, sf).drop("dataset", "capture_id")
     stamp = table(spark, sf, "orders").agg(F.max("o_orderdate")).first()[0]  # one value
     n = recs.count()
     run = spark.createDataFrame([("r", 0, "water_systems", True, n, 1.5, None, stamp, {"extractor": "landed_pages"},
                                   {}, [], ["sample warning"])], RUNS_SCHEMA)
-    order = ["page_no", "row_no"]
-    docs = {s: run_document(recs, run, s, order=order) for s in ("standard", "detailed", "compact", "general")}
-    docs["multi"] = general_document({"water_systems": recs}, run, order={"water_systems": order}, timestamp=stamp)
+    recs = OrderedRecords(recs, ["page_no", "row_no"])  # ranged and stored once for all five documents
+    docs = {s: run_document(recs, run, s) for s in ("standard", "detailed", "compact", "general")}
+    docs["multi"] = general_document({"water_systems": recs}, run, timestamp=stamp)
     out = []
-    for style, lines in docs.items():
+    for style, doc in docs.items():
         key = "water_systems" if style == "multi" else "all_water_systems"
-        out.append(records_of(lines).select(F.lit(style).alias("style"), F.lit(key).alias("part"), "pos", "record"))
+        lines = doc.lines()
+        out.append(records_of(doc).select(F.lit(style).alias("style"), F.lit(key).alias("part"), "pos", "record"))
         named = F.regexp_extract("line", r'^,"(\w+)": (.*)$', 1)
         out.append(lines.filter(F.col("part") > 3).filter(named != "").select(
             F.lit(style).alias("style"), named.alias("part"), F.col("idx").alias("pos"),
@@ -914,6 +915,31 @@ def q_json_envelope(spark, sf):
     return dedup.union_by_name(out)
 
 
+_LE_RECORD = _record_sql(_INSPECTED["legal_entities"][0], LE_SQL, "x")
+
+
+@query("document_files", f"""
+SELECT row_number() OVER (ORDER BY part, idx) - 1 AS pos, line FROM (
+  SELECT 0 AS part, 0 AS idx, '{{' AS line UNION ALL SELECT 1, 0, '"water_systems": [' UNION ALL SELECT 3, 0, ']'
+  UNION ALL SELECT 2, pos, CASE WHEN pos > 0 THEN ',' ELSE '' END || record FROM ({_WS_RECORD}) a
+  UNION ALL SELECT 4, 0, ',"legal_entities": [' UNION ALL SELECT 6, 0, ']'
+  UNION ALL SELECT 5, pos, CASE WHEN pos > 0 THEN ',' ELSE '' END || record FROM ({_LE_RECORD}) b
+  UNION ALL SELECT 7, 0, ',"count": ' || {_N} UNION ALL SELECT 8, 0, '}}') l""")
+def q_document_files(spark, sf):
+    """SNK-6..12: every line of a written document of two datasets, its files
+    read back in name order as the manifest lists them."""
+    from ..sinks import document, read_ordered, write_document
+    rules_ = load_schema(spark, "inspection_report").rules("legal_entities").fields
+    le = legal_entities(spark, sf)
+    order = ["page_no", "row_no"]
+    ws = ws_dedup(spark, sf).drop("dataset", "capture_id")
+    doc = document(spark, {"water_systems": ws, "legal_entities": le.select(*order, *[project.rule_column(le, r) for r in rules_])},
+                   {"count": ws.count()}, {"water_systems": order, "legal_entities": order})
+    path = scratch_path(spark, f"document-{uuid.uuid4().hex}")
+    write_document(doc, path)
+    return windows.global_index(read_ordered(spark, path), ["section", "piece", "block", "at"], out="pos").select("pos", "line")
+
+
 DOC_SQL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 

@@ -15,6 +15,7 @@ from ..functions._util import quote
 from ..functions.fmt import duration_text, iso_timestamp
 from ..operators.dedup import combine_datasets
 from ..operators.project import flatten
+from .ordered import write_ordered
 
 # CSV options that give the source's text layout: empty for NULL and '', a
 # doubled quote inside quoted fields, and no trimming of spaces.
@@ -88,23 +89,18 @@ def metadata_rows(spark: SparkSession, runs: DataFrame, export_mode: str | None
 
 def write_csv_with_preamble(df: DataFrame, runs: DataFrame, path: str, export_mode: str | None = None) -> None:
     """SNK-3 text form: preamble lines, a blank line, then the CSV header and
-    rows, in files that hold ordered ranges: concatenated in name order they
-    are the text."""
+    rows, as an ordered text (``ordered.py``): the files in name order are the
+    text. The preamble is the run row, a few lines, and is read on the driver.
+    Column names are quoted where they must be."""
     spark = df.sparkSession
-    meta = metadata_rows(spark, runs, export_mode)
-    pre = meta.select(F.col("seq").cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                      F.to_csv(F.struct("key", "value"), {"escape": '"'}).alias("line"))
-    blank = spark.range(1).select(F.lit(100).cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                                  F.lit("").alias("line"))
+    meta = [r[0] for r in metadata_rows(spark, runs, export_mode).orderBy("seq").select(
+        F.to_csv(F.struct("key", "value"), {"escape": '"'})).collect()]
     flat = flatten(df)
-    cols = flat.columns
-    header = spark.range(1).select(F.lit(101).cast("bigint").alias("o1"), F.lit(0).cast("bigint").alias("o2"),
-                                   F.lit(",".join(cols)).alias("line"))
-    body = flat.select(F.lit(102).cast("bigint").alias("o1"), F.monotonically_increasing_id().alias("o2"),
-                       F.to_csv(F.struct(*[quote(c) for c in cols]), {"escape": '"', "nullValue": "",
-                                                                     "emptyValue": ""}).alias("line"))
-    pre.unionByName(blank).unionByName(header).unionByName(body) \
-        .orderBy("o1", "o2").select("line").write.mode("overwrite").text(path)
+    header = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r') or c != c.strip() else c for c in flat.columns)
+    body = flat.select(F.to_csv(F.struct(*[quote(c) for c in flat.columns]), {
+        "escape": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false"}).alias("line"))
+    write_ordered(spark, [[*meta, "", header], body], path)
 
 
 def multi_dataset_csv(frames: Mapping[str, DataFrame], path: str, selected: Sequence[str] | None = None,

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridwright.operators import dedup, filters
+from gridwright.sinks import ordered
 from gridwright.sources import grid
 from gridwright import streaming
 from gridwright.plans import export as ex
@@ -66,7 +67,7 @@ def test_inspection_export(spark, sf_small):
     res = ex.export(spark, cfg, landings)
     assert res["all_success"]
     folder = res["paths"]["inspection"]
-    doc = json.loads("".join(open(f"{folder}/{f}").read() for f in sorted(os.listdir(folder)) if f.startswith("part")))
+    doc = json.loads("".join(open(f"{folder}/{f}").read() for f, _ in ordered.manifest(spark, folder)))
     assert list(doc) == ["water_systems", "deficiency_types"]
     assert set(doc["water_systems"][0]) == {"system_number", "system_name", "population", "county",
                                             "activity_status", "system_type"}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwright import sinks, streaming
 from gridwright.operators import bind, project
+from gridwright.sinks import ordered
 from gridwright.sources import grid, html, schema_files
 
 
@@ -142,9 +143,9 @@ def test_csv_tsv_roundtrip(spark, tmp_path):
     assert project.flatten(nested).first()["l"] == "1, 2"
 
 
-def joined(lines):
-    """The document of a table of lines, as its files hold it."""
-    return json.loads("\n".join(r["line"] for r in lines.orderBy("part", "idx").collect()))
+def joined(doc):
+    """The document, from its table of lines."""
+    return json.loads("\n".join(r["line"] for r in doc.lines().orderBy("part", "idx").collect()))
 
 
 def test_json_documents(spark, tmp_path):
@@ -161,10 +162,51 @@ def test_document_files_in_name_order(spark, tmp_path):
     df = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v")).repartition(7)
     path = str(tmp_path / "doc")
     sinks.write_document(sinks.json_document(df, "rows", {"n": 5000}, order=["k"]), path)
-    files = sorted(f for f in os.listdir(path) if f.startswith("part"))
-    text = "".join(open(os.path.join(path, f)).read() for f in files)
-    d = json.loads(text)
+    d = json.loads(text_of(spark, path))
     assert [r["v"] for r in d["rows"]] == [f"v{k}" for k in range(5000)] and d["extraction_summary"] == {"n": 5000}
+    back = sinks.read_ordered(spark, path).orderBy("section", "piece", "block", "at").collect()
+    assert json.loads("\n".join(r["line"] for r in back)) == d
+    sinks.write_document(sinks.json_document(df.limit(0), "rows"), path)  # an earlier text is replaced
+    assert json.loads(text_of(spark, path)) == {"rows": []}
+
+
+def text_of(spark, path):
+    return "".join(open(os.path.join(path, f)).read() for f, _ in ordered.manifest(spark, path))
+
+
+def test_manifest_guards_the_text(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_ordered(spark, [["a", "b"], spark.range(3).select(F.col("id").cast("string").alias("line"))], path)
+    assert text_of(spark, path) == "a\nb\n0\n1\n2\n"
+    first = os.path.join(path, ordered.manifest(spark, path)[0][0])
+    with open(first, "a") as f:
+        f.write("more\n")
+    crc = os.path.join(os.path.dirname(first), "." + os.path.basename(first) + ".crc")
+    if os.path.exists(crc):
+        os.remove(crc)
+    with pytest.raises(sinks.ManifestError):
+        sinks.read_ordered(spark, path)
+    os.remove(os.path.join(path, ordered.MANIFEST))
+    with pytest.raises(sinks.ManifestError):
+        sinks.read_ordered(spark, path)
+
+
+def test_names_stay_in_order_past_99999_parts(spark):
+    parts = spark.range(0, 100_003, 50_001).select(F.lpad(F.col("id").cast("string"), ordered.PIECE_DIGITS, "0").alias("p"))
+    names = [f"{k:0{ordered.PIECE_DIGITS}d}" for k in range(100_003)]
+    assert names == sorted(names) and {r["p"] for r in parts.collect()} == {names[0], names[50_001], names[100_002]}
+    files = [(f"{ordered.section_name(2)}/piece={n}/part-{k:05d}-x.txt", 1) for k, n in enumerate(names)]
+    files += [(f"{ordered.section_name(3)}/piece={names[0]}/part-00000-x.txt", 1)]
+    ordered.check_manifest(files, files)  # name order is number order
+    assert sorted(files) == files
+    with pytest.raises(sinks.ManifestError):
+        ordered.check_manifest(files, files[:-1])
+
+
+def test_writing_a_ranged_table_sorts_once(spark):
+    d = spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("line"))
+    plan = ordered.ranged(d, [F.col("k")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange rangepartitioning") == 1
 
 
 def test_schema_faults_are_reported_together():
@@ -198,9 +240,9 @@ def test_runs_metadata_and_paths(spark, tmp_path):
     sinks.append_runs(full.withColumn("success", F.lit(False)), path)
     assert spark.read.parquet(path).count() == 2
     pre = str(tmp_path / "pre")
-    sinks.write_csv_with_preamble(spark.createDataFrame([(1, "a")], "k int, v string"), runs, pre, "general")
-    text = "".join(open(os.path.join(pre, f)).read() for f in sorted(os.listdir(pre)) if f.startswith("part"))
-    assert text.startswith("Data Type,water_systems\n") and "\n\nk,v\n1,a\n" in text
+    sinks.write_csv_with_preamble(spark.createDataFrame([(1, "a"), (2, " b,")], "k int, `v, w` string").coalesce(1), runs, pre, "general")
+    text = text_of(spark, pre)
+    assert text.startswith("Data Type,water_systems\n") and text.endswith('\n\nk,"v, w"\n1,a\n2," b,"\n')
     assert sinks.output_paths(["water_systems"], "out.csv", "T", ".csv") == {"water_systems": "out.csv"}
     assert sinks.output_paths(["a", "b"], "out.csv", "T", ".csv") == {"a": "out_a_T.csv", "b": "out_b_T.csv"}
     assert list(sinks.output_paths(["a", "b"], None, "T", ".json", mode="inspection")) == ["inspection"]
