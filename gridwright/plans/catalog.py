@@ -1219,37 +1219,83 @@ def q_json_lines_roundtrip(spark, sf):
 
 # End-to-end configured export (PIP-1..3, PIP-6, PRJ-19, SNK-13, SNK-15).
 
+_N_WS, _N_LE = f"(SELECT count(*) FROM ({WS_DEDUP_SQL}) a)", f"(SELECT count(*) FROM ({LE_DEDUP_SQL}) b WHERE NOT contains(\"Individual Name\", 'NATION_1'))"
+_OUT_LE = f"(SELECT count(*) FROM ({LE_DEDUP_SQL}) b WHERE contains(\"Individual Name\", 'NATION_1'))"
+_CUSTOMERS = "(SELECT count(*) FROM customer)"
+
+
 @query("export_run", f"""
-SELECT 'water_systems' AS data_type, 0 AS batch_index, true AS success, CAST(count(*) AS BIGINT) AS extracted_count
-  FROM ({WS_DEDUP_SQL}) a
-UNION ALL SELECT 'legal_entities', 1, true, CAST(count(*) AS BIGINT) FROM ({LE_DEDUP_SQL}) b
-UNION ALL SELECT 'deficiency_types', 2, true, CAST(count(*) AS BIGINT) FROM ({DEF_SQL}) c""")
+SELECT 'water_systems' AS data_type, 0 AS batch_index, true AS success, CAST({_N_WS} AS BIGINT) AS extracted_count,
+       CAST({_CUSTOMERS} AS BIGINT) AS total_available, CAST({_N_WS} AS VARCHAR) AS records,
+       CAST((SELECT count(DISTINCT page_no) FROM {WS_GRID_SQL} g) AS VARCHAR) AS pages,
+       {_N_WS} || ' records extracted, the source reported ' || {_CUSTOMERS} AS warnings
+UNION ALL SELECT 'legal_entities', 1, true, CAST({_N_LE} AS BIGINT), NULL, CAST({_N_LE} AS VARCHAR),
+       CAST((SELECT count(DISTINCT page_no) FROM ({LE_SQL}) g) AS VARCHAR),
+       CASE WHEN {_OUT_LE} > 0 THEN 'Excluded ' || {_OUT_LE} || ' records by exclusion patterns' ELSE '' END
+UNION ALL SELECT 'deficiency_types', 2, true, CAST(count(*) AS BIGINT), NULL, CAST(count(*) AS VARCHAR),
+       CAST(count(DISTINCT page_no) AS VARCHAR), '' FROM ({DEF_SQL}) c
+UNION ALL SELECT 'sample_schedules', 3, false, 0, NULL, NULL, NULL, ''""")
 def q_export_run(spark, sf):
+    """Run rows with totals, page facts and warnings; one dataset has no landing."""
     from . import export as ex
     run = scratch_path(spark, f"export-{uuid.uuid4().hex}")
     landings = {"water_systems": standins.water_system_grid(spark, sf),
                 "legal_entities": standins.legal_entity_grid(spark, sf),
                 "deficiency_types": standins.deficiency_rows(spark, sf)}
-    cfg = ex.ExportConfiguration(("water_systems", "legal_entities", "deficiency_types"), "general", "csv",
-                                 output_path=run + "/out/export.csv")
-    res = ex.export(spark, cfg, landings, events_path=run + "/events")
+    cfg = ex.ExportConfiguration((*landings, "sample_schedules"), "general", "csv", output_path=run + "/out/export.csv",
+                                 filters={"legal_entities": {"exclusion_patterns": ["NATION_1"]}})
+    totals = table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("total_available")).withColumn("dataset", F.lit("water_systems"))
+    res = ex.export(spark, cfg, landings, events_path=run + "/events", totals=totals)
     append_runs(res["runs"], run + "/runs")
     runs = spark.read.parquet(run + "/runs")
     return runs.select("data_type", F.col("source_info")["batch_index"].cast("int").alias("batch_index"),
-                       "success", "extracted_count")
-
-
-@query("export_rows", """
-SELECT "Activity Status", "Water System No.", "Name", "Federal Primary Source", "Federal Type", "State Type", "Population",
-       "Principal County Served" FROM (""" + WS_DEDUP_SQL + """) d""")
+                       "success", "extracted_count", "total_available", F.col("pagination_info")["records"].alias("records"),
+                       F.col("pagination_info")["pages"].alias("pages"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query("report_failure", f"""
+SELECT 'run' AS kind, 'water_systems' AS name, true AS ok, CAST(count(*) AS BIGINT) AS n FROM ({WS_DEDUP_SQL}) a
+UNION ALL SELECT 'run', 'deficiency_types', false, 0
+UNION ALL SELECT 'document', 'water_systems', true, CAST(count(*) AS BIGINT) FROM ({WS_DEDUP_SQL}) a
+UNION ALL SELECT 'event', 'export_started', true, 1
+UNION ALL SELECT 'event', 'export_completed without deficiency_types', false, 1""")
+def q_report_failure(spark, sf):
+    """PIP-4: an inspection report of two datasets, one of which fails while
+    it is computed: the document holds the other one, both have a run row."""
+    from . import export as ex
+    from ..sinks import read_ordered
+    run = scratch_path(spark, f"report-{uuid.uuid4().hex}")
+    broken = standins.deficiency_rows(spark, sf).filter(F.when(F.col("page_no") >= 0, F.raise_error(F.lit("unreadable page")).cast("boolean")))
+    cfg = ex.ExportConfiguration(("water_systems", "deficiency_types"), "inspection", "json", output_path=run + "/report")
+    res = ex.export(spark, cfg, {"water_systems": standins.water_system_grid(spark, sf), "deficiency_types": broken},
+                    events_path=run + "/events")
+    runs = res["runs"].select(F.lit("run").alias("kind"), F.col("data_type").alias("name"), F.col("success").alias("ok"),
+                              F.col("extracted_count").alias("n"))
+    key = F.regexp_extract("line", r'^,?"(\w+)": \[$', 1)
+    text = read_ordered(spark, run + "/report")
+    record = F.col("line").rlike(r"^,?\{.+\}$")
+    doc = text.agg(F.max(key).alias("name"), F.count_if(record).alias("n"), (F.count_if(key != "") == 1).alias("ok")).select(
+        F.lit("document").alias("kind"), "name", "ok", "n")
+    lost = F.col("context")["failed"]
+    named = F.concat("event_type", F.when(lost.isNotNull(), F.concat(F.lit(" without "), lost)).otherwise(""))
+    events = spark.read.parquet(run + "/events").groupBy(named.alias("name")).agg(
+        F.bool_and(F.col("severity") == "info").alias("ok"), F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("event"))
+    return dedup.union_by_name([runs, doc, events])
+
+
+_WS_FIELDS = ("Activity Status", "Water System No.", "Name", "Federal Primary Source", "Federal Type", "State Type", "Population",
+              "Principal County Served")
+
+
+@query("export_rows", "SELECT " + ", ".join(f"nullif(\"{c}\", '') AS \"{c}\"" for c in _WS_FIELDS) + f" FROM ({WS_DEDUP_SQL}) d")
 def q_export_rows(spark, sf):
-    """The rows that an export wrote, read back."""
+    """The file that an export wrote, with all of its columns, read back; an
+    empty field reads as NULL."""
     from . import export as ex
     run = scratch_path(spark, f"export-{uuid.uuid4().hex}")
     cfg = ex.ExportConfiguration(("water_systems",), "general", "csv", output_path=run + "/out.csv")
     res = ex.export(spark, cfg, {"water_systems": standins.water_system_grid(spark, sf)})
-    return spark.read.option("header", True).option("escape", '"').csv(res["paths"]["water_systems"]) \
-        .drop("page_no", "row_no").na.fill("")
+    return read_csv(spark, res["paths"]["water_systems"])
 
 
 _TWO_CAPTURES_SQL = f"""

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import aggregates, bind, dedup, filters, paging, project
+from ..functions.text import py_strip
+from ..operators import bind, dedup, filters, paging, project
 from ..operators.windows import honor_stop_rules
 from ..sinks import (RUNS_SCHEMA, inspection_document, output_paths, write_csv, write_document,
                      write_json_lines)
-from ..sources.grid import to_strict
+from ..sources.grid import LANDING_KEYS, to_strict
 from ..session import scratch_path
 from ..sources.schema_files import DATASETS, ExportSchema, load_schema
 
@@ -62,8 +63,7 @@ class Extraction:
     source_info: dict[str, str] = field(default_factory=dict)
     pagination_info: dict[str, str] = field(default_factory=dict)
     total_available: int | None = None
-    bound: DataFrame | None = None  # bound rows before the exclusion patterns
-    patterns: tuple[str, ...] = ()
+    facts: Observation | None = None  # excluded rows and empty names, counted while the records are computed
 
     @property
     def success(self) -> bool:
@@ -82,13 +82,16 @@ def _strict(landing: DataFrame) -> DataFrame:
     return landing if "cells" in landing.columns else to_strict(landing)
 
 
-def extract(spark: SparkSession, query: ExtractionQuery, landing: DataFrame, *,
+def extract(spark: SparkSession, query: ExtractionQuery, landing: DataFrame | None, *,
             dedup_keys: Sequence[str] | None = None, honor_stop: bool = False, pages: DataFrame | None = None,
             totals: DataFrame | None = None) -> Extraction:
     """PIP-1: landed pages of one dataset → bound, filtered, de-duplicated
     records. Exclusion patterns (FLT-5/6) and search parameters (FLT-7)
     from ``query.filters`` are honoured (D-8); paging (SRT-2) when the query
     carries pagination with ``max_pages``; stop rules only on request (D-4).
+    Rows that the patterns leave out and empty names are observed in the pass
+    that computes the records (``facts``); ``pagination_info`` has the number
+    of pages that were read.
 
     A capture is one read of the source, so keep-first and stop rules work per
     capture. ``pages`` (``sources.grid.page_list``) names every page that was
@@ -97,46 +100,48 @@ def extract(spark: SparkSession, query: ExtractionQuery, landing: DataFrame, *,
     the source reported: run metadata, one row per capture."""
     q = query
     try:
+        if landing is None:
+            raise ValueError("no landed pages were given")
         raw = landing.filter(F.col("dataset") == q.data_type) if "dataset" in landing.columns else landing
         rows = BINDERS[q.data_type](raw)
-        bound = rows
         warnings: list[str] = []
-        errors: list[str] = []
-        pats = list(q.filters.get("exclusion_patterns", []) or [])
-        if pats:
-            checks = filters.check_patterns(spark, pats)
-            for c in checks:
-                if not c.valid:
-                    warnings.append(f"Skipped exclusion pattern {c.pattern!r}: {c.error}")
-            rows = filters.exclude_patterns(rows, bind.KEY_COLUMN[q.data_type], [c.pattern for c in checks if c.valid])
         sp = q.filters.get("search_params")
         if sp:
             rows = filters.search(rows, sp, SEARCH_FIELDS.get(q.data_type))
         capture = [c for c in ("dataset", "capture_id") if c in rows.columns]
-        keys = list(dedup_keys or [bind.KEY_COLUMN[q.data_type]])
-        if q.data_type == "deficiency_types":
-            out = rows  # the source does not de-duplicate deficiency types
-        else:
-            out = dedup.keep_first(rows, capture + keys)
+        name = bind.KEY_COLUMN[q.data_type]
+        keys = list(dedup_keys or [name])
+        # the source does not de-duplicate deficiency types; keys given for them are honoured
+        kept = rows if q.data_type == "deficiency_types" and not dedup_keys else dedup.keep_first(rows, capture + keys)
+        pats = list(q.filters.get("exclusion_patterns", []) or [])
+        checks = filters.check_patterns(spark, pats) if pats else []
+        warnings += [f"Skipped exclusion pattern {c.pattern!r}: {c.error}" for c in checks if not c.valid]
+        used = [c.pattern for c in checks if c.valid]
+        out_by = filters.matches_any(name, used) if used else F.lit(False)
+        empty = py_strip(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))) == ""
+        # counted in the pass that computes the records, after the de-duplication as the source does
+        facts = Observation(f"facts-{uuid.uuid4().hex}")
+        out = kept.observe(facts, F.count_if(out_by).alias("excluded"), F.count_if(empty & ~out_by).alias("empty_names"))
+        if used:
+            out = filters.exclude_patterns(out, name, used)
         if honor_stop:
-            stats = page_new_counts(rows, out, pages if pages is not None else raw, capture)
+            stats = page_new_counts(rows, kept, pages if pages is not None else raw, capture)
             out = honor_stop_rules(out, stats, q.pagination.page_size if q.pagination else 1000, capture)
-        info = {}
+        at = [c for c in ("dataset", "capture_id", "page_no") if c in (pages if pages is not None else raw).columns]
+        info = {"pages": str((pages if pages is not None else raw).select(*at).distinct().count())} if "page_no" in at else {}
         if q.pagination and q.pagination.max_pages:
             p = q.pagination
             order = [c for c in ("captured_at", "capture_id", "page_no", "row_no") if c in out.columns]
             out = paging.offset_page(out.withColumnRenamed("page_no", "_landed_page"),
                                      [c if c != "page_no" else "_landed_page" for c in order], p.page_size, p.start_page,
                                      p.max_pages).drop("row_in_page", "_landed_page").withColumnRenamed("page_no", "result_page")
-            info = {"page_size": str(p.page_size), "start_page": str(p.start_page), "max_pages": str(p.max_pages)}
+            info |= {"page_size": str(p.page_size), "start_page": str(p.start_page), "max_pages": str(p.max_pages)}
         out.schema  # analysis errors surface here, as a failed run
         total = None
         if totals is not None:
             mine = totals.filter(F.col("dataset") == q.data_type) if "dataset" in totals.columns else totals
             total = mine.agg(F.sum("total_available")).first()[0]
-        used = tuple(p for p in pats if isinstance(p, str) and not any(p == c.pattern and not c.valid for c in checks)) if pats else ()
-        return Extraction(q, out, errors, warnings, {"extraction_method": "landed_pages", "dedup_keys": ",".join(keys)},
-                          info, total, bound if used else None, used)
+        return Extraction(q, out, [], warnings, {"extraction_method": "landed_pages", "dedup_keys": ",".join(keys)}, info, total, facts)
     except Exception as e:  # noqa: BLE001 — a failed extraction is a result
         return Extraction(q, None, [f"{q.data_type} extraction failed: {e}"])
 
@@ -152,12 +157,20 @@ SEARCH_FIELDS = {
 }
 
 
+#: Columns that say where a record was read; exports hold the record alone.
+LANDING_COLUMNS = (*LANDING_KEYS, "captured_at", "result_page")
+
+
+def without_landing(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in LANDING_COLUMNS if c in df.columns])
+
+
 def prepare_export(frames: Mapping[str, DataFrame], schema: ExportSchema, mode: str,
                    selected: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """PIP-5: single or multi dataset preparation for export: selection and
     order (PRJ-8), projection (PRJ-6/7), inspection skip and key order
     (PRJ-9/10); landing columns are dropped."""
-    clean = {k: v.drop(*[c for c in ("dataset", "capture_id") if c in v.columns]) for k, v in frames.items()}
+    clean = {k: without_landing(v) for k, v in frames.items()}
     return project.transform_datasets(clean, schema, mode, selected)
 
 
@@ -219,10 +232,9 @@ def _run_one(spark: SparkSession, extractions: Sequence[Extraction], destination
     count = None
     if ex.success:
         try:
-            df = ex.records
+            df = without_landing(ex.records)
             if schema is not None:
                 df = project.transform_datasets({ex.query.data_type: df}, schema, mode).get(ex.query.data_type, df)
-            df = df.drop(*[c for c in ("dataset", "capture_id") if c in df.columns])
             if destinations is not None:
                 # the row count is observed during the write: one pass
                 obs = Observation(f"run_{i}")
@@ -239,13 +251,16 @@ def _run_one(spark: SparkSession, extractions: Sequence[Extraction], destination
 
 def _add_warnings(ex: Extraction, count: int) -> None:
     """AGG-7..9 as run warnings: rows left out by patterns, rows without a
-    name, and a count that differs from the reported total."""
-    if ex.bound is not None:
-        name = bind.KEY_COLUMN[ex.query.data_type]
-        facts = aggregates.exclusion_counts(ex.bound, ~filters.matches_any(name, list(ex.patterns)), name).first()
-        ex.warnings += [w for w in (facts["exclusion_warning"], facts["empty_name_warning"]) if w]
-    if ex.total_available is not None and ex.total_available != count and not ex.pagination_info:
+    name, and a count that differs from the reported total; AGG-14: the records
+    of the run beside its pages."""
+    got = ex.facts.get if ex.facts is not None else {}
+    if got.get("excluded"):
+        ex.warnings.append(f"Excluded {got['excluded']} records by exclusion patterns")
+    if got.get("empty_names"):
+        ex.warnings.append(f"{got['empty_names']} records have an empty {bind.KEY_COLUMN[ex.query.data_type]}")
+    if ex.total_available is not None and ex.total_available != count and "max_pages" not in ex.pagination_info:
         ex.warnings.append(f"{count} records extracted, the source reported {ex.total_available}")
+    ex.pagination_info["records"] = str(count)
 
 
 def save(df: DataFrame, path: str, fmt: str) -> None:
@@ -313,7 +328,7 @@ def _export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str
         return {"success": False, "completed": False, "all_success": False, "errors": errs, "runs": None}
     schema = schema or load_schema(spark, "inspection_report" if cfg.export_mode == "inspection" else "general_export")
     ts = datetime.now().strftime("%Y%m%d_%H%M%S")
-    exts = [extract(spark, ExtractionQuery(t, cfg.filters.get(t, {}), cfg.pagination), landings[t],
+    exts = [extract(spark, ExtractionQuery(t, cfg.filters.get(t, {}), cfg.pagination), landings.get(t),
                     dedup_keys=cfg.dedup_keys.get(t), honor_stop=cfg.honor_stop, pages=pages.get(t), totals=totals)
             for t in cfg.data_types]
     ext = {"csv": ".csv", "tsv": ".tsv", "json": ".json"}[cfg.output_format]
@@ -322,11 +337,14 @@ def _export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str
         for e in exts:
             if e.success and schema.rules(e.query.data_type) is None:
                 e.errors.append(f"{e.query.data_type} has no fields in the inspection schema: nothing to write")
-        # each dataset is computed once: projected and stored, then counted and written from there
-        frames = {e.query.data_type: written_projection(spark, e, schema) for e in exts if e.success}
+        # each dataset is computed once: projected and stored, then counted and written from there; what fails is left out
+        frames = {}
         for e in exts:
-            if e.query.data_type in frames:
-                e.records = frames[e.query.data_type]
+            try:
+                if e.success:
+                    e.records = frames[e.query.data_type] = written_projection(spark, e, schema)
+            except Exception as err:  # noqa: BLE001 — one failing dataset does not end the report
+                e.errors.append(f"Failed to compute {e.query.data_type}: {err}")
         runs = run_batch(spark, exts, None)
         if frames:
             order = {t: ["_arrival"] for t in frames}
@@ -335,8 +353,9 @@ def _export(spark: SparkSession, cfg: ExportConfiguration, landings: Mapping[str
         runs = run_batch(spark, exts, [paths[e.query.data_type] for e in exts], cfg.output_format, schema, "general")
     flags = runs.agg(F.bool_and("success").alias("ok"), F.count(F.lit(1)).alias("n")).first()
     all_ok = bool(flags["ok"])
+    failed = {} if all_ok else {"failed": ",".join(e.query.data_type for e in exts if not e.success)}
     audit(spark, events_path, export_id, "export_completed", "info" if all_ok else "warning",
-          {"all_success": str(all_ok).lower()})
+          {"all_success": str(all_ok).lower(), **failed})
     return {"success": True, "completed": True, "all_success": all_ok, "errors": [], "runs": runs,
             "paths": paths, "export_id": export_id}
 

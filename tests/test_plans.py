@@ -163,3 +163,44 @@ def test_search_and_union_types(spark):
     assert sorted(r["n"] for r in both.collect()) == ["1", "2", "x"]
     m = spark.sql("select 1 k, 2 page_no, 0 row_no, map('a', 1) r union all select 1, 1, 0, map('a', 2)")
     assert dedup.keep_first(m, ["k"]).first()["r"] == {"a": 2}
+
+
+def test_exports_hold_no_landing_columns(spark, tmp_path):
+    raw = _captures(spark, tmp_path, [_page("a", 0, ["K1", "K2", "K1"]), _page("a", 1, ["K3"])])
+    landing = grid.explode_rows(raw, captured_at="captured_at")
+    for fmt in ("csv", "tsv", "json"):
+        cfg = ex.ExportConfiguration(("water_systems",), "general", fmt, output_path=str(tmp_path / f"out.{fmt}"),
+                                     pagination=ex.PaginationConfig(2, 1, 1))
+        res = ex.export(spark, cfg, {"water_systems": landing})
+        path = res["paths"]["water_systems"]
+        got = spark.read.json(path) if fmt == "json" else spark.read.option("sep", "\t" if fmt == "tsv" else ",").csv(path, header=True)
+        assert set(got.columns) == set(ex.bind.WATER_SYSTEM_HEADERS) and got.count() == 2
+        assert res["runs"].first()["pagination_info"]["pages"] == "2"
+
+
+def test_failures_of_one_dataset_stay_its_own(spark, sf_small, tmp_path):
+    good = standins.water_system_grid(spark, sf_small)
+    broken = standins.deficiency_rows(spark, sf_small).withColumn("row_no", F.raise_error(F.lit("unreadable")).cast("bigint"))
+    for mode, fmt in (("general", "csv"), ("inspection", "json")):
+        cfg = ex.ExportConfiguration(("deficiency_types", "water_systems", "legal_entities"), mode, fmt, output_path=str(tmp_path / f"x.{fmt}"))
+        res = ex.export(spark, cfg, {"water_systems": good, "deficiency_types": broken}, events_path=str(tmp_path / mode))
+        runs = {r["data_type"]: r for r in res["runs"].collect()}
+        assert runs["water_systems"]["success"] and runs["water_systems"]["extracted_count"] > 0
+        assert "unreadable" in runs["deficiency_types"]["errors"][0] and not runs["deficiency_types"]["success"]
+        assert "no landed pages" in runs["legal_entities"]["errors"][0]  # the landing that was never given
+        done = spark.read.parquet(str(tmp_path / mode)).filter("event_type = 'export_completed'").first()
+        assert done["context"]["failed"] == "deficiency_types,legal_entities" and res["completed"] and not res["all_success"]
+
+
+def test_exclusions_are_counted_after_dedup_in_the_same_pass(spark, tmp_path):
+    raw = spark.createDataFrame([(0, k, n) for k, n in enumerate(["SMITH, A", "SMITH, A", "JONES, B", "SMITHERS"])], "page_no int, row_no int, n string")
+    landing = raw.select(F.lit("legal_entities").alias("dataset"), F.lit("c").alias("capture_id"), "page_no", "row_no",
+                         F.array(F.array("n"), F.array(F.lit("IN"))).alias("cells"))
+    e = ex.extract(spark, ex.ExtractionQuery("legal_entities", {"exclusion_patterns": ["^SMITH"]}), landing)
+    run = ex.run_batch(spark, [e], [str(tmp_path / "o")]).first()
+    assert run["extracted_count"] == 1 and run["warnings"] == ["Excluded 2 records by exclusion patterns"]
+    assert run["pagination_info"] == {"pages": "1", "records": "1"}
+    plain = ex.extract(spark, ex.ExtractionQuery("legal_entities"), landing)
+    assert ex.run_batch(spark, [plain]).first()["warnings"] == [] and plain.facts.get == {"excluded": 0, "empty_names": 0}
+    stops = ex.extract(spark, ex.ExtractionQuery("legal_entities", {"exclusion_patterns": ["^SMITH"]}), landing, honor_stop=True)
+    assert ex.run_batch(spark, [stops]).first()["warnings"] == ["Excluded 2 records by exclusion patterns"]

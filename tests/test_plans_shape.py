@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from gridwright.plans.catalog import QUERIES
 
 HTML_QUERIES = {"fallback_rows", "html_rows", "html_tables", "schedule_tables"}
-SIDE_EFFECTS = ("roundtrip", "stream", "export", "capture", "document_files", "reported_totals", "json_envelope",
+SIDE_EFFECTS = ("roundtrip", "stream", "export", "report_failure", "capture", "document_files", "reported_totals", "json_envelope",
                 "inspection_document")
 NAMES = sorted(n for n in QUERIES if not any(s in n for s in SIDE_EFFECTS))
 
