@@ -2,10 +2,8 @@
 AGG-11).
 
 A rule is a predicate ``Column`` that is true when a row has the issue. All
-rules on one table are fused into one ``select``:
-``explode(array_compact(array(when(p1, issue1), when(p2, issue2), ...)))``,
-so a table is scanned once whatever the number of rules, and rows without
-issues vanish in the explode.
+rules on one table are fused into one scan: the fired rules of a row are the
+set bits of an integer, which are exploded into issue rows.
 
 Issue schema: ``key columns..., rule, field, value, severity, code, message,
 suggestion``.
@@ -13,6 +11,7 @@ suggestion``.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from typing import Callable, Sequence
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._util import as_col, quote
+from ..session import scratch_path
 
 ISSUE_FIELDS = ["rule", "field", "value", "severity", "code", "message", "suggestion"]
 SEVERITIES = ("info", "warning", "error", "critical")
@@ -39,27 +39,46 @@ class Rule:
     suggestion: str | None = None
     value: Column | None = None
 
-    def issue(self) -> Column:
-        msg = self.message if isinstance(self.message, Column) else F.lit(self.message)
-        val = self.value if self.value is not None else as_col(self.field)
-        s = F.struct(F.lit(self.name).alias("rule"), F.lit(self.field).alias("field"),
-                     val.cast("string").alias("value"), F.lit(self.severity).alias("severity"),
-                     F.lit(self.code).cast("string").alias("code"), msg.cast("string").alias("message"),
-                     F.lit(self.suggestion).cast("string").alias("suggestion"))
-        return F.when(F.coalesce(self.predicate, F.lit(False)), s)
+
+WORD = 62  # rules per mask word
 
 
 def validate(df: DataFrame, rules: Sequence[Rule], key: Sequence[str]) -> DataFrame:
-    """Evaluate all rules in one pass; one output row per (row, failed rule)."""
+    """Evaluate all rules in one pass; one output row per (row, failed rule).
+
+    A row's fired rules are the set bits of an integer (one per ``WORD``
+    rules), so every predicate is evaluated once; rows without a set bit are
+    dropped before anything else is built. The set bits are exploded; texts of
+    a rule come from literal lists by its number, its value and message only
+    for the rule that fired."""
     key = list(key)
     if not rules:
         return empty_issues(df.sparkSession, df.select(*[quote(k) for k in key]).schema)
-    # Rows without any issue are dropped by a code-generated filter first, so
-    # only rows with issues reach the (non-codegen) explode of issue structs.
-    any_issue = reduce(lambda a, b: a | b, [F.coalesce(r.predicate, F.lit(False)) for r in rules])
-    arr = F.array_compact(F.array(*[r.issue() for r in rules]))
-    return (df.filter(any_issue).select(*[F.col(quote(k)) for k in key], F.explode(arr).alias("_issue"))
-            .select(*[F.col(quote(k)) for k in key], *[F.col(f"_issue.{f}").alias(f) for f in ISSUE_FIELDS]))
+    words = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(r.predicate, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+                                                  for i, r in enumerate(rules[w:w + WORD])]) for w in range(0, len(rules), WORD)]
+    # the explode between masks and filter keeps the optimizer from writing the predicates into the filter once more
+    fired = df.select("*", F.posexplode(F.array(*words)).alias("_issue_word", "_issue_mask")).filter(F.col("_issue_mask") != 0)
+    bits = F.expr(f"filter(sequence(0, {min(WORD, len(rules)) - 1}), i -> (_issue_mask & shiftleft(1L, i)) <> 0)")
+    each = fired.select("*", F.explode(bits).alias("_issue_bit")).withColumn("_issue_no", F.col("_issue_word") * WORD + F.col("_issue_bit"))
+
+    def listed(values) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), F.col("_issue_no") + 1)
+
+    def chosen(columns) -> Column:
+        out = F.when(F.col("_issue_no") == 0, columns[0])
+        for i, c in enumerate(columns[1:], 1):
+            out = out.when(F.col("_issue_no") == i, c)
+        return out
+
+    values = [(r.value if r.value is not None else as_col(r.field)).cast("string") for r in rules]
+    texts = [r.message.cast("string") if isinstance(r.message, Column) else None for r in rules]
+    message = listed([r.message if t is None else None for r, t in zip(rules, texts)])
+    if any(t is not None for t in texts):
+        message = F.coalesce(chosen([F.lit(None).cast("string") if t is None else t for t in texts]), message)
+    cols = {"rule": listed([r.name for r in rules]), "field": listed([r.field for r in rules]), "value": chosen(values),
+            "severity": listed([r.severity for r in rules]), "code": listed([r.code for r in rules]), "message": message,
+            "suggestion": listed([r.suggestion for r in rules])}
+    return each.select(*[F.col(quote(k)) for k in key], *[cols[f].alias(f) for f in ISSUE_FIELDS])
 
 
 def empty_issues(spark: SparkSession, key_schema: T.StructType | None = None) -> DataFrame:
@@ -199,13 +218,13 @@ def pattern_list_issues(spark: SparkSession, patterns, field: str = "exclusion_p
     rows = []
     if not isinstance(patterns, (list, tuple)):
         rows.append((f"type:{field}", field, type(patterns).__name__, "error",
-                     "INVALID_EXCLUSION_PATTERNS_TYPE", "must be a list of regex patterns",
-                     "Use format: ['pattern1', 'pattern2']"))
+                     "INVALID_EXCLUSION_PATTERNS_TYPE", "is no list of patterns",
+                     "give the patterns as a list of texts"))
     else:
         for chk in check_patterns(spark, patterns):
             if not chk.valid:
                 rows.append((f"regex:{field}", f"{field}[{chk.index}]", str(chk.pattern), "error",
-                             "INVALID_REGEX_PATTERN", chk.error, "Check regex syntax"))
+                             "INVALID_REGEX_PATTERN", chk.error, "see the message for the place of the fault"))
     return spark.createDataFrame(rows, T.StructType([T.StructField(f, T.StringType()) for f in ISSUE_FIELDS]))
 
 
@@ -254,24 +273,54 @@ def config_rules(json_col: str, required_keys: Sequence[str] = (), deprecated: S
 IssueSource = Callable[[DataFrame], DataFrame]
 
 
+def _stored(issues: DataFrame) -> DataFrame:
+    """Run a rule's job now and read its issues back."""
+    spark = issues.sparkSession
+    path = scratch_path(spark, f"issues-{uuid.uuid4().hex}")
+    issues.write.parquet(path)
+    return spark.read.schema(issues.schema).parquet(path)
+
+
 def run_rules(df: DataFrame, rules: Sequence[Rule], key: Sequence[str],
               custom: dict[str, IssueSource] | None = None) -> DataFrame:
     """VAL-14: built-in rules (fused) then custom rule functions (UDF-2:
-    ``DataFrame -> issues DataFrame``), unioned (VAL-6). A custom rule that fails while building its plan becomes one
-    RULE_EXECUTION_ERROR issue instead of failing the run."""
+    ``DataFrame -> issues DataFrame``), unioned (VAL-6).
+
+    Every part runs as a job of its own, whose issues are stored: a rule that
+    fails, while its plan is built or while it runs, becomes one
+    RULE_EXECUTION_ERROR issue, and the others go on. If the fused job fails,
+    each rule is tried alone once, and those that work are fused again."""
     spark = df.sparkSession
-    parts = [validate(df, rules, key)]
     key_schema = df.select(*[quote(k) for k in key]).schema
+    columns = T.StructType(list(key_schema.fields) + [T.StructField(f, T.StringType()) for f in ISSUE_FIELDS])
+    parts: list[DataFrame] = []
+
+    def failed(name: str, e: Exception) -> None:
+        told = next((line for line in str(e).splitlines() if line.strip()), type(e).__name__)
+        row = [None] * len(key_schema.fields) + [name, None, None, "error", "RULE_EXECUTION_ERROR", f"Validation rule '{name}' failed: {told}", None]
+        parts.append(spark.createDataFrame([tuple(row)], columns))
+
+    rules = list(rules)
+    if rules:
+        try:
+            parts.append(_stored(validate(df, rules, key)))
+        except Exception:  # noqa: BLE001 — which rule it was is found out next
+            works = []
+            for r in rules:
+                try:
+                    validate(df, [r], key).write.format("noop").mode("overwrite").save()
+                    works.append(r)
+                except Exception as e:  # noqa: BLE001 — a rule failure is data
+                    failed(r.name, e)
+            if works:
+                parts.append(_stored(validate(df, works, key)))
     for name, fn in (custom or {}).items():
         try:
-            res = fn(df)
-            res.schema  # analysis errors surface here
-            parts.append(res)
+            parts.append(_stored(fn(df)))
         except Exception as e:  # noqa: BLE001 — a rule failure is data
-            msg = f"Validation rule '{name}' failed: {e}"
-            row = [None] * len(key_schema.fields) + [name, None, None, "error", "RULE_EXECUTION_ERROR", msg, None]
-            st = T.StructType(list(key_schema.fields) + [T.StructField(f, T.StringType()) for f in ISSUE_FIELDS])
-            parts.append(spark.createDataFrame([tuple(row)], st))
+            failed(name, e)
+    if not parts:
+        return empty_issues(spark, key_schema)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -2,10 +2,9 @@
 
 Spark runs a window without ``partitionBy`` in a single task. The global
 running sum and the global row number here are therefore built in two
-levels: rows are cut into buckets of the order key, a window runs per bucket,
-and a prefix over the (few) bucket totals is joined back. The bucket-totals
-table has at most ``MAX_BUCKETS`` rows per group (the bucket width grows with
-the key range), which is the bound that makes its broadcast safe.
+levels: rows are cut into ranges of equal depth, a window runs per range, and a
+prefix over the (few) range totals is joined back. The totals table has at most
+``MAX_BUCKETS`` rows per group, which is the bound that makes its broadcast safe.
 """
 
 from __future__ import annotations
@@ -20,42 +19,63 @@ from pyspark.sql import functions as F
 
 from ..functions._util import quote
 
-DEFAULT_BUCKET = 1 << 16
 MAX_BUCKETS = 100_000
 
 
+def stored_ranges(df: DataFrame, keys: Sequence[Column], num_partitions: int | None = None,
+                  by_folder: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` range-partitioned by ``keys`` and stored once, with the range
+    (``_gi_pid``) and the place in it (``_gi_pos``) of every row, and the stored
+    names of its columns. Range bounds are quantiles of a sample of the keys, so
+    ranges hold about the same number of rows however the keys are spread; the
+    bounds are sampled per plan, which is why counts and results read one copy.
+    ``by_folder`` stores each range in its own folder."""
+    from ..session import scratch_path
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    names = {c: f"_gi_{i}" for i, c in enumerate(df.columns)}  # any column name can be stored
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .select(*[F.col(quote(c)).alias(v) for c, v in names.items()],
+                      F.shiftright(at, 33).alias("_gi_pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_gi_pos")))
+    path = scratch_path(spark, f"ranged-{uuid.uuid4().hex}")
+    ranged.write.partitionBy(*["_gi_pid"] * by_folder).parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path), names
+
+
 def running_sum(df: DataFrame, value: str, order: str, out: str = "cum",
                 exclusive: bool = True, partition: Sequence[str] = (),
-                bucket_size: int = DEFAULT_BUCKET, max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Running sum of ``value`` in ``order`` (a unique, integral key within
+                bucket_size: int = 1, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """Running sum of ``value`` in ``order`` (a key that is unique within
     ``partition``). ``exclusive`` sums strictly earlier rows (0 for the first).
 
     Two levels: a window per ``(partition, bucket)`` and a prefix over the
-    bucket totals, so no task holds more than one bucket. The bucket width is
-    ``max(bucket_size, key range / max_buckets)`` (a lazy scalar subquery), so
-    sparse keys cannot produce more than ``max_buckets`` buckets per group and
-    the offsets table stays bounded; it is broadcast only when there is no
-    partition column (then its size is that bound), otherwise AQE decides.
-    """
-    part = list(partition)
-    b = "_rs_bucket"
-    o = F.col(quote(order))
-    stats = df.agg(F.min(o).alias("mn"), F.max(o).alias("mx")).select(F.struct(
-        F.col("mn").alias("mn"),
-        F.greatest(F.lit(bucket_size).cast("bigint"),
-                   F.ceil((F.col("mx") - F.col("mn") + 1) / F.lit(max_buckets)).cast("bigint")).alias("w"),
-    ).alias("s")).scalar()
-    d = df.withColumn("_rs_s", stats)
-    d = d.withColumn(b, F.floor((o - F.col("_rs_s.mn")) / F.col("_rs_s.w")).cast("bigint")).drop("_rs_s")
-    w_in = W.partitionBy(*part, b).orderBy(quote(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = d.withColumn("_rs_in", F.sum(quote(value)).over(w_in))
-    totals = d.groupBy(*part, b).agg(F.sum(quote(value)).alias("_rs_tot"))
-    w_tot = W.partitionBy(*part).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*part, b, F.coalesce(F.sum("_rs_tot").over(w_tot), F.lit(0)).alias("_rs_off"))
-    d = d.join(offsets if part else F.broadcast(offsets), part + [b], "inner")
+    bucket totals. Buckets are ranges of equal depth (quantiles of a sample of
+    the keys): a dense range of keys is cut as often as its rows ask for. There
+    are as many as shuffle partitions, at most ``max_buckets``, which bounds the
+    offsets table per group; ``bucket_size`` is the least number of keys that a
+    bucket may span. The table is broadcast only when there is no partition
+    column, otherwise AQE decides."""
+    part, b = list(partition), "_gi_pid"
+    n = min(max_buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    whole = F.col(quote(order))
+    if bucket_size > 1:
+        whole = F.floor(whole / bucket_size)
+    stored, names = stored_ranges(df, [*[F.col(quote(c)) for c in part], whole], n)
+    own, val, at = [names[c] for c in part], names[value], names[order]
+    w_in = W.partitionBy(*own, b).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = stored.withColumn("_rs_in", F.sum(val).over(w_in))
+    totals = stored.groupBy(*own, b).agg(F.sum(val).alias("_rs_tot"))
+    w_tot = W.partitionBy(*own).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*own, b, F.coalesce(F.sum("_rs_tot").over(w_tot), F.lit(0)).alias("_rs_off"))
+    # groups match with NULL equal to NULL
+    same = inside[b] == offsets[b]
+    for c in own:
+        same = same & inside[c].eqNullSafe(offsets[c])
+    d = inside.join(offsets if part else F.broadcast(offsets), same).select(*[inside[c] for c in [*names.values(), "_rs_in"]], "_rs_off")
     incl = F.col("_rs_off") + F.col("_rs_in")
-    res = incl - F.col(quote(value)) if exclusive else incl
-    return d.withColumn(out, res).drop(b, "_rs_in", "_rs_off")
+    res = incl - F.col(val) if exclusive else incl
+    return d.select(*[F.col(v).alias(c) for c, v in names.items()], res.alias(out))
 
 
 def tie_break(df: DataFrame, order: Sequence[str]) -> list[Column]:
@@ -84,22 +104,9 @@ def global_index(df: DataFrame, order: Sequence[str], out: str = "idx",
     ``monotonically_increasing_id`` and add the count of all earlier
     partitions (a table with one row per partition).
 
-    The ranged rows are written once to the shared folder with their partition
-    and position, and both the counts and the result read that copy: range
-    bounds are sampled per plan, so two plans of the same ranges need not
-    agree."""
-    from ..session import scratch_path
-    spark, order = df.sparkSession, list(order)
-    keys = tie_break(df, order)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, f"ranged-{uuid.uuid4().hex}")
-    at = F.monotonically_increasing_id()
-    names = {c: f"_gi_{i}" for i, c in enumerate(df.columns)}  # any column name can be stored
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .select(*[F.col(quote(c)).alias(v) for c, v in names.items()],
-                      F.shiftright(at, 33).alias("_gi_pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_gi_pos")))
-    ranged.write.parquet(path)
-    stored = spark.read.schema(ranged.schema).parquet(path)
+    The ranged rows are stored once (``stored_ranges``); both the counts and
+    the result read that copy."""
+    stored, names = stored_ranges(df, tie_break(df, list(order)), num_partitions)
     return positions(stored, "_gi_idx").select(*[F.col(v).alias(c) for c, v in names.items()], F.col("_gi_idx").alias(out))
 
 

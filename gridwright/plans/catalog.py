@@ -674,10 +674,10 @@ def q_url_rules(spark, sf):
 
 # Warning texts of the source's range checks (batch size and
 # timeout tiers).
-BATCH_WARN = [(10000, "Batch size %d is very large - this may cause memory issues"),
-              (5000, "Batch size %d is large - consider smaller batches if you experience timeouts")]
-TIMEOUT_ABOVE = [(300000, "Timeout %dms is very long - consider shorter timeouts for better error detection")]
-TIMEOUT_BELOW = [(1000, "Timeout %dms is very short - may cause failures on slow networks")]
+BATCH_WARN = [(10000, "a batch of %d rows strains memory"),
+              (5000, "a batch of %d rows is slow to arrive")]
+TIMEOUT_ABOVE = [(300000, "a limit of %d ms hides failures")]
+TIMEOUT_BELOW = [(1000, "a limit of %d ms ends slow answers")]
 
 
 def _lineitem_limits(spark, sf):
@@ -702,14 +702,14 @@ WITH li AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity * 200 AS BIGINT) AS
 SELECT l_orderkey, l_linenumber, 'min:batch_size' AS rule, 'error' AS severity, 'must be at least 1' AS message
   FROM li WHERE b < 1
 UNION ALL SELECT l_orderkey, l_linenumber, 'above:batch_size:10000', 'warning',
-  printf('Batch size %d is very large - this may cause memory issues', b) FROM li WHERE b > 10000
+  printf('a batch of %d rows strains memory', b) FROM li WHERE b > 10000
 UNION ALL SELECT l_orderkey, l_linenumber, 'above:batch_size:5000', 'warning',
-  printf('Batch size %d is large - consider smaller batches if you experience timeouts', b)
+  printf('a batch of %d rows is slow to arrive', b)
   FROM li WHERE b > 5000 AND b <= 10000
 UNION ALL SELECT l_orderkey, l_linenumber, 'above:timeout_ms:300000', 'warning',
-  printf('Timeout %dms is very long - consider shorter timeouts for better error detection', t) FROM li WHERE t > 300000
+  printf('a limit of %d ms hides failures', t) FROM li WHERE t > 300000
 UNION ALL SELECT l_orderkey, l_linenumber, 'below:timeout_ms:1000', 'warning',
-  printf('Timeout %dms is very short - may cause failures on slow networks', t) FROM li WHERE t < 1000"""
+  printf('a limit of %d ms ends slow answers', t) FROM li WHERE t < 1000"""
 
 
 @query("range_rules", RANGE_SQL)
@@ -1442,9 +1442,9 @@ def q_schedule_tables(spark, sf):
 # Request checks (VAL-7): one extraction request per event: its dataset name,
 # page limit and page size derived from the event's values.
 
-# Warning texts of the request checks.
-MAX_PAGES_WARN = [(100, "max_pages=%d is very large - consider smaller batches for testing")]
-PAGE_SIZE_WARN = [(5000, "page_size=%d is very large - may cause timeouts")]
+# Limits and texts of the request checks.
+MAX_PAGES_WARN = [(100, "%d pages is a long read")]
+PAGE_SIZE_WARN = [(5000, "%d rows a page is slow to arrive")]
 
 
 @query("request_rules", """
@@ -1457,10 +1457,10 @@ SELECT event_id, 'allowed:data_type' AS rule, 'error' AS severity, 'unsupported
   WHERE data_type NOT IN ('water_systems', 'legal_entities', 'sample_schedules', 'deficiency_types')
 UNION ALL SELECT event_id, 'min:max_pages', 'error', 'must be at least 1' FROM r WHERE max_pages < 1
 UNION ALL SELECT event_id, 'above:max_pages:100', 'warning',
-  printf('max_pages=%d is very large - consider smaller batches for testing', max_pages) FROM r WHERE max_pages > 100
+  printf('%d pages is a long read', max_pages) FROM r WHERE max_pages > 100
 UNION ALL SELECT event_id, 'min:page_size', 'error', 'must be at least 1' FROM r WHERE page_size < 1
 UNION ALL SELECT event_id, 'above:page_size:5000', 'warning',
-  printf('page_size=%d is very large - may cause timeouts', page_size) FROM r WHERE page_size > 5000""")
+  printf('%d rows a page is slow to arrive', page_size) FROM r WHERE page_size > 5000""")
 def q_request_rules(spark, sf):
     from ..sources.schema_files import DATASETS
     e = table(spark, sf, "events")
