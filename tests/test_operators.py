@@ -318,3 +318,61 @@ def test_global_index_without_exchange_reuse(spark):
             (3 + i // 10, i % 10 + 1) for i in range(20)]
     finally:
         spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
+def test_each_predicate_stands_once_in_the_plan(spark):
+    d = spark.range(50).select(F.col("id"), (F.col("id") * 3).alias("v"))
+    rs = [rules.Rule(f"r{k}", "v", F.col("v") % (1000 + k) == 7, message=F.format_string("v=%d", F.col("v"))) for k in range(70)]
+    plan = rules.validate(d, rs, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(f"% {1000 + k})") == 1 for k in (0, 33, 61, 62, 69))
+
+
+def test_more_rules_than_bits(spark):
+    d = spark.createDataFrame([(1, 5), (2, None), (3, 69), (4, 62)], "id int, v int")
+    rs = [rules.Rule(f"is_{k}", "v", F.col("v") == k, message=f"text {k}" if k % 2 else F.concat(F.lit("col "), F.col("v").cast("string")))
+          for k in range(70)]
+    got = {(r["id"], r["rule"], r["value"], r["message"]) for r in rules.validate(d, rs, ["id"]).collect()}
+    assert got == {(1, "is_5", "5", "text 5"), (3, "is_69", "69", "text 69"), (4, "is_62", "62", "col 62")}
+    both = rules.validate(d, [rules.Rule("a", "v", F.col("v") > 0), rules.Rule("b", "v", F.col("v").isNull()), rules.Rule("c", "v", F.col("v") > 60)], ["id"])
+    assert sorted((r["id"], r["rule"]) for r in both.collect()) == [(1, "a"), (2, "b"), (3, "a"), (3, "c"), (4, "a"), (4, "c")]
+
+
+def test_a_rule_that_fails_while_it_runs_is_an_issue(spark):
+    d = spark.createDataFrame([(1, ""), (2, "x")], "id int, v string")
+    bad = F.when(F.col("id") > 0, F.raise_error(F.lit("boom"))).isNotNull()
+    out = rules.run_rules(d, [rules.Rule("bad", "v", bad), rules.required("v", allow_empty=False)], ["id"],
+                          {"late": lambda x: rules.validate(x.filter(bad), [rules.required("v")], ["id"])}).collect()
+    assert sorted((r["id"] or 0, r["rule"], r["code"]) for r in out) == [
+        (0, "bad", "RULE_EXECUTION_ERROR"), (0, "late", "RULE_EXECUTION_ERROR"), (1, "required:v", "MISSING_REQUIRED")]
+    assert all("boom" in r["message"] for r in out if r["code"] == "RULE_EXECUTION_ERROR")
+
+
+def test_dense_keys_are_spread_over_ranges(spark):
+    d = spark.range(20_000).select(F.when(F.col("id") == 0, F.lit(10**15)).otherwise(F.col("id")).alias("o"), F.lit(1).alias("n"))
+    stored, _ = windows.stored_ranges(d, [F.col("o")], 8)
+    sizes = [r["count"] for r in stored.groupBy("_gi_pid").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    got = {r["o"]: r["cum"] for r in windows.running_sum(d, "n", "o").collect()}
+    assert got[1] == 0 and got[19_999] == 19_998 and got[10**15] == 19_999
+    grouped = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], "g string, o int, n int")
+    assert sorted((r["g"] or "", r["o"], r["cum"]) for r in windows.running_sum(grouped, "n", "o", partition=["g"]).collect()) == [
+        ("", 1, 0), ("", 2, 2), ("a", 1, 0)]
+
+
+def test_deep_window_opens_only_its_ranges(spark):
+    d = spark.range(10_000).select((F.col("id") % 97).alias("k"), "id")
+    index = paging.PageIndex(d, ["k"], 16)
+    want = windows.global_index(d, ["k"], out="_pos")
+    for first, n in ((0, 5), (4_321, 50), (9_990, 50), (20_000, 5), (2_000, None)):
+        got = {(r["k"], r["id"], r["_pos"]) for r in index.rows(first, n).collect()}
+        end = 10_000 if n is None else first + n
+        assert got == {(r["k"], r["id"], r["_pos"]) for r in want.filter((F.col("_pos") >= first) & (F.col("_pos") < end)).collect()}
+    assert len(index.rows(4_321, 50).inputFiles()) >= 1
+    files = index.rows(4_321, 50).select(F.input_file_name().alias("f")).distinct().count()
+    assert files <= 2
+    scan = index.rows(4_321, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in scan and "_gi_pid" in scan.split("PartitionFilters")[1][:80]
+    top = paging.offset_page(d, ["k"], 10, 7, 3)
+    deep = paging.offset_page(d, ["k"], 10, 7, 3, top_rows=0)
+    shared = paging.offset_page(d, ["k"], 10, 7, 3, index=index)
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, deep.collect())) == sorted(map(tuple, shared.collect()))
