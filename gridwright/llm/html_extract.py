@@ -38,7 +38,10 @@ _TOKEN = re.compile(
 _HIDE = re.compile(
     _SKIP + rf"|<(?P<end>/?)(?P<tag>{'|'.join(HIDE.split())})(?=[\s/>])(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*|[^>]*)>", re.S | re.I)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\b(?:hidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none)", re.I)
+_ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+# First parts of class names that tell a state of what is around them, not what they are.
+STATES = set("no has have with without is not hide hides show shows enable enabled disable disabled allow open can uses".split())
 
 #: Labelled blocks: words, link density, words and link density of the block before and of the block behind,
 #: place (0 open page, 1 article, 2 page furniture), heading (1) or not, article text (1) or not.
@@ -138,16 +141,33 @@ def judge(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _place(tag: str, attrs: str, outer: int) -> int:
+def _hides(attrs: str) -> bool:
+    """Do the attributes hide their element? The bare ``hidden`` attribute,
+    ``aria-hidden="true"`` and ``display:none`` in a style do."""
+    if "hidden" not in (low := attrs.lower()) and "display" not in low:
+        return False
+    for m in _ATTR.finditer(attrs):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and not value.startswith("until") or name == "aria-hidden" and value == "true" or (
+                name == "style" and _NONE.search(value)):
+            return True
+    return False
+
+
+def _place(tag: str, attrs: str, outer: int, forms: bool = True) -> int:
     """Place of what stands in an element: 3 is furniture that an article
-    inside it does not undo (reader comments, forms, menus, hidden parts)."""
+    inside it does not undo (reader comments, forms, menus, hidden parts).
+    Without ``forms`` a form is like any other element."""
     if outer == 3:
         return 3
     names: set[str] = set()
     if "=" in attrs:
         for m in _NAMED.finditer(attrs):
-            names.update(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()))
-    if tag in CHROME or names & READERS or (attrs and _HIDDEN.search(attrs)):
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                parts = re.split(r"[^a-z0-9]+", name)
+                if parts[0] not in STATES or len(parts) == 1:
+                    names.update(parts)
+    if (tag in CHROME and (forms or tag != "form")) or names & READERS or (attrs and _hides(attrs)):
         return 3
     if tag in ARTICLE and not names & HINTS:
         return 1
@@ -175,19 +195,21 @@ def hidden_ends(page: str) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
+def blocks(page: str, forms: bool = True) -> list[tuple[str, int, int, int, int]]:
     """``(text, words, words in links, place, heading)`` of each text block in
-    page order; markup that never shows is gone, references are decoded."""
+    page order; markup that never shows is gone, references are decoded. A form
+    around most words of the page is its wrapper, not a form to fill in."""
     out: list[tuple[str, int, int, int, int]] = []
     stack: list[tuple[str, int]] = []  # open elements with the place of their content
     open_: Counter = Counter()  # and how many there are of each name
     parts: list[str] = []
-    linked, links, heading = 0, 0, 0
+    linked, links, heading, in_forms = 0, 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, in_forms
         words = "".join(parts).split()
         if words:
+            in_forms += len(words) if open_["form"] else 0
             place = stack[-1][1] if stack else 0
             out.append((" ".join(words), len(words), min(linked, len(words)), min(place, 2), heading))
         parts.clear()
@@ -254,7 +276,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                     break
         if m["attrs"].endswith("/"):
             continue
-        place = _place(tag, m["attrs"], outer)
+        place = _place(tag, m["attrs"], outer, forms)
         if tag in INLINE and place != outer:
             flush()
         stack.append((tag, place))
@@ -264,6 +286,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             heading = 1
     say(page[at:])
     flush()
+    if forms and 2 * in_forms > sum(b[1] for b in out):
+        return blocks(page, forms=False)
     return out
 
 

@@ -164,3 +164,18 @@ def test_extract_keeps_rows_and_columns(spark):
 def test_html_is_linear_on_open_markup():
     for bad in ("<a \"" * 30_000, "<" * 100_000, "<div>" * 20_000, "<p class='" * 20_000, "<b>" * 20_000 + "</i>" * 20_000):
         html_extract.blocks(bad)
+
+
+def test_wrappers_that_only_sound_like_furniture():
+    tree = html_extract.grow(*html_extract.labelled())
+    art = " ".join(f"word{k} and the text" for k in range(27))
+    p = f"<p>{art}</p><p>{art}</p>"
+    nav = "<nav><ul><li><a href=x>Home</a><li><a href=y>About us</a></ul></nav>"
+    for body in (f'{nav}<div class="overflow-hidden"><article>{p}</article></div>', f'{nav}<main aria-hidden="false">{p}</main>',
+                 f'{nav}<article data-note="the hidden cost">{p}</article>', f'{nav}<article class="post no-comments">{p}</article>',
+                 f'<div class="site has-sidebar">{nav}<div>{p}</div></div>', f'<form id="aspnetForm">{nav}<div>{p}</div></form>',
+                 f'{nav}<article>{p}<form><label>Your name please</label><p>send us mail</p></form></article>'
+                 f'<div class="post-comments"><p>{art}</p></div>',
+                 f'{nav}<div hidden>secret words here</div><p style="color:red;display: none">more secret</p><b aria-hidden=true>x</b>'
+                 f"<article>{p}</article>"):
+        assert html_extract.main_text([f"<html><body>{body}</body></html>"], tree) == [f"{art} {art}"], body

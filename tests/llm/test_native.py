@@ -332,3 +332,36 @@ def test_plans_of_the_native_queries(spark, sf_small):
     from gridwright.llm import queries
     for name in ("op5_decontamination", "op6_url_filter", "op8_line_dedup", "op9_license_scan"):
         assert not PYTHON.search(plan(queries.QUERIES[name](spark, sf_small))), name
+
+
+def test_urls_with_many_parts_end(spark):
+    long = [f"http://a.com/{'/'.join(f'part{chr(97 + k % 26)}{chr(97 + k // 26)}' for k in range(n))}" for n in (7, 40, 40)]
+    long[2] += "/tail?q=1"
+    d = spark.createDataFrame(list(enumerate(long)) + [(9, "http://a.org/partaa/x")], "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(d, [("block", "a.com", "/")]).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 9: "block"}  # "partaa" and host part "a" stand in blocked urls only
+
+
+def brute_rules(rows, support, confidence):
+    """Every token set above the limits that no part of it makes needless."""
+    least = max(support * len(rows), 2)
+    found = {}
+    for t, _ in rows:
+        for n in range(1, len(t) + 1):
+            for part in itertools.combinations(t, n):
+                if part not in found:
+                    has = [v for u, v in rows if set(part) <= set(u)]
+                    found[part] = {v: (c, len(has)) for v, c in Counter(has).items() if c >= least and c / len(has) >= confidence}
+    return {(p, v) for p, by in found.items() for v, (c, n) in by.items()
+            if not any(set(q) < set(p) and v in found[q] and found[q][v][0] / found[q][v][1] >= c / n for q in found)}
+
+
+def test_all_rules_are_found(spark):
+    rng = random.Random(8)
+    rows = [(sorted({f"h:{rng.choice('ab')}", f"p:{rng.choice('uvwxyz')}", f"p:{rng.choice('uvwxyz')}", f"q:{rng.choice('klmn')}"}),
+             rng.choice(["allow", "block", "block"])) for _ in range(60)]
+    d = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(tuple(r["antecedent"]), r["verdict"]) for r in url_rules.mine(d, 0.01, 0.8).collect()}
+    assert got == brute_rules(rows, 0.01, 0.8) and len(got) > 5
+    same = spark.createDataFrame([(["a", "b", "c"], "x"), (["a", "b", "d"], "x"), (["c", "e", "f"], "y")], "tokens array<string>, verdict string")
+    assert {r["token"]: r["like"] for r in url_rules.alike(same).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "e"}
