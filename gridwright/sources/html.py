@@ -1,8 +1,9 @@
 """HTML table scan (SRC-6, SRC-7).
 
-Pages are parsed where they live: ``mapInPandas`` runs a small stdlib
-``html.parser`` tree builder per page inside the executors, and emits one row
-per table row. Selection follows the DOM rules of ``querySelectorAll``: rows
+Pages are parsed where they live: ``mapInArrow`` runs a small tree builder per
+page inside the executors, and emits one row per table. Plain markup (every
+``<`` starts a simple tag) is cut by one regular expression; any other page goes
+through the stdlib ``html.parser``, which gives the same tree. Selection follows the DOM rules of ``querySelectorAll``: rows
 are all descendant row elements of a container, cells all descendant cell
 elements of a row, and a cell's text is its ``textContent`` trimmed.
 
@@ -12,11 +13,13 @@ tags, so this is the one place where Python runs per row (Arrow batches).
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from html import unescape
 from html.parser import HTMLParser
 from typing import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,8 @@ def _js_space(ch: str) -> bool:
 
 
 def js_trim(s: str) -> str:
+    if s and s[0] > " " and s[-1] > " " and s.isascii():
+        return s
     i, j = 0, len(s)
     while i < j and _js_space(s[i]):
         i += 1
@@ -94,6 +99,19 @@ class _Node:
             stack.extend(reversed(n.children))
 
 
+def _imply_close(stack: list[_Node], tag: str) -> None:
+    closes = IMPLIED_CLOSE.get(tag)
+    if closes:
+        bounds = SCOPE_BOUNDARY[tag]
+        for k in range(len(stack) - 1, 0, -1):
+            t = stack[k].tag
+            if t in bounds:
+                break
+            if t in closes:
+                del stack[k:]
+                break
+
+
 class _TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -101,16 +119,7 @@ class _TreeBuilder(HTMLParser):
         self.stack = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        closes = IMPLIED_CLOSE.get(tag)
-        if closes:
-            bounds = SCOPE_BOUNDARY[tag]
-            for k in range(len(self.stack) - 1, 0, -1):
-                t = self.stack[k].tag
-                if t in bounds:
-                    break
-                if t in closes:
-                    del self.stack[k:]
-                    break
+        _imply_close(self.stack, tag)
         node = _Node(tag, attrs)
         self.stack[-1].children.append(node)
         if tag not in VOID_TAGS:
@@ -129,14 +138,56 @@ class _TreeBuilder(HTMLParser):
         self.stack[-1].children.append(data)
 
 
-def parse_tables(html: str | None, container: str = "table", row: str = "tr",
-                 cells: Sequence[str] = ("td", "th"), css_class: str | None = None,
-                 min_rows: int = 2) -> list[list[list[str]]]:
-    """All containers with at least ``min_rows`` row elements, as lists of
-    rows of trimmed cell texts; rows without cells are left out. With empty
-    ``cells`` the row's own text is its single cell."""
-    if not html:
-        return []
+_BLANK = r"[ \t\n\r\f]"
+_TAG = re.compile(rf"<(/?)([a-zA-Z][-a-zA-Z0-9]*)((?:{_BLANK}+[a-zA-Z_][-\w]*(?:=(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'=<>`/]+))?)*){_BLANK}*(/?)>")
+_ATTR = re.compile(r"([a-zA-Z_][-\w]*)(?:=(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`/]+)))?")
+# Elements whose content is not markup; pages with one of them go to the full parser.
+_RAW = re.compile(r"<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)\b", re.I)
+
+
+def _attributes(text: str) -> list[tuple[str, str | None]]:
+    out = []
+    for m in _ATTR.finditer(text):
+        value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
+        out.append((m[1].lower(), None if value is None else unescape(value)))
+    return out
+
+
+def plain_tree(html: str) -> _Node | None:
+    """The tree of a page of plain markup; None if it is not plain."""
+    if _RAW.search(html):
+        return None
+    parts = _TAG.split(html)  # text, (end, name, attributes, closed), text, ...
+    if html.count("<") != len(parts) // 5:
+        return None
+    root = _Node("#document", [])
+    stack = [root]
+    for at in range(0, len(parts), 5):
+        text = parts[at]
+        if text:
+            stack[-1].children.append(unescape(text) if "&" in text else text)
+        if at + 1 == len(parts):
+            break
+        end, tag, attrs, closed = parts[at + 1:at + 5]
+        tag = tag.lower()
+        if end:
+            if attrs or closed:
+                return None
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    del stack[k:]
+                    break
+            continue
+        if not closed:
+            _imply_close(stack, tag)
+        node = _Node(tag, _attributes(attrs) if attrs else [])
+        stack[-1].children.append(node)
+        if not closed and tag not in VOID_TAGS:
+            stack.append(node)
+    return root
+
+
+def full_tree(html: str) -> _Node:
     b = _TreeBuilder()
     try:
         b.feed(html)
@@ -145,8 +196,20 @@ def parse_tables(html: str | None, container: str = "table", row: str = "tr",
         b = _TreeBuilder()
         b.feed(html.replace("<![", "&lt;!["))
         b.close()
+    return b.root
+
+
+def parse_tables(html: str | None, container: str = "table", row: str = "tr",
+                 cells: Sequence[str] = ("td", "th"), css_class: str | None = None,
+                 min_rows: int = 2) -> list[list[list[str]]]:
+    """All containers with at least ``min_rows`` row elements, as lists of
+    rows of trimmed cell texts; rows without cells are left out. With empty
+    ``cells`` the row's own text is its single cell."""
+    if not html:
+        return []
+    root = plain_tree(html) or full_tree(html)
     out = []
-    for t in b.root.descendants((container,)):
+    for t in root.descendants((container,)):
         if css_class is not None and css_class not in t.css_classes():
             continue
         rows = list(t.descendants((row,)))
@@ -188,23 +251,26 @@ def html_rows(df: DataFrame, html_col: str = "html", id_cols: Sequence[str] = ("
     ])
     cells_t = tuple(cells)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            recs = []
-            for rec in pdf.itertuples(index=False):
-                *ids, page = rec
-                tables = parse_tables(page, container, row, cells_t, css_class, min_rows=1)
-                tables = [t for t in tables if len(t) >= min_data_rows]
-                if first_only:
-                    tables = tables[:1]
-                recs += [(*ids, ti, t) for ti, t in enumerate(tables)]
-            yield pd.DataFrame.from_records(recs, columns=id_cols + ["table_no", "rows"])
+    table_type = pa.list_(pa.list_(pa.string()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, numbers, found = [], [], []
+            for k, page in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                tables = [t for t in parse_tables(page, container, row, cells_t, css_class, min_rows=1) if len(t) >= min_data_rows]
+                for no, t in enumerate(tables[:1] if first_only else tables):
+                    rows.append(k)
+                    numbers.append(no)
+                    found.append(t)
+            ids = [c.take(pa.array(rows, pa.int32())) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(numbers, pa.int32()), pa.array(found, table_type)],
+                                             names=[*id_cols, "table_no", "rows"])
 
     # Pages without the container tag cannot yield rows: drop them JVM-side
     # (a case-insensitive regex find) before anything crosses into Python.
     has_tag = F.col(quote(html_col)).rlike(f"(?i)<{container}[\\s>/]")
     ids = [F.col(quote(c)) for c in id_cols]
-    tables = df.select(*ids, F.col(quote(html_col))).filter(has_tag).mapInPandas(scan, out_schema)
+    tables = df.select(*ids, F.col(quote(html_col))).filter(has_tag).mapInArrow(scan, out_schema)
     return (tables.select(*ids, "table_no", F.posexplode("rows").alias("row_no", "cells"), F.col("rows")[0].alias("header")))
 
 
@@ -259,7 +325,7 @@ def _ship_by_value() -> None:
     # The scan runs in Python workers, which may not have this package on
     # their path (a driver-only install, a notebook, a submitted script):
     # serialize this module's code with the task instead of by reference.
-    # The module depends only on the standard library, pandas and pyspark.
+    # The module depends only on the standard library, pyarrow and pyspark.
     import sys as _sys
 
     from pyspark import cloudpickle as _cp

@@ -23,5 +23,5 @@ def test_plan_shape(spark, sf_small, name):
         E.queries()[name](spark, sf_small).explain()
     plan = buf.getvalue()
     assert not re.search(r"BroadcastNestedLoopJoin|CartesianProduct", plan)
-    has_python = bool(re.search(r"MapInPandas|BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas", plan))
+    has_python = bool(re.search(r"MapInPandas|MapInArrow|BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas", plan))
     assert has_python == (name in HTML_QUERIES)

@@ -286,3 +286,33 @@ def test_run_document_styles(spark):
     gen = joined(sinks.general_document({"deficiency_types": recs}, run))
     assert gen["extraction_summary"]["total_available"] is None
     assert gen["data_type_summaries"]["deficiency_types"]["success"] is True
+
+
+def test_plain_markup_gives_the_parser_s_tree():
+    import random
+    rng = random.Random(4)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "<td class='a b'>", "<TH Class=x>", "</td>", "</th>", "<br>", "<br/>", "<img src=\"a\"/>",
+            "<ul>", "<li>", "</ul>", "<b>", "</b>", "a &amp; b", " x ", "&lt;", "&nbsp", "é ", "text", "<p >", "</p >", "<td/>", "<select><option>"]
+    odd = ["<!-- c -->", "<script>a<b</script>", "a < b", "<td a==b>", "</td x>", "<?php ?>", "<![CDATA[x]]>", "<title>t</title>", "<"]
+
+    def shape(n):
+        return n if isinstance(n, str) else (n.tag, n.attrs, [shape(c) for c in merged(n.children)])
+
+    def merged(children):
+        out = []
+        for c in children:
+            if isinstance(c, str) and out and isinstance(out[-1], str):
+                out[-1] += c
+            else:
+                out.append(c)
+        return out
+
+    plain = 0
+    for _ in range(1500):
+        page = "".join(rng.choices(bits, k=rng.randint(0, 25)))
+        tree = html.plain_tree(page)
+        plain += tree is not None
+        assert tree is None or shape(tree) == shape(html.full_tree(page)), page
+    assert plain > 1400
+    for o in odd:
+        assert html.plain_tree(f"<table><tr><td>{o}</td></tr></table>") is None, o
