@@ -33,7 +33,8 @@ def join_name(last, first) -> Column:
 
 def federal_id(c) -> Column:
     """FN-6: ``struct(state STRING, number BIGINT)``; ('' , 0) when the text
-    does not start with two capitals and digits. Digits beyond BIGINT give 0."""
+    does not start with two capitals and digits. Digits beyond BIGINT give 0;
+    ``rules.fits_bigint`` reports them and ``exact_integer`` keeps them."""
     c = F.coalesce(as_col(c), F.lit(""))
     state = F.regexp_extract(c, FEDERAL_ID_PATTERN, 1)
     digits = F.regexp_extract(c, FEDERAL_ID_PATTERN, 2)
@@ -64,3 +65,10 @@ def digits_or_null(c) -> Column:
     """FN-14 / SRC-8: stripped text of ASCII digits only → BIGINT, else NULL."""
     s = py_strip(as_col(c))
     return F.when(s.rlike("^[0-9]+$"), s.try_cast("bigint"))
+
+
+def exact_integer(c) -> Column:
+    """Stripped text of a sign and ASCII digits → DECIMAL(38,0), which holds
+    numbers past BIGINT; other text and more than 38 digits → NULL."""
+    s = py_strip(as_col(c))
+    return F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("decimal(38,0)"))

@@ -170,6 +170,15 @@ def int_tiers(field: str, low: int | None = 1, warn_above: Sequence[tuple[int, s
     return out
 
 
+def fits_bigint(field: str, pattern: str = r"^\s*([+-]?[0-9]+)\s*$", severity: str = "error") -> Rule:
+    """FN-6 / FN-8 / FN-14: digits (group 1 of ``pattern``) that are past
+    BIGINT, which the parsing functions give as 0 or NULL; the issue carries
+    the text, so the number is not lost."""
+    digits = F.regexp_extract(F.coalesce(_c(field).cast("string"), F.lit("")), pattern, 1)
+    return Rule(f"bigint:{field}", field, (digits != "") & digits.try_cast("bigint").isNull(), severity, "NUMBER_TOO_LARGE",
+                F.format_string("%d digits are past the range of a 64-bit number", F.length(F.regexp_replace(digits, "^[+-]?0*", ""))))
+
+
 # Python urlparse: a scheme is a letter followed by letters, digits, + - . and
 # a colon; the network location follows "//".
 _SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import fmt, register_transform
+from ..functions import digits_or_null, exact_integer, fmt, register_transform
 from ..functions.text import title_label
 from ..operators import aggregates as agg
 from ..operators import bind, dedup, filters, paging, project, rules, windows
@@ -215,3 +215,57 @@ def q_output_fanout(spark, sf):
         F.lit(t).alias("data_type"), F.regexp_replace(F.lit(res["paths"][t].rsplit("/", 1)[1]), r"\d{8}_\d{6}", "<stamp>").alias("file"), "n") for t in ok]
     failed = spark.read.parquet(run + "/runs").filter("not success and size(errors) = 1").agg(F.count(F.lit(1)).alias("n"))
     return dedup.union_by_name([*out, failed.select(F.lit("failed runs").alias("data_type"), F.lit("runs").alias("file"), "n")])
+
+
+@query("fallback_extract", """
+WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, p_brand, p_type, p_name FROM part)
+SELECT k AS page_no, 1 AS row_index, p_brand AS code, p_type AS severity, 'main' AS source FROM p WHERE kind = 0
+UNION ALL SELECT k, 2, p_name, p_type, 'wide' FROM p WHERE kind = 1
+UNION ALL SELECT k, 1, p_type, p_type, 'wide' FROM p WHERE kind = 1
+UNION ALL SELECT k, 1, p_brand, p_type, 'table' FROM p WHERE kind = 2
+UNION ALL SELECT k, 2, p_name, '', 'table' FROM p WHERE kind = 2""")
+def q_fallback_extract(spark, sf):
+    """SRC-4 inside an extraction: array, largest other array or table of the
+    page, whose columns stand in another order."""
+    q = lambda *c: F.to_json(F.array(*c))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 4).alias("kind"), "p_brand", "p_type", "p_name")
+    row = lambda code, source: q(code, F.col("p_type"), F.lit("c"), F.lit(source))
+    arrays = (F.when(F.col("kind") == 0, F.concat(F.lit('"main": ['), row(F.col("p_brand"), "main"), F.lit('], "wide": [[1], [2]]')))
+              .when(F.col("kind") == 1, F.concat(F.lit('"main": [], "thin": [["t"]], "wide": ['), row(F.col("p_type"), "wide"), F.lit(","),
+                                                 row(F.col("p_name"), "wide"), F.lit("]"))).otherwise(F.lit('"main": []')))
+    html = F.concat(F.lit("<table><tr><th>Description</th><th>Default Severity Code</th><th>Type Code</th></tr><tr><td>table</td><td>"), "p_type",
+                    F.lit("</td><td>"), "p_brand", F.lit("</td></tr><tr><td>table</td><td></td><td>"), "p_name", F.lit("</td></tr></table>"))
+    pages = p.select(F.when(F.col("kind") == 2, html).alias("html"),
+                     F.parse_json(F.concat(F.lit('{"page_no": '), "k", F.lit(', "capture_id": "c0", '), arrays, F.lit("}"))).alias("page"))
+    landing = ex.landing_with_fallback(pages, "deficiency_types", ["main", "thin", "wide"])
+    e = ex.extract(spark, ex.ExtractionQuery("deficiency_types"), landing)
+    return e.records.select("page_no", F.col("row_index").cast("int").alias("row_index"), F.col("`Type Code`").alias("code"),
+                            F.col("`Default Severity Code`").alias("severity"), F.col("Description").alias("source"))
+
+
+@query("schedule_fallback", """
+SELECT o_orderkey AS page_no, 'S' || o_orderkey AS schedule, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'F' || o_custkey END AS facility FROM orders""")
+def q_schedule_fallback(spark, sf):
+    """SRC-3 inside an extraction: the array of a page, else its schedules table."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("S"), "o_orderkey").alias("s"), F.concat(F.lit("F"), "o_custkey").alias("f"))
+    in_table = F.col("o_orderkey") % 3 == 0
+    main = F.when(in_table, F.lit("[]")).otherwise(F.concat(F.lit('[["x", '), F.to_json(F.array(F.col("s"), F.lit("P1"), F.col("f"))), F.lit("]]")))
+    html = F.concat(F.lit('<table class="DFGUILBX"><tr><th>PWS ID</th><th>Schedule ID</th></tr><tr><td>P1</td><td>'), "s", F.lit("</td></tr></table>"))
+    pages = o.select(F.when(in_table, html).alias("html"), F.parse_json(F.concat(
+        F.lit('{"page_no": '), "o_orderkey", F.lit(', "capture_id": "c0", "main": '), main, F.lit("}"))).alias("page"))
+    e = ex.extract(spark, ex.ExtractionQuery("sample_schedules"), ex.landing_with_fallback(pages, "sample_schedules", ["main"]))
+    return e.records.select("page_no", F.col("`Schedule ID`").alias("schedule"), F.col("`Facility ID`").alias("facility"))
+
+
+@query("large_numbers", """
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '9' || lpad(CAST(o_orderkey AS VARCHAR), 20, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS txt FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS digits, txt AS exact,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'NUMBER_TOO_LARGE' END AS code, CASE WHEN o_orderkey % 3 = 0 THEN 'CA' || txt END AS reported FROM t""")
+def q_large_numbers(spark, sf):
+    """FN-6, FN-14: numbers past BIGINT are kept as DECIMAL and reported with their text."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("9"), F.lpad(k.cast("string"), 20, "0"))).otherwise(k.cast("string"))
+    t = table(spark, sf, "orders").select("o_orderkey", text.alias("txt"), F.concat(F.lit("CA"), text).alias("fid"))
+    issues = rules.validate(t, [rules.fits_bigint("fid", r"^[A-Z]{2}([0-9]+)")], ["o_orderkey"])
+    return t.join(issues.select("o_orderkey", "code", F.col("value").alias("reported")), "o_orderkey", "left").select(
+        "o_orderkey", digits_or_null("txt").alias("digits"), exact_integer("txt").cast("string").alias("exact"), "code", "reported")

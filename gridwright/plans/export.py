@@ -23,7 +23,8 @@ from ..operators import bind, dedup, filters, paging, project
 from ..operators.windows import honor_stop_rules
 from ..sinks import (RUNS_SCHEMA, inspection_document, output_paths, write_csv, write_document,
                      write_json_lines)
-from ..sources.grid import LANDING_KEYS, to_strict
+from ..sources.grid import LANDING_KEYS, fallback_rows, filled_arrays, to_strict
+from ..sources.html import SCHEDULE_TABLE_CLASS, bind_header, html_rows, schedule_tables
 from ..session import scratch_path
 from ..sources.schema_files import DATASETS, ExportSchema, load_schema
 
@@ -78,6 +79,34 @@ BINDERS = {
 }
 
 
+#: Datasets whose pages have other sources than the main array: how their HTML table is bound.
+TABLE_SOURCES = {"deficiency_types": (bind.DEFICIENCY_TYPE_HEADERS, None), "sample_schedules": (bind.SAMPLE_SCHEDULE_HEADERS, SCHEDULE_TABLE_CLASS)}
+
+
+def landing_with_fallback(pages: DataFrame, data_type: str, names: Sequence[str], page_col: str = "page",
+                          html_col: str = "html") -> DataFrame:
+    """SRC-3 / SRC-4 for ``extract`` and ``export``: landing rows of captured
+    pages (VARIANT ``page_col`` with ``capture_id`` and ``page_no``, ``html_col``
+    with the page's markup) from the first source that has rows: the main array
+    (the first of ``names``), the largest other one, the page's table. Cells of a
+    table are put in the dataset's order by their header; a header that is not
+    there gives empty cells, of schedules absent ones. The choice is made inside the page."""
+    headers, css_class = TABLE_SOURCES[data_type]
+    arrays = fallback_rows(pages, names, page_col).select("capture_id", "page_no", "row_no", "row")
+    p = F.col(page_col)
+    open_ = pages.filter(F.size(filled_arrays(p, names)) == 0).select(
+        F.try_variant_get(p, "$.capture_id", "string").alias("capture_id"), F.try_variant_get(p, "$.page_no", "bigint").alias("page_no"), html_col)
+    ids = ["capture_id", "page_no"]
+    if css_class:
+        table = schedule_tables(open_, html_col, ids)
+        cells = F.array(F.lit(None).cast("array<string>"), F.array(*[F.try_element_at("record", F.lit(h)) for h in headers]))
+    else:
+        table = bind_header(html_rows(open_, html_col, ids), [*ids, "table_no"])
+        cells = F.array(*[F.coalesce(F.try_element_at("record", F.lit(h)), F.lit("")) for h in headers])
+    rows = table.select(*ids, (F.col("row_index") - 1).cast("int").alias("row_no"), F.parse_json(F.to_json(cells)).alias("row"))
+    return arrays.unionByName(rows).select(F.lit(data_type).alias("dataset"), "*")
+
+
 def _strict(landing: DataFrame) -> DataFrame:
     return landing if "cells" in landing.columns else to_strict(landing)
 

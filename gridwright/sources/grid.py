@@ -124,6 +124,13 @@ def grid_from_table(df: DataFrame, key: str | Column, cells: Sequence[Column], *
     )
 
 
+def filled_arrays(page: Column, names: Sequence[str]) -> Column:
+    """The named arrays of a page that have rows, as ``main, size, ord, name``."""
+    return F.filter(F.array(*[F.struct(
+        F.lit(k == 0).alias("main"), F.size(F.try_variant_get(page, f"$.{n}", "array<variant>")).alias("size"),
+        F.lit(-k).alias("ord"), F.lit(n).alias("name")) for k, n in enumerate(names)]), lambda x: x["size"] > 0)
+
+
 def fallback_rows(pages: DataFrame, names: Sequence[str], page_col: str = "page") -> DataFrame:
     """SRC-4 + SRC-5 as rows: per page the first of the named arrays when it
     has rows, else the largest of the others (ties: first named); landing rows
@@ -131,9 +138,7 @@ def fallback_rows(pages: DataFrame, names: Sequence[str], page_col: str = "page"
     choice is made inside the page: no shuffle. Pages without any such array
     give no rows; their tables are read by ``sources.html``."""
     p = F.col(page_col)
-    found = F.filter(F.array(*[F.struct(
-        F.lit(k == 0).alias("main"), F.size(F.try_variant_get(p, f"$.{n}", "array<variant>")).alias("size"),
-        F.lit(-k).alias("ord"), F.lit(n).alias("name")) for k, n in enumerate(names)]), lambda x: x["size"] > 0)
+    found = filled_arrays(p, names)
     best = F.array_max(F.transform(found, lambda x: F.struct(
         x["main"].alias("main"), F.when(x["main"], 0).otherwise(x["size"]).alias("size"), x["ord"].alias("ord"),
         x["name"].alias("name"))))

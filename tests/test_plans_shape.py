@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 from gridwright.plans.catalog import QUERIES
 
-HTML_QUERIES = {"blank_table_rows", "fallback_rows", "html_rows", "html_tables", "schedule_tables"}
+HTML_QUERIES = {"blank_table_rows", "fallback_extract", "schedule_fallback", "fallback_rows", "html_rows", "html_tables", "schedule_tables"}
 SIDE_EFFECTS = ("roundtrip", "stream", "export", "report_failure", "capture", "document_files", "preamble", "fanout", "rule_failures", "reported_totals", "json_envelope",
                 "inspection_document")
 NAMES = sorted(n for n in QUERIES if not any(s in n for s in SIDE_EFFECTS))
