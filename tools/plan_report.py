@@ -29,7 +29,7 @@ PATTERNS = {
     "sort-merge joins": r"SortMergeJoin",
     "windows": r"\bWindow \[",
     "partial aggs": r"partial_",
-    "python": r"MapInPandas|BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas",
+    "python": r"MapInPandas|MapInArrow|BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas",
     "pushed filters": r"PushedFilters: \[[^\]]",
     "subqueries": r"Subquery subquery",
 }
