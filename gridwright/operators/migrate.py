@@ -91,7 +91,9 @@ def export_config_v1_to_v1_1(df: DataFrame) -> DataFrame:
 
 def export_config_v1_to_v1_1_json(json_col: str = "config") -> Migration:
     """VER-3 on per-row JSON configuration documents: a key absent from a
-    row's document gets its default (per row, like the dict version)."""
+    row's document gets its default (per row, like the dict version). The three
+    known keys of a policy are typed in ``file_naming_policy``; the whole object,
+    with any other key that a row has, is ``file_naming_policy_all`` (VARIANT)."""
     def step(df: DataFrame) -> DataFrame:
         v = F.try_parse_json(F.col(json_col))
         has_fnp = F.try_variant_get(v, "$.file_naming_policy", "variant").isNotNull()
@@ -103,7 +105,10 @@ def export_config_v1_to_v1_1_json(json_col: str = "config") -> Migration:
         )).otherwise(file_naming_default())
         vl = F.when(has_vl, F.try_variant_get(v, "$.validation_level", "string")).otherwise(
             F.lit(VALIDATION_LEVEL_DEFAULT))
-        return df.withColumn("file_naming_policy", fnp).withColumn("validation_level", vl)
+        own = F.try_variant_get(v, "$.file_naming_policy", "variant")
+        whole = F.coalesce(own, F.parse_json(F.to_json(file_naming_default())))
+        return (df.withColumn("file_naming_policy", fnp).withColumn("validation_level", vl)
+                .withColumn("file_naming_policy_all", whole))
     return step
 
 

@@ -376,3 +376,12 @@ def test_deep_window_opens_only_its_ranges(spark):
     deep = paging.offset_page(d, ["k"], 10, 7, 3, top_rows=0)
     shared = paging.offset_page(d, ["k"], 10, 7, 3, index=index)
     assert sorted(map(tuple, top.collect())) == sorted(map(tuple, deep.collect())) == sorted(map(tuple, shared.collect()))
+
+
+def test_a_policy_of_its_own_is_kept_whole(spark):
+    d = spark.createDataFrame([(1, '{"file_naming_policy": {"include_timestamp": false, "prefix": "x", "deep": {"a": [1]}}}'), (2, "{}")], "id int, config string")
+    out = migrate.export_config_v1_to_v1_1_json("config")(d).select("id", F.to_json("file_naming_policy_all").alias("j"), "file_naming_policy").collect()
+    import json
+    got = {r["id"]: json.loads(r["j"]) for r in out}
+    assert got[1] == {"include_timestamp": False, "prefix": "x", "deep": {"a": [1]}}
+    assert set(got[2]) == {"include_timestamp", "timestamp_format", "include_data_type"}
