@@ -3,8 +3,10 @@ TF-IDF character n-grams, trained with follow-the-regularised-leader (per
 coordinate, elastic net), then calibrated by a temperature.
 
 Document frequencies are counted over all documents of the learning fold. The
-fit sees at most ``PER_LANG`` documents of each language (the first by a hash
-of doc_id); a fifth of them is set aside for the temperature.
+fit sees at most ``PER_LANG`` documents of each language and ``FIT_DOCS`` in
+all (the first of each language by a hash of doc_id), as numbers of n-grams and
+not as texts; a fifth of them is set aside for the temperature. The
+``MAX_LANGS`` most frequent languages are learned, which bounds the model.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import fold, written
+from gridwright.llm.common import fold, text_key, written
 
 FOLDS, HELD_OUT = 5, 0
 BITS = 15  # 32,768 hashed n-grams
-PER_LANG = 2000
+PER_LANG, FIT_DOCS, MAX_LANGS = 2000, 40_000, 1000
+PLACES = 16  # ids are first told apart by so many leading bits of their hash
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -30,7 +33,7 @@ _BLOCK = 1 << 20
 
 def grams(text: str) -> np.ndarray:
     """Counts of the hashed 1- to 3-grams of the lower-cased characters;
-    whatever is not a letter counts as a space."""
+    an ASCII character that is not a letter counts as a space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     c = np.where((c < 128) & ((c < 97) | (c > 122)), np.uint64(32), c)
     out = np.zeros(1 << BITS, np.int64)
@@ -102,6 +105,25 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def sample_ids(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """``doc_id, lang``: the first ids of each language by a hash, ``per_lang``
+    at most. Leading bits of the hash are counted first; only ids up to the
+    place where a language has its number are ranked, so that no task sorts the
+    ids of a whole language."""
+    place = F.shiftright(F.xxhash64("doc_id"), 64 - PLACES)  # in the order of the hash
+    ids = docs.select("doc_id", "lang").filter("doc_id is not null and lang is not null").withColumn("place", place)
+    tally = written(ids.distinct().groupBy("lang", "place").agg(F.count("*").alias("n")), "language-places")
+    top = tally.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGS)
+    top = written(top.select("lang"), "languages")
+    want = min(per_lang, max(1, FIT_DOCS // max(1, top.count())))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("place"))  # at most 65,536 rows of a language
+    last = (tally.join(F.broadcast(top), "lang").withColumn("upto", upto).filter(F.col("upto") - F.col("n") < want)
+            .groupBy("lang").agg(F.max("place").alias("last")))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
+    return written(ids.join(F.broadcast(last), "lang").filter("place <= last").select("doc_id", "lang").distinct()
+                   .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= want).select("doc_id", "lang"), "language-ids")
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple | None:
     """``(languages, idf, weights, temperature)``; None when no document of
     the fold has a language and a letter."""
@@ -127,19 +149,25 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple | None:
     df[list(counts)] = list(counts.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = written(mine.select("doc_id", "lang").filter("doc_id is not null").distinct()
-                  .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang), "language-ids")
-    sample = mine.join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", "text", F.lit(0).alias("all"))
+    ids = sample_ids(mine, per_lang)
+    # one text for each id: rows that repeat an id would otherwise all enter the fit
+    sample = (mine.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang")
+              .agg(F.min(F.struct(text_key(F.col("text")).alias("tk"), "text")).alias("x")).select("doc_id", "lang", "x.text"))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in enumerate(b.column(2).to_pylist()):
+                if has_letter(t):
+                    at, v = vector(t, idf)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([at.astype("<u2").tobytes()], pa.binary()),
+                         pa.array([v.astype("<f4").tobytes()], pa.binary())], names=["doc_id", "lang", "at", "v"])
 
     def fit(rows):
         import pandas as pd
-        rows = rows[rows["text"].map(has_letter)]
-        rows = rows.assign(o=pd.util.hash_array(rows["doc_id"].to_numpy())).sort_values(["o", "doc_id", "lang", "text"])
-        if not len(rows):
-            return pd.DataFrame({"lang": [], "w": [], "t": []})
+        rows = rows.assign(o=pd.util.hash_array(rows["doc_id"].to_numpy())).sort_values(["o", "doc_id", "lang"])
         langs = sorted(rows["lang"].unique())
-        x = [vector(t, idf) for t in rows["text"]]
+        x = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(rows["at"], rows["v"])]
         y = [langs.index(v) for v in rows["lang"]]
         cut = max(1, len(x) * 4 // 5)
         w = ftrl(x[:cut], y[:cut], len(langs), size)
@@ -148,9 +176,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> tuple | None:
         t = temperature(z, np.array([y[k] for k in rest])) if len(rest) and len(langs) > 1 else 1.0
         return pd.DataFrame({"lang": langs, "w": [w[:, k].astype("<f8").tobytes() for k in range(len(langs))], "t": t})
 
-    model = sample.groupBy("all").applyInPandas(fit, "lang string, w binary, t double").orderBy("lang").collect()
+    vectors = sample.mapInArrow(numbers, sample.select("doc_id", "lang").schema.add("at", "binary").add("v", "binary"))
+    model = vectors.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "lang string, w binary, t double").collect()
     if not model:
         return None
+    model.sort(key=lambda r: r["lang"])  # here: a sort in Spark would run the fit twice, once for its ranges
     w = np.column_stack([np.frombuffer(r["w"], "<f8") for r in model])
     return [r["lang"] for r in model], idf, w, model[0]["t"]
 

@@ -179,3 +179,28 @@ def test_wrappers_that_only_sound_like_furniture():
                  f'{nav}<div hidden>secret words here</div><p style="color:red;display: none">more secret</p><b aria-hidden=true>x</b>'
                  f"<article>{p}</article>"):
         assert html_extract.main_text([f"<html><body>{body}</body></html>"], tree) == [f"{art} {art}"], body
+
+
+def test_language_sample_is_the_first_ids_by_hash(spark, monkeypatch):
+    d = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', if(id % 7 = 0, null, 'b')) as lang")
+    d = d.union(d.filter("doc_id < 50")).union(spark.sql("select cast(null as bigint), 'a'"))
+    rows = d.filter("doc_id is not null and lang is not null").distinct().selectExpr("doc_id", "lang", "xxhash64(doc_id) as h").collect()
+
+    def brute(per_lang):
+        return {(r["doc_id"], r["lang"]) for lang in "ab" for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["h"])[:per_lang]}
+
+    for bits, n in ((16, 200), (3, 200), (16, 10_000), (2, 1)):
+        monkeypatch.setattr(language_id, "PLACES", bits)
+        assert {tuple(r) for r in language_id.sample_ids(d, n).collect()} == brute(n)
+    monkeypatch.setattr(language_id, "FIT_DOCS", 60)  # shared by the languages
+    assert {tuple(r) for r in language_id.sample_ids(d, 200).collect()} == brute(30)
+    monkeypatch.setattr(language_id, "MAX_LANGS", 1)
+    assert {r["lang"] for r in language_id.sample_ids(d, 200).collect()} == {"b"}
+    assert language_id.sample_ids(d.limit(0)).count() == 0
+
+
+def test_language_of_a_very_long_text(spark, frames):
+    d, _, _ = frames
+    long = spark.createDataFrame([(9500, "le la les que dans avec " * 60_000, None, "")], d.schema)
+    got = language_id.identify(d.union(long)).filter("doc_id = 9500").first()
+    assert got["lang_pred"] == "fr"
