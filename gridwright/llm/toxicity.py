@@ -11,21 +11,23 @@ share the positives and have an unlabelled set of their own; each is trained
 with numpy in a task of its own, and their scores are averaged.
 
 The fit sees a bounded sample (``max_pos`` positives, ``max_unl`` unlabelled
-documents per member, the first by a hash of doc_id); the class prior is
-counted over all labels of the fold, and every document is scored whole.
+documents per member, the first by a hash of doc_id), as numbers of features
+and not as texts; the class prior is counted over all labels of the fold, and
+every document is scored whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from gridwright.llm.common import fold, fresh, written
+from gridwright.llm.common import fold, fresh, text_key, written
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -85,36 +87,33 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, l1: float = 5e-5, steps:
     return w, float(b)
 
 
-def _frequent(texts: list[str], least: int) -> Counter:
-    """Document counts of the features that ``least`` texts or more have.
-    Hashed counts, never too low, first tell which few can reach it."""
-    bins = np.zeros(1 << 22, np.int32)
-    place = lambda x: crc32(x.encode()) & ((1 << 22) - 1)
-    for t in texts:
-        bins[list({place(x) for x in features(t)})] += 1
-    df = Counter(x for t in texts for x in features(t) if bins[place(x)] >= least)
-    return Counter({x: c for x, c in df.items() if c >= least})
-
-
-def _fit(pos: list[str], unl: list[str], prior: float) -> tuple[dict[str, float], float]:
-    """One classifier: word weights and intercept. Only the texts, and for each
-    the numbers of its frequent features, are held at a time."""
-    pos = list(dict.fromkeys(pos))  # copies of one document confirm nothing new
-    df = _frequent(pos, max(3, len(pos) // 50))
-    col = {x: k for k, x in enumerate(sorted(df))}
-    known = Known(col)
-    rows = [[np.array(sorted(col[x] for x in known.within(t)), int) for t in texts] for texts in (pos, unl)]
+def feature_keys(text: str | None) -> np.ndarray:
+    """The 64-bit numbers of the features, sorted."""
+    return np.sort(np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in features(text)], np.uint64))
+
+
+def _fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[dict[int, float], float]:
+    """One classifier: weights of feature numbers, and intercept."""
+    df, n = _counts(pos), len(pos)
+    least = max(3, n // 50)
+    col = np.array(sorted(k for k, c in df.items() if c >= least), np.uint64)
+    rows = [[np.flatnonzero(np.isin(col, r, assume_unique=True)) for r in part] for part in (pos, unl)]
     cp, cu = (np.bincount(np.concatenate([np.empty(0, int), *r]), minlength=len(col)) for r in rows)
     # What enters the fit is clearly (4 sigma) commoner among the positives, and by the class prior most
     # documents that have it are positive: weaker signs only add up in long texts.
-    n, m = len(pos), len(unl)
+    m = len(unl)
     both = (cp + cu) / (n + m)
     clear = cp / n - cu / m > 4 * np.sqrt(both * (1 - both) * (1 / n + 1 / m))
     use = np.flatnonzero(clear & (prior * cp / n * m >= PURITY * (cu + 1)))
     xp, xu = (np.array([np.isin(use, r) for r in part], float).reshape(len(part), len(use)) for part in rows)
     w, b = nnpu(xp, xu, prior)
-    names = sorted(df)
-    return {names[k]: float(v) for k, v in zip(use, w) if v}, b
+    return {int(col[k]): float(v) for k, v in zip(use, w) if v}, b
+
+
+def _counts(rows: list[np.ndarray]) -> dict[int, int]:
+    """In how many rows each number stands; numbers of one row only are left out."""
+    keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *rows]), return_counts=True)
+    return dict(zip(keys[counts > 1].tolist(), counts[counts > 1].tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: int = MAX_UNL,
@@ -134,28 +133,61 @@ def train(docs: DataFrame, labels: DataFrame, max_pos: int = MAX_POS, max_unl: i
            .orderBy(F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")).limit(max_unl * members)
            .select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(members)).cast("int").alias("part")))
     sample = written(pos.unionByName(unl), "toxicity-ids")  # at most max_pos + members * max_unl ids
-    picked = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-              .select(F.explode(F.when(F.col("part") >= 0, F.array("part")).otherwise(
-                  F.array(*[F.lit(k) for k in range(members)]))).alias("member"),
-                  (F.col("part") < 0).alias("pos"), "doc_id", "text"))
+    # one row for a text of an id: repeated rows would otherwise all enter the fit
+    picked = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("part", "doc_id")
+              .agg(F.min(F.struct(text_key(F.col("text")).alias("tk"), "text")).alias("x")).select("part", "doc_id", "x.tk", "x.text"))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in enumerate(b.column(3).to_pylist()):  # a row at a time: a long text has many
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in b.columns[:3]), pa.array([feature_keys(t).tobytes()], pa.binary())],
+                                                 names=["part", "doc_id", "tk", "keys"])
+
+    keys = written(picked.mapInArrow(numbers, "part int, doc_id bigint, tk bigint, keys binary"), "toxicity-features")
+    each = keys.select(F.explode(F.when(F.col("part") >= 0, F.array("part")).otherwise(
+        F.array(*[F.lit(k) for k in range(members)]))).alias("member"), (F.col("part") < 0).alias("pos"), "doc_id", "tk", "keys")
 
     def fit(rows):
         import pandas as pd
-        rows = rows.sort_values(["pos", "doc_id", "text"], na_position="first")
-        p, u = ([t or "" for t in rows.loc[rows["pos"] == v, "text"]] for v in (True, False))
+        rows = rows.sort_values(["pos", "doc_id"])
+        rows = rows[~rows["pos"] | ~rows.duplicated(["pos", "tk"])]  # copies of one document confirm nothing new
+        p, u = ([np.frombuffer(k, np.uint64) for k in rows.loc[rows["pos"] == v, "keys"]] for v in (True, False))
         if not p or not u:
-            return pd.DataFrame({"member": [], "word": [], "weight": []})
+            return pd.DataFrame({"member": [], "number": [], "weight": []})
         w, b = _fit(p, u, prior)
-        return pd.DataFrame({"member": int(rows["member"].iloc[0]), "word": [None, *w], "weight": [b, *w.values()]})
+        number = pd.array([None, *np.array([*w], np.uint64).astype(np.int64).tolist()], dtype="Int64")  # never as floats
+        return pd.DataFrame({"member": int(rows["member"].iloc[0]), "number": number, "weight": [b, *w.values()]})
 
-    model = picked.groupBy("member").applyInPandas(fit, "member int, word string, weight double").collect()
+    model = each.groupBy("member").applyInPandas(fit, "member int, number bigint, weight double").collect()
+    names = _names(picked.select("text"), {r["number"] for r in model} - {None})
     out: dict[int, tuple[dict, float]] = {}
-    for r in model:  # as many rows as the classifiers kept words
+    for r in model:  # as many rows as the classifiers kept features
         w, b = out.get(r["member"], ({}, 0.0))
-        out[r["member"]] = (w, r["weight"]) if r["word"] is None else ({**w, r["word"]: r["weight"]}, b)
+        out[r["member"]] = (w, r["weight"]) if r["number"] is None else ({**w, names[r["number"]]: r["weight"]}, b)
     return [out[k] for k in sorted(out)] or [({}, -40.0)]
 
 
+def _names(texts: DataFrame, numbers: set[int]) -> dict[int, str]:
+    """The features of ``texts`` that have these numbers."""
+    wanted = np.sort(np.array([*numbers], np.int64).astype(np.uint64))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, str] = {}
+        for b in batches:
+            for t in b.column(0).to_pylist() if len(found) < len(wanted) else ():
+                for x in features(t):
+                    k = xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
+                    if k in known:
+                        found[k] = x
+        at = np.array([*found], np.uint64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found.values(), pa.string())], names=["number", "name"])
+
+    known = frozenset(wanted.tolist())
+    if not known:
+        return {}
+    return dict(texts.mapInArrow(find, "number bigint, name string").groupBy("number").agg(F.min("name")).collect())
+
+
 def score(docs: DataFrame, model: list, into: str) -> DataFrame:
     """``docs`` with a column ``into``: the mean score of the classifiers, 0 to 1."""
     known = Known({x for w, _ in model for x in w})
