@@ -39,16 +39,19 @@ def passage_table(df: DataFrame, key: str, text: str) -> DataFrame:
             .select("key", "n", F.expr(f"slice({shingle_array('w')}, 1, greatest(0, n - {SHINGLE - 1}))").alias("sh")))
 
 
-def hit_windows(docs: DataFrame, passages: DataFrame, opened: str, literals: int = LITERALS) -> DataFrame:
-    """``doc_id, tk, n, start, win``: distinct windows of ``docs``.
+def hit_windows(docs: DataFrame, passages: DataFrame, opened: str, literals: int = LITERALS, keyed: bool = False) -> DataFrame:
+    """``doc_id, tk, n, start, win``: distinct windows of ``docs``; ``keyed``:
+    also ``key``, a passage that shares a shingle with the window, one row each.
 
     ``opened`` is SQL over a hit (shingle number ``i`` in the document, ``p``
     in a passage of ``n`` words) that gives an array of ``(start, size)``
     windows in words; ``win`` has their shingle hashes."""
-    marks = passages.select("n", F.posexplode("sh").alias("p", "h")).distinct()
-    hashes = marks.select("h").distinct().limit(literals + 1).collect()  # at most that many numbers
+    own = ["n", "key"] if keyed else ["n"]
+    marks = passages.select(*own, F.posexplode("sh").alias("p", "h")).distinct()
+    few = marks.limit(literals + 1).count() <= literals  # the rows that would be broadcast, not only their hashes
+    hashes = marks.select("h").distinct().collect() if few else []
     base = docs.select("doc_id", text_key(F.col("text")).alias("tk"), "text")
-    if len(hashes) <= literals:
+    if few:
         if not hashes:
             hits = "filter(s, x -> false)"
         else:
@@ -61,18 +64,18 @@ def hit_windows(docs: DataFrame, passages: DataFrame, opened: str, literals: int
                  .select("doc_id", "tk", F.col("b.s").alias("s"), F.explode("b.hits").alias("hit"))
                  .select("doc_id", "tk", "s", F.col("hit.i").alias("i"), F.col("hit.h").alias("h"))
                  .join(F.broadcast(marks), "h"))
-        at = found.select("doc_id", "tk", "s", "n", F.explode(F.expr(opened)).alias("at"))
+        at = found.select("doc_id", "tk", "s", *own, F.explode(F.expr(opened)).alias("at"))
     else:
         each = base.select("doc_id", "tk", F.posexplode(F.expr(shingle_array(word_array("text")))).alias("i", "h"))
-        at = (each.join(marks, "h").select("doc_id", "tk", "n", F.explode(F.expr(opened)).alias("at"))
-              .groupBy("doc_id", "tk").agg(F.collect_set(F.struct("n", "at")).alias("all")))  # windows of one document
+        at = (each.join(marks, "h").select("doc_id", "tk", *own, F.explode(F.expr(opened)).alias("at"))
+              .groupBy("doc_id", "tk").agg(F.collect_set(F.struct(*own, "at")).alias("all")))  # windows of one document
         r = at.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "all")
         s = base.select("doc_id", "tk", F.expr(shingle_array(word_array("text"))).alias("s"))
         at = (s.join(r, s["doc_id"].eqNullSafe(r["_id"]) & (s["tk"] == r["_tk"]))
               .select("doc_id", "tk", "s", F.explode("all").alias("x"))
-              .select("doc_id", "tk", "s", F.col("x.n").alias("n"), F.col("x.at").alias("at")))
+              .select("doc_id", "tk", "s", "x.*"))
     start = "greatest(at.start, 0)"
-    win = at.select("doc_id", "tk", "n", F.expr(start).alias("start"),
+    win = at.select("doc_id", "tk", *own, F.expr(start).alias("start"),
                     F.expr(f"slice(s, {start} + 1, at.size - {SHINGLE - 1})").alias("win"))
     # one row per window: identical rows, so any of them will do
-    return win.groupBy("doc_id", "tk", "n", "start").agg(F.max("win").alias("win"))
+    return win.groupBy("doc_id", "tk", *own, "start").agg(F.max("win").alias("win"))

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridwright.llm import decontaminate, license_scan, line_dedup, passages, url_rules
 from gridwright.llm.queries import URL_RULES
@@ -103,6 +104,21 @@ def test_drop_contaminated(leak_case):
     assert decontaminate.decontaminate(d, b.limit(0)).count() == 0
 
 
+def test_candidates_grow_with_shared_shingles(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(words(rng, 30, 50_000))) for k in range(60)]  # one size, so nothing but shingles tells them apart
+    docs = [(i, " ".join(words(rng, 20, 50_000) + items[i % 60][1].split()[i % 5:25])) for i in range(120)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    t = passages.passage_table(b, "item_id", "text")
+    w = passages.hit_windows(d, t, "array(struct(i - p as start, n as size), struct(i as start, n as size))", keyed=True).cache()
+    filed = t.select("key", "n", "sh", F.expr(decontaminate.simhash_sql("sh")).alias("fp"))
+    opened = w.select("n", "win", "key").distinct().count()
+    got = decontaminate.candidates(w, decontaminate.signed(w), filed)
+    assert 0 < got.count() <= opened < 60 * w.select("win").distinct().count() / 20
+    assert not PYTHON.search(plan(got))
+    w.unpersist()
+
+
 def test_multi_index_reaches_every_fingerprint_in_the_radius():
     rng = random.Random(2)
     for _ in range(300):
