@@ -4,7 +4,7 @@ Text between white space is encoded once per distinct run and worker (no
 token of this kind of vocabulary spans white space). Long text takes the
 tree: it is halved until pieces are at most ``leaf_chars`` long, the pieces are
 encoded as rows of their own, in parallel, and neighbours are joined level by
-level. A cut may fall anywhere, so around each join a window is encoded again
+level, ``FAN`` parts a task. A cut may fall anywhere, so around each join a window is encoded again
 and grown until it shows ``AGREE`` tokens in a row that are the same tokens,
 at the same places, as in the left side, and the same for the right side; the
 join then takes left tokens, window tokens, right tokens. If the window has
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridwright.llm.common import written
+
 LEAF_CHARS = 65_536
+FAN = 8  # parts of a text that one task joins, pair by pair, before the next level
 WINDOW = 64
 AGREE = 3
 # Runs and pieces held per worker, and their length; a full cache keeps what it has, so a worker holds some 70 MB.
@@ -66,10 +68,11 @@ class Codec:
             [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(probe + stop))]
             == [probe.lower().encode().decode("latin-1").translate(_BYTES)] + [stop] * bool(stop) for stop in ("", ".", ",", "###", "?!)", '"', "|", "_-"))
 
-    def spans(self, text: str, at: int = 0) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids and their character spans, ``at`` added."""
+    def spans(self, text: str, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in the text each token begins and ends, ``at`` added."""
         e = self.tok.encode(text, add_special_tokens=False)
-        return e.ids, [(a + at, b + at) for a, b in e.offsets]
+        places = np.array(e.offsets, np.int32).reshape(-1, 2) + np.int32(at)
+        return np.array(e.ids, np.int32), places[:, 0], places[:, 1]
 
     def ids(self, text: str) -> np.ndarray:
         if not self.by_runs:
@@ -109,29 +112,31 @@ class Codec:
 
     def join(self, text: str, cut: int, left: tuple, right: tuple) -> tuple:
         """Tokens of ``text`` from those of its parts before and after ``cut``
-        (ids and spans, places counted in ``text``). A window begins and ends
-        at token ends of the two sides."""
-        size = WINDOW
+        (ids, begins and ends, places counted in ``text``). A window begins
+        and ends at token ends of the two sides; only tokens it covers are
+        compared."""
+        size, n = WINDOW, len(right[0])
         while True:
-            i = bisect_right(left[1], cut - size, key=lambda s: s[0]) - 1
-            j = bisect_left(right[1], cut + size, key=lambda s: s[1])
-            a = left[1][i][0] if i > 0 else 0
-            b = right[1][j][1] if j < len(right[1]) - 1 else len(text)
+            i = max(0, int(np.searchsorted(left[1], cut - size, "right")) - 1)
+            j = min(n, int(np.searchsorted(right[2], cut + size, "left")) + 1)
+            a = int(left[1][i]) if i > 0 else 0
+            b = int(right[2][j - 1]) if j < n else len(text)
             w = self.spans(text[a:b], a)
-            x = (0, 0) if a == 0 else _meet(left, w, lambda s: s[1] < cut, False)
-            y = (len(w[0]), len(right[0])) if b == len(text) else _meet(w, right, lambda s: s[0] > cut, True)
+            x = (0, 0) if a == 0 else _meet([p[i:] for p in left], w, lambda t: t[2] < cut, False)
+            y = (len(w[0]), n) if b == len(text) else _meet(w, [p[:j] for p in right], lambda t: t[1] > cut, True)
             if x and y:
-                return tuple(p[:x[0]] + q[x[1]:y[0]] + r[y[1]:] for p, q, r in zip(left, w, right))
+                keep = 0 if a == 0 else i + x[0]
+                return tuple(np.concatenate([p[:keep], q[x[1]:y[0]], r[y[1]:]]) for p, q, r in zip(left, w, right))
             size *= 2
 
 
-def _meet(x: tuple, y: tuple, inside, behind: bool) -> tuple[int, int] | None:
+def _meet(x, y, inside, behind: bool) -> tuple[int, int] | None:
     """Indices (in x, in y) of a place where both show the same ``AGREE``
     tokens in a row, all ``inside``: before the first such run, or behind
     the last one."""
-    at = {t: k for k, t in enumerate(zip(*y)) if inside(t[1])}
+    at = {t: k for k, t in enumerate(zip(*(p.tolist() for p in y))) if inside(t)}
     run, prev, found = 0, None, None
-    for k, t in enumerate(zip(*x)):
+    for k, t in enumerate(zip(*(p.tolist() for p in x))):
         m = at.get(t)
         run = 0 if m is None else run + 1 if run and m == prev + 1 else 1
         prev = m
@@ -155,18 +160,17 @@ def halves(n: int, leaf: int) -> list[tuple[int, int]]:
     return out
 
 
-def concatenate(codec: Codec, text: str, leaves: list[tuple[int, int, tuple]]) -> list[int]:
-    """Joins leaves ``(start, end, (ids, spans))`` pairwise, level by level."""
-    level = leaves
-    while len(level) > 1:
+def concatenate(codec: Codec, parts: list[tuple[str, tuple]]) -> tuple[str, tuple]:
+    """Joins neighbours ``(text, (ids, begins, ends))`` pairwise, level by
+    level; places are counted from the begin of each part."""
+    while len(parts) > 1:
         up = []
-        for k in range(0, len(level) - 1, 2):
-            (a, m, x), (_, b, y) = level[k], level[k + 1]
-            shift = lambda t, d: (t[0], [(p + d, q + d) for p, q in t[1]])
-            ids, spans = codec.join(text[a:b], m - a, shift(x, -a), shift(y, -a))
-            up.append((a, b, (ids, [(p + a, q + a) for p, q in spans])))
-        level = up + level[len(level) - len(level) % 2:]
-    return level[0][2][0]
+        for k in range(0, len(parts) - 1, 2):
+            (s, x), (t, (ids, begins, ends)) = parts[k], parts[k + 1]
+            at = np.int32(len(s))
+            up.append((s + t, codec.join(s + t, len(s), x, (ids, begins + at, ends + at))))
+        parts = up + parts[len(parts) - len(parts) % 2:]
+    return parts[0]
 
 
 def codec(path: str) -> Codec:
@@ -199,33 +203,45 @@ def _cut(leaf_chars: int):
                 for k, (p, q) in enumerate(halves(len(text), leaf_chars)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row], pa.int64()), pa.array([doc_id], pa.int64()), pa.array([k], pa.int32()),
-                         pa.array([p], pa.int64()), pa.array([text[p:q]], pa.string())],
-                        names=["row", "doc_id", "leaf", "start", "piece"])
+                         pa.array([text[p:q]], pa.string())], names=["row", "doc_id", "part", "piece"])
     return run
 
 
+_PART = "row bigint, doc_id bigint, part int, piece string, ids binary, begins binary, ends binary"
+
+
 def _leaf(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
             for k in range(b.num_rows):
-                ids, spans = c.spans(b.column(4)[k].as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [x.slice(k, 1) for x in b.columns] + [
-                        pa.array([ids], pa.list_(pa.int32())), pa.array([[p for p, _ in spans]], pa.list_(pa.int32())),
-                        pa.array([[q for _, q in spans]], pa.list_(pa.int32()))],
-                    names=b.schema.names + ["ids", "begins", "ends"])
+                coded = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in c.spans(b.column(3)[k].as_py())]
+                yield pa.RecordBatch.from_arrays([x.slice(k, 1) for x in b.columns] + coded,
+                                                 names=["row", "doc_id", "part", "piece", "ids", "begins", "ends"])
     return run
 
 
-def _whole(path: str):
-    def run(leaves):
+def _joined(path: str):
+    def run(parts):
         import pandas as pd
-        c, d = codec(path), leaves.sort_values("leaf")
-        parts = [(s, s + len(t), (list(map(int, i)), [(int(p) + s, int(q) + s) for p, q in zip(b, e)]))
-                 for s, t, i, b, e in zip(d["start"].astype(int), d["piece"], d["ids"], d["begins"], d["ends"])]
-        ids = np.array(concatenate(c, "".join(d["piece"]), parts), np.int32)
-        return pd.DataFrame({"doc_id": d["doc_id"].iloc[:1], "ids": [ids], "decoded": [c.decode(ids)]})
+        d = parts.sort_values("part")
+        text, coded = concatenate(codec(path), [(t, tuple(np.frombuffer(x, np.int32) for x in xs))
+                                                for t, *xs in zip(d["piece"], d["ids"], d["begins"], d["ends"])])
+        ids, begins, ends = (np.ascontiguousarray(x).tobytes() for x in coded)
+        return pd.DataFrame({"row": d["row"].iloc[:1], "doc_id": d["doc_id"].iloc[:1], "part": d["part"].iloc[:1] // FAN,
+                             "piece": [text], "ids": [ids], "begins": [begins], "ends": [ends]})
+    return run
+
+
+def _decoded(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            for k in range(b.num_rows):
+                ids = np.frombuffer(b.column(1)[k].as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids)),
+                     pa.array([c.decode(ids)], pa.string())], names=["doc_id", "ids", "decoded"])
     return run
 
 
@@ -235,18 +251,23 @@ def encode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFram
     to. ``path`` must name a file that every executor has.
 
     Null text counts as empty: no ids, decoded text empty. Repeated rows give
-    repeated results; an empty table gives an empty one; other columns are
+    repeated results, rows with one doc_id a result each; an empty table gives an empty one; other columns are
     ignored. The strings of special tokens in a text become these tokens, as
     the tokenizers library does by default."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = F.length(F.coalesce(F.col("text"), F.lit("")))
     short = d.filter(size <= leaf_chars).mapInArrow(_short(path), _OUT)
-    leaves = (d.filter(size > leaf_chars).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-              .mapInArrow(_cut(leaf_chars), "row bigint, doc_id bigint, leaf int, start bigint, piece string"))
-    coded = leaves.repartition("row", "leaf").mapInArrow(
-        _leaf(path), "row bigint, doc_id bigint, leaf int, start bigint, piece string, "
-                     "ids array<int>, begins array<int>, ends array<int>")
-    return short.unionByName(coded.groupBy("row").applyInPandas(_whole(path), _OUT))
+    # written before they are dealt out: a row's number must stay the same if a task runs again
+    leaves = written(d.filter(size > leaf_chars).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+                     .mapInArrow(_cut(leaf_chars), "row bigint, doc_id bigint, part int, piece string"), "bpe-leaves")
+    last = leaves.agg(F.max("part")).first()[0]
+    if last is None:
+        return short
+    parts = leaves.repartition("row", "part").mapInArrow(_leaf(path), _PART)
+    while last:
+        parts = parts.groupBy("row", F.expr(f"part div {FAN}").alias("up")).applyInPandas(_joined(path), _PART)
+        last //= FAN
+    return short.unionByName(parts.select("doc_id", "ids").mapInArrow(_decoded(path), _OUT))
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -31,7 +31,9 @@ def test_tree_is_exact(leaf):
         assert list(c.ids(t)) == want
         cuts = bpe.halves(len(t), leaf)
         assert [a for a, _ in cuts[1:]] == [b for _, b in cuts[:-1]] and cuts[0][0] == 0 and cuts[-1][1] == len(t)
-        assert bpe.concatenate(c, t, [(a, b, c.spans(t[a:b], a)) for a, b in cuts]) == want
+        whole, (ids, begins, ends) = bpe.concatenate(c, [(t[a:b], c.spans(t[a:b])) for a, b in cuts])
+        assert whole == t and ids.tolist() == want
+        assert list(zip(begins.tolist(), ends.tolist())) == c.tok.encode(t, add_special_tokens=False).offsets
         assert c.decode(np.array(want, np.int32)) == c.tok.decode(want, skip_special_tokens=False)
 
 
@@ -40,7 +42,7 @@ def test_encode(spark, name):
     rows = [(k, t, "x") for k, t in enumerate(texts())] + [(None, "no id", "x"), (4, "a" * 3000, "x")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, ids string").repartition(3)
     tok = Tokenizer.from_file(vocabulary(name))
-    for leaf in (200, bpe.LEAF_CHARS):
+    for leaf in (20, 200, bpe.LEAF_CHARS):  # three levels of tasks, two, none
         got = bpe.encode(d, vocabulary(name), leaf)
         want = sorted((str(i), tok.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows)
         assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got.collect()) == want
@@ -58,3 +60,24 @@ def test_full_cache(monkeypatch):
     c = bpe.Codec(PATH)
     for t in ("one two three four", "five six", "one seven two", "one two three four"):
         assert list(c.ids(t)) == c.tok.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_letter_of_the_short_way(name):
+    c, rng = bpe.Codec(vocabulary(name)), random.Random(4)
+    letters = [chr(k) for k in range(0x250) if bpe._PLAIN.fullmatch(chr(k))]
+    signs = [chr(k) for k in range(33, 127) if not chr(k).isalnum()]
+    words = letters + [a + b for a in letters for b in rng.sample(letters, 8)]
+    words += ["".join(rng.choices(letters, k=rng.randint(1, 9)) + rng.choices(signs, k=rng.randint(0, 3))) for _ in range(3000)]
+    for w in words:
+        assert c.ids(w).tolist() == c.tok.encode(w, add_special_tokens=False).ids, w
+
+
+def test_join_looks_only_near_the_cut():
+    c = bpe.Codec(PATH)
+    half = "some words of a text, repeated. " * 40_000
+    x, y = (half, c.spans(half)), (half[7:], c.spans(half[7:]))
+    seen = []
+    spans, c.spans = c.spans, lambda t, at=0: seen.append(len(t)) or spans(t, at)
+    text, (ids, _, _) = bpe.concatenate(c, [x, y])
+    assert sum(seen) < 2000 and ids.tolist() == c.tok.encode(text, add_special_tokens=False).ids
