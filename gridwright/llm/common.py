@@ -13,12 +13,12 @@ from gridwright.session import scratch_path
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back:
     a lost executor later re-reads the files instead of recomputing."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

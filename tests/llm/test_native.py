@@ -256,7 +256,7 @@ def check_own_edits(spark, lines):
 def test_near_lines_longer_lines_allow_more_edits(spark):
     rng = random.Random(8)
     lines = set()
-    for size in (38, 41, 59, 62, 79, 85, 158, 165, 240, 318, 330):
+    for size in (38, 41, 59, 62, 79, 85, 158, 165, 240, 318, 330, 420, 640):
         base = "".join(rng.choice("abcdefg ") for _ in range(size))
         lines |= {base} | {edited(rng, base, rng.randint(1, 14)) for _ in range(5)}
     want = check_own_edits(spark, lines)
