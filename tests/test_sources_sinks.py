@@ -316,3 +316,24 @@ def test_plain_markup_gives_the_parser_s_tree():
     assert plain > 1400
     for o in odd:
         assert html.plain_tree(f"<table><tr><td>{o}</td></tr></table>") is None, o
+
+
+def test_one_pass_scan_reads_what_the_tree_has():
+    import random
+    rng = random.Random(5)
+    bits = ["<table>", "<table class='g x'>", "</table>", "<tr>", "<tr/>", "</tr>", "<td>", "<td class='a b'>", "<TH Class=x>", "</td>", "</th>", "<br>",
+            "<ul class=g>", "<li>", "</ul>", "<div class=g>", "</div>", "<b>", "</b>", "a &amp; b", " x ", "&lt;", "&nbsp", "é", "a > b", "　z﻿",
+            "<p >", "<td/>", "<!-- c -->", "x>b<", "<td a='>'>"]
+    shapes = [("table", "tr", ("td", "th"), None), ("table", "tr", ("td", "th"), "g"), ("ul", "li", (), None), ("div", "div", ("div",), "g"), ("tr", "td", ("b", "td"), None)]
+    scans, plain, found = [html.PlainScan(*s) for s in shapes], 0, 0
+    for k in range(3000):
+        page = "".join(rng.choices(bits[:-3] if k % 3 else bits, k=rng.randint(0, 30)))
+        shape, scan = shapes[k % 5], scans[k % 5]
+        assert (scan.tables(page) is None) == (html.plain_tree(page) is None), page
+        plain += scan.tables(page) is not None
+        want = [[["".join(c) for c in r] for r in t] for t in html._tree_tables(page, *shape)]
+        got = [[[html.js_trim("".join(c)) for c in r] for r in t] for t in scan.tables(page) or []]
+        if scan.tables(page) is not None:
+            found += bool(want)
+            assert got == [[[html.js_trim(c) for c in r] for r in t] for t in want], (page, shape)
+    assert plain > 2000 and found > 300
