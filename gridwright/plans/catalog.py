@@ -1398,7 +1398,10 @@ def q_fallback_rows(spark, sf):
 # aggregate, and a page is by definition one value.
 
 def _order_pages(spark, sf, table_class: str, short_flag: str | None = None):
-    li = table(spark, sf, "lineitem")
+    # dealt by order before the markup is made: small rows move, and a page's parsing, which costs far more than its
+    # bytes tell, is spread over all partitions (a fixed number is not merged by size)
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
     td = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     cells = F.concat(td(F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.lit(" "))),
                      td(F.col("l_returnflag")),

@@ -337,3 +337,9 @@ def test_one_pass_scan_reads_what_the_tree_has():
             found += bool(want)
             assert got == [[[html.js_trim(c) for c in r] for r in t] for t in want], (page, shape)
     assert plain > 2000 and found > 300
+
+
+def test_pages_are_not_merged_by_their_bytes(spark, sf_small):
+    from gridwright.plans.catalog import _order_pages
+    pages = _order_pages(spark, sf_small, "grid")
+    assert html.html_rows(pages).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
