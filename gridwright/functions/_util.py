@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,12 @@ def quote(name: str) -> str:
     if name.startswith("`") and name.endswith("`"):
         return name
     return "`" + name.replace("`", "``") + "`"
+
+
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns ``names`` worked out once a row, behind the
+    others. Projections and filters are merged into the ones below them, so a
+    costly column (a parsed JSON text) would be worked out again wherever it is
+    looked at; they do not pass a generated row."""
+    rest = [F.col(quote(c)) for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*[F.col(quote(c)).alias(c) for c in names]))))

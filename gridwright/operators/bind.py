@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import once
 from ..functions.parse import federal_id, join_name, split_name
 from ..functions.text import (blank_if_markup, clean_cell, clean_cell_semicolon,
                               clean_entity_only)
@@ -127,7 +128,7 @@ def bind_deficiency_types(landing: DataFrame, row_col: str = "row") -> DataFrame
     n = F.size(F.try_variant_get(r, "$", "array<variant>"))
     cols = [F.coalesce(clean_cell(_cell_value(r, j)), F.lit("")).alias(h)
             for j, h in enumerate(DEFICIENCY_TYPE_HEADERS)]
-    out = (landing.filter(n >= MIN_CELLS["deficiency_types"])
+    out = (once(landing, row_col).filter(n >= MIN_CELLS["deficiency_types"])
            .select(*_keys(landing), *cols, (F.col("row_no") + 1).cast("bigint").alias("row_index")))
     return required_nonempty(out, "Type Code")
 
@@ -159,6 +160,6 @@ def bind_schedules(landing: DataFrame, row_col: str = "row") -> DataFrame:
     n = F.size(F.try_variant_get(r, "$", "array<variant>"))
     cols = [clean_entity_only(F.try_variant_get(r, f"$[1][{i}]", "string")).alias(h)
             for i, h in enumerate(SAMPLE_SCHEDULE_HEADERS)]
-    out = landing.filter(n >= MIN_CELLS["sample_schedules"]).select(*_keys(landing), *cols)
+    out = once(landing, row_col).filter(n >= MIN_CELLS["sample_schedules"]).select(*_keys(landing), *cols)
     return out.filter((F.coalesce(F.col("`Schedule ID`"), F.lit("")) != "")
                       | (F.coalesce(F.col("`PWS ID`"), F.lit("")) != ""))

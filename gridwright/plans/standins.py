@@ -94,7 +94,8 @@ def _json_str(c: Column) -> Column:
 def deficiency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ragged VARIANT rows from ``part``: array cells and scalar cells mixed;
     parts smaller than 5 land as 3-cell rows; PROMO parts have a blank code."""
-    part = table(spark, sf_dir, "part")
+    # dealt out: a small file is read by one task, and the cells of a row cost far more than its values
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size", "p_name").repartition("p_partkey")
     code = F.when(F.col("p_type") == "PROMO", F.lit(NB)).otherwise(F.col("p_brand"))
     c0 = F.concat(F.lit("["), _json_str(code), F.lit("]"))
     c1 = _json_str(F.col("p_type"))
