@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions._util import once
 from ..functions.text import py_strip
 from ..operators import bind, dedup, filters, paging, project
 from ..operators.windows import honor_stop_rules
@@ -94,7 +95,7 @@ def landing_with_fallback(pages: DataFrame, data_type: str, names: Sequence[str]
     headers, css_class = TABLE_SOURCES[data_type]
     arrays = fallback_rows(pages, names, page_col).select("capture_id", "page_no", "row_no", "row")
     p = F.col(page_col)
-    open_ = pages.filter(F.size(filled_arrays(p, names)) == 0).select(
+    open_ = once(pages, page_col).filter(F.size(filled_arrays(p, names)) == 0).select(
         F.try_variant_get(p, "$.capture_id", "string").alias("capture_id"), F.try_variant_get(p, "$.page_no", "bigint").alias("page_no"), html_col)
     ids = ["capture_id", "page_no"]
     if css_class:

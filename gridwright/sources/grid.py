@@ -20,6 +20,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions._util import once
 from ..functions.parse import digits_or_null
 
 LANDING_KEYS = ["dataset", "capture_id", "page_no", "row_no"]
@@ -143,7 +144,7 @@ def fallback_rows(pages: DataFrame, names: Sequence[str], page_col: str = "page"
         x["main"].alias("main"), F.when(x["main"], 0).otherwise(x["size"]).alias("size"), x["ord"].alias("ord"),
         x["name"].alias("name"))))
     rows = F.coalesce(*[F.when(F.col("source") == n, F.try_variant_get(p, f"$.{n}", "array<variant>")) for n in names])
-    return (pages.select(p, F.try_variant_get(p, "$.capture_id", "string").alias("capture_id"),
+    return (once(pages.select(p), page_col).select(p, F.try_variant_get(p, "$.capture_id", "string").alias("capture_id"),
                          F.try_variant_get(p, "$.page_no", "bigint").alias("page_no"), best["name"].alias("source"))
             .filter("source is not null").select("capture_id", "page_no", "source", F.posexplode(rows).alias("row_no", "row")))
 

@@ -343,3 +343,29 @@ def test_pages_are_not_merged_by_their_bytes(spark, sf_small):
     from gridwright.plans.catalog import _order_pages
     pages = _order_pages(spark, sf_small, "grid")
     assert html.html_rows(pages).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parsed_rows_are_worked_out_once(spark):
+    from gridwright.functions._util import once
+    from gridwright.operators import bind
+    from gridwright.plans.export import landing_with_fallback
+    parsed = lambda c: F.parse_json(F.col(c))
+    texts = spark.createDataFrame([("c0", 0, 0, '[["a&nbsp;"],"b",["c"],true]'), ("c0", 0, 1, "[1]"), ("c0", 0, 2, None)],
+                                  "capture_id string, page_no bigint, row_no bigint, t string")
+    rows = texts.select("capture_id", "page_no", "row_no", parsed("t").alias("row"))
+    for bound in (bind.bind_deficiency_types(rows), bind.bind_schedules(rows)):
+        assert _plan(bound).count("parse_json") + _plan(bound).count("parseJson") == 1, _plan(bound)
+    assert [tuple(r) for r in bind.bind_deficiency_types(rows).collect()] == [("c0", 0, 0, "a", "b", "c", "True", 1)]
+    pages = spark.createDataFrame([(None, '{"page_no": 1, "capture_id": "c", "main": [["x", ["S1"]]]}'), (None, None),
+                                   ('<table class="DFGUILBX"><tr><th>Schedule ID</th></tr><tr><td>S2</td></tr></table>', '{"page_no": 2, "capture_id": "c"}')],
+                                  "html string, t string").select("html", parsed("t").alias("page"))
+    landing = landing_with_fallback(pages, "sample_schedules", ["main"])
+    plan = _plan(landing)
+    assert plan.count("parse_json") + plan.count("parseJson") == 3, plan  # a page in each of the two ways, a table's row
+    assert sorted(r["Schedule ID"] for r in bind.bind_schedules(landing).collect()) == ["S1", "S2"]
+    both = once(pages, "page").select("html", F.col("page").isNull().alias("none"))
+    assert [r["none"] for r in both.collect()] == [False, True, False] and once(pages, "page").columns == ["html", "page"]
