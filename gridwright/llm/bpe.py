@@ -186,9 +186,8 @@ def _short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for k in range(0, len(texts), 64):  # what goes back at once stays small
-                ids = [c.ids(t or "") for t in texts[k:k + 64]]
+            for k in range(0, b.num_rows, 64):  # what is held and goes back at once stays small
+                ids = [c.ids(t or "") for t in b.column(1).slice(k, 64).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(k, 64), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
@@ -233,15 +232,16 @@ def _joined(path: str):
     return run
 
 
-def _decoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for b in batches:
-            for k in range(b.num_rows):
-                ids = np.frombuffer(b.column(1)[k].as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(k, 1), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids)),
-                     pa.array([c.decode(ids)], pa.string())], names=["doc_id", "ids", "decoded"])
+def _whole(path: str):
+    """The last join of a text and what its ids decode to, in one Python
+    worker: a step behind it would hold a second one with a codec of its own."""
+    joined = _joined(path)
+
+    def run(parts):
+        import pandas as pd
+        d = joined(parts)
+        ids = np.frombuffer(d["ids"].iloc[0], np.int32)
+        return pd.DataFrame({"doc_id": d["doc_id"], "ids": [ids], "decoded": [codec(path).decode(ids)]})
     return run
 
 
@@ -265,9 +265,10 @@ def encode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFram
         return short
     parts = leaves.repartition("row", "part").mapInArrow(_leaf(path), _PART)
     while last:
-        parts = parts.groupBy("row", F.expr(f"part div {FAN}").alias("up")).applyInPandas(_joined(path), _PART)
         last //= FAN
-    return short.unionByName(parts.select("doc_id", "ids").mapInArrow(_decoded(path), _OUT))
+        level = parts.groupBy("row", F.expr(f"part div {FAN}").alias("up"))
+        parts = level.applyInPandas(_joined(path), _PART) if last else level.applyInPandas(_whole(path), _OUT)
+    return short.unionByName(parts)
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -81,3 +81,14 @@ def test_join_looks_only_near_the_cut():
     spans, c.spans = c.spans, lambda t, at=0: seen.append(len(t)) or spans(t, at)
     text, (ids, _, _) = bpe.concatenate(c, [x, y])
     assert sum(seen) < 2000 and ids.tolist() == c.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_a_task_holds_one_codec(spark):
+    d = spark.createDataFrame([(1, "some words of a text " * 40), (2, "short")], "doc_id bigint, text string")
+    got = bpe.encode(d, PATH, 100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 2 and plan.count("MapInArrow") == 2  # short texts and leaves; the last join decodes
+    tok = Tokenizer.from_file(PATH)
+    for r in got.collect():
+        ids = tok.encode({1: "some words of a text " * 40, 2: "short"}[r["doc_id"]], add_special_tokens=False).ids
+        assert list(r["ids"]) == ids and r["decoded"] == tok.decode(ids, skip_special_tokens=False)
