@@ -4,6 +4,7 @@ force, and that their plans hold no Python."""
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -278,6 +279,39 @@ def test_near_lines_link_short_lines(spark):
     assert sum(len(x) < 24 for x, _ in want) > 60
 
 
+def shuffle_blocks(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+
+def test_near_lines_leave_no_shuffle_files(spark):
+    rng = random.Random(10)
+    d = spark.createDataFrame([("".join(rng.choice("abcdefg ") for _ in range(200)),) for _ in range(200)], "line string")
+    before = shuffle_blocks(spark)
+    pairs = line_dedup.near_pairs(d)  # its keys are joined by now, not yet its texts
+    end = time.time() + 20
+    while (left := shuffle_blocks(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and pairs.count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_parts_hold_every_segment_once(spark):
+    line = spark.range(1).select(F.col("id").alias("h"), F.expr("encode(repeat('abcdefghij', 40), 'UTF-32') as wide"), F.lit(400).alias("size"))
+    filed = [line_dedup._filed(line, line_dedup.EDITS, part).count() for part in range(line_dedup.PARTS)]
+    assert sum(filed) == 36 and max(filed) <= 16  # 13 segments, 36 substrings of them
+
+
+def test_near_lines_with_long_equal_ends(spark):
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdefg é🙂") for _ in range(5000))  # longer than lengths are told apart beside a key
+    lines = {base, base[:2500] + "x" + base[2500:], base[:-1], "y" + base, base[:40] + "zz" + base[42:4900], base * 2, base * 2 + "q"}
+    assert len(check_own_edits(spark, lines)) == 7
+    pairs = spark.createDataFrame([("", "", 0, 0), ("", "ab", 2, 2), ("", "ab", 1, -1), ("aaa", "aaaa", 1, 1), ("abab", "ab", 2, 2), ("ab", "ab", 0, 0),
+                                   ("abcab", "abab", 1, 1), ("éab🙂", "éb🙂", 1, 1)], "p string, t string, k int, want int")
+    assert pairs.filter(F.expr(line_dedup.distance_sql("p", "t", "k")) != F.col("want")).count() == 0
+
+
 def test_line_dedup(spark):
     a, b = "the same line with enough letters", "the same line with enuff letters"
     rows = [(1, f"{a}\nshort\n\n  {a}  \nother words that stand here alone"), (2, f"{b}\nshort\nshorx"), (None, a), (3, None), (4, ""),
