@@ -2,6 +2,7 @@
 force, and that their plans hold no Python."""
 
 import itertools
+import math
 import random
 import re
 import time
@@ -312,6 +313,65 @@ def test_near_lines_with_long_equal_ends(spark):
     assert pairs.filter(F.expr(line_dedup.distance_sql("p", "t", "k")) != F.col("want")).count() == 0
 
 
+def test_near_lines_of_any_alphabet(spark):
+    rng = random.Random(12)
+    lines = set()
+    for size in (8, 14, 45, 65, 90, 170, 330):
+        for letters in ("abcdef ", "abcdé ß ", "aœ—ч🙂b "):
+            base = "".join(rng.choice(letters) for _ in range(size))
+            near = {edited(rng, base, rng.randint(1, 12)) for _ in range(3)}
+            lines |= {base, base[:3] + "\u2014" + base[4:], "\ufeff" + base, base[:-2] + "é" + base[-2:]} | near
+    want = check_own_edits(spark, lines)
+    latin = lambda x: max(x) < "\u0100"
+    assert sum(latin(x) != latin(y) for x, y in want) > 20 and sum(x.isascii() != y.isascii() for x, y in want) > 20
+
+
+def test_letters_of_the_halves_are_compared(spark, monkeypatch):
+    stored, rows = line_dedup.written, {}
+
+    def written(df, name, *rest):
+        rows[name] = stored(df, name, *rest)
+        return rows[name]
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    words = "the quick brown foxes run along a riverside towards some distant hills "
+    moved = words + "committee rooms " + words, words + words + "committee rooms "  # as many of each letter, 16 moved by half a line
+    near = words * 2 + "one", words * 2 + "two"
+    d = spark.createDataFrame([(x,) for x in moved + near], "line string")
+    assert {(r["p"], r["t"]) for r in line_dedup.near_pairs(d).collect()} == {near}
+    assert rows["line-candidates"].count() == 1  # both pairs share keys and letters; one goes on to the texts
+
+
+def test_letter_codes(spark):
+    d = spark.range(40).select(F.col("id").cast("int").alias("n"), F.expr("repeat('e', cast(id as int))").alias("l"))
+    d = d.select("n", F.expr(line_dedup.code_sql("l", 0)).alias("c"))
+    gaps = d.alias("x").crossJoin(d.alias("y")).selectExpr("abs(x.n - y.n) as apart", "bit_count(x.c ^ y.c) as got").collect()
+    assert all(r["got"] == min(r["apart"] % 8, -r["apart"] % 8) for r in gaps)
+
+
+def test_few_class_checks_name_every_class(spark):
+    steps = line_dedup.thresholds(line_dedup.EDITS)
+    line = spark.range(1, 700).select(F.col("id").alias("h"), F.col("id").cast("int").alias("size"), F.expr("cast(repeat('a', 700) as binary) as wide"))
+    got = [r["v"] for part in range(line_dedup.PARTS) for r in line_dedup._looked(line, steps, part, 1).collect()]
+    size = lambda q: q >> max(0, q.bit_length() - 3) << max(0, q.bit_length() - 3)
+    want = 0
+    for n in range(1, 700):
+        classes = {(k, size(m // (k + 1))) for m in range(max(1, n - 12), n + 1) if (k := allowed(m)) and n - m <= k}
+        for k, q in classes:
+            for i in range(1, k + 2):
+                e = i if i <= (k + 2) // 2 else i - (k + 2) // 2
+                a = max(1, min(math.ceil(math.sqrt(2 * e - 1)), q // line_dedup.APART))
+                want += 1 + (e - 1) // a + (e + a - 2) // a
+    assert len(got) == want
+
+
+def test_lines_are_trimmed_at_both_ends(spark):
+    rng = random.Random(13)
+    lines = ["".join(rng.choice(" \t\x0b\x0c\ra\xa0é") for _ in range(rng.randint(0, 7))) for _ in range(300)]
+    got = {r["line_no"]: r["line"] for r in line_dedup.lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id bigint, text string")).collect()}
+    assert got == {k: y for k, x in enumerate(lines) if (y := x.strip(" \t\x0b\x0c\r"))}
+
+
 def test_line_dedup(spark):
     a, b = "the same line with enough letters", "the same line with enuff letters"
     rows = [(1, f"{a}\nshort\n\n  {a}  \nother words that stand here alone"), (2, f"{b}\nshort\nshorx"), (None, a), (3, None), (4, ""),
