@@ -317,10 +317,10 @@ def test_near_lines_of_any_alphabet(spark):
     rng = random.Random(12)
     lines = set()
     for size in (8, 14, 45, 65, 90, 170, 330):
-        for letters in ("abcdef ", "abcdé ß ", "aœ—ч🙂b "):
+        for letters in ("abcdef ", "abcdé ß ", "aœ—ч🙂b ", "abcé\x1a "):
             base = "".join(rng.choice(letters) for _ in range(size))
             near = {edited(rng, base, rng.randint(1, 12)) for _ in range(3)}
-            lines |= {base, base[:3] + "\u2014" + base[4:], "\ufeff" + base, base[:-2] + "é" + base[-2:]} | near
+            lines |= {base, base[:4] + "\x1a" + base[4:], base[:3] + "\u2014" + base[4:], "\ufeff" + base, base[:-2] + "é" + base[-2:]} | near
     want = check_own_edits(spark, lines)
     latin = lambda x: max(x) < "\u0100"
     assert sum(latin(x) != latin(y) for x, y in want) > 20 and sum(x.isascii() != y.isascii() for x, y in want) > 20
@@ -351,8 +351,8 @@ def test_letter_codes(spark):
 
 def test_few_class_checks_name_every_class(spark):
     steps = line_dedup.thresholds(line_dedup.EDITS)
-    line = spark.range(1, 700).select(F.col("id").alias("h"), F.col("id").cast("int").alias("size"), F.expr("cast(repeat('a', 700) as binary) as wide"))
-    got = [r["v"] for part in range(line_dedup.PARTS) for r in line_dedup._looked(line, steps, part, 1).collect()]
+    line = spark.range(1, 700).select(F.col("id").alias("h"), F.col("id").cast("int").alias("size"), F.expr("cast(repeat('a', 700) as binary) as thin"))
+    got = [r["v"] for part in range(line_dedup.PARTS) for r in line_dedup._looked(line, steps, part).collect()]
     size = lambda q: q >> max(0, q.bit_length() - 3) << max(0, q.bit_length() - 3)
     want = 0
     for n in range(1, 700):
