@@ -351,7 +351,8 @@ def test_letter_codes(spark):
 
 def test_few_class_checks_name_every_class(spark):
     steps = line_dedup.thresholds(line_dedup.EDITS)
-    line = spark.range(1, 700).select(F.col("id").alias("h"), F.col("id").cast("int").alias("size"), F.expr("cast(repeat('a', 700) as binary) as thin"))
+    line = spark.range(1, 700).select(F.col("id").alias("h"), F.col("id").cast("int").alias("size"),
+                                      F.expr("cast(repeat('a', 700) as binary) as thin"))
     got = [r["v"] for part in range(line_dedup.PARTS) for r in line_dedup._looked(line, steps, part).collect()]
     size = lambda q: q >> max(0, q.bit_length() - 3) << max(0, q.bit_length() - 3)
     want = 0
